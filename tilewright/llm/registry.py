@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat_format
+from tilewright.llm import chat_format, license_scan, packing, token_files
 
 QUERIES = {
+    "op2_license_scan": license_scan.query,
+    "op5_token_files": token_files.query,
     "op6_chat_format": chat_format.query,
+    "op9_best_fit_packing": packing.query,
 }
 SQL = {
     "op6_chat_format": chat_format.SQL,
