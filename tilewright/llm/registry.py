@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tilewright.llm import chat_format, license_scan, packing, token_files
+from tilewright.llm import byte_bpe, chat_format, language, license_scan, packing, quality, simhash, token_files
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
+    "op3_byte_bpe": byte_bpe.query,
     "op5_token_files": token_files.query,
     "op6_chat_format": chat_format.query,
+    "op7_simhash": simhash.query,
+    "op8_quality": quality.query,
     "op9_best_fit_packing": packing.query,
+    "op10_language": language.query,
 }
 SQL = {
     "op6_chat_format": chat_format.SQL,
