@@ -1,12 +1,48 @@
-"""Filters and packs a corpus: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Filters and packs a corpus: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Every stage works on all that the one before it kept: documents of low quality go, then those of no
+known language, then all but one of each group of near-duplicates; the rest is packed. All but the
+last return the columns of ``documents``. Models are learned from the documents and labels of
+``sf_dir`` (quality) and from the documents that the stage gets (language).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.llm import language, packing, quality, simhash
 from tilewright.session import table, written
 
-STAGES: list = []
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose quality score reaches the threshold."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are near a centroid of a language."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return simhash.keep_first(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences."""
+    import public_tokenizers
+
+    pieces = packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(written(pieces, "pieces"))
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("language", filter_language),
+    ("near_duplicates", deduplicate),
+    ("packing", pack),
+]
 
 #: SQL can't express the stages; tests hold them against plain Python.
 ORACLE_SQL = None
