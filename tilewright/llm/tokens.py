@@ -1,8 +1,9 @@
 """Token ids of whole texts with a public tokenizer, inside Spark tasks.
 
 A text is cut where the tokenizer itself always cuts (before the last space of white space, or at
-white space where the vocabulary drops it), so the ids of a text are the joined ids of its chunks.
-A worker keeps the ids of up to ``CACHE`` short chunks and starts anew when that many are kept.
+white space where the vocabulary drops it, and between an ASCII letter and punctuation), so the ids
+of a text are the joined ids of its chunks. A worker keeps the ids of short chunks: of ``NEW`` that
+came once, and of ``OFTEN`` that came again; either set starts anew when it is full.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-CACHE = 400_000
+NEW = 500_000
+OFTEN = 500_000
 LONG = 64
 #: White space in Unicode's sense, as the tokenizers see it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_SIGNS = r"!-/:-@\[-`{-~"
+#: What ends at an ASCII letter before punctuation.
+_HEAD = f"[^{SPACE}{_SIGNS}]*[A-Za-z](?=[{_SIGNS}])"
 #: With spaces kept (byte-level vocabularies), or dropped (vocabularies with word ends).
-KEPT = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-DROPPED = f"[^{SPACE}]+"
+KEPT = f" ?{_HEAD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+DROPPED = f"{_HEAD}|[^{SPACE}]+"
 
 
 class ChunkIds(dict):
@@ -34,13 +39,20 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.chunks = re.compile(pattern).findall
+        self.new: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= LONG:
-            if len(self) >= CACHE:
+        ids = self.new.pop(chunk, None)
+        if ids is not None:
+            if len(self) >= OFTEN:
                 self.clear()
             self[chunk] = ids
+            return ids
+        ids = array.array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= LONG:
+            if len(self.new) >= NEW:
+                self.new.clear()
+            self.new[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
