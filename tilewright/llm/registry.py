@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from tilewright.llm import byte_bpe, chat_format, language, license_scan, packing, quality, simhash, token_files
+from tilewright.llm import (
+    byte_bpe,
+    cap_filters,
+    chat_format,
+    language,
+    license_scan,
+    onebit_ann,
+    packing,
+    quality,
+    simhash,
+    token_files,
+)
 
 QUERIES = {
+    "op1_onebit_ann": onebit_ann.query,
     "op2_license_scan": license_scan.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op4_cap_filters": cap_filters.query,
     "op5_token_files": token_files.query,
     "op6_chat_format": chat_format.query,
     "op7_simhash": simhash.query,
@@ -15,5 +28,6 @@ QUERIES = {
     "op10_language": language.query,
 }
 SQL = {
+    "op4_cap_filters": cap_filters.SQL,
     "op6_chat_format": chat_format.SQL,
 }
