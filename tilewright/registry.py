@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tilewright.plans import tiling
+
 FLAGSHIP = "texture_cells"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**tiling.QUERIES}
+SQL: dict = {**tiling.SQL}
