@@ -90,7 +90,7 @@ CTE = {
     f"{_WAY_X} AS x, {_WAY_Y} AS y, l_linenumber AS kind, l_quantity AS z, l_returnflag AS tag FROM lineitem",
     "zones": "SELECT n_nationkey AS zone, CAST(n_nationkey AS BIGINT) AS priority, 12 + n_nationkey % 5 AS zl, n_name AS provider, "
     f"{_ZONE_X} AS x0, {_ZONE_Y} AS y0, {_ZONE_X}+40.0e0 AS x1, {_ZONE_Y}+25.0e0 AS y1 FROM nation",
-    "raster": "SELECT vec_id AS row, i - 1 AS col, round_even(CAST(embedding[i] AS DOUBLE) * 1000, 0) AS value "
+    "raster": "SELECT vec_id AS row, CAST(i - 1 AS INT) AS col, round_even(CAST(embedding[i] AS DOUBLE) * 1000, 0) AS value "
     "FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)",
     "tri_nodes": "SELECT *, (pos - 1) // 3 AS tri, (pos - 1) % 3 + 1 AS corner FROM way_nodes",
     "triangles": "SELECT way, tri, min(CASE WHEN corner = 1 THEN kind END) % 8 AS kind, "

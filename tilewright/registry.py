@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilewright.plans import tiling
+from tilewright.plans import grids, lines, tiling
 
 FLAGSHIP = "texture_cells"
-QUERIES: dict = {**tiling.QUERIES}
-SQL: dict = {**tiling.SQL}
+QUERIES: dict = {**tiling.QUERIES, **lines.QUERIES, **grids.QUERIES}
+SQL: dict = {**tiling.SQL, **lines.SQL, **grids.SQL}
