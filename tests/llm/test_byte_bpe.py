@@ -42,10 +42,11 @@ def test_hard_texts_and_extra_columns(spark, tmp_path, tik):
     check(spark, str(tmp_path), dict(enumerate(HARD)), tik)
 
 
-def test_small_blocks_round_trip(spark, tik):
+@pytest.mark.parametrize("most", [5, 1000])
+def test_small_blocks_round_trip(spark, tik, most):
     texts = [t or "" for t in HARD for _ in range(3)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=300)
+    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=300, most=most)
     assert {r["doc_id"]: r["ids"] for r in tokens.collect()} == {i: tik.encode_ordinary(t) for i, t in enumerate(texts)}
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in m.decode(tokens, PATH).collect()} == dict(enumerate(texts))
 

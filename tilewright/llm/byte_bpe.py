@@ -2,8 +2,9 @@
 
 Encoding goes through each task's rows in blocks of about ``BLOCK`` characters, in three steps:
 
-1. A block's texts are cut by the pattern into words. The block's distinct words go on as byte
-   arrays, a few hundred to a row, ahead of its documents as lists of word numbers.
+1. A block's texts are cut by the pattern into words. Words that the task has not met before go on as
+   byte arrays, a few hundred to a row, ahead of the block's documents as lists of word numbers. The
+   task forgets its words when it holds more than ``WORDS``.
 2. Spark's higher-order functions fold the ranked merges over each word's byte array: the state
    holds the tokens and the rank of each adjacent pair, and each step merges the leftmost pair of
    the least rank and looks up the two pairs that arise. The ranks are a literal: a map from tokens
@@ -35,7 +36,8 @@ from tilewright.llm.chat_format import let
 from tilewright.llm.tokens import KEPT
 from tilewright.session import table
 
-BLOCK = 8_000_000
+BLOCK = 4_000_000
+WORDS = 500_000
 WORDS_A_ROW = 256
 NEVER = 2**31 - 1
 MAPS = 1 << 16
@@ -107,10 +109,11 @@ def fold(word: Column, ranks: Column) -> Column:
     return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, done)
 
 
-def _words(docs: DataFrame, pattern: str, block: int) -> DataFrame:
-    """Rows (words) with byte arrays of distinct words of a block, then rows (doc_id, numbers) of its documents.
+def _words(docs: DataFrame, pattern: str, block: int, most: int) -> DataFrame:
+    """Rows (words) of byte arrays and rows (doc_id, numbers) of documents, in the order of the input.
 
-    ``last`` is set on the last row of a block.
+    A word's number is its place among the words since the last row with ``reset``; a block's new
+    words come before its documents.
     """
 
     def split(batches):
@@ -118,100 +121,92 @@ def _words(docs: DataFrame, pattern: str, block: int) -> DataFrame:
 
         cut = regex.compile(pattern).findall
         chunks = re.compile(KEPT).findall  # the pattern cuts wherever this does
+        words: dict[str, int] = {}
+        new: list[str] = []
 
-        state: dict = {"words": {}, "chunks": {}, "docs": [], "held": 0}
+        class Numbers(dict):
+            """Numbers of the words of a chunk, as bytes."""
 
-        def numbers(chunk: str) -> list[int]:
-            words = state["words"]
-            return [words.setdefault(w, len(words)) for w in cut(chunk)]
-
-        class Known(dict):
             def __missing__(self, chunk: str) -> bytes:
-                out = self[chunk] = np.array(numbers(chunk), np.int32).tobytes()
+                found = []
+                for w in cut(chunk):
+                    if w not in words:
+                        words[w] = len(words)
+                        new.append(w)
+                    found.append(words[w])
+                out = self[chunk] = np.array(found, np.int32).tobytes()
                 return out
 
-        def rows():
-            words = [w.encode("utf-8", "surrogatepass") for w in state["words"]]
-            for at in range(0, len(words), 64 * WORDS_A_ROW):
-                yield word_rows(words[at : at + 64 * WORDS_A_ROW])
-            docs = state["docs"]
-            for at in range(0, len(docs), 256):
-                some = docs[at : at + 256]
-                last = [at + k + 1 == len(docs) for k in range(len(some))]
+        known, docs_held, held, reset = Numbers(), [], 0, True
+
+        def batch_of(lists, ids, numbers, first):
+            n = len(ids)
+            columns = [lists, pa.array(ids, pa.int64()), pa.array(numbers, pa.binary()), pa.array([first] + [False] * (n - 1))]
+            return pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "numbers", "reset"])
+
+        def rows(reset):
+            encoded = [w.encode("utf-8", "surrogatepass") for w in new]
+            step = 64 * WORDS_A_ROW
+            for at in range(0, max(1, len(encoded)), step):
+                some = encoded[at : at + step]
+                ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+                each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(some), np.uint8).astype(np.int16)))
+                n = max(1, -(-len(some) // WORDS_A_ROW))
+                bounds = pa.array(np.minimum(np.arange(n + 1) * WORDS_A_ROW, len(some)).astype(np.int32))
+                yield batch_of(pa.ListArray.from_arrays(bounds, each), [None] * n, [None] * n, reset and at == 0)
+            for at in range(0, len(docs_held), 256):
+                some = docs_held[at : at + 256]
                 empty = pa.ListArray.from_arrays(pa.array([0] * (len(some) + 1), pa.int32()), pa.array([], pa.list_(pa.int16())))
-                yield batch_of(empty, [d for d, _ in some], [n for _, n in some], last)
-            state.update(words={}, docs=[], held=0)
-
-        def word_rows(words):
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            values = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
-            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            n = -(-len(words) // WORDS_A_ROW)
-            bounds = pa.array(np.minimum(np.arange(n + 1) * WORDS_A_ROW, len(words)).astype(np.int32))
-            return batch_of(pa.ListArray.from_arrays(bounds, each), [None] * n, [None] * n, [False] * n)
-
-        def batch_of(words, ids, numbers, last):
-            columns = [words, pa.array(ids, pa.int64()), pa.array(numbers, pa.binary()), pa.array(last)]
-            return pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "numbers", "last"])
-
-        known = Known()
+                yield batch_of(empty, [d for d, _ in some], [n for _, n in some], False)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                state["docs"].append((doc_id, b"".join(map(known.__getitem__, chunks(text)))))
-                state["held"] += len(text) + 64
-                if state["held"] >= block:
-                    yield from rows()
-                    known = Known()
-        if state["docs"]:
-            yield from rows()
-
-    schema = "words array<array<smallint>>, doc_id bigint, numbers binary, last boolean"
+                docs_held.append((doc_id, b"".join(map(known.__getitem__, chunks(text)))))
+                held += len(text) + 64
+                if held >= block:
+                    yield from rows(reset)
+                    docs_held, held, reset = [], 0, False
+                    new.clear()
+                    if len(words) >= most:
+                        words.clear()
+                        known.clear()
+                        reset = True
+        if docs_held:
+            yield from rows(reset)
+
+    schema = "words array<array<smallint>>, doc_id bigint, numbers binary, reset boolean"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(split, schema)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, block: int, emit, schema: str) -> DataFrame:
-    """Rows that ``emit`` makes of (doc_id, word numbers, ids of each word, ends of the ids of each word)."""
-    rows = _words(docs, pattern, block)
+def _encoded(docs: DataFrame, path: str, pattern: str, block: int, most: int, kind) -> DataFrame:
+    """What ``kind`` makes of each document."""
+    rows = _words(docs, pattern, block, most)
     ids = let(rank_literal(path), lambda ranks: F.transform("words", lambda w: fold(w, ranks)))
-    folded = rows.select(F.when(F.size("words") > 0, ids).otherwise(F.array().cast("array<array<int>>")).alias("ids"), "doc_id", "numbers", "last")
+    folded = rows.select(F.when(F.size("words") > 0, ids).otherwise(F.array().cast("array<array<int>>")).alias("ids"), "doc_id", "numbers", "reset")
 
     def put_together(batches):
-        values, sizes, block = [], [], None
+        emit = kind(path)
         for batch in batches:
             lists = batch.column(0)
             each = lists.flatten()
-            values.append(each.flatten().to_numpy(zero_copy_only=False))
-            sizes.append(np.diff(each.offsets.to_numpy()))
-            out = []
-            # within a batch, words of a later block may follow documents of an earlier one
-            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-            numbers = batch.column(2).to_pylist()
-            if any(n is not None for n in numbers):
-                last, doc_ids = batch.column(3).to_pylist(), batch.column(1).to_pylist()
-                used = 0
-                mine_v, mine_s = values.pop(), sizes.pop()
-                v_ends = np.concatenate([[0], np.cumsum(mine_s)])
-                for k, n in enumerate(numbers):
-                    if n is None:
-                        continue
-                    if block is None:
-                        upto = int(ends[k])
-                        values.append(mine_v[v_ends[used] : v_ends[upto]])
-                        sizes.append(mine_s[used:upto])
-                        used = upto
-                        all_sizes = np.concatenate(sizes)
-                        block = emit.block(np.concatenate(values), np.concatenate([[0], np.cumsum(all_sizes)]))
-                        values, sizes = [], []
-                    out.append(block(doc_ids[k], np.frombuffer(n, np.int32)))
-                    if last[k]:
-                        block = None
-                values.append(mine_v[v_ends[used] :])
-                sizes.append(mine_s[used:])
+            values = each.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.diff(each.offsets.to_numpy()))])
+            upto = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            out, used = [], 0
+            numbers, doc_ids, reset = (batch.column(c).to_pylist() for c in (2, 1, 3))
+            for k, n in enumerate(numbers):
+                if reset[k]:
+                    emit.clear()
+                if upto[k] > used:
+                    emit.add(values[ends[used] : ends[upto[k]]], ends[used : upto[k] + 1] - ends[used])
+                    used = int(upto[k])
+                if n is not None:
+                    out.append(emit.document(doc_ids[k], np.frombuffer(n, np.int32)))
             if out:
                 yield emit.batch(out)
 
-    return folded.mapInArrow(put_together, schema)
+    return folded.mapInArrow(put_together, kind.schema)
 
 
 class Ids:
@@ -219,13 +214,18 @@ class Ids:
 
     schema = "doc_id bigint, ids array<int>"
 
-    def block(self, values: np.ndarray, ends: np.ndarray):
-        def of(doc_id, numbers):
-            size = np.diff(ends)[numbers]
-            start = np.repeat(ends[numbers] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(numbers) else np.empty(0, np.int64)
-            return doc_id, values[start + np.arange(len(start))]
+    def __init__(self, path: str):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: list[bytes] = []
 
-        return of
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        data, at = values.astype("<i4").tobytes(), (4 * ends).tolist()
+        self.words += [data[a:b] for a, b in zip(at, at[1:])]
+
+    def document(self, doc_id, numbers: np.ndarray):
+        return doc_id, np.frombuffer(b"".join([self.words[i] for i in numbers.tolist()]), "<i4")
 
     def batch(self, rows):
         ids = pa.array([r[1] for r in rows], pa.list_(pa.int32()))
@@ -238,21 +238,26 @@ class Digests:
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def __init__(self, path: str):
-        self.path = path
-
-    def block(self, values: np.ndarray, ends: np.ndarray):
-        names, tokens = _decimal(self.path), vocabulary(self.path)
-        listed, at = values.tolist(), ends.tolist()
-        size = np.diff(ends)
-        texts = [" ".join([names[i] for i in listed[a:b]]) for a, b in zip(at, at[1:])]
-        pieces = [b"".join([tokens[i] for i in listed[a:b]]) for a, b in zip(at, at[1:])]
-
-        def of(doc_id, numbers):
-            each = numbers.tolist()
-            ids = hashlib.sha256(" ".join([texts[i] for i in each]).encode()).hexdigest()
-            return doc_id, int(size[numbers].sum()), ids, hashlib.sha256(b"".join([pieces[i] for i in each])).hexdigest()
-
-        return of
+        self.names, self.tokens = _decimal(path), vocabulary(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: list[str] = []
+        self.pieces: list[bytes] = []
+        self.sizes: list[int] = []
+
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        names, tokens, listed, at = self.names, self.tokens, values.tolist(), ends.tolist()
+        for a, b in zip(at, at[1:]):
+            ids = listed[a:b]
+            self.texts.append(" ".join([names[i] for i in ids]))
+            self.pieces.append(b"".join([tokens[i] for i in ids]))
+            self.sizes.append(b - a)
+
+    def document(self, doc_id, numbers: np.ndarray):
+        each, texts, pieces, sizes = numbers.tolist(), self.texts, self.pieces, self.sizes
+        ids = hashlib.sha256(" ".join([texts[i] for i in each]).encode()).hexdigest()
+        return doc_id, sum([sizes[i] for i in each]), ids, hashlib.sha256(b"".join([pieces[i] for i in each])).hexdigest()
 
     def batch(self, rows):
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -265,10 +270,9 @@ def _decimal(path: str) -> tuple[str, ...]:
     return tuple(map(str, range(len(vocabulary(path)))))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, most: int = WORDS) -> DataFrame:
     """doc_id, ids: the token ids of each row's whole text, without special tokens."""
-    emit = Ids()
-    return _encoded(docs, path, pattern, block, emit, emit.schema)
+    return _encoded(docs, path, pattern, block, most, Ids)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -288,5 +292,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    emit = Digests(path)
-    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, emit, emit.schema)
+    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, WORDS, Digests)
