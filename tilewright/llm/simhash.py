@@ -123,7 +123,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             key, fp = key[whole:], fp[whole:]
         yield verified(key, fp)
 
-    dealt = variants(fps).repartition("key").sortWithinPartitions("key")
+    # fingerprints are small, but each becomes 131 keys: spread them before that
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = variants(spread).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
