@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.ngrams import grams
 from tilewright.llm.quality import remainder
 from tilewright.llm.tokens import pieces_of
-from tilewright.session import table
+from tilewright.session import cut_lineage, table
 
 BITS = 12
 ORDERS = (1, 2, 3)
@@ -35,6 +35,7 @@ CENTROIDS = 4
 PER_LANGUAGE = 600
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+MANY = 10_000
 #: A text is rejected below this part of the lowest cosine among nearly all training texts.
 MARGIN = 0.6
 STEP = 1 << 18
@@ -142,9 +143,11 @@ def train(texts: list[str], langs: list[str], centroids: int = CENTROIDS, seed:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS, held_out: int = HELD_OUT, lang: str = "lang") -> Model | None:
     """Learns from about ``per_language`` documents of each language outside the held-out fold."""
-    known = docs.where(F.col(lang).isNotNull() & F.coalesce(remainder("doc_id", folds) != held_out, F.lit(False)))
-    known = known.select("doc_id", F.col(lang).alias("lang"), "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    learned = F.col(lang).isNotNull() & F.coalesce(remainder("doc_id", folds) != held_out, F.lit(False))
+    known = docs.where(learned).select("doc_id", F.col(lang).alias("lang"), "text")
+    sizes = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    if sizes.count() <= MANY:  # a row for each language: small enough to send to all tasks
+        sizes = F.broadcast(sizes)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.lit(1_000_000.0) * per_language / F.col("_n")
     rows = known.join(sizes, "lang").where(chance).select("doc_id", "lang", "text").toPandas()
     rows = rows[np.array([has_letter(t) for t in rows["text"]], bool)].sort_values(["lang", "doc_id"])
