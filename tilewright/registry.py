@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilewright.plans import assembly, grids, lines, streams, tiling
+from tilewright.plans import assembly, catalogue, grids, lines, streams, tiling
 
 FLAGSHIP = "texture_cells"
-QUERIES: dict = {**tiling.QUERIES, **lines.QUERIES, **grids.QUERIES, **assembly.QUERIES, **streams.QUERIES}
-SQL: dict = {**tiling.SQL, **lines.SQL, **grids.SQL, **assembly.SQL, **streams.SQL}
+QUERIES: dict = {**tiling.QUERIES, **lines.QUERIES, **grids.QUERIES, **assembly.QUERIES, **catalogue.QUERIES, **streams.QUERIES}
+SQL: dict = {**tiling.SQL, **lines.SQL, **grids.SQL, **assembly.SQL, **catalogue.SQL, **streams.SQL}
