@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.ngrams import grams
+from tilewright.llm.quality import held_out as in_fold
 from tilewright.llm.quality import remainder
 from tilewright.llm.tokens import pieces_of
 from tilewright.session import cut_lineage, table
@@ -204,4 +205,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the language of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
-    return found.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", in_fold("doc_id", FOLDS, HELD_OUT), "lang_pred", "score", "rejected")

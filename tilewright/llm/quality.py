@@ -135,9 +135,14 @@ class Scorer:
         return p / p.sum(1, keepdims=True)
 
 
-def remainder(doc_id: str | Column, folds: int) -> Column:
-    """crc32 of doc_id as text, modulo ``folds``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % folds
+def remainder(doc_id: str, folds: int) -> Column:
+    """crc32 of doc_id as text, modulo ``folds``; null for null ids, which are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def held_out(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether a document is in the fold that is never learned from; so are those of null id."""
+    return F.coalesce(remainder(doc_id, folds) == fold, F.lit(True)).alias("held_out")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model | None:
@@ -188,6 +193,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select(
-        "doc_id", (remainder("doc_id", FOLDS) == 0).alias("held_out"), "score",
+        "doc_id", held_out("doc_id", FOLDS, 0), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
