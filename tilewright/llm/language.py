@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 MANY = 10_000
 #: A text is rejected below this part of the lowest cosine among nearly all training texts.
-MARGIN = 0.6
+MARGIN = 0.4
 STEP = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 
