@@ -14,6 +14,7 @@ repeated rows and ids, ties and extra columns change nothing; an empty table giv
 from __future__ import annotations
 
 import functools
+import json
 import operator
 from itertools import product
 
@@ -216,15 +217,11 @@ def _places(words: Column, pattern: Column) -> Column:
 
 
 def _literal_rules(some: list[tuple]) -> Column:
-    """All rules as one array column; ``order`` is the place in the list."""
-    rows = [
-        F.struct(
-            F.lit(key).alias("keyword"), F.lit(regex).alias("regex"), F.lit(label).alias("label"),
-            F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"), F.lit(i).alias("order"),
-        )
-        for i, (key, regex, label, priority, confidence) in enumerate(some)
-    ]
-    return F.array(*rows)
+    """All rules as one array, which constant folding makes a literal; ``order`` is the place in the list."""
+    names = ("keyword", "regex", "label", "priority", "confidence", "order")
+    rows = [dict(zip(names, (*r, i))) for i, r in enumerate(some)]
+    kind = "array<struct<keyword:string,regex:string,label:string,priority:int,confidence:double,order:int>>"
+    return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
 def detections(words: Column, rule_list: list[tuple] | None = None) -> Column:
