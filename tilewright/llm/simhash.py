@@ -124,7 +124,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         yield verified(key, fp)
 
     # fingerprints are small, but each becomes 131 keys: spread them before that
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     dealt = variants(spread).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
