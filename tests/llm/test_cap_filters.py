@@ -75,6 +75,18 @@ def test_pairs_at_the_threshold_share_a_filter(n):
     assert np.mean(missed) <= 0.001
 
 
+@pytest.mark.parametrize("n", [50_000, 10**7, 10**8])
+@pytest.mark.parametrize("d", [16, 64])
+def test_no_more_pairs_are_missed_as_the_table_grows(n, d):
+    words = m.codewords_for(n)
+    a, b = m.pairs_at(0.95, d, 1500, 99)
+    missed = 0
+    for at in range(0, len(a), 250):
+        own = [m.filters_of([x.astype("<f4").tobytes() for x in v[at : at + 250]], "<f4", words, m.CODES) for v in (a, b)]
+        missed += sum(not np.intersect1d(x, y).size for x, y in zip(*own))
+    assert missed <= 2  # 0.3 are expected
+
+
 def test_decoding_finds_all_that_pass():
     x = unit(np.random.default_rng(9).standard_normal((50, 24)))
     c = m.Code(24, 32, 0)

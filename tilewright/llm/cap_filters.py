@@ -9,8 +9,10 @@ pair counts at its first common filter only.
 
 Exact copies are one vector with a count. Filters with many vectors are split into blocks, and the
 pairs of blocks are tasks of their own; a task gives each vector's number of links and a star for
-what is connected, never pairs. What can be missed are pairs without a common filter; the expected
-share at a cosine of exactly 0.95 is about two in ten thousand and falls fast above it (tests measure it).
+what is connected, never pairs. What can be missed are pairs without a common filter. A code misses
+more of them the more codewords it has, so the number of codes follows from the share that a code
+misses of made pairs at exactly the cosine asked for: the expected share that all codes miss is at
+most ``MISSED`` for any number of vectors, and falls fast above that cosine (tests measure it).
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so
 do rows of null vec_id; vectors of different sizes don't link. Rows that repeat a vec_id are vectors
@@ -34,6 +36,7 @@ COSINE = 0.95
 CODES = 3
 PASSED = 9
 LEAST = 4
+MISSED = 2e-4
 BLOCK = 1024
 SEED = 5
 
@@ -54,12 +57,14 @@ class Code:
         parts = [rng.standard_normal((self.words, size)) for size in (half, self.d - half)]
         self.parts = [(p / np.linalg.norm(p, axis=1, keepdims=True) / np.sqrt(2)).astype(np.float32) for p in parts]
         probe = unit(rng.standard_normal((400, self.d)))
-        a, b = self.scores(probe)
+        a, b = (np.sort(x, axis=1) for x in self.scores(probe))
         want = passed * len(probe)
         low, high = -1.0, 1.5
         for _ in range(30):  # the threshold that so many filters pass on average
             self.threshold = np.float32((low + high) / 2)
-            found = sum(int((a[:, i : i + 1] + b >= self.threshold).sum()) for i in range(self.words))
+            least = self.threshold - a
+            some = least.min(1) <= b[:, -1]
+            found = sum(int((self.words - np.searchsorted(y, x[x <= y[-1]])).sum()) for x, y in zip(least[some], b[some]))
             low, high = (self.threshold, high) if found > want else (low, self.threshold)
 
     def scores(self, x: np.ndarray) -> list[np.ndarray]:
@@ -70,18 +75,19 @@ class Code:
     def decode(self, x: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of unit vectors: all filters that pass, and the ``least`` best of each row."""
         a, b = self.scores(x)
-        order = np.argsort(-b, axis=1, kind="stable")
+        k = min(least, self.words)
+        reach = (b >= self.threshold - a.max(1, keepdims=True) - 1e-5).sum(1)  # no other codewords can pass
+        order = _best(b, max(k, int(reach.max(initial=0))))
         ranked = np.take_along_axis(b, order, 1)
         row, i = np.nonzero(a >= self.threshold - ranked[:, :1])
         rows, filters, at = [], [], 0
-        while len(row) and at < self.words:
+        while len(row) and at < order.shape[1]:
             going = a[row, i] + ranked[row, at] >= self.threshold
             row, i = row[going], i[going]
             rows.append(row)
             filters.append(i * self.words + order[row, at])
             at += 1
-        k = min(least, self.words)
-        best = np.argsort(-a, axis=1, kind="stable")[:, :k]  # the best sums lie among the k best of either half
+        best = _best(a, k)  # the best sums lie among the k best of either half
         sums = (np.take_along_axis(a, best, 1)[:, :, None] + ranked[:, None, :k]).reshape(len(x), -1)
         top = np.argsort(-sums, axis=1, kind="stable")[:, :k]
         r = np.repeat(np.arange(len(x)), k)
@@ -92,23 +98,53 @@ class Code:
         return found // self.words**2, found % self.words**2
 
 
-@functools.lru_cache(maxsize=16)
+def _best(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, the largest first."""
+    some = np.sort(np.argpartition(-x, k - 1, axis=1)[:, :k], axis=1)
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(x, some, 1), axis=1, kind="stable"), 1)
+
+
+@functools.lru_cache(maxsize=64)
 def code(d: int, words: int, number: int) -> Code:
     return Code(d, words, number)
 
 
-def filters_of(vectors: list[bytes], kind: str, words: int, codes: int) -> list[np.ndarray]:
-    """The filters of each vector, ascending; sizes and codes have filters of their own."""
+def pairs_at(cosine: float, d: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at exactly a cosine, in all directions alike."""
+    rng = np.random.default_rng([seed, d])
+    a = unit(rng.standard_normal((n, d)))
+    b = rng.standard_normal((n, d))
+    return a, cosine * a + np.sqrt(1 - cosine**2) * unit(b - (b * a).sum(1, keepdims=True) * a)
+
+
+@functools.lru_cache(maxsize=64)
+def codes_for(d: int, words: int, cosine: float = COSINE, missed: float = MISSED) -> int:
+    """Codes that together miss at most a share ``missed`` of the pairs at a cosine, from what single codes miss."""
+    if d < 2:
+        return 1  # one direction and its opposite
+    n, step, alone = 1000, 125, 0
+    a, b = pairs_at(cosine, d, n, SEED)
+    for number in range(CODES):
+        c = code(d, words, number)
+        for at in range(0, n, step):
+            (r, f), (s, g) = c.decode(a[at : at + step]), c.decode(b[at : at + step])
+            common = np.intersect1d(r * np.int64(c.words) ** 2 + f, s * np.int64(c.words) ** 2 + g)
+            alone += min(step, n - at) - len(np.unique(common // c.words**2))
+    return int(np.ceil(np.log(missed) / np.log((alone + 0.5) / (CODES * n + 1))))
+
+
+def filters_of(vectors: list[bytes], kind: str, words: int, codes: int, cosine: float = COSINE) -> list[np.ndarray]:
+    """The filters of each vector by ``codes`` codes or as many as are needed, ascending; sizes and codes have filters of their own."""
     out: list = [None] * len(vectors)
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
         x = unit(matrix([vectors[i] for i in at], kind))
         rows, found = [], []
-        for c in range(codes):
+        for c in range(max(codes, codes_for(x.shape[1], words, cosine))):
             r, f = code(x.shape[1], words, c).decode(x)
             rows.append(r)
-            found.append((np.int64(x.shape[1]) * codes + c << 31) + f)
+            found.append((np.int64(x.shape[1]) * 4096 + c << 31) + f)
         r, f = np.concatenate(rows), np.concatenate(found)
         order = np.lexsort((f, r))
         for i, own in zip(at, np.split(f[order], np.cumsum(np.bincount(r, minlength=len(at)))[:-1])):
@@ -116,14 +152,14 @@ def filters_of(vectors: list[bytes], kind: str, words: int, codes: int) -> list[
     return out
 
 
-def _emit(distinct: DataFrame, kind: str, words: int, codes: int) -> DataFrame:
+def _emit(distinct: DataFrame, kind: str, words: int, codes: int, cosine: float) -> DataFrame:
     """A row for each vector and filter, with all that a comparison needs."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                own = filters_of(batch.column(2).to_pylist(), kind, words, codes)
+                own = filters_of(batch.column(2).to_pylist(), kind, words, codes, cosine)
                 times = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in own]))
                 each = batch.take(times)
                 lists = pa.array([f.tobytes() for f in own], pa.binary()).take(times)
@@ -134,13 +170,13 @@ def _emit(distinct: DataFrame, kind: str, words: int, codes: int) -> DataFrame:
     return distinct.mapInArrow(run, "filter bigint, id bigint, copies bigint, vec binary, filters binary")
 
 
-def _count(distinct: DataFrame, kind: str, words: int, codes: int) -> DataFrame:
+def _count(distinct: DataFrame, kind: str, words: int, codes: int, cosine: float) -> DataFrame:
     """filter, n: vectors of each filter."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                own = filters_of(whole.column(2).slice(at, 1000).to_pylist(), kind, words, codes)
+                own = filters_of(whole.column(2).slice(at, 1000).to_pylist(), kind, words, codes, cosine)
                 found, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["filter", "n"])
 
@@ -242,9 +278,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
     grouped = known.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     distinct = written(grouped.select("id", "copies", "vec"), "distinct-vectors")
     words = codewords_for(distinct.count())
-    large = _count(distinct, kind, words, codes).where(F.col("n") > 2 * block)
+    large = _count(distinct, kind, words, codes, cosine).where(F.col("n") > 2 * block)
     blocks = cut_lineage(large.select("filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = _emit(distinct, kind, words, codes).join(blocks, "filter", "left")
+    rows = _emit(distinct, kind, words, codes, cosine).join(blocks, "filter", "left")
     mine = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     rows = rows.withColumn("block", F.coalesce(mine, F.lit(0)))
     # a task for each two blocks of a large filter, and for each block with itself
