@@ -42,6 +42,14 @@ def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_raster_tiles_use_all_rows(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0]) for i in (0, 1000, 1024, 1028, 1027, 5000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["tr"], r["tc"]): r["cells"] for r in registry.QUERIES["raster_tiles"](spark, str(tmp_path)).collect()}
+    want = Counter((tr, tc) for i, v in rows for j in range(len(v)) for tr in range((i - 4) // 32, (i + 4) // 32 + 1) for tc in range((j - 4) // 32, (j + 4) // 32 + 1))
+    assert got == want and max(got)[0] == 5000 // 32
+
+
 def test_entry_works_without_the_llm_folders(tmp_path):
     import shutil
     import subprocess

@@ -121,7 +121,7 @@ FROM t WHERE tr <= 31 GROUP BY tr, tc""",
 )
 def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of square tiles with a halo of four cells: range, mean, cells above a level, quantisation."""
-    t = rasters.with_halo(raster(spark, sf_dir), 32, 4).where("tr <= 31")
+    t = rasters.with_halo(raster(spark, sf_dir), 32, 4)
     return t.groupBy("tr", "tc").agg(
         F.count("*").alias("cells"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"),
         F.count(F.when(F.col("value") >= 100, 1)).alias("above"),
