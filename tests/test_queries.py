@@ -50,6 +50,58 @@ def test_raster_tiles_use_all_rows(spark, tmp_path):
     assert got == want and max(got)[0] == 5000 // 32
 
 
+def within(ring, x0, x1):
+    """The area of a ring in a square, by winding: its fan of triangles, each clipped from its corners and crossings."""
+    total, square = 0.0, [(x0, x0), (x1, x0), (x1, x1), (x0, x1)]
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    for b, c in zip(ring[1:], ring[2:]):
+        t = [ring[0], b, c]
+        sign = cross(*t)
+        if sign == 0:
+            continue
+        t = t if sign > 0 else t[::-1]
+        inside = lambda p, shape: all(cross(q, r, p) >= 0 for q, r in zip(shape, shape[1:] + shape[:1]))
+        found = [p for p in t if inside(p, square)] + [p for p in square if inside(p, t)]
+        for p, q in zip(t, t[1:] + t[:1]):
+            for r, s in zip(square, square[1:] + square[:1]):
+                u, v = cross(r, s, p), cross(r, s, q)
+                if u * v < 0 and cross(p, q, r) * cross(p, q, s) <= 0:
+                    found.append((p[0] + u / (u - v) * (q[0] - p[0]), p[1] + u / (u - v) * (q[1] - p[1])))
+        if len(found) > 2:
+            mx, my = sum(p[0] for p in found) / len(found), sum(p[1] for p in found) / len(found)
+            found.sort(key=lambda p: math.atan2(p[1] - my, p[0] - mx))
+            total += math.copysign(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(found, found[1:] + found[:1])) / 2, sign)
+    return abs(total)
+
+
+def test_clipped_rings_against_brute_force(spark):
+    from tilewright.plans.fixtures import way_nodes
+
+    nodes = {}
+    for r in way_nodes(spark, SF).select("way", "pos", "x", "y").orderBy("way", "pos").collect():
+        nodes.setdefault(r["way"], []).append((r["x"], r["y"]))
+    got = {r["way"]: r for r in registry.QUERIES["clipped_rings"](spark, SF).collect()}
+    assert set(got) == {w for w, p in nodes.items() if len(p) > 2} and max(len(nodes[w]) for w in got) > 5
+    for w, r in got.items():
+        assert r["area"] == pytest.approx(within(nodes[w], 0.25, 0.75), abs=2e-9), nodes[w]
+        assert r["nodes"] > 3 or r["area"] == 0
+
+
+def test_long_concave_and_crossing_rings_are_clipped(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.functions import shapes as S
+
+    comb = [(0.3 + 0.1 * (i // 2), 0.1 if i % 4 in (0, 3) else 0.9) for i in range(12)]
+    rings = [comb, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.4), (0.0, 1.0)], [(0.3, 0.3), (0.9, 0.9), (0.9, 0.3), (0.3, 0.7)],
+             [(0.5 + 0.4 * math.cos(i * 4 * math.pi / 5), 0.5 + 0.4 * math.sin(i * 4 * math.pi / 5)) for i in range(5)],
+             [(0.0, 0.0), (0.2, 0.0), (0.2, 0.2), (0.1, 0.05)], [(0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75)]]
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r + r[:1]]) for k, r in enumerate(rings)], f"k int, ring {S.POINTS}")
+    cut = df.select("k", S.clip("ring", 0.25, 0.25, 0.75, 0.75).alias("ring"))
+    got = {r["k"]: r["area"] for r in cut.select("k", F.abs(S.signed_area("ring")).alias("area")).collect()}
+    assert got == {k: pytest.approx(within(r, 0.25, 0.75), abs=1e-12) for k, r in enumerate(rings)}
+
+
 def test_entry_works_without_the_llm_folders(tmp_path):
     import shutil
     import subprocess

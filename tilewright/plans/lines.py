@@ -150,8 +150,11 @@ def rings_around(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clipped_rings")
 def clipped_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings of ways of three nodes, clipped to the middle quarter of the tile."""
-    lines = ways.lines(way_nodes(spark, sf_dir)).where(F.size("line") == 3)
+    """Rings of ways of three nodes or more, clipped to the middle quarter of the tile.
+
+    Where a ring crosses itself, its area counts each place as often as the ring winds around it.
+    """
+    lines = ways.lines(way_nodes(spark, sf_dir)).where(F.size("line") > 2)
     cut = lines.select("way", S.clip(F.concat("line", F.slice("line", 1, 1)), 0.25, 0.25, 0.75, 0.75).alias("ring"))
     return cut.select("way", F.size("ring").alias("nodes"), F.round(F.abs(S.signed_area("ring")), 9).alias("area"))
 
