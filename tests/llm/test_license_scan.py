@@ -60,6 +60,65 @@ def test_rules_and_edge_cases(spark, tmp_path):
     assert {r["doc_id"]: r["labels"] for r in got}[5] == "cc-by,cc-by-nc-4.0"
 
 
+def examples(regex):
+    """A text for each choice of alternatives and optional parts of a regex."""
+    from re import _constants as k, _parser
+
+    def made(parts):
+        out = [""]
+        for op, arg in parts:
+            if op is k.LITERAL:
+                some = [chr(arg)]
+            elif op is k.ANY:
+                some = ["x"]
+            elif op is k.IN:
+                some = ["7"]
+            elif op in (k.AT, k.ASSERT_NOT):
+                some = [""]
+            elif op is k.SUBPATTERN:
+                some = made(arg[-1])
+            elif op is k.BRANCH:
+                some = [x for b in arg[1] for x in made(b)]
+            else:
+                assert op in (k.MAX_REPEAT, k.MIN_REPEAT), op
+                some = ([""] if arg[0] == 0 else []) + made(arg[2])
+            out = [a + b for a in out for b in some]
+        return out
+
+    return made(_parser.parse(regex))
+
+
+def test_gates_lose_nothing(spark):
+    rules = m.rules()
+    texts = []
+    for key, regex, *_ in rules:
+        some = examples(regex.replace(m._GRANT, "licensed under"))
+        assert all(key in x and re.fullmatch(regex, x) for x in some), (key, regex)
+        texts += some
+    for key, regex, label, *_ in rules[-40:] + [r for r in rules if "redistribute" in r[1]]:
+        texts += [f"it may be {x} today" for x in examples(regex.replace(m._GRANT, "licensed under"))]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string").repartition(8).cache()
+    gated, free = (sorted(m.scan(df, r).select("doc_id", "detections").collect()) for r in (rules, [("", *r[1:]) for r in rules]))
+    assert gated == free and all(r["detections"] for r in gated)
+
+
+def test_wordings_without_the_usual_keywords(spark):
+    holders = ", ".join(f"the University of Place {i}" for i in range(40))
+    end = "nor the names of its contributors"
+    texts = [
+        "It may be licensed commercially.",
+        "redistribute it and/or modify it under the terms of the GNU General Public License",
+        f"Neither the name of {holders} {end} may be used",
+        "Neither the name of A may be used. MIT License. " + "word " * 300_000 + f"Neither the name of B {end} may be used",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(d["label"], d["end"] - d["start"], d["confidence"]) for d in r["detections"]] for r in m.scan(df).collect()}
+    assert got[0] == [("commercial", 2, 0.5)]
+    assert got[1] == [("gpl", 15, 0.97)]
+    assert got[2] == [("bsd-3-clause", 4 + 5 * 40 + 6, 0.95)]
+    assert [x[:2] for x in got[3]] == [("mit", 2), ("bsd-3-clause", 11)]
+
+
 def test_empty_table(spark):
     assert m.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -49,6 +49,7 @@ _GRANT = r"(?:licensed|released|distributed|available|published|provided|made av
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, regex over words, label, priority, confidence) in order of precedence.
 
+    A keyword stands in every text that its regex matches, whichever alternative it takes.
     Priorities: 4 identifiers, 3 full grants and texts, 2 names with a version, 1 bare names.
     """
     out: list[tuple[str, str, str, int, float]] = []
@@ -111,7 +112,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             add(label, rf"\b{label} ?{_V}? ?{number}\b(?! \d)", full, 2, 0.8)
         add("general public" if "general" in name else "free documentation", rf"(?:gnu )?{name}", label, 1, 0.7)
         add(label, rf"\b{label}\b", label, 1, 0.5)
-    add("free software foundation", r"redistribute it and or modify it under the terms of the gnu (?:lesser |library |affero )?general public license", "gpl", 3, 0.97)
+    add("general public", r"redistribute it and or modify it under the terms of the gnu (?:lesser |library |affero )?general public license", "gpl", 3, 0.97)
     add("hope that it will be useful", r"in the hope that it will be useful but without any warranty", "gpl", 2, 0.8)
 
     # Named licenses with versions.
@@ -155,7 +156,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     add("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 3, 0.98)
     add("permission to use", r"permission to use copy modify and or distribute this software for any purpose", "isc", 3, 0.98)
     add("redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 3, 0.97)
-    add("neither the name", r"neither the name of .{1,120}? nor the names of its contributors", "bsd-3-clause", 3, 0.95)
+    add("neither the name", r"neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors", "bsd-3-clause", 3, 0.95)
     add("advertising materials", r"all advertising materials mentioning features or use of this software", "bsd-4-clause", 3, 0.95)
     add("provided as is", r"this software is provided as is without any express or implied warranty", "zlib", 3, 0.9)
     add("free and unencumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 3, 0.98)
@@ -175,7 +176,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     add("all rights reserved", r"all rights reserved", "all-rights-reserved", 1, 0.4)
     add("confidential", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 2, 0.8)
     add("unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", "proprietary", 3, 0.95)
-    add("commercial license", r"(?:commercial license|licensed commercially)", "commercial", 1, 0.5)
+    add("commercial license", r"commercial license", "commercial", 1, 0.5)
+    add("licensed commercially", r"licensed commercially", "commercial", 1, 0.5)
     return out
 
 
