@@ -1,9 +1,12 @@
 import base64
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tilewright.llm import byte_bpe as m
 
@@ -42,11 +45,11 @@ def test_hard_texts_and_extra_columns(spark, tmp_path, tik):
     check(spark, str(tmp_path), dict(enumerate(HARD)), tik)
 
 
-@pytest.mark.parametrize("most", [5, 1000])
-def test_small_blocks_round_trip(spark, tik, most):
+@pytest.mark.parametrize("block", [1, 300, 20_000])
+def test_small_blocks_round_trip(spark, tik, block):
     texts = [t or "" for t in HARD for _ in range(3)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=300, most=most)
+    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=block)
     assert {r["doc_id"]: r["ids"] for r in tokens.collect()} == {i: tik.encode_ordinary(t) for i, t in enumerate(texts)}
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in m.decode(tokens, PATH).collect()} == dict(enumerate(texts))
 
@@ -54,3 +57,40 @@ def test_small_blocks_round_trip(spark, tik, most):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert m.encode(df, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def long_words():
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    return [
+        pick("abcdefghijklmnopqrstuvwxyz", 100_000), "a" * 100_000, "ab" * 3000, "-" * 5000, pick("ab", 3000), pick("ehtio", 2000),
+        pick("的一是不了人我在有他这", 2000), pick("éèàü", 3000), "the" * 1000, "aaab" * 500, pick("0123456789", 3000), "internationalization" * 50,
+    ]
+
+
+def test_long_words(spark, tik):
+    texts = long_words()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["ids"] for r in m.encode(df, PATH, public_tokenizers.PATTERN).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(texts):
+        assert got[i] == tik.encode_ordinary(t), i
+
+
+def test_both_folds_agree_on_any_bytes(spark, tik):
+    rng = random.Random(5)
+    words = [bytes(rng.choices(range(256), k=n)) for n in range(1, 70)] + [rng.choice([b"abab", b"aaa", b"the", b"ehe"]) * n for n in range(1, 30)]
+    df = spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i long, w array<smallint>")
+    ranks = m.rank_literal(PATH)
+    for r in df.select("w", m.fold(F.col("w"), ranks).alias("one"), m.fold_wide(F.col("w"), ranks).alias("wide")).collect():
+        want = tik._encode_single_piece(bytes(r["w"]))
+        assert r["one"] == want and r["wide"] == want
+
+
+def test_words_of_one_token_fold_to_it(spark):
+    # the encoder takes a word that is a token as it is; the fold comes to the same for this vocabulary
+    tokens = [(i, list(t)) for i, t in enumerate(m.vocabulary(PATH))]
+    df = spark.createDataFrame(tokens, "i long, w array<smallint>").repartition(8)
+    ids = m.fold(F.col("w"), m.rank_literal(PATH)).alias("ids")
+    assert df.select("i", ids).where("size(ids) <> 1 OR ids[0] <> i").count() == 0

@@ -1,31 +1,32 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding goes through each task's rows in blocks of about ``BLOCK`` characters, in three steps:
-
-1. A block's texts are cut by the pattern into words. Words that the task has not met before go on as
-   byte arrays, a few hundred to a row, ahead of the block's documents as lists of word numbers. The
-   task forgets its words when it holds more than ``WORDS``.
-2. Spark's higher-order functions fold the ranked merges over each word's byte array: the state
-   holds the tokens and the rank of each adjacent pair, and each step merges the leftmost pair of
-   the least rank and looks up the two pairs that arise. The ranks are a literal: a map from tokens
-   (bytes in hex) to ranks, dealt to many small maps by a hash, as Spark searches a map from its start.
-3. The ids of the words replace the words' numbers in the documents.
-
-Rows stay in their partition and in order, so nothing is shuffled, a block bounds the memory, and a
-lost task is run again by itself. Decoding joins the bytes of the ids.
+Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each block:
+
+1. A block's texts are cut by the pattern into words, in an Arrow batch. The row holds the distinct
+   words of the block as byte arrays, and its documents as lists of word numbers. Nothing is kept
+   from one block to the next. Words of more than ``LONG`` bytes are cut further where no token of
+   the vocabulary can stand across the place, so no merge could cross it either.
+2. Spark's higher-order functions fold the ranked merges over each word's byte array. The state holds
+   tokens and the ranks of adjacent pairs in turn; each step merges the leftmost pair of the least
+   rank and looks up the two pairs that arise. The ranks are a literal: a perfect hash table from a
+   pair of tokens to the rank of their bytes, which is the id of the token they make. Long words
+   that can't be cut take all pairs of the least rank in one step, where that gives the same.
+3. The ids of the words replace the words' numbers in the documents, and one row for each goes on.
+
+Rows stay in their partition, so nothing is shuffled, a block bounds the memory, and a lost task is
+run again by itself. Decoding concatenates the pieces of the ids, also in Spark expressions.
 
 Null text counts as empty, with no ids. Null or repeated ids, repeated rows and extra columns do no
-harm: rows are encoded one by one. An empty table gives an empty result.
+harm: rows are encoded one by one. A very long text is a block of its own. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import json
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,10 @@ from tilewright.llm.chat_format import let
 from tilewright.llm.tokens import KEPT
 from tilewright.session import table
 
-BLOCK = 4_000_000
-WORDS = 500_000
-WORDS_A_ROW = 256
-NEVER = 2**31 - 1
-MAPS = 1 << 16
+BLOCK = 8_000_000
+#: Bytes from which a word is cut where no token can stand across, and folded in wide steps.
+LONG = 64
+NEVER = 2**63 - 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -51,240 +51,262 @@ def vocabulary(path: str) -> tuple[bytes, ...]:
     return tuple(ranks[i] for i in range(len(ranks)))
 
 
-def rank_literal(path: str) -> Column:
-    """struct(bytes: hex of each byte value, maps: hex of a token's bytes -> its rank, dealt by CRC-32)."""
-    maps: list[dict] = [{} for _ in range(MAPS)]
-    for rank, token in enumerate(vocabulary(path)):
-        name = token.hex()
-        maps[zlib.crc32(name.encode()) % MAPS][name] = rank
-    value = json.dumps({"bytes": [f"{b:02x}" for b in range(256)], "maps": maps}, separators=(",", ":"))
-    # constant folding makes one literal of it
-    return F.from_json(F.lit(value), "bytes array<string>, maps array<map<string,int>>")
+class Ranks:
+    """The literal rank map as a Column, and how a pair of tokens is looked up in it.
 
+    A token is its id plus ``base``, so that any rank is less than any token. A pair's key is one
+    number of both; it is sought in the one slot that its bucket's displacement leads to. An entry
+    is key * base + rank, so entry - key * base is the rank if the slot is the pair's, else no rank.
+    """
 
-def _rank(ranks: Column, token: Column) -> Column:
-    """The rank of a token, which is its id, or NEVER."""
-    return let(
-        token,
-        lambda t: F.coalesce(F.get(ranks["maps"], (F.crc32(t.cast("binary")) % MAPS).cast("int"))[t], F.lit(NEVER)),
-    )
+    def __init__(self, size: int, slots: int, buckets: int, literal: Column):
+        self.base = 1 << size.bit_length()
+        self.edge = 2 * self.base - 1  # a token that no pair holds
+        self.slots, self.buckets, self.map = slots, buckets, literal
+
+    def within(self, ranks: Column) -> Ranks:
+        """The same with the map bound to a variable."""
+        other = object.__new__(Ranks)
+        other.__dict__ = self.__dict__ | {"map": ranks}
+        return other
 
+    def first(self, byte: Column) -> Column:
+        return F.get(self.map["bytes"], byte)
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of a word given as an array of byte values; not for empty words."""
-    pair = lambda a, b: _rank(ranks, F.concat(a, b))
+    def pair(self, a: Column, b: Column) -> Column:
+        """The rank of a pair of tokens, or a number of at least ``base``."""
+        key = a * (2 * self.base) + b
+        slot = (F.get(self.map["moves"], key % self.buckets) + key) % self.slots
+        return (F.get(self.map["entries"], slot) - key * self.base).bitwiseAND(F.lit(NEVER))
+
+
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+@functools.lru_cache(maxsize=2)
+def _pair_table(path: str) -> tuple[int, int, str]:
+    """(slots, buckets, JSON of the arrays): buckets of keys are displaced until their slots are free."""
+    tokens = vocabulary(path)
+    base = 1 << len(tokens).bit_length()
+    if base > 1 << 20:
+        raise ValueError("the vocabulary has too many tokens")
+    rank = {t: i for i, t in enumerate(tokens)}
+    found = [(rank.get(t[:k]), rank.get(t[k:]), i) for t, i in rank.items() for k in range(1, len(t))]
+    a, b, made = np.array([x for x in found if None not in x] or np.empty((0, 3)), np.int64).reshape(-1, 3).T
+    key = (a + base) * (2 * base) + b + base
+    slots, buckets = _prime(2 * len(key) + 64), _prime(len(key) // 3 + 8)
+    order = np.argsort(key % buckets, kind="stable")
+    key, made = key[order], made[order]
+    starts = np.flatnonzero(np.diff(key % buckets, prepend=-1))
+    ends = np.append(starts[1:], len(key))
+    moves, entries, rng = np.zeros(buckets, np.int64), np.full(slots, -1, np.int64), np.random.default_rng(1)
+    for i in np.argsort(starts - ends, kind="stable"):
+        own = key[starts[i] : ends[i]]
+        if len(np.unique(own % slots)) < len(own):
+            raise ValueError("keys of one bucket share a slot")
+        while True:
+            tried = rng.integers(0, slots, 64)
+            free = (entries[(own + tried[:, None]) % slots] == -1).all(1)
+            if free.any():
+                break
+        moves[own[0] % buckets] = tried[free.argmax()]
+        entries[(own + moves[own[0] % buckets]) % slots] = own * base + made[starts[i] : ends[i]]
+    first = [rank[bytes([i])] + base for i in range(256)]
+    return slots, buckets, json.dumps({"bytes": first, "moves": moves.tolist(), "entries": entries.tolist()}, separators=(",", ":"))
+
+
+def rank_literal(path: str) -> Ranks:
+    slots, buckets, arrays = _pair_table(path)
+    # constant folding makes one literal of it
+    literal = F.from_json(F.lit(arrays), "bytes array<bigint>, moves array<bigint>, entries array<bigint>")
+    return Ranks(len(vocabulary(path)), slots, buckets, literal)
+
+
+def fold(word: Column, ranks: Ranks) -> Column:
+    """The ids of a word given as an array of byte values, one merge a step; not for empty words."""
+    base, edge, pair = ranks.base, F.lit(ranks.edge), ranks.pair
+    # edge, no rank, token, rank of the pair after it, token, ..., token, no rank, edge
     start = let(
-        F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int"))),
-        lambda t: F.struct(
-            t.alias("t"), F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)), pair).alias("r")
+        F.transform(word, ranks.first),
+        lambda t: F.concat(
+            F.array(edge, F.lit(NEVER)),
+            F.flatten(F.zip_with(t, F.concat(F.slice(t, 2, F.size(t)), F.array(edge)), lambda a, b: F.array(a, pair(a, b)))),
+            F.array(edge),
         ),
     )
-    none = F.array().cast("array<int>")
 
-    def merge(acc: Column, at: Column) -> Column:
-        """Tokens ``at`` and ``at + 1`` (from 1) become one, and the ranks of its pairs are looked up."""
-        t, r = acc["t"], acc["r"]
-        return let(
-            F.concat(F.get(t, at - 1), F.get(t, at)),
-            lambda made: F.struct(
-                F.concat(F.slice(t, F.lit(1), at - 1), F.array(made), F.slice(t, at + 2, F.size(t))).alias("t"),
-                F.concat(
-                    F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                    F.when(at > 1, F.array(pair(F.get(t, at - 2), made))).otherwise(none),
-                    F.when(at + 1 < F.size(t), F.array(pair(made, F.get(t, at + 1)))).otherwise(none),
-                    F.slice(r, at + 2, F.size(r)),
-                ).alias("r"),
-            ),
-        )
+    def merge(x: Column, made: Column, at: Column) -> Column:
+        """The tokens on either side of the rank in place ``at`` (from 1) become ``made``."""
+        new = F.array(pair(F.get(x, at - 4), made), made, pair(made, F.get(x, at + 2)))
+        return F.concat(F.slice(x, F.lit(1), at - 3), new, F.slice(x, at + 3, F.size(x)))
 
-    def step(acc: Column, _: Column) -> Column:
+    def step(x: Column, _: Column) -> Column:
         return let(
-            F.coalesce(F.array_min(acc["r"]), F.lit(NEVER)),
-            lambda least: F.when(least == NEVER, acc).otherwise(
-                let(F.array_position(acc["r"], least).cast("int"), lambda at: merge(acc, at))
+            F.array_min(x),
+            lambda least: F.when(least >= base, x).otherwise(
+                let(F.array_position(x, least).cast("int"), lambda at: merge(x, least + base, at))
             ),
         )
 
-    done = lambda acc: F.transform(acc["t"], lambda t: _rank(ranks, t))
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, done)
+    def done(x: Column) -> Column:
+        tokens = F.filter(x, lambda v, i: (i % 2 == 0) & (v < edge))
+        return F.transform(tokens, lambda v: (v - base).cast("int"))
 
+    return F.aggregate(F.slice(word, 2, F.size(word)), start, step, done)
 
-def _words(docs: DataFrame, pattern: str, block: int, most: int) -> DataFrame:
-    """Rows (words) of byte arrays and rows (doc_id, numbers) of documents, in the order of the input.
 
-    A word's number is its place among the words since the last row with ``reset``; a block's new
-    words come before its documents.
+def fold_wide(word: Column, ranks: Ranks) -> Column:
+    """The same for long words: a step merges all pairs of the least rank, from the left.
+
+    That is what single merges do if no pair that arises has a lower rank, whether it stays or is
+    merged at once; where one has, the step merges the leftmost pair only.
     """
+    base, edge, pair = ranks.base, F.lit(ranks.edge), ranks.pair
+    after = lambda t: F.concat(F.slice(t, 2, F.size(t)), F.array(edge))
+    state = lambda t: let(
+        F.zip_with(t, after(t), pair), lambda r: F.struct(t.alias("t"), r.alias("r"), F.array_min(r).alias("least"))
+    )
+
+    def chosen(acc: Column) -> Column:
+        """1 for each pair that is merged: every second one of adjacent pairs."""
+        marks = F.array_join(F.transform(acc["r"], lambda r: F.when(r == acc["least"], "1").otherwise("0")), "")
+        return F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
 
-    def split(batches):
+    def merged(acc: Column, here) -> Column:
+        """The tokens with the pairs merged for whose place ``here`` is true."""
+        made = acc["least"] + base
+        put = F.transform(acc["t"], lambda t, i: F.when(here(i - 1), F.lit(-1)).when(here(i), made).otherwise(t))
+        return F.filter(put, lambda t: t >= 0)
+
+    def step(acc: Column, _: Column) -> Column:
+        made = acc["least"] + base
+
+        def of(marks: Column) -> Column:
+            is_one = lambda i: F.coalesce(F.get(marks, i) == "1", F.lit(False))
+            between = F.transform(acc["t"], lambda t, i: F.when(is_one(i) & is_one(i - 2), pair(made, t)).otherwise(F.lit(NEVER)))
+            single = lambda: let(F.array_position(acc["r"], acc["least"]) - 1, lambda p: state(merged(acc, lambda i: i == p)))
+            return let(
+                state(merged(acc, is_one)),
+                lambda new: F.when((new["least"] > acc["least"]) & (F.array_min(between) > acc["least"]), new).otherwise(single()),
+            )
+
+        return F.when(acc["least"] >= base, acc).otherwise(let(chosen(acc), of))
+
+    start = let(F.transform(word, ranks.first), state)
+    return F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda acc: F.transform(acc["t"], lambda t: (t - base).cast("int")))
+
+
+class Places:
+    """Where words can be cut: no token of the vocabulary stands across such a place."""
+
+    def __init__(self, tokens: tuple[bytes, ...]):
+        self.tokens = frozenset(tokens)
+        self.prefixes = frozenset(t[:k] for t in tokens for k in range(1, len(t) + 1))
+        joined = np.zeros(1 << 16, bool)  # two bytes that stand side by side in a token
+        for t in tokens:
+            b = np.frombuffer(t, np.uint8).astype(np.int64)
+            joined[(b[:-1] << 8) + b[1:]] = True
+        self.joined = joined
+
+    def parts(self, word: bytes) -> list[bytes]:
+        if len(word) <= LONG:
+            return [word]
+        b = np.frombuffer(word, np.uint8).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(~self.joined[(b[:-1] << 8) + b[1:]]) + 1).tolist(), len(word)]
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            out += [word[a:b]] if b - a <= LONG else self._swept(word[a:b])
+        return out
+
+    def _swept(self, word: bytes) -> list[bytes]:
+        reach, last, out = 0, 0, []
+        for i in range(len(word)):
+            if reach <= i and i > last:  # no token that begins before ends after
+                out.append(word[last:i])
+                last = i
+            j = i + 1
+            while j <= len(word) and word[i:j] in self.prefixes:
+                if word[i:j] in self.tokens:
+                    reach = max(reach, j)
+                j += 1
+        return [*out, word[last:]]
+
+
+def _blocks(docs: DataFrame, path: str, pattern: str, block: int) -> DataFrame:
+    """words: the distinct words of a block as byte values; docs: its documents as numbers of words."""
+
+    def cut_blocks(batches):
         import regex
 
-        cut = regex.compile(pattern).findall
+        cut, places = regex.compile(pattern).findall, Places(vocabulary(path))
         chunks = re.compile(KEPT).findall  # the pattern cuts wherever this does
-        words: dict[str, int] = {}
-        new: list[str] = []
+        words: dict[bytes, int] = {}
 
         class Numbers(dict):
             """Numbers of the words of a chunk, as bytes."""
 
             def __missing__(self, chunk: str) -> bytes:
-                found = []
-                for w in cut(chunk):
-                    if w not in words:
-                        words[w] = len(words)
-                        new.append(w)
-                    found.append(words[w])
+                found = [words.setdefault(p, len(words)) for w in cut(chunk) for p in places.parts(w.encode("utf-8", "surrogatepass"))]
                 out = self[chunk] = np.array(found, np.int32).tobytes()
                 return out
 
-        known, docs_held, held, reset = Numbers(), [], 0, True
-
-        def batch_of(lists, ids, numbers, first):
-            n = len(ids)
-            columns = [lists, pa.array(ids, pa.int64()), pa.array(numbers, pa.binary()), pa.array([first] + [False] * (n - 1))]
-            return pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "numbers", "reset"])
-
-        def rows(reset):
-            encoded = [w.encode("utf-8", "surrogatepass") for w in new]
-            step = 64 * WORDS_A_ROW
-            for at in range(0, max(1, len(encoded)), step):
-                some = encoded[at : at + step]
-                ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
-                each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(some), np.uint8).astype(np.int16)))
-                n = max(1, -(-len(some) // WORDS_A_ROW))
-                bounds = pa.array(np.minimum(np.arange(n + 1) * WORDS_A_ROW, len(some)).astype(np.int32))
-                yield batch_of(pa.ListArray.from_arrays(bounds, each), [None] * n, [None] * n, reset and at == 0)
-            for at in range(0, len(docs_held), 256):
-                some = docs_held[at : at + 256]
-                empty = pa.ListArray.from_arrays(pa.array([0] * (len(some) + 1), pa.int32()), pa.array([], pa.list_(pa.int16())))
-                yield batch_of(empty, [d for d, _ in some], [n for _, n in some], False)
+        known, ids, numbers, held = Numbers(), [], [], 0
+
+        def row():
+            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+            at = np.cumsum([0, *(len(n) // 4 for n in numbers)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(numbers), np.int32)))
+            rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "numbers"])
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([whole(each), whole(rows)], ["words", "docs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                docs_held.append((doc_id, b"".join(map(known.__getitem__, chunks(text)))))
+                ids.append(doc_id)
+                numbers.append(b"".join(map(known.__getitem__, chunks(text))))
                 held += len(text) + 64
                 if held >= block:
-                    yield from rows(reset)
-                    docs_held, held, reset = [], 0, False
-                    new.clear()
-                    if len(words) >= most:
-                        words.clear()
-                        known.clear()
-                        reset = True
-        if docs_held:
-            yield from rows(reset)
-
-    schema = "words array<array<smallint>>, doc_id bigint, numbers binary, reset boolean"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(split, schema)
-
-
-def _encoded(docs: DataFrame, path: str, pattern: str, block: int, most: int, kind) -> DataFrame:
-    """What ``kind`` makes of each document."""
-    rows = _words(docs, pattern, block, most)
-    ids = let(rank_literal(path), lambda ranks: F.transform("words", lambda w: fold(w, ranks)))
-    folded = rows.select(F.when(F.size("words") > 0, ids).otherwise(F.array().cast("array<array<int>>")).alias("ids"), "doc_id", "numbers", "reset")
-
-    def put_together(batches):
-        emit = kind(path)
-        for batch in batches:
-            lists = batch.column(0)
-            each = lists.flatten()
-            values = each.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(np.diff(each.offsets.to_numpy()))])
-            upto = np.cumsum(np.diff(lists.offsets.to_numpy()))
-            out, used = [], 0
-            numbers, doc_ids, reset = (batch.column(c).to_pylist() for c in (2, 1, 3))
-            for k, n in enumerate(numbers):
-                if reset[k]:
-                    emit.clear()
-                if upto[k] > used:
-                    emit.add(values[ends[used] : ends[upto[k]]], ends[used : upto[k] + 1] - ends[used])
-                    used = int(upto[k])
-                if n is not None:
-                    out.append(emit.document(doc_ids[k], np.frombuffer(n, np.int32)))
-            if out:
-                yield emit.batch(out)
-
-    return folded.mapInArrow(put_together, kind.schema)
-
-
-class Ids:
-    """Emits doc_id and ids."""
-
-    schema = "doc_id bigint, ids array<int>"
-
-    def __init__(self, path: str):
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: list[bytes] = []
-
-    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
-        data, at = values.astype("<i4").tobytes(), (4 * ends).tolist()
-        self.words += [data[a:b] for a, b in zip(at, at[1:])]
-
-    def document(self, doc_id, numbers: np.ndarray):
-        return doc_id, np.frombuffer(b"".join([self.words[i] for i in numbers.tolist()]), "<i4")
-
-    def batch(self, rows):
-        ids = pa.array([r[1] for r in rows], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids], ["doc_id", "ids"])
+                    yield row()
+                    words.clear(), known.clear(), ids.clear(), numbers.clear()
+                    held = 0
+        if ids:
+            yield row()
 
+    schema = "words array<array<smallint>>, docs array<struct<doc_id: bigint, numbers: array<int>>>"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut_blocks, schema)
 
-class Digests:
-    """Emits doc_id, n_tokens, and the SHA-256 of the decimal ids and of the decoded bytes."""
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-
-    def __init__(self, path: str):
-        self.names, self.tokens = _decimal(path), vocabulary(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.texts: list[str] = []
-        self.pieces: list[bytes] = []
-        self.sizes: list[int] = []
-
-    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
-        names, tokens, listed, at = self.names, self.tokens, values.tolist(), ends.tolist()
-        for a, b in zip(at, at[1:]):
-            ids = listed[a:b]
-            self.texts.append(" ".join([names[i] for i in ids]))
-            self.pieces.append(b"".join([tokens[i] for i in ids]))
-            self.sizes.append(b - a)
+def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
+    """doc_id, ids: the token ids of each row's whole text, without special tokens."""
+    ranks = rank_literal(path)
 
-    def document(self, doc_id, numbers: np.ndarray):
-        each, texts, pieces, sizes = numbers.tolist(), self.texts, self.pieces, self.sizes
-        ids = hashlib.sha256(" ".join([texts[i] for i in each]).encode()).hexdigest()
-        return doc_id, sum([sizes[i] for i in each]), ids, hashlib.sha256(b"".join([pieces[i] for i in each])).hexdigest()
+    def ids_of(words: Column) -> Column:
+        one = lambda r: lambda w: F.when(F.size(w) <= LONG, fold(w, r)).otherwise(fold_wide(w, r))
+        return let(ranks.map, lambda m: F.transform(words, one(ranks.within(m))))
 
-    def batch(self, rows):
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def put(d: Column, folded: Column) -> Column:
+        ids = F.flatten(F.transform(d["numbers"], lambda n: F.get(folded, n)))
+        return F.struct(d["doc_id"].alias("doc_id"), ids.alias("ids"))
 
+    rows = let(ids_of(F.col("words")), lambda folded: F.transform("docs", lambda d: put(d, folded)))
+    return _blocks(docs, path, pattern, block).select(F.explode(rows).alias("_d")).select("_d.doc_id", "_d.ids")
 
-@functools.lru_cache(maxsize=2)
-def _decimal(path: str) -> tuple[str, ...]:
-    return tuple(map(str, range(len(vocabulary(path)))))
 
-
-def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, most: int = WORDS) -> DataFrame:
-    """doc_id, ids: the token ids of each row's whole text, without special tokens."""
-    return _encoded(docs, path, pattern, block, most, Ids)
+def decoded(ids: Column, path: str) -> Column:
+    """The bytes of the ids, concatenated; null for null."""
+    pieces = F.from_json(F.lit(json.dumps([t.hex() for t in vocabulary(path)])), "array<string>")
+    hexes = let(pieces, lambda p: F.transform(ids, lambda i: F.get(p, i)))
+    return F.unhex(F.array_join(hexes, ""))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, decoded: the bytes of the ids, joined."""
-
-    def run(batches):
-        pieces = vocabulary(path)
-        for batch in batches:
-            out = [b"".join([pieces[i] for i in ids or ()]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded binary")
+    """doc_id, decoded: the bytes of each row's ids."""
+    return tokens.select("doc_id", decoded(F.col("ids"), path).alias("decoded"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,4 +314,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, WORDS, Digests)
+    return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )

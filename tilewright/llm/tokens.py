@@ -22,8 +22,8 @@ LONG = 64
 #: White space in Unicode's sense, as the tokenizers see it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SIGNS = r"!-/:-@\[-`{-~"
-#: What ends at an ASCII letter before punctuation.
-_HEAD = f"[^{SPACE}{_SIGNS}]*[A-Za-z](?=[{_SIGNS}])"
+#: No punctuation up to an ASCII letter, or whatever comes if it doesn't end there.
+_HEAD = f"[^{SPACE}{_SIGNS}]+(?:(?<=[A-Za-z])|[^{SPACE}]*)"
 #: With spaces kept (byte-level vocabularies), or dropped (vocabularies with word ends).
 KEPT = f" ?{_HEAD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 DROPPED = f"{_HEAD}|[^{SPACE}]+"
