@@ -5,7 +5,10 @@ Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each
 1. A block's texts are cut by the pattern into words, in an Arrow batch. The row holds the distinct
    words of the block as byte arrays, and its documents as lists of word numbers. Nothing is kept
    from one block to the next. Words of more than ``LONG`` bytes are cut further where no token of
-   the vocabulary can stand across the place, so no merge could cross it either.
+   the vocabulary can stand across the place, so no merge could cross it either. The most common
+   words, at most ``COMMON`` of a sample of ``SAMPLE_CHARS`` characters over all partitions, are
+   folded once for all tasks; they come with their ids. That only saves work: any other word is
+   folded in its block.
 2. Spark's higher-order functions fold the ranked merges over each word's byte array. The state holds
    tokens and the ranks of adjacent pairs in turn; each step merges the leftmost pair of the least
    rank and looks up the two pairs that arise. The ranks are a literal: a perfect hash table from a
@@ -24,6 +27,7 @@ empty result.
 from __future__ import annotations
 
 import base64
+import collections
 import functools
 import json
 import re
@@ -40,6 +44,9 @@ from tilewright.session import table
 BLOCK = 8_000_000
 #: Bytes from which a word is cut where no token can stand across, and folded in wide steps.
 LONG = 64
+#: Words that are folded ahead, and the characters of the sample that they are counted in.
+COMMON = 250_000
+SAMPLE_CHARS = 32_000_000
 NEVER = 2**63 - 1
 
 
@@ -202,7 +209,8 @@ def fold_wide(word: Column, ranks: Ranks) -> Column:
 class Places:
     """Where words can be cut: no token of the vocabulary stands across such a place."""
 
-    def __init__(self, tokens: tuple[bytes, ...]):
+    def __init__(self, path: str):
+        tokens = vocabulary(path)
         self.tokens = frozenset(tokens)
         self.prefixes = frozenset(t[:k] for t in tokens for k in range(1, len(t) + 1))
         joined = np.zeros(1 << 16, bool)  # two bytes that stand side by side in a token
@@ -235,13 +243,72 @@ class Places:
         return [*out, word[last:]]
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str, block: int) -> DataFrame:
-    """words: the distinct words of a block as byte values; docs: its documents as numbers of words."""
+@functools.lru_cache(maxsize=2)
+def places(path: str) -> Places:
+    """One for each worker process."""
+    return Places(path)
+
+
+def _word_list(words: list[bytes | None]) -> pa.Array:
+    """array<array<smallint>>'s values: the byte values of each word, null for None."""
+    ends = np.cumsum([0, *(len(w or b"") for w in words)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(w or b"" for w in words), np.uint8).astype(np.int16))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([w is None for w in words], pa.bool_()))
+
+
+def _id_list(ids: list[bytes | None]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
+def common_words(docs: DataFrame, path: str, pattern: str, most: int = COMMON, sample_chars: int = SAMPLE_CHARS) -> dict[bytes, bytes]:
+    """Ids of the most common words of up to LONG bytes that come more than once in a sample: the beginnings of all partitions."""
+    each = max(20_000, sample_chars // max(1, docs.rdd.getNumPartitions()))
+
+    def count(batches):
+        import regex
+
+        cut, parts, found, held = regex.compile(pattern).findall, places(path).parts, collections.Counter(), 0
+        chunks = re.compile(KEPT).findall
+        met: collections.Counter = collections.Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                met.update(chunks((text or "")[: each - held]))
+                held += len(text or "")
+                if held >= each:
+                    break
+            if held >= each:
+                break
+        for chunk, n in met.items():
+            for w in cut(chunk):
+                for p in parts(w.encode("utf-8", "surrogatepass")):
+                    if len(p) <= LONG:
+                        found[p] += n
+        for at in range(0, len(found), 50_000):
+            some = list(found.items())[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([_word_list([w for w, _ in some]), pa.array([n for _, n in some], pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word array<smallint>, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    ranks = rank_literal(path)
+    folded = top.repartition("word").select("word", let(ranks.map, lambda m: fold(F.col("word"), ranks.within(m))).alias("ids"))
+    out: dict[bytes, bytes] = {}
+    for batch in folded.toArrow().to_batches():
+        words, ids = batch.column(0), batch.column(1)
+        w, i = words.flatten().to_numpy().astype(np.uint8).tobytes(), ids.flatten().to_numpy().astype(np.int32).tobytes()
+        at, to = np.cumsum([0, *words.value_lengths().to_pylist()]).tolist(), (4 * np.cumsum([0, *ids.value_lengths().to_pylist()])).tolist()
+        out.update((w[a:b], i[c:d]) for a, b, c, d in zip(at, at[1:], to, to[1:]))
+    return out
+
+
+def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[bytes, bytes]) -> DataFrame:
+    """words: the distinct words of a block as byte values, null for those whose ids come in known; docs: its documents as numbers of words."""
 
     def cut_blocks(batches):
         import regex
 
-        cut, places = regex.compile(pattern).findall, Places(vocabulary(path))
+        cut, parts = regex.compile(pattern).findall, places(path).parts
         chunks = re.compile(KEPT).findall  # the pattern cuts wherever this does
         words: dict[bytes, int] = {}
 
@@ -249,20 +316,18 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int) -> DataFrame:
             """Numbers of the words of a chunk, as bytes."""
 
             def __missing__(self, chunk: str) -> bytes:
-                found = [words.setdefault(p, len(words)) for w in cut(chunk) for p in places.parts(w.encode("utf-8", "surrogatepass"))]
+                found = [words.setdefault(p, len(words)) for w in cut(chunk) for p in parts(w.encode("utf-8", "surrogatepass"))]
                 out = self[chunk] = np.array(found, np.int32).tobytes()
                 return out
 
         known, ids, numbers, held = Numbers(), [], [], 0
 
         def row():
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
-            at = np.cumsum([0, *(len(n) // 4 for n in numbers)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(numbers), np.int32)))
-            rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "numbers"])
+            given = [common.get(w) for w in words]
+            new = [w if g is None else None for w, g in zip(words, given)]
+            rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _id_list(numbers)], ["doc_id", "numbers"])
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([whole(each), whole(rows)], ["words", "docs"])
+            return pa.RecordBatch.from_arrays([whole(_word_list(new)), whole(_id_list(given)), whole(rows)], ["words", "known", "docs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -277,24 +342,26 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int) -> DataFrame:
         if ids:
             yield row()
 
-    schema = "words array<array<smallint>>, docs array<struct<doc_id: bigint, numbers: array<int>>>"
+    schema = "words array<array<smallint>>, known array<array<int>>, docs array<struct<doc_id: bigint, numbers: array<int>>>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut_blocks, schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common: int = COMMON) -> DataFrame:
     """doc_id, ids: the token ids of each row's whole text, without special tokens."""
     ranks = rank_literal(path)
+    ahead = common_words(docs, path, pattern, common) if common else {}
 
-    def ids_of(words: Column) -> Column:
-        one = lambda r: lambda w: F.when(F.size(w) <= LONG, fold(w, r)).otherwise(fold_wide(w, r))
-        return let(ranks.map, lambda m: F.transform(words, one(ranks.within(m))))
+    def ids_of(m: Column) -> Column:
+        r = ranks.within(m)
+        one = lambda w: F.when(F.size(w) <= LONG, fold(w, r)).otherwise(fold_wide(w, r))
+        return F.zip_with("words", "known", lambda w, k: F.coalesce(k, one(w)))
 
     def put(d: Column, folded: Column) -> Column:
         ids = F.flatten(F.transform(d["numbers"], lambda n: F.get(folded, n)))
         return F.struct(d["doc_id"].alias("doc_id"), ids.alias("ids"))
 
-    rows = let(ids_of(F.col("words")), lambda folded: F.transform("docs", lambda d: put(d, folded)))
-    return _blocks(docs, path, pattern, block).select(F.explode(rows).alias("_d")).select("_d.doc_id", "_d.ids")
+    rows = let(let(ranks.map, ids_of), lambda folded: F.transform("docs", lambda d: put(d, folded)))
+    return _blocks(docs, path, pattern, block, ahead).select(F.explode(rows).alias("_d")).select("_d.doc_id", "_d.ids")
 
 
 def decoded(ids: Column, path: str) -> Column:
