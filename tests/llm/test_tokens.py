@@ -11,6 +11,7 @@ from tilewright.llm import packing, token_files
 HARD = [
     None, "", " ", "  a  b\n\n c\t\td \r\n", "  x　　y ", "don't  we'll I'M 'S", "x\x1cy\x1f z\x85w",
     "ΑΣ ΣΑΣ. İI K é ̈a", "<|endoftext|> a<|startoftext|>b", "日本語テキスト 😀😀", "a" * 5000, "1234567 ½ ²", "long " * 9000,
+    "a  <|endoftext|>  b <|startoftext|><|endoftext|>", "x<|endoftext|", "<|ENDOFTEXT|> <|endoftext|>'s ", "Straße ÄÖÜ ñandú ŒUVRE ªº ÇA façade l'été", "don't DON'T we'RE",
 ]
 
 
@@ -22,8 +23,7 @@ def documents(spark, path, texts):
 
 
 def direct(name, texts):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(public_tokenizers.path(name))  # as the library has it
     return {i: np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4") for i, x in texts.items()}
 
 
@@ -122,3 +122,23 @@ def test_shards_hold_all_pieces(spark):
     rows = packing.pack(df, capacity=1000, max_documents=4, shard_pieces=200).toPandas()
     by = rows.groupby("sequence_id")
     assert len(rows) == 3000 and by["length"].sum().max() <= 1000 and by.size().max() <= 4
+
+
+def test_special_strings_as_plain_text(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    for name, rows in (
+        ("byte_bpe_50k.json", token_files.encode_sorted(df, public_tokenizers.path("byte_bpe_50k.json"), plain=True).select(F.col("tokens").alias("ids"))),
+        ("word_bpe_49k.json", packing.tokenize_pieces(df, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, plain=True).select("ids")),
+    ):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        t.encode_special_tokens = True
+        assert rows.collect()[0]["ids"][:-1] == t.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+def test_one_doc_id_is_dealt_over_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows are put together again
+    df = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rows = token_files.encode_sorted(df, public_tokenizers.path("byte_bpe_50k.json"))
+    most = rows.groupBy("shard").count().agg(F.max("count")).collect()[0][0]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most < 2000

@@ -13,6 +13,9 @@ those in which every residual suffices:
 A shard ends with a few sequences that are not full, about one in two thousand in all; results
 need no other pass.
 
+A string of a special token in a text becomes that token's id, as the library has it; with
+``plain`` it is ordinary text.
+
 Null text counts as empty (a piece of the end id), null and repeated doc_ids are documents of their
 own, equal sizes are taken by doc_id and piece, an empty table gives an empty result, and other
 columns are ignored.
@@ -37,13 +40,13 @@ END_ID = 1
 
 
 def tokenize_pieces(
-    docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, plain: bool = False
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of every document."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        ids, end = chunk_ids(vocabulary, DROPPED), end_id.to_bytes(4, "little")
+        ids, end = chunk_ids(vocabulary, DROPPED, plain), end_id.to_bytes(4, "little")
         for whole in batches:
             for batch in pieces_of(whole):
                 out = []

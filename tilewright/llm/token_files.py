@@ -7,9 +7,13 @@ for vocabularies below 65,537) or ``delta``; row groups and pages are of a set s
 indexes let a reader of some doc_ids skip the other pages. Columns of metadata are read without
 touching the tokens.
 
-Null text counts as empty (the document still gets its end id), null doc_ids come first, rows of
-one doc_id are ordered by text and repeated rows are documents of their own; an empty table gives
-an empty result; other columns are ignored.
+A string of a special token in a text becomes that token's id, as the library has it; with
+``plain`` it is ordinary text.
+
+Null text counts as empty (the document still gets its end id) and null doc_ids come first. Rows of
+one doc_id are ordered by the first characters of their texts, then by their place in the input, so
+that one doc_id of very many rows is dealt over many files; repeated rows are documents of their
+own. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ END_ID = 0
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, tokens array<int>"
 
 
-def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int = END_ID, plain: bool = False) -> DataFrame:
     """Documents in ascending doc_id order as rows of SCHEMA; shards follow each other in that order."""
 
     def encode(batches):
-        ids, start = chunk_ids(vocabulary, KEPT), 0
+        ids, start = chunk_ids(vocabulary, KEPT, plain), 0
         end = end_id.to_bytes(4, "little")
         for whole in batches:
             for batch in pieces_of(whole):
@@ -56,7 +60,9 @@ def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
                     ["doc_id", "shard", "shard_start", "n_tokens", "tokens"],
                 )
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.substring("text", 1, 16).alias("_head"), F.monotonically_increasing_id().alias("_row"))
+    order = ("doc_id", "_head", "_row")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(encode, SCHEMA)
 
 
