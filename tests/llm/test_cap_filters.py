@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -102,3 +104,19 @@ def test_query_against_all_pairs(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in m.query(spark, sf_dir).collect())
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("d", [2, 3, 16, 64, 768])
+def test_caps_hold_the_share_asked_for(d):
+    x = unit(np.random.default_rng(4).standard_normal((200_000, d)))[:, 0]
+    for share in (0.3, 0.01, 0.001):
+        assert (x > m.cap(d, share)).mean() == pytest.approx(share, abs=4 * np.sqrt(share / len(x)))
+    assert m.cap(64, 1e-9) > m.cap(64, 1e-8) > m.cap(64, 1e-4)
+
+
+def test_a_code_is_built_quickly():
+    began = time.perf_counter()
+    c = m.Code(64, 1 << 15, 0)
+    assert time.perf_counter() - began < 2
+    row, _ = c.decode(unit(np.random.default_rng(2).standard_normal((40, 64))))
+    assert 4 <= np.bincount(row).mean() <= 30

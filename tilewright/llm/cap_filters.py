@@ -46,6 +46,19 @@ def codewords_for(n: int) -> int:
     return int(np.clip(1 << int(np.ceil(np.log2(max(n, 1)) / 2)), 16, 1 << 15))
 
 
+@functools.lru_cache(maxsize=64)
+def cap(d: int, share: float) -> float:
+    """The inner product with a direction that a share of all unit vectors of size d exceeds.
+
+    Its angle's density is proportional to cos^(d-2); the tail is summed from the far end, so that
+    tiny shares come out right.
+    """
+    angle = np.linspace(np.pi / 2, -np.pi / 2, 200_001)
+    density = np.cos(angle) ** (d - 2)
+    tail = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return float(np.sin(np.interp(share, tail / tail[-1], angle)))
+
+
 class Code:
     """Directions for vectors of one size; the same for the same arguments everywhere."""
 
@@ -56,16 +69,7 @@ class Code:
         self.turn = rotation(self.d, seed * 1000 + number).astype(np.float32)
         parts = [rng.standard_normal((self.words, size)) for size in (half, self.d - half)]
         self.parts = [(p / np.linalg.norm(p, axis=1, keepdims=True) / np.sqrt(2)).astype(np.float32) for p in parts]
-        probe = unit(rng.standard_normal((400, self.d)))
-        a, b = (np.sort(x, axis=1) for x in self.scores(probe))
-        want = passed * len(probe)
-        low, high = -1.0, 1.5
-        for _ in range(30):  # the threshold that so many filters pass on average
-            self.threshold = np.float32((low + high) / 2)
-            least = self.threshold - a
-            some = least.min(1) <= b[:, -1]
-            found = sum(int((self.words - np.searchsorted(y, x[x <= y[-1]])).sum()) for x, y in zip(least[some], b[some]))
-            low, high = (self.threshold, high) if found > want else (low, self.threshold)
+        self.threshold = np.float32(cap(self.d, passed / self.words**2))
 
     def scores(self, x: np.ndarray) -> list[np.ndarray]:
         x = np.pad(x, ((0, 0), (0, self.d - x.shape[1]))).astype(np.float32) @ self.turn
@@ -133,15 +137,21 @@ def codes_for(d: int, words: int, cosine: float = COSINE, missed: float = MISSED
     return int(np.ceil(np.log(missed) / np.log((alone + 0.5) / (CODES * n + 1))))
 
 
-def filters_of(vectors: list[bytes], kind: str, words: int, codes: int, cosine: float = COSINE) -> list[np.ndarray]:
-    """The filters of each vector by ``codes`` codes or as many as are needed, ascending; sizes and codes have filters of their own."""
+def filters_of(
+    vectors: list[bytes], kind: str, words: int, codes: int, cosine: float = COSINE, needed: dict[int, int] | None = None
+) -> list[np.ndarray]:
+    """The filters of each vector by ``codes`` codes or as many as are needed, ascending; sizes and codes have filters of their own.
+
+    ``needed`` has the codes of each size, where they are known already.
+    """
     out: list = [None] * len(vectors)
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
         x = unit(matrix([vectors[i] for i in at], kind))
         rows, found = [], []
-        for c in range(max(codes, codes_for(x.shape[1], words, cosine))):
+        d = x.shape[1]
+        for c in range(max(codes, needed[d] if needed else codes_for(d, words, cosine))):
             r, f = code(x.shape[1], words, c).decode(x)
             rows.append(r)
             found.append((np.int64(x.shape[1]) * 4096 + c << 31) + f)
@@ -152,40 +162,51 @@ def filters_of(vectors: list[bytes], kind: str, words: int, codes: int, cosine:
     return out
 
 
-def _emit(distinct: DataFrame, kind: str, words: int, codes: int, cosine: float) -> DataFrame:
-    """A row for each vector and filter, with all that a comparison needs."""
+def _listed(distinct: DataFrame, kind: str, words: int, codes: int, cosine: float) -> DataFrame:
+    """Each vector with the list of its filters."""
+    sizes = [r["n"] for r in distinct.select((F.length("vec") / int(kind[2:])).cast("int").alias("n")).distinct().collect()]
+    needed = {d: codes_for(d, words, cosine) for d in sizes}  # measured once, here
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                own = filters_of(batch.column(2).to_pylist(), kind, words, codes, cosine)
-                times = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in own]))
-                each = batch.take(times)
-                lists = pa.array([f.tobytes() for f in own], pa.binary()).take(times)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(own)), *each.columns, lists], ["filter", "id", "copies", "vec", "filters"]
-                )
+                own = filters_of(batch.column(2).to_pylist(), kind, words, codes, cosine, needed)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f.tobytes() for f in own], pa.binary())], ["id", "copies", "vec", "filters"])
 
-    return distinct.mapInArrow(run, "filter bigint, id bigint, copies bigint, vec binary, filters binary")
+    return distinct.mapInArrow(run, "id bigint, copies bigint, vec binary, filters binary")
 
 
-def _count(distinct: DataFrame, kind: str, words: int, codes: int, cosine: float) -> DataFrame:
-    """filter, n: vectors of each filter."""
+def _emit(listed: DataFrame) -> DataFrame:
+    """A row for each vector and filter, with all that a comparison needs: the vector, and the filters before this one."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                own = filters_of(whole.column(2).slice(at, 1000).to_pylist(), kind, words, codes, cosine)
-                found, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["filter", "n"])
+                batch = whole.slice(at, 1000)
+                own = batch.column(3).to_pylist()
+                each = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), [len(f) // 8 for f in own])))
+                before = pa.array([f[:k] for f in own for k in range(0, len(f), 8)], pa.binary())
+                names = ["filter", "id", "copies", "vec", "filters"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64)), *each.columns[:3], before], names)
+
+    return listed.mapInArrow(run, "filter bigint, id bigint, copies bigint, vec binary, filters binary")
+
+
+def _count(listed: DataFrame) -> DataFrame:
+    """filter, n: vectors of each filter."""
+
+    def run(batches):
+        for batch in batches:
+            found, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["filter", "n"])
 
-    return distinct.mapInArrow(run, "filter bigint, n bigint").groupBy("filter").agg(F.sum("n").alias("n"))
+    return listed.select("filters").mapInArrow(run, "filter bigint, n bigint").groupBy("filter").agg(F.sum("n").alias("n"))
 
 
-def _first_common(lists: list[bytes], i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
-    """Which of the pairs (i, j) have no common filter below ``here``."""
-    own = [f[f < here] for f in (np.frombuffer(x, np.int64) for x in lists)]
+def _first_common(lists: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have no common filter in their lists."""
+    own = [np.frombuffer(x, np.int64) for x in lists]
     if len(i) > 50_000:
         found, column = np.unique(np.concatenate(own), return_inverse=True)
         row = np.repeat(np.arange(len(own)), [len(f) for f in own])
@@ -206,7 +227,7 @@ def _first_common(lists: list[bytes], i: np.ndarray, j: np.ndarray, here: int) -
     return ~seen
 
 
-def _compare(x: np.ndarray, copies: np.ndarray, lists: list[bytes], block: np.ndarray, here: int, cosine: float):
+def _compare(x: np.ndarray, copies: np.ndarray, lists: list[bytes], block: np.ndarray, cosine: float):
     """Links (with copies) and root of each row of one filter, or None without links."""
     near = x @ x.T >= cosine
     if (block != block[0]).any():  # a task for two blocks: pairs inside a block are another task's
@@ -214,7 +235,7 @@ def _compare(x: np.ndarray, copies: np.ndarray, lists: list[bytes], block: np.nd
     i, j = np.nonzero(np.triu(near, 1))
     if not len(i):
         return None
-    first = _first_common(lists, i, j, here)
+    first = _first_common(lists, i, j)
     i, j = i[first], j[first]
     links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
     return links.astype(np.int64), local_roots(len(x), i, j)
@@ -237,7 +258,7 @@ def _verified(rows: DataFrame, kind: str, cosine: float) -> DataFrame:
             if b - a < 2:
                 continue
             x = unit(matrix(vec.slice(a, b - a).to_pylist(), kind))
-            near = _compare(x, copies[a:b], lists.slice(a, b - a).to_pylist(), block[a:b], int(f[a]), cosine)
+            near = _compare(x, copies[a:b], lists.slice(a, b - a).to_pylist(), block[a:b], cosine)
             if near is not None:
                 links, root = near
                 some = np.flatnonzero(links)
@@ -278,9 +299,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
     grouped = known.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     distinct = written(grouped.select("id", "copies", "vec"), "distinct-vectors")
     words = codewords_for(distinct.count())
-    large = _count(distinct, kind, words, codes, cosine).where(F.col("n") > 2 * block)
-    blocks = cut_lineage(large.select("filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = _emit(distinct, kind, words, codes, cosine).join(blocks, "filter", "left")
+    listed = written(_listed(distinct, kind, words, codes, cosine), "filters")
+    large = _count(listed).where(F.col("n") > 2 * block)
+    # a table, so Spark knows its size and broadcasts it where that is small
+    blocks = written(large.select("filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-filters")
+    rows = _emit(listed).join(blocks, "filter", "left")
     mine = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     rows = rows.withColumn("block", F.coalesce(mine, F.lit(0)))
     # a task for each two blocks of a large filter, and for each block with itself
