@@ -34,3 +34,27 @@ def test_one_document_of_each_group_stays(spark, sf_dir):
     assert got == [(-1, ""), (2, "a b c"), (7, "q r s"), (7, "x y z")]
     assert corpus_pipeline.deduplicate(spark, df, sf_dir).columns == df.columns
     assert corpus_pipeline.deduplicate(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_column_names_that_clash(spark, sf_dir):
+    names = ["_id", "_hash", "_hash_of_text", "_nth", "_none", "_text", "_rest", "_row", "fp", "root", "first"]
+    rows = [(i, "a b c" if i < 4 else f"x{i} y z q", "en", *(f"{n}{i}" for n in names)) for i in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" if n != "doc_id" else "doc_id long" for n in ["doc_id", "text", "lang", *names]))
+    got = sorted(corpus_pipeline.deduplicate(spark, df, sf_dir).collect())
+    assert [tuple(r) for r in got] == [rows[0], rows[4], rows[5]]
+
+
+def test_repeated_rows_are_settled_by_the_other_columns(spark, sf_dir):
+    df = spark.createDataFrame([(1, "a b c", x) for x in "cab"] * 50, "doc_id long, text string, source string").repartition(4)
+    assert [tuple(r) for r in corpus_pipeline.deduplicate(spark, df, sf_dir).collect()] == [(1, "a b c", "a")]
+
+
+def test_pipeline_over_empty_and_very_long_texts(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "good words of a text " * 40_000, "en", "s", 1), (2, "", "en", "s", 0), (3, None, None, None, None), (None, "more words", "en", "s", 1)]
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert 1 in {r["doc_id"] for r in got} and all(r["length"] <= 4096 for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

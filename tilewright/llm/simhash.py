@@ -22,7 +22,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.graph import components, local_roots
@@ -142,31 +142,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """One row of each component, all columns as they are: that of the smallest doc_id.
 
-    Nulls come last; rows of one doc_id are told apart by a hash of their texts, and rows that repeat
-    both are one document.
+    Nulls come last. Rows of one doc_id are told apart by a hash of their texts; rows that repeat
+    both are one document, of which the first by the other columns (as JSON) stays. Column names are
+    free, as the row is carried in one column. Texts are shuffled once.
     """
-    # the fingerprinted rows have ids of their own, under which components are found
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+
+    # two columns for doc_id, as null is a value here
+    def keys(doc_id: Column, text: Column) -> list[Column]:
+        return [F.coalesce(doc_id.cast("bigint"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), F.xxhash64(text).alias("_text")]
+
+    names = ["_id", "_none", "_text"]
 
     def run(batches):
         for whole in batches:
             for batch in pieces_of(whole):
-                found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-                columns = [batch.column(0), batch.column(2), pa.array(found.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "fp"])
+                found = np.array([fingerprint(t, shingle, seed) for t in batch.column(3).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = written(keyed.mapInArrow(run, f"doc_id {kind}, _text bigint, fp bigint"), "keyed")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_text"))
-    distinct = known.groupBy("fp").agg(F.min(order).alias("first"))
+    keyed = docs.select(*keys(docs["doc_id"], docs["text"]), docs["text"])
+    known = written(keyed.mapInArrow(run, "_id bigint, _none boolean, _text bigint, fp bigint"), "keyed")
+    distinct = known.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_text")).alias("first"))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     least = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    winners = least.select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_hash"))
-    names = docs.columns
-    rows = docs.withColumn("_hash_of_text", F.xxhash64("text"))
-    kept = rows.join(winners, rows["doc_id"].eqNullSafe(winners["_id"]) & (rows["_hash_of_text"] == winners["_hash"]))
-    once = Window.partitionBy("doc_id", "_hash_of_text").orderBy(F.lit(1))
-    return kept.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*names)
+    winners = least.select(*(f"first.{n}" for n in names))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(*keys(docs["doc_id"], docs["text"]), rest.alias("_rest"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    # repeated rows go before the shuffle, as Spark limits groups on both sides of it
+    once = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("_rest"))).where("_nth = 1")
+    return once.join(winners, names, "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
