@@ -6,8 +6,10 @@ k-means over its training texts, since its texts differ by kind. Training texts
 language's mean than to that of their own are set aside first: their labels are doubtful. The language of the centroid of the largest cosine is
 predicted; a text whose distance to it is beyond what training texts show is marked as rejected.
 
-Training takes up to about ``per_language`` documents of each language by a hash of their ids (the
-one documented bound) from outside the held-out fold; every document is classified, on its whole text.
+Training takes up to about ``per_language`` documents of each language by a hash of their ids, at
+most ``sample`` of all languages and ``sample_chars`` characters (the documented bounds, held before
+anything leaves the tasks) from outside the held-out fold, one text of each doc_id and language;
+every document is classified, on its whole text.
 
 Texts that are null or hold no letter are ``und`` with score 0 and rejected, as is everything if
 nothing could be learned. Equal cosines go to the first language in order. Null langs are not
@@ -21,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.ngrams import grams
 from tilewright.llm.quality import held_out as in_fold
 from tilewright.llm.quality import remainder
 from tilewright.llm.tokens import pieces_of
-from tilewright.session import cut_lineage, table
+from tilewright.session import table, written
 
 BITS = 12
 ORDERS = (1, 2, 3)
@@ -36,7 +38,8 @@ CENTROIDS = 4
 PER_LANGUAGE = 600
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-MANY = 10_000
+SAMPLE = 20_000
+SAMPLE_CHARS = 100_000_000
 #: A text is rejected below this part of the lowest cosine among nearly all training texts.
 MARGIN = 0.4
 STEP = 1 << 18
@@ -142,15 +145,25 @@ def train(texts: list[str], langs: list[str], centroids: int = CENTROIDS, seed:
     return Model(names, idf, centre.astype(np.float32), MARGIN * least)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS, held_out: int = HELD_OUT, lang: str = "lang") -> Model | None:
+def fit(
+    docs: DataFrame,
+    per_language: int = PER_LANGUAGE,
+    folds: int = FOLDS,
+    held_out: int = HELD_OUT,
+    lang: str = "lang",
+    sample: int = SAMPLE,
+    sample_chars: int = SAMPLE_CHARS,
+) -> Model | None:
     """Learns from about ``per_language`` documents of each language outside the held-out fold."""
     learned = F.col(lang).isNotNull() & F.coalesce(remainder("doc_id", folds) != held_out, F.lit(False))
     known = docs.where(learned).select("doc_id", F.col(lang).alias("lang"), "text")
-    sizes = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("_n")))
-    if sizes.count() <= MANY:  # a row for each language: small enough to send to all tasks
-        sizes = F.broadcast(sizes)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.lit(1_000_000.0) * per_language / F.col("_n")
-    rows = known.join(sizes, "lang").where(chance).select("doc_id", "lang", "text").toPandas()
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")  # a table, so Spark knows its size
+    each = min(per_language, sample / max(1, sizes.count()))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.lit(1_000_000.0) * each / F.col("_n")
+    texts = known.join(sizes, "lang").where(chance).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    few = texts.orderBy(F.xxhash64("doc_id", F.lit("order")), "lang", "doc_id").limit(2 * sample)
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id", F.lit("order")), "lang", "doc_id"))
+    rows = few.withColumn("_upto", upto).where(F.col("_upto") <= sample_chars).select("doc_id", "lang", "text").toPandas()
     rows = rows[np.array([has_letter(t) for t in rows["text"]], bool)].sort_values(["lang", "doc_id"])
     return train(rows["text"].tolist(), rows["lang"].tolist())
 

@@ -1,14 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
 A word has the vectors of its hashed self and of its hashed character 3- and 4-grams (with word
-boundaries), averaged; a word that repeats the one before it counts once more as the 2-gram of a
-repeat. A document is the average of its words; a softmax over the classes follows. Vectors and
-output weights are learned by minibatch stochastic gradient descent in numpy, on at most
-``sample`` labelled documents taken in the order of a hash of their ids (the one documented bound;
-every document is scored, on its whole text).
+boundaries), averaged. One more vector, of an index that no n-gram can hash to, stands for the
+2-grams of a word and itself: a word that repeats the one before it counts once more with it. A
+document is the average of its words; a softmax over the classes follows. Vectors and output weights
+are learned by minibatch stochastic gradient descent in numpy, on at most ``sample`` labelled
+documents of together at most ``sample_chars`` characters, taken in the order of a hash of their ids
+(the documented bounds, held before anything leaves the tasks; every document is scored, on its
+whole text).
 
 Null and empty texts have the average zero, so their score is what the biases give. Labels that are null,
-and labels without a document, are not used; contradicting labels of a document count as the lowest.
+and labels without a document, are not used; contradicting labels of a document count as the lowest,
+and of the texts of a repeated doc_id the least is learned from. Very long texts are scored as they
+are, and learned from if they fit within ``sample_chars``.
 Without any labels the score is 0.5. Repeated rows, null ids and extra columns are scored or passed
 through row by row; an empty table gives an empty result.
 """
@@ -21,7 +25,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.ngrams import grams
@@ -32,10 +36,11 @@ BITS = 16
 DIM = 8
 ORDERS = (3, 4)
 SAMPLE = 4000
+SAMPLE_CHARS = 100_000_000
 THRESHOLD = 0.3
 FOLDS = 5
 CACHE = 200_000
-REPEAT = 0  # the bucket of a repeated word
+REPEAT = 1 << BITS  # the index of a repeated word, after those of the n-grams
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +61,7 @@ class Model:
 def train(texts: list[str], labels: list[int], classes: int = 2, epochs: int = 4, rate: float = 0.6, batch: int = 16, seed: int = 7) -> Model:
     """Stochastic gradient descent over documents as sparse averages of bucket vectors."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (REPEAT + 1, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, classes), np.float32), np.zeros(classes, np.float32)
     docs = []
     for text in texts:
@@ -145,15 +150,18 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.coalesce(remainder(doc_id, folds) == fold, F.lit(True)).alias("held_out")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model | None:
-    """Learns ``labels.quality`` from documents outside fold 0; at most ``sample`` documents reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Learns ``labels.quality`` from documents outside fold 0, at most ``sample`` of them and ``sample_chars`` characters."""
     known = labels.where(F.col("quality").isNotNull() & (remainder("doc_id", folds) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toPandas()
+    # one text for each of at most ``sample`` ids; rows that repeat an id meet in their tasks first
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = texts.withColumn("_upto", upto).where(F.col("_upto") <= sample_chars).toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values("doc_id").head(sample)
+    rows = rows.sort_values("doc_id")
     return train([t if isinstance(t, str) else "" for t in rows["text"]], rows["quality"].astype(int).clip(0, 1).tolist())
 
 
