@@ -113,3 +113,15 @@ def binary_prefix(x: C) -> Column:
 def parent_cell(cell: C, levels: C) -> Column:
     """The texture cell some zoom levels up that holds a texture cell."""
     return F.floor(F.floor(col(cell) / F.pow(F.lit(2.0), col(levels))) / 16) * 16
+
+
+def grid_place(lat: C, lon: C, zoom: C) -> tuple[Column, Column]:
+    """A place in textures of the grid of a zoom, with fractions."""
+    scale = F.pow(F.lit(2.0), col(zoom) - 5)
+    return (col(lon) / 180 + 1) * scale, (1 - _ratio_y(lat)) * scale
+
+
+def snapped(value: C, near: float) -> Column:
+    """The nearest whole number where that is within ``near``, else the value."""
+    whole = F.round(col(value))
+    return F.when(F.abs(col(value) - whole) > near, col(value)).otherwise(whole)

@@ -105,3 +105,16 @@ def short_text(text: C, size: int = 60) -> Column:
     for entity, sign in (("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))
     return F.when(F.char_length(out) > size, F.concat(F.substring(out, 1, size - 3), F.lit("..."))).otherwise(out)
+
+
+def first_sufficient(values: Column, limit: Column) -> Column:
+    """The place (from 0) of the first of an array's values that is at most a limit; 0 if there is none."""
+    at = F.array_position(F.transform(values, lambda v: v <= limit), F.lit(True))
+    return F.greatest(at - 1, F.lit(0))
+
+
+def archive_zone(lat: C, lon: C) -> Column:
+    """The archive of elevations that a tile is in: a letter for each four degrees (S before southern ones), a number for each six."""
+    a, b = col(lat), col(lon)
+    letter = F.char((65 + F.when(a >= 0, F.floor(a / 4)).otherwise(F.floor((-1 - a) / 4))).cast("bigint"))
+    return F.concat(F.when(a < 0, "S").otherwise(""), letter, F.lpad((31 + F.floor(b / 6)).cast("string"), 2, "0"))

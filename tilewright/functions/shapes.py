@@ -200,3 +200,23 @@ def perimeter_point(place: C) -> Column:
     s = F.pmod(col(place), F.lit(4.0))
     one, zero = F.lit(1.0), F.lit(0.0)
     return F.when(s < 1, point(zero, s)).when(s < 2, point(s - 1, one)).when(s < 3, point(one, 3 - s)).otherwise(point(4 - s, zero))
+
+
+def closed_flat(ring: C) -> Column:
+    """A flat list of coordinates (y, x, y, x, ...) with its first point repeated at the end."""
+    return F.concat(col(ring), F.slice(col(ring), 1, 2))
+
+
+def mean_place(line: C) -> Column:
+    """The mean of a line's points; the point that closes a line counts twice."""
+    xs, ys = _axis(line, "x"), _axis(line, "y")
+    return point(total(xs) / F.size(col(line)), total(ys) / F.size(col(line)))
+
+
+def convolve_around(values: C, kernel: list[float]) -> Column:
+    """An array convolved with a kernel of odd size as if its end met its beginning."""
+    v, half = col(values), len(kernel) // 2
+    weights = F.array(*map(F.lit, kernel))
+    taps = F.sequence(F.lit(-half), F.lit(half))
+    near = lambda i: F.transform(taps, lambda d: F.get(v, F.pmod(i + d, F.size(v))) * F.get(weights, d + half))
+    return F.transform(v, lambda _, i: total(near(i)))

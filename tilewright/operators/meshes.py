@@ -5,10 +5,11 @@ Kinds are 0 land, 1 inland water, 2 sea; vertices are told apart by their coordi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.geodesy import texture_cell
+from tilewright.session import cut_lineage
 
 SIDES = ((1, 2), (2, 3), (3, 1))
 
@@ -97,3 +98,23 @@ def mask_cells(mesh: DataFrame, lat: Column, lon: Column, zoom: int) -> DataFram
         F.struct((F.col("_x") + dx).alias("til_x"), (F.col("_y") + dy).alias("til_y")) for dx in (F.lit(0), F.col("_sx")) for dy in (F.lit(0), F.col("_sy"))
     ]))
     return out.withColumn("_cell", F.explode(cells)).select(*mesh.columns, "_cell.til_x", "_cell.til_y")
+
+
+def smooth_levels(nodes: DataFrame, corners: DataFrame, triangle: list[str], passes: int) -> DataFrame:
+    """nodes (x, y, z) with the elevations of the corners' nodes smoothed: in each pass a node takes the mean of its triangles' means.
+
+    ``corners`` has the triangle's key, x and y. All triangles of a pass see the same elevations, so
+    their order doesn't matter. Lineage is cut after each pass.
+    """
+    for _ in range(passes):
+        mean = corners.join(nodes, ["x", "y"]).groupBy(*triangle).agg(F.avg("z").alias("_m"))
+        new = corners.join(mean, triangle).groupBy("x", "y").agg(F.avg("_m").alias("_z"))
+        nodes = cut_lineage(nodes.join(new, ["x", "y"], "left").select("x", "y", F.coalesce("_z", "z").alias("z")))
+    return nodes
+
+
+def numbered_by_appearance(rows: DataFrame, keys: list[str], order: str, group: str, name: str) -> DataFrame:
+    """group, keys and a number from 1 for each distinct key of a group, by its first place in the order."""
+    first = rows.groupBy(group, *keys).agg(F.min(order).alias("_first"))
+    number = F.row_number().over(Window.partitionBy(group).orderBy("_first")).cast("bigint")
+    return first.select(group, *keys, number.alias(name))

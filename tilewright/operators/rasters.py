@@ -1,60 +1,98 @@
-"""Rasters in long form (row, col, value): a null value is no data. Neighbours meet by grouping shifted copies."""
+"""Rasters in long form (row, col, value): a null value is no data. Neighbours meet in square blocks with a halo."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CROSS = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}
+#: Cells along a side of a block.
+SIZE = 256
 
 
-def shifted(raster: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each cell's value sent to the cells at the offsets: row, col, dr, dc (where it comes from), value."""
-    moves = F.array(*[F.struct(F.lit(-r).alias("r"), F.lit(-c).alias("c")) for r, c in offsets])
-    out = raster.select("row", "col", "value", F.explode(moves).alias("_m"))
-    return out.select((F.col("row") + F.col("_m.r")).alias("row"), (F.col("col") + F.col("_m.c")).alias("col"), (-F.col("_m.r")).alias("dr"), (-F.col("_m.c")).alias("dc"), "value")
+def in_blocks(raster: DataFrame, halo: int, made, fields: str, size: int = SIZE) -> DataFrame:
+    """What ``made`` makes of square blocks of the raster, in numpy, one shuffle for any number of neighbours.
 
+    ``made`` gets the values of a block and ``halo`` cells around it (NaN for no data) and where the
+    raster has cells, both from the top left, and gives an array for each of ``fields``; results are
+    kept for the block's own cells. A block is of a set size, however large the raster.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    side = size + 2 * halo
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(rows["tr"].iloc[0]), int(rows["tc"].iloc[0])
+        r = rows["row"].to_numpy(np.int64) - tr * size + halo
+        c = rows["col"].to_numpy(np.int64) - tc * size + halo
+        v, here = np.full((side, side), np.nan), np.zeros((side, side), bool)
+        v[r, c], here[r, c] = rows["value"].to_numpy(np.float64, na_value=np.nan), True
+        own = (r >= halo) & (r < size + halo) & (c >= halo) & (c < size + halo)
+        r, c = r[own], c[own]
+        out = {"row": r + tr * size - halo, "col": c + tc * size - halo}
+        return pd.DataFrame(out | {n: x[r, c] for n, x in zip(names, made(v, here))})
+
+    kind = {f.name: f.dataType.simpleString() for f in raster.schema}
+    dealt = with_halo(raster.select("row", "col", "value"), size, halo)
+    out = dealt.groupBy("tr", "tc").applyInPandas(run, f"row {kind['row']}, col {kind['col']}, {fields}")
+    return out.select("row", "col", *[F.nanvl(n, F.lit(None)).alias(n) for n in names])
+
+
+def _moved(v: np.ndarray, dr: int, dc: int) -> np.ndarray:
+    """The value of the cell at an offset from each cell, NaN beyond the edge."""
+    out = np.full_like(v, np.nan)
+    h, w = v.shape
+    out[max(0, -dr) : h - max(0, dr), max(0, -dc) : w - max(0, dc)] = v[max(0, dr) : h - max(0, -dr), max(0, dc) : w - max(0, -dc)]
+    return out
+
+
+def fill(raster: DataFrame, passes: int, rest: float | None = None, most: int | None = None) -> DataFrame:
+    """Cells without data take their four neighbours' largest value, in passes; what is left then becomes ``rest``.
+
+    A raster of ``most`` cells without data or more is refused.
+    """
+    if most is not None and (found := raster.where("value IS NULL").count()) >= most:
+        raise ValueError(f"{found} cells without data are too many to fill")
 
-def stencil(raster: DataFrame, offsets: dict[str, tuple[int, int]]) -> DataFrame:
-    """row, col, value and a column for each named offset; cells of the raster only."""
-    sent = shifted(raster, [(0, 0), *offsets.values()])
-    pick = lambda o: F.max(F.when((F.col("dr") == o[0]) & (F.col("dc") == o[1]), F.col("value")))
-    here = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.lit(True))).alias("_here")
-    out = sent.groupBy("row", "col").agg(here, pick((0, 0)).alias("value"), *[pick(o).alias(n) for n, o in offsets.items()])
-    return out.where("_here").drop("_here")
-
+    def made(v: np.ndarray, here: np.ndarray):
+        for _ in range(passes):
+            holes = here & np.isnan(v)
+            if not holes.any():
+                break
+            near = np.fmax(np.fmax(_moved(v, -1, 0), _moved(v, 1, 0)), np.fmax(_moved(v, 0, -1), _moved(v, 0, 1)))
+            v = np.where(holes, near, v)
+        return (v,)
 
-def fill(raster: DataFrame, passes: int, rest: float | None = None) -> DataFrame:
-    """Cells without data take their four neighbours' largest value, in passes; what is left then becomes ``rest``."""
-    for _ in range(passes):
-        holes = raster.where("value IS NULL").select("row", "col")
-        near = shifted(raster.where("value IS NOT NULL"), list(CROSS.values())).join(holes, ["row", "col"], "left_semi")
-        best = near.groupBy("row", "col").agg(F.max("value").alias("_near"))
-        raster = raster.join(best, ["row", "col"], "left").select("row", "col", F.coalesce("value", "_near").alias("value"))
-    return raster if rest is None else raster.withColumn("value", F.coalesce("value", F.lit(rest)))
+    out = in_blocks(raster, passes, made, "value double")
+    return out if rest is None else out.withColumn("value", F.coalesce("value", F.lit(rest)))
 
 
 def gradient(raster: DataFrame, width: float, height: float) -> DataFrame:
     """row, col, dx, dy: central differences, one-sided at edges."""
-    s = stencil(raster, CROSS)
-    c = F.col
-    dx = F.when(c("left").isNull(), (c("right") - c("value")) / width).when(c("right").isNull(), (c("value") - c("left")) / width)
-    dy = F.when(c("up").isNull(), (c("value") - c("down")) / height).when(c("down").isNull(), (c("up") - c("value")) / height)
-    dx, dy = dx.otherwise((c("right") - c("left")) / (2 * width)), dy.otherwise((c("up") - c("down")) / (2 * height))
-    return s.select("row", "col", dx.alias("dx"), dy.alias("dy"))
+
+    def made(v: np.ndarray, here: np.ndarray):
+        def one(low: np.ndarray, high: np.ndarray, step: float) -> np.ndarray:
+            both = (high - low) / (2 * step)
+            return np.where(np.isnan(low), (high - v) / step, np.where(np.isnan(high), (v - low) / step, both))
+
+        return one(_moved(v, 0, -1), _moved(v, 0, 1), width), one(_moved(v, 1, 0), _moved(v, -1, 0), height)
+
+    return in_blocks(raster, 1, made, "dx double, dy double")
 
 
 def smooth(raster: DataFrame, width: int) -> DataFrame:
     """Triangular smoothing of ``width`` cells along columns, then rows; weights without data don't count."""
-    out = raster.where("value IS NOT NULL").select("row", "col", "value", F.lit(1.0).alias("w"))
-    for axis in ("col", "row"):
-        taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(width + 1 - abs(d))).alias("k")) for d in range(-width, width + 1)])
-        sent = out.select("row", "col", "value", "w", F.explode(taps).alias("_t")).withColumn(axis, F.col(axis) + F.col("_t.d"))
-        out = sent.groupBy("row", "col").agg(
-            F.sum(F.col("value") * F.col("_t.k")).alias("value"), F.sum(F.col("w") * F.col("_t.k")).alias("w")
-        )
-    kept = raster.where("value IS NOT NULL").select("row", "col")
-    return out.join(kept, ["row", "col"], "left_semi").select("row", "col", (F.col("value") / F.col("w")).alias("value"))
+
+    def made(v: np.ndarray, here: np.ndarray):
+        known = ~np.isnan(v)
+        total, weight = np.where(known, v, 0.0), known.astype(np.float64)
+        for axis in (1, 0):
+            taps = [(d, float(width + 1 - abs(d))) for d in range(-width, width + 1)]
+            step = lambda x: sum(k * np.nan_to_num(_moved(x, *((0, d) if axis else (d, 0)))) for d, k in taps)  # noqa: B023, E731
+            total, weight = step(total), step(weight)
+        return (np.where(known, total / np.where(weight > 0, weight, 1), np.nan),)
+
+    return in_blocks(raster.where("value IS NOT NULL"), width, made, "value double")
 
 
 def overlay(base: DataFrame, patch: DataFrame) -> DataFrame:

@@ -66,3 +66,8 @@ def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str,
     near = p.join(a, ["_cx", "_cy"]).withColumn("metres", far).where(F.col("metres") < radius_m)
     best = near.groupBy(key).agg(F.min(F.struct("metres", anchor)).alias("best"))
     return places.join(best.select(key, F.col(f"best.{anchor}").alias(anchor), F.col("best.metres").alias("metres")), key, "left")
+
+
+def points_outside_boxes(points: DataFrame, key: str, boxes: DataFrame, size: float) -> DataFrame:
+    """Rows of points (lon, lat) that no box holds, bounds included."""
+    return points.join(points_in_boxes(points, boxes, size, "left_semi").select(key), key, "left_anti")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import assembly, catalogue, grids, lines, streams, tiling
+from tilewright.plans import areas, assembly, catalogue, grids, lines, meshwork, selections, streams, tiling
 
 FLAGSHIP = "texture_cells"
-QUERIES: dict = {**tiling.QUERIES, **lines.QUERIES, **grids.QUERIES, **assembly.QUERIES, **catalogue.QUERIES, **streams.QUERIES}
-SQL: dict = {**tiling.SQL, **lines.SQL, **grids.SQL, **assembly.SQL, **catalogue.SQL, **streams.SQL}
+_PLANS = (tiling, lines, grids, assembly, catalogue, streams, selections, areas, meshwork)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+SQL: dict = {name: text for plan in _PLANS for name, text in plan.SQL.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,31 @@ def info(spark: SparkSession, path: str) -> DataFrame:
     """path and n of each file; the samples are not read."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.sqrt(F.col("length") / 2).cast("int").alias("n"))
+
+
+def write_blocks(raster: DataFrame, path: str, rows: int = 256, cols: int = 256) -> None:
+    """Writes (row, col, value) as blocks of little-endian 32-bit floats, row by row; no data is NaN."""
+
+    def pack(cells: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(cells["br"].iloc[0]) * rows, int(cells["bc"].iloc[0]) * cols
+        block = np.full((rows, cols), np.nan, "<f4")
+        block[cells["row"].to_numpy() - r0, cells["col"].to_numpy() - c0] = cells["value"].to_numpy(np.float64, na_value=np.nan)
+        return pd.DataFrame({"row": [r0], "col": [c0], "rows": [rows], "cols": [cols], "data": [block.tobytes()]})
+
+    block = lambda c, n: F.floor(F.col(c) / n).alias("b" + c[0])
+    dealt = raster.select("row", "col", F.col("value").cast("double").alias("value"), block("row", rows), block("col", cols))
+    dealt.groupBy("br", "bc").applyInPandas(pack, "row bigint, col bigint, rows int, cols int, data binary").write.parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, value of the cells with data of ``write_blocks``."""
+
+    def cells(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                v = np.frombuffer(b["data"], "<f4")
+                at = np.flatnonzero(~np.isnan(v))
+                r, c = np.divmod(at, b["cols"])
+                yield pa.RecordBatch.from_arrays([pa.array(r + b["row"]), pa.array(c + b["col"]), pa.array(v[at].astype("f4"))], ["row", "col", "value"])
+
+    return spark.read.parquet(path).mapInArrow(cells, "row bigint, col bigint, value float")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,60 @@ def mesh_text(vertices: DataFrame, triangles: DataFrame, version: str = "1.3") -
     size = lambda c: F.array(F.size(c).cast("string"))
     body = F.concat(head, size("p"), "p", F.array(F.lit(""), F.lit("Normals"), F.lit("")), "q", F.array(F.lit(""), F.lit("Triangles")), size("t"), "t")
     return p.crossJoin(q).crossJoin(t).select(F.array_join(body, "\n").alias("value"))  # single rows
+
+
+def write_elements(elements: DataFrame, path: str) -> None:
+    """``id a b c kind`` lines in the order of id."""
+    text = elements.repartitionByRange("id").sortWithinPartitions("id").select(F.format_string("%d %d %d %d %d", "id", "a", "b", "c", "kind").alias("value"))
+    text.write.text(path)
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """id, a, b, c, kind of triangles; comments are skipped."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where("trim(value) <> '' AND value NOT LIKE '#%'")
+    kind = lambda c: "int" if c == "kind" else "bigint"
+    return rows.select(*[F.get(parts, F.lit(i)).cast(kind(c)).alias(c) for i, c in enumerate(("id", "a", "b", "c", "kind"))])
+
+
+def read_objects(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """name, lon, lat, alt (may be null), heading, vertices (x, y, z), triangles (lists of three indices) of object texts.
+
+    The first line ends in ``ANCHOR lon lat [alt] heading``; ``VT`` lines have vertices, ``IDX`` and
+    ``IDX10`` lines have indices, and ``TRIS offset count`` names a stretch of them. A file is one
+    object, or several with a separator between them.
+    """
+    whole = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path, wholetext=True)
+    lines = F.split("value", "\r?\n")
+    anchor = F.split(F.trim(F.regexp_extract(F.get(lines, F.lit(0)), "ANCHOR(.*)$", 1)), r"\s+")
+    n = F.size(anchor)
+    words = lambda line: F.split(F.trim(line), r"\s+")
+    numbers = lambda kind, at, to: F.transform(F.filter(lines, lambda s: s.rlike(rf"^{kind}\s")), lambda s: F.transform(F.slice(words(s), at, to), lambda v: v.cast("double")))
+    index = F.flatten(F.transform(F.filter(lines, lambda s: s.startswith("IDX")), lambda s: F.transform(F.slice(words(s), 2, 20), lambda v: v.cast("int"))))
+    out = whole.where("trim(value) <> ''").select(
+        F.get(lines, F.lit(0)).alias("name"), F.get(anchor, F.lit(0)).cast("double").alias("lon"), F.get(anchor, F.lit(1)).cast("double").alias("lat"),
+        F.when(n > 3, F.get(anchor, F.lit(2)).cast("double")).alias("alt"), F.get(anchor, n - 1).cast("double").alias("heading"),
+        F.transform(numbers("VT", 2, 3), lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y"), F.get(v, F.lit(2)).alias("z"))).alias("vertices"),
+        index.alias("_index"), numbers("TRIS", 2, 2).alias("_parts"),
+    )
+    part = lambda p: F.slice("_index", F.get(p, F.lit(0)).cast("int") + 1, F.get(p, F.lit(1)).cast("int"))
+    flat = F.flatten(F.transform("_parts", part))
+    size = (F.size(flat) / 3).cast("int")
+    three = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.slice(flat, k * 3 + 1, 3))).otherwise(F.array().cast("array<array<int>>"))
+    return out.select("name", "lon", "lat", "alt", "heading", "vertices", three.alias("triangles"))
+
+
+def placed_vertices(ground: Column | None = None) -> Column:
+    """The vertices of ``read_objects`` as (lon, lat, z): turned by the heading around the anchor; ``ground`` counts where it has no altitude."""
+    from tilewright.functions.geodesy import METRES_PER_DEGREE
+
+    turn = F.radians("heading")
+    base = F.col("alt") if ground is None else F.coalesce("alt", ground)
+
+    def place(v: Column) -> Column:
+        east, south = v["x"] * F.cos(turn) - v["z"] * F.sin(turn), v["x"] * F.sin(turn) + v["z"] * F.cos(turn)
+        return F.struct(
+            (F.col("lon") + east / METRES_PER_DEGREE / F.cos(F.radians("lat"))).alias("lon"), (F.col("lat") - south / METRES_PER_DEGREE).alias("lat"), (base + v["y"]).alias("z")
+        )
+
+    return F.transform("vertices", place)

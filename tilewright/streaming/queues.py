@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tilewright.session import scratch_path
+from tilewright.session import scratch_path, written
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -67,3 +67,14 @@ def bounded_retries(attempts: DataFrame, key: str, number: str, ok: str, most: i
     return attempts.select(key, number, ok).groupBy(key).applyInPandasWithState(
         follow, f"{key} {kind}, outcome string, attempts int", "failed int", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def with_second_run(requests: DataFrame, work) -> DataFrame:
+    """request, run, state: requests that ``work`` leaves incomplete are written down, and run once more.
+
+    ``work(requests, run)`` adds ``complete``. What is incomplete after the second run stays so.
+    """
+    first = written(work(requests, 1), "first-run")
+    second = work(first.where("NOT complete").drop("complete"), 2)
+    out = first.where("complete").withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.when(F.col("complete"), F.lit(2))))
+    return out.select("request", "run", F.when(F.col("complete"), "done").otherwise("incomplete").alias("state"))
