@@ -78,3 +78,44 @@ def test_bounds_hold():
     error = np.linalg.norm(q, axis=1)[:, None] * norm * np.sqrt((1 - agree**2) / (agree**2 * 63))
     off = np.abs(estimate - q @ x.T) / error
     assert (off > m.EPSILON).mean() < 0.005 and np.abs((estimate - q @ x.T).mean()) < 0.05
+
+
+def test_sums_from_packed_bits():
+    rng = np.random.default_rng(6)
+    for d in (3, 16, 64, 100):
+        q, x = rng.standard_normal((70, d)), rng.standard_normal((50, d))
+        signs = x > 0
+        got = m.sign_sums(m.words(np.packbits(signs, axis=1)), m.planes(q), slice(0, 70))
+        off = np.abs(got - q @ (2.0 * signs - 1).T) / np.sqrt(d)
+        assert (off <= m.planes(q)[4][:, None] + 1e-9).all() and off.max() < 0.1 * np.linalg.norm(q, axis=1).max()
+
+
+def test_floors_are_reached():
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal((20_000, 32)), rng.standard_normal((200, 32))
+    some = rng.choice(len(x), 3000, replace=False)
+    centre = m.learn_centres(x[some], 16)
+    own = m.nearest(x, centre)
+    radius = np.full(len(centre), -np.inf)
+    np.maximum.at(radius, own, np.linalg.norm(x - centre[own], axis=1))
+    floor, reads = m.reading(q, -1 - np.arange(200), (some, x[some], m.nearest(x[some], centre)), len(x), centre, radius, 20, m.EPSILON)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert ((q * x[best[:, 19]]).sum(1) >= floor).mean() > 0.97
+    assert np.mean([reads[i, own[best[i]]].mean() for i in range(200)]) > 0.99
+    assert m.least_rank(20, 1.0) == 21 and m.least_rank(20, 1e-6) == 1
+
+
+@pytest.mark.parametrize("n", [3000, 12_000])
+def test_clustered_vectors_read_few_lists_and_keep_recall(spark, n):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((40, 24)) * 3
+    x = (centre[rng.integers(0, 40, n)] + 0.3 * rng.standard_normal((n, 24))).astype("f4")
+    df = spark.createDataFrame([(i, x[i].tobytes()) for i in range(n)], "vec_id long, vec binary").repartition(4)
+    index = m.build_index(df, "<f4", sample=1500)
+    got = m.search(index, df.where("vec_id % 100 = 0"), "<f4").collect()
+    hits = 0
+    for q in range(0, n, 100):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.98 * 20 * (n // 100) and len(got) == 20 * (n // 100)

@@ -1,16 +1,24 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-The index keeps for each vector o, less the mean c of all vectors: the signs of the randomly rotated
-residual as packed bits, and scalars: the residual's norm r, the inner product with c, and the
-cosine g between the rotated residual and its signs. For a query q the inner product is
-<q,c> + r <q,u> for the residual's direction u, and <q,u> is estimated by <q',s> / g, with the rotated query q' and
-the signs s scaled to length one. The error is at most
-``epsilon`` |q| r sqrt((1 - g^2) / (g^2 (d - 1))) with high probability, so bounds below and above
-follow. Every vector whose upper bound reaches the k-th best lower bound is reranked in double precision.
-
-Vectors are packed into chunks and queries into blocks of bounded size, and each block meets each
-chunk in a task, in blocks of a stated query set against all rows. A task returns each query's k
-best; those are ranked once more over the chunks. Every row is indexed, and nothing is sampled.
+The index deals all vectors to lists by their nearest centre. Of a vector o of a list with centre c
+it keeps the signs of the randomly rotated residual as packed bits, and scalars: the residual's norm
+r, and the cosine g between the rotated residual and its signs. For a query q the inner product is
+<q,c> + r <q,u> for the residual's direction u, and <q,u> is estimated by <q',s> / g, with the
+rotated query q' and the signs s scaled to length one. <q',s> is taken from the packed bits: q' is
+written in ``PLANES`` bits a component, and each plane of them is counted against the signs. The
+error is at most ``epsilon`` |q| r sqrt((1 - g^2) / (g^2 (d - 1))) with high probability, and what the
+planes leave out, so bounds follow.
+
+A sample of the vectors gives each query a score that its k-th best reaches with high probability:
+the r-th best of the sample, for the least r that few of the k best can fill. Lists whose bound, from
+their centre and their largest residual, stays below it are not read, but for the nearest ones; in
+the others every vector whose upper bound reaches it is reranked in double precision. The more the
+vectors cluster, the fewer lists are read; where they don't, a query reads most lists.
+
+Lists are packed into chunks of bounded size and queries into blocks. A block meets the chunks of the
+lists that its queries read, each in a task of its own, and a task returns each query's k best, which
+are ranked once more. Every row is indexed. Centres are learned on the sample, which is at most
+``SAMPLE`` vectors (the documented bound), by numpy on the driver.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 of null vec_id; vectors of other sizes are no candidates. Rows with the query's own vec_id are no
@@ -21,6 +29,8 @@ scores go to the smaller vec_id. Extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import functools
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,12 +43,20 @@ from tilewright.session import table, written
 
 K = 20
 QUERY_STEP = 20
-EPSILON = 3.0
-CHUNK = 8192
+EPSILON = 4.0
+CHUNK = 4096
 QUERIES = 512
+PLANES = 6
+#: Vectors of the sample at most, and for each root of the number of vectors; vectors a list for each root, lists at most.
+SAMPLE = 65_536
+SAMPLE_A_ROOT = 16
+LIST_A_ROOT = 8
+LISTS = 8192
+#: Lists that a query reads in any case.
+NEAREST = 4
 SEED = 3
 
-INDEX = "size int, chunk int, ids binary, codes binary, residual binary, centred binary, agreement binary, vectors binary"
+INDEX = "size int, list int, chunk int, ids binary, codes binary, residual binary, agreement binary, radius double, vectors binary"
 
 
 @functools.lru_cache(maxsize=8)
@@ -46,107 +64,215 @@ def _turn(d: int) -> np.ndarray:
     return rotation(d, SEED).astype(np.float32)
 
 
-def mean_vectors(known: DataFrame, kind: str) -> dict[int, np.ndarray]:
-    """The mean of all vectors of each size: one sum for each batch and size reaches the shuffle."""
+@dataclass
+class Index:
+    """``rows`` is a table of INDEX; centres, sample (ids, vectors) and number of vectors are by size in bytes."""
 
-    def sums(batches):
-        for batch in batches:
-            vec = batch.column(0).to_pylist()
-            sizes = np.array([len(v) for v in vec])
-            rows = [(int(s), int((sizes == s).sum()), matrix([v for v in vec if len(v) == s], kind).sum(0).tolist()) for s in np.unique(sizes)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.list_(pa.float64())))]
-            if rows:
-                yield pa.RecordBatch.from_arrays(columns, ["size", "n", "total"])
-
-    parts = known.select("vec").mapInArrow(sums, "size int, n bigint, total array<double>")
-    each = parts.select("size", "n", F.posexplode("total").alias("at", "x"))
-    mean = each.groupBy("size", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
-    found = mean.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("m")).collect()
-    return {r["size"]: np.array([p["x"] for p in r["m"]]) for r in found}
-
-
-def encode(x: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(packed bits, residual norm, inner product with the mean's part, agreement) of the rows of x."""
+    rows: DataFrame
+    centres: dict[int, np.ndarray]
+    sample: dict[int, tuple[np.ndarray, ...]]
+    count: dict[int, int]
+
+
+def learn_centres(x: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
+    """Centres of a sample by k-means; no more than a quarter of its vectors."""
+    lists = max(1, min(lists, len(x) // 4))
+    centre = x[np.random.default_rng(SEED).choice(len(x), lists, replace=False)]
+    for _ in range(rounds):
+        near = nearest(x, centre)
+        n = np.bincount(near, minlength=lists)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        centre = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centre)
+    return centre
+
+
+def nearest(x: np.ndarray, centre: np.ndarray, step: int = 4096) -> np.ndarray:
+    half = (centre * centre).sum(1) / 2
+    return np.concatenate([(x[at : at + step] @ centre.T - half).argmax(1) for at in range(0, len(x), step)] or [np.empty(0, np.int64)])
+
+
+def encode(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(packed bits, residual norm, residual, agreement) of the rows of x."""
     d = x.shape[1]
-    centred = x - mean
-    turned = (centred @ _turn(d)).astype(np.float32)
-    norm = np.sqrt((centred * centred).sum(1))
+    residual = x - centre
+    turned = (residual @ _turn(d)).astype(np.float32)
+    norm = np.sqrt((residual * residual).sum(1))
     agree = np.abs(turned).sum(1) / np.sqrt(d) / np.where(norm > 0, norm, 1)
-    return np.packbits(turned > 0, axis=1), norm.astype(np.float32), mean, np.where(norm > 0, agree, 1).astype(np.float32)
+    return np.packbits(turned > 0, axis=1), norm.astype(np.float32), residual, np.where(norm > 0, agree, 1).astype(np.float32)
+
 
+def build_index(known: DataFrame, kind: str, chunk: int = CHUNK, sample: int = SAMPLE) -> Index:
+    """An index of rows (vec_id, vec)."""
+    itemsize = int(kind[2:])
+    count = {r["size"]: r["n"] for r in known.groupBy(F.length("vec").alias("size")).agg(F.count("*").alias("n")).collect()}
+    take = min(sample, SAMPLE_A_ROOT * math.isqrt(sum(count.values())) + 256)
+    # spread over all vectors by a hash; only so many reach the driver
+    drawn = known.select("vec_id", "vec").orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(take).toPandas()
+    sizes = drawn["vec"].map(len).to_numpy() if len(drawn) else np.empty(0, np.int64)
+    samples, centres = {}, {}
+    for size, n in count.items():
+        own = drawn[sizes == size]
+        x = matrix(own["vec"].tolist(), kind) if len(own) else np.zeros((0, size // itemsize))
+        centres[size] = learn_centres(x, min(LISTS, math.isqrt(n) // LIST_A_ROOT)) if len(x) else np.zeros((1, size // itemsize))
+        samples[size] = (own["vec_id"].to_numpy(np.int64), x, nearest(x, centres[size]))
+
+    def assign(batches):
+        for batch in batches:
+            vec = batch.column(1).to_pylist()
+            size, where = np.array([len(v) for v in vec], np.int32), np.zeros(len(vec), np.int32)
+            for s in np.unique(size):
+                at = np.flatnonzero(size == s)
+                where[at] = nearest(matrix([vec[i] for i in at], kind), centres[int(s)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(where)], ["vec_id", "vec", "size", "list"])
 
-def build_index(known: DataFrame, kind: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows (vec_id, vec) packed into rows of INDEX, of about ``chunk`` vectors each."""
-    means = mean_vectors(known, kind)
-    chunks = max(1, -(-known.count() // chunk))
+    dealt = written(known.select("vec_id", "vec").mapInArrow(assign, "vec_id bigint, vec binary, size int, list int"), "lists")
+    chunks = written(dealt.groupBy("size", "list").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "list-sizes")
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("chunks")).cast("int").alias("chunk")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
-        vec = rows["vec"].tolist()
-        x = matrix(vec, kind)
-        bits, norm, mean, agree = encode(x, means[len(vec[0])])
-        return pd.DataFrame(
-            {
-                "size": [len(vec[0])], "chunk": rows["chunk"].iloc[:1].tolist(), "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()],
-                "codes": [bits.tobytes()], "residual": [norm.tobytes()], "centred": [mean.tobytes()],
-                "agreement": [agree.tobytes()], "vectors": [b"".join(vec)],
-            }
-        )
-
-    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk")
-    rows = known.select("vec_id", "vec", F.length("vec").alias("size"), place)
-    return rows.groupBy("size", "chunk").applyInPandas(pack, INDEX)
-
-
-def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, row, kind: str, k: int, epsilon: float):
+        vec, lead = rows["vec"].tolist(), rows[["size", "list", "chunk"]].iloc[:1]
+        bits, norm, _, agree = encode(matrix(vec, kind), centres[int(lead["size"].iloc[0])][int(lead["list"].iloc[0])])
+        made = {"ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "codes": bits.tobytes(), "residual": norm.tobytes(), "agreement": agree.tobytes()}
+        made |= {"radius": float(norm.max()), "vectors": b"".join(vec)}
+        return pd.concat([lead.reset_index(drop=True), pd.DataFrame({c: [v] for c, v in made.items()})], axis=1)
+
+    rows = dealt.join(chunks, ["size", "list"]).select("vec_id", "vec", "size", "list", place)
+    return Index(written(rows.groupBy("size", "list", "chunk").applyInPandas(pack, INDEX), "index"), centres, samples, count)
+
+
+def least_rank(k: int, share: float, doubt: float = 1e-3) -> int:
+    """The least r such that r of the k best fall into a sample of that share with at most that probability."""
+    share, tail = min(share, 1.0), 1.0
+    for r in range(k + 1):
+        if tail <= doubt:
+            return max(r, 1)
+        tail -= math.comb(k, r) * share**r * (1 - share) ** (k - r)
+    return k + 1
+
+
+def reading(
+    q: np.ndarray, q_ids: np.ndarray, sample: tuple[np.ndarray, ...], n: int, centre: np.ndarray, radius: np.ndarray, k: int, epsilon: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(floor of each query, whether it reads each list), from the sample's (ids, vectors, lists).
+
+    The floor is a score that the query's k-th best of n vectors reaches with high probability.
+    Besides the lists whose bound reaches it, a query reads those of the sample's vectors that do,
+    and the ``NEAREST`` ones by inner product and by distance: there its near copies are, whose
+    residuals don't point anywhere.
+    """
+    ids, x, lists = sample
+    floor, reads, rank = np.full(len(q), -np.inf), np.zeros((len(q), len(centre)), bool), least_rank(k, len(x) / max(n, 1))
+    half = (centre * centre).sum(1) / 2
+    for at in range(0, len(q), 64):
+        some = slice(at, at + 64)
+        if len(x) > rank + 1:
+            score = q[some] @ x.T
+            score[q_ids[some, None] == ids[None, :]] = -np.inf
+            least = np.partition(score, len(x) - rank, axis=1)[:, len(x) - rank]
+            floor[some] = least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
+            i, j = np.nonzero(score >= floor[some, None])
+            reads[at + i, lists[j]] = True
+        inner = q[some] @ centre.T
+        reads[some] |= inner + epsilon * np.sqrt((q[some] ** 2).sum(1))[:, None] * radius / np.sqrt(q.shape[1]) >= floor[some, None]
+        for near in (inner, inner - half):
+            best = np.argpartition(-near, min(NEAREST, near.shape[1]) - 1, axis=1)[:, :NEAREST]
+            np.put_along_axis(reads[some], best, True, axis=1)
+    return floor, reads & np.isfinite(radius)
+
+
+def planes(turned: np.ndarray, count: int = PLANES) -> tuple[np.ndarray, ...]:
+    """Rotated queries in ``count`` bits a component: (bits of each plane in 64-bit words, least, step, sum, what is left out)."""
+    low = turned.min(1, keepdims=True)
+    step = np.maximum(turned.max(1, keepdims=True) - low, 1e-30) / (2**count - 1)
+    level = np.rint((turned - low) / step).astype(np.int64)
+    close = low + step * level
+    bits = np.stack([words(np.packbits((level >> j & 1).astype(bool), axis=1)) for j in range(count)])
+    return bits, low[:, 0], step[:, 0], close.sum(1), np.sqrt(((turned - close) ** 2).sum(1))
+
+
+def words(packed: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words."""
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+def sign_sums(bits: np.ndarray, query: tuple[np.ndarray, ...], some: slice) -> np.ndarray:
+    """The sum of each query's components under the signs in ``bits``, by counting bits of the planes."""
+    plane, low, step, total, _ = query
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    held = np.zeros((plane[0][some].shape[0], len(bits)))
+    for j, p in enumerate(plane):
+        for w in range(bits.shape[1]):
+            held += np.bitwise_count(bits[None, :, w] & p[some, w, None]) * float(1 << j)
+    return 2 * (low[some, None] * ones + step[some, None] * held) - total[some, None]
+
+
+def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, row, centre: np.ndarray, kind: str, k: int, epsilon: float):
     """(query's place, vec_id, score) of the k best of each query in one row of INDEX."""
-    ids = np.frombuffer(row["ids"], np.int64)
-    n, d = len(ids), q.shape[1]
+    ids, d = np.frombuffer(row["ids"], np.int64), q.shape[1]
+    n = len(ids)
     x = np.frombuffer(row["vectors"], kind).reshape(n, d)
-    bits = np.unpackbits(np.frombuffer(row["codes"], np.uint8).reshape(n, -1), axis=1, count=d)
-    signs = bits.astype(np.float32) * 2 - 1
+    bits = words(np.frombuffer(row["codes"], np.uint8).reshape(n, -1))
     norm, agree = np.frombuffer(row["residual"], np.float32), np.frombuffer(row["agreement"], np.float32)
-    base = q @ np.frombuffer(row["centred"], np.float64)
-    length = np.sqrt((q * q).sum(1))
-    slope = norm / agree / np.float32(np.sqrt(d))
+    length, base = np.sqrt((q * q).sum(1)), q @ centre
+    scale = (norm / agree).astype(np.float64)
     width = epsilon * norm * np.sqrt(np.maximum(1 - agree**2, 0) / (agree**2 * max(d - 1, 1))) + 1e-5 * norm
-    turned = (q @ _turn(d)).astype(np.float32)
-    out = []
+    query, exact = planes(q @ _turn(d).astype(np.float64)), x.astype(np.float64)
+    most, out = np.sqrt((exact * exact).sum(1).max()), []
     for at in range(0, len(q), 64):
-        estimate = (turned[at : at + 64] @ signs.T) * slope + base[at : at + 64, None]
-        error = length[at : at + 64, None] * width
-        low = estimate - error
-        for b, own in enumerate(q_ids[at : at + 64]):
-            other = ids != own
-            floor = low[b][other]
-            if not len(floor):
-                continue
-            least = np.partition(floor, len(floor) - k)[len(floor) - k] if len(floor) > k else -np.inf
-            some = np.flatnonzero((estimate[b] + error[b] >= least) & other)
-            score = x[some].astype(np.float64) @ q[at + b]
-            top = np.lexsort((ids[some], -score))[:k]
-            out.append((np.full(len(top), at + b), ids[some][top], score[top]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        some = slice(at, at + 64)
+        high = base[some, None] + sign_sums(bits, query, some) * (scale / np.sqrt(d)) + length[some, None] * width + query[4][some, None] * scale
+        chosen = (high >= floor[some, None]) & (q_ids[some, None] != ids)
+        if chosen.mean() > 1 / 8:  # one product for all is faster than the chosen pairs one by one
+            product = np.where(chosen, q[some] @ exact.T, -np.inf)
+            least = np.partition(product, n - k, axis=1)[:, n - k] if n > k else np.full(len(product), -np.inf)
+            chosen &= product >= (least - 1e-12 * length[some] * most)[:, None]  # ties of the k-th stay
+        i, j = np.nonzero(chosen)
+        score = np.einsum("ij,ij->i", q[at + i], exact[j])
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((at + i[kept], ids[j[kept]], score[kept]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def search(index: DataFrame, queries: DataFrame, kind: str, k: int = K, epsilon: float = EPSILON, block: int = QUERIES) -> DataFrame:
-    """query, query_id, rank, vec_id, score: the k nearest rows of ``index`` of each row (vec_id, vec)."""
+def search(index: Index, queries: DataFrame, kind: str, k: int = K, epsilon: float = EPSILON, block: int = QUERIES) -> DataFrame:
+    """query, query_id, rank, vec_id, score: the k nearest rows of the index of each row (vec_id, vec)."""
     queries = written(queries.select("vec_id", "vec", F.monotonically_increasing_id().alias("query")), "queries")
     blocks = max(1, -(-queries.count() // block))
-    place = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
-    packed = queries.select(F.length("vec").alias("size"), place, F.struct("query", "vec_id", "vec").alias("q"))
-    packed = packed.groupBy("size", "block").agg(F.collect_list("q").alias("qs"))  # a block is of bounded size
-    tasks = packed.join(index.select("size", "chunk"), "size")  # each block meets each chunk
-    pairs = tasks.repartition("size", "chunk", "block").join(index, ["size", "chunk"])
+    # a number for each list reaches the driver, and there is a bounded number of lists
+    found = index.rows.groupBy("size", "list").agg(F.max("radius").alias("radius")).collect()
+    radius = {s: np.full(len(c), -np.inf) for s, c in index.centres.items()}
+    for r in found:
+        radius[r["size"]][r["list"]] = r["radius"]
+    centres, sample, count = index.centres, index.sample, index.count
+
+    def route(batches):
+        for batch in batches:
+            ids, vec, numbers = (batch.column(c).to_pylist() for c in (0, 1, 2))
+            for s in {len(v) for v in vec} & set(centres):
+                at = np.array([i for i, v in enumerate(vec) if len(v) == s])
+                q, q_ids = matrix([vec[i] for i in at], kind), np.array([ids[i] for i in at], np.int64)
+                floor, reads = reading(q, q_ids, sample[s], count[s], centres[s], radius[s], k, epsilon)
+                i, lists = np.nonzero(reads)
+                columns = [pa.array(np.full(len(i), s, np.int32)), pa.array(lists.astype(np.int32)), pa.array([numbers[j] for j in at[i]], pa.int64())]
+                columns += [pa.array(q_ids[i]), pa.array(floor[i]), pa.array([vec[j] for j in at[i]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["size", "list", "query", "vec_id", "floor", "vec"])
+
+    routed = queries.mapInArrow(route, "size int, list int, query bigint, vec_id bigint, floor double, vec binary")
+    place = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
+    packed = routed.groupBy("size", "list", place).agg(F.collect_list(F.struct("query", "vec_id", "floor", "vec")).alias("qs"))  # a block is of bounded size
+    chunks = index.rows.select("size", "list", "chunk")
+    pairs = packed.join(chunks, ["size", "list"]).join(index.rows, ["size", "list", "chunk"])
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 x = matrix([q["vec"] for q in row["qs"]], kind)
                 numbers, q_ids = (np.array([q[c] for q in row["qs"]], np.int64) for c in ("query", "vec_id"))
-                at, ids, score = best_of_chunk(x, q_ids, row, kind, k, epsilon)
+                floor = np.array([q["floor"] for q in row["qs"]])
+                at, ids, score = best_of_chunk(x, q_ids, floor, row, centres[row["size"]][row["list"]], kind, k, epsilon)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers[at]), pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query", "query_id", "vec_id", "score"]
                 )
@@ -161,6 +287,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     kind = component_type(rows)
     known = written(as_bytes(rows).where("vec IS NOT NULL"), "vectors")
-    index = written(build_index(known, kind), "index")
-    found = search(index, known.where(F.col("vec_id") % QUERY_STEP == 0), kind)
+    found = search(build_index(known, kind), known.where(F.col("vec_id") % QUERY_STEP == 0), kind)
     return found.select("query_id", "rank", "vec_id", "score")
