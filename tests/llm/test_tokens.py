@@ -142,3 +142,16 @@ def test_one_doc_id_is_dealt_over_files(spark):
     most = rows.groupBy("shard").count().agg(F.max("count")).collect()[0][0]
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert most < 2000
+
+
+def test_documents_and_attention_decide_between_sequences():
+    rng = np.random.default_rng(5)
+    lengths = np.sort(np.minimum(rng.geometric(1 / 700, 6000), 4096))[::-1].copy()
+    caps = (4096, 4096, 4096.0**2)
+    groups = lambda where: set(map(tuple, (np.flatnonzero(where == s) for s in range(where.max() + 1))))
+    scalar = packing.assign(lengths, caps, weights=(1, 0, 0))
+    every = packing.assign(lengths, caps)
+    assert every.max() <= scalar.max() + 1 and every.max() + 1 <= lengths.sum() / 4096 * 1.01 + 1
+    for weights in ((1, 0, 3), (1, 900, 0)):
+        assert len(groups(packing.assign(lengths, caps, weights)) & groups(scalar)) < 0.9 * len(groups(scalar))
+    assert len(groups(every) & groups(scalar)) < 0.9 * len(groups(scalar))

@@ -77,9 +77,9 @@ def assign(lengths: np.ndarray, capacities: tuple, weights: tuple | None = None,
     ask = demands(lengths) / caps
     if (ask > 1 + 1e-12).any():
         raise ValueError("a piece is larger than a capacity")
-    if weights is None:  # what is scarce decides
+    if weights is None:  # each residual counts on the scale of what the pieces ask for
         total = ask.sum(0) if len(ask) else np.ones(len(caps))
-        weights = (total / total.max()) ** 4
+        weights = total.max() / total
     w, slack = np.asarray(weights, np.float64), 1e-12
     where = np.empty(len(lengths), np.int64)
     if rule == "dot":
@@ -125,8 +125,9 @@ def pack(
 ) -> DataFrame:
     """The pieces with sequence_id and offset. ``pieces`` is read twice, so it should be a table.
 
-    Without their own limits, documents and attention cost are bound by what the tokens allow.
-    Without weights, a capacity counts the more the scarcer it is.
+    Without their own limits, documents and attention cost are bound by what the tokens allow, but
+    their residuals still decide between sequences. Without weights, a capacity counts by the inverse
+    of the share that the shard's pieces ask of it, so that residuals of all three weigh alike.
     """
     capacities = (capacity, max_documents or capacity, max_attention or float(capacity) ** 2)
     shards = max(1, -(-pieces.count() // shard_pieces))
