@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,14 @@ def test_contained_detections_are_suppressed(spark):
 def test_native():
     source = open(m.__file__).read()
     assert "pandas" not in source and "udf" not in source and "mapIn" not in source
+
+
+def test_many_detections_take_time_in_proportion(spark):
+    took = []
+    for n in (2000, 20_000):
+        df = spark.createDataFrame([(1, "mit license " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = m.scan(df).select(F.size("base").alias("b"), F.size("detections").alias("d")).first()
+        took.append(time.perf_counter() - began)
+        assert (r["b"], r["d"]) == (n, n)
+    assert took[1] < 15

@@ -94,18 +94,20 @@ def _segments(blocks: Column) -> Column:
 
 
 def _spans(segments: Column) -> Column:
-    """(start, length) in code points of the pieces under the loss mask."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    """(start, length) in code points of the pieces under the loss mask.
+
+    Starts are gathered as text, which grows by appending alone, however many turns there are.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         size = F.char_length(x["s"])
-        span = F.struct(acc["at"].alias("start"), size.alias("length"))
-        return F.struct(
-            (acc["at"] + size).alias("at"),
-            F.when(x["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+        span = F.when(x["loss"], F.concat(acc["at"].cast("string"), F.lit(" "), size.cast("string"), F.lit(","))).otherwise("")
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["spans"], span).alias("spans"))
 
-    return F.aggregate(segments, zero, step, lambda acc: acc["spans"])
+    listed = F.aggregate(segments, zero, step, lambda acc: F.filter(F.split(acc["spans"], ","), lambda s: s != ""))
+    number = lambda s, i: F.split_part(s, F.lit(" "), F.lit(i)).cast("int")
+    return F.transform(listed, lambda s: F.struct(number(s, 1).alias("start"), number(s, 2).alias("length")))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.chat_format import let
+from tilewright.llm.license_signatures import SIGNATURES
 from tilewright.session import table
 
 #: What separates words: ASCII other than letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters that mark a match; they are separators, so no word holds them.
+OPENS, CLOSES = "\x01", "\x02"
 #: Phrases of the base scan and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -178,7 +181,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     add("unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", "proprietary", 3, 0.95)
     add("commercial license", r"commercial license", "commercial", 1, 0.5)
     add("licensed commercially", r"licensed commercially", "commercial", 1, 0.5)
-    return out
+    return out + SIGNATURES
 
 
 def words_of(text: Column) -> Column:
@@ -192,30 +195,21 @@ def word_count(words: Column) -> Column:
     return F.when(words == "", F.lit(0)).otherwise(spaces + 1)
 
 
-def _spaces(s: Column) -> Column:
-    return F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
-
-
 def _places(words: Column, pattern: Column) -> Column:
-    """(start, size) in words of the matches of a pattern that begin and end with whole words."""
+    """(start, size) in words of the matches of a pattern that begin and end with whole words.
+
+    Matches are marked by characters that no word holds, so one pass over the words finds them all.
+    """
     whole = F.concat(F.lit(r"(?<![^ ])(?:"), pattern, F.lit(r")(?![^ ])"))
+    none = F.array().cast("array<struct<start:int,size:int>>")
 
-    def located(found: Column, between: Column) -> Column:
-        # words before match k: the spaces in all text before it
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
-        def step(acc, k):
-            at = acc["at"] + _spaces(F.get(between, k))
-            here = F.struct(at.alias("start"), (_spaces(F.get(found, k)) + 1).alias("size"))
-            return F.struct((at + _spaces(F.get(found, k))).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
-        some = F.sequence(F.lit(0), F.size(found) - 1)
-        return F.when(F.size(found) > 0, F.aggregate(some, zero, step, lambda acc: acc["out"])).otherwise(
-            F.array().cast("array<struct<start:int,size:int>>")
-        )
-
-    return let(
-        F.regexp_extract_all(words, whole, F.lit(0)),
-        lambda found: let(F.split(words, whole, -1), lambda between: located(found, between)),
-    )
+    def located(each: Column) -> Column:
+        at = lambda test: F.filter(F.transform(each, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+        first, last = at(lambda w: F.startswith(w, F.lit(OPENS))), at(lambda w: F.endswith(w, F.lit(CLOSES)))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("size")))
+
+    marked = F.regexp_replace(words, whole, F.lit(f"{OPENS}$0{CLOSES}"))
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(OPENS)), let(F.split(m, " "), located)).otherwise(none))
 
 
 def _literal_rules(some: list[tuple]) -> Column:
@@ -252,21 +246,19 @@ def suppress(found: Column) -> Column:
     """Detections that no earlier one of the same or a higher priority contains."""
     key = lambda d: F.struct(d["start"], -d["end"], -d["priority"], d["order"], d.alias("d"))
     ordered = F.transform(F.array_sort(F.transform(found, key)), lambda k: k["d"])
-    kind = "array<struct<start:int,end:int,priority:int,order:int,label:string,confidence:double>>"
-    # reach[p-1]: the furthest end so far of a detection of priority p or more
-    zero = F.struct(F.array_repeat(F.lit(-1), LEVELS).alias("reach"), F.array().cast(kind).alias("kept"))
+    # reach[p-1]: the furthest end so far of a detection of priority p or more; kept: 1 for each that stays, 0 for each that goes
+    zero = F.struct(F.array_repeat(F.lit(-1), LEVELS).alias("reach"), F.lit("").alias("kept"))
 
     def step(acc: Column, d: Column) -> Column:
         hidden = F.get(acc["reach"], d["priority"] - 1) >= d["end"]
-        reach = F.transform(
-            acc["reach"], lambda e, p: F.when(d["priority"] > p, F.greatest(e, d["end"])).otherwise(e)
-        )
-        return F.struct(
-            reach.alias("reach"),
-            F.when(hidden, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"),
-        )
-
-    return F.aggregate(ordered, zero, step, lambda acc: acc["kept"])
+        reach = F.transform(acc["reach"], lambda e, p: F.when(d["priority"] > p, F.greatest(e, d["end"])).otherwise(e))
+        return F.struct(reach.alias("reach"), F.concat(acc["kept"], F.when(hidden, "0").otherwise("1")).alias("kept"))
+
+    def stay(sorted_: Column) -> Column:
+        marks = F.aggregate(sorted_, zero, step, lambda acc: F.split(acc["kept"], ""))
+        return let(marks, lambda m: F.filter(sorted_, lambda d, i: F.get(m, i) == "1"))
+
+    return let(ordered, stay)
 
 
 def scan(docs: DataFrame, rule_list: list[tuple] | None = None) -> DataFrame:
