@@ -14,10 +14,10 @@ Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each
    rank and looks up the two pairs that arise. The ranks are a literal: a perfect hash table from a
    pair of tokens to the rank of their bytes, which is the id of the token they make. Long words
    that can't be cut take all pairs of the least rank in one step, where that gives the same.
-3. The ids of the words replace the words' numbers in the documents, and one row for each goes on.
+3. The ids of the words replace the words' numbers in the documents, in numpy, and one row for each goes on.
 
-Rows stay in their partition, so nothing is shuffled, a block bounds the memory, and a lost task is
-run again by itself. Decoding concatenates the pieces of the ids, also in Spark expressions.
+Rows stay in their partition, so no text is shuffled, a block bounds the memory, and a lost task is
+run again by itself. Decoding concatenates the binary pieces of the ids.
 
 Null text counts as empty, with no ids. Null or repeated ids, repeated rows and extra columns do no
 harm: rows are encoded one by one. A very long text is a block of its own. An empty table gives an
@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import collections
 import functools
+import hashlib
 import json
 import re
 
@@ -346,8 +347,8 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[b
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut_blocks, schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common: int = COMMON) -> DataFrame:
-    """doc_id, ids: the token ids of each row's whole text, without special tokens."""
+def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int, finish, schema: str) -> DataFrame:
+    """What ``finish`` makes of (doc_ids, ends, ids) of a block: the ids of its documents, one after the other."""
     ranks = rank_literal(path)
     ahead = common_words(docs, path, pattern, common) if common else {}
 
@@ -356,24 +357,53 @@ def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common:
         one = lambda w: F.when(F.size(w) <= LONG, fold(w, r)).otherwise(fold_wide(w, r))
         return F.zip_with("words", "known", lambda w, k: F.coalesce(k, one(w)))
 
-    def put(d: Column, folded: Column) -> Column:
-        ids = F.flatten(F.transform(d["numbers"], lambda n: F.get(folded, n)))
-        return F.struct(d["doc_id"].alias("doc_id"), ids.alias("ids"))
+    def put_together(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words, rows = batch.column(0).slice(r, 1).flatten(), batch.column(1).slice(r, 1).flatten()
+                values, size = words.flatten().to_numpy(), words.value_lengths().to_numpy().astype(np.int64)
+                lists = rows.field("numbers")
+                number = lists.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(size[number])])
+                # the place of each id: its place in its word, from where the word's ids begin
+                at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[number] - ends[:-1], size[number])
+                upto = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])]
+                yield finish(rows.field("doc_id"), upto, values[at])
+
+    folded = _blocks(docs, path, pattern, block, ahead).select(let(ranks.map, ids_of).alias("ids"), "docs")
+    return folded.mapInArrow(put_together, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common: int = COMMON) -> DataFrame:
+    """doc_id, ids: the token ids of each row's whole text, without special tokens."""
+
+    def finish(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
 
-    rows = let(let(ranks.map, ids_of), lambda folded: F.transform("docs", lambda d: put(d, folded)))
-    return _blocks(docs, path, pattern, block, ahead).select(F.explode(rows).alias("_d")).select("_d.doc_id", "_d.ids")
+    return _encoded(docs, path, pattern, block, common, finish, "doc_id bigint, ids array<int>")
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of the ids, concatenated; null for null."""
-    pieces = F.from_json(F.lit(json.dumps([t.hex() for t in vocabulary(path)])), "array<string>")
-    hexes = let(pieces, lambda p: F.transform(ids, lambda i: F.get(p, i)))
-    return F.unhex(F.array_join(hexes, ""))
+def joined(ids: list[int], pieces: tuple[bytes, ...]) -> bytes:
+    """The bytes of ids: their pieces, concatenated."""
+    return b"".join(map(pieces.__getitem__, ids))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """doc_id, decoded: the bytes of each row's ids."""
-    return tokens.select("doc_id", decoded(F.col("ids"), path).alias("decoded"))
+    """doc_id, decoded: the bytes of each row's ids; null ids count as none."""
+
+    def run(batches):
+        pieces = vocabulary(path)
+        for batch in batches:
+            out = [joined(ids or [], pieces) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded binary")
+
+
+@functools.lru_cache(maxsize=2)
+def _decimal(path: str) -> tuple[str, ...]:
+    return tuple(map(str, range(len(vocabulary(path)))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,9 +411,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+
+    def digests(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        names, pieces, sha, out = _decimal(path), vocabulary(path), hashlib.sha256, []
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            own = ids[a:b].tolist()
+            out.append((b - a, sha(" ".join(map(names.__getitem__, own)).encode()).hexdigest(), sha(joined(own, pieces)).hexdigest()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
+        return pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, COMMON, digests, schema)
