@@ -69,3 +69,50 @@ def test_lists_and_meshes(spark, tmp_path):
     vertices, triangles = texts.read_mesh(spark, f"{tmp_path}/mesh/*.txt")
     assert [tuple(r)[1:] for r in vertices.orderBy("idx").collect()] == [(i, i * 0.25, i * 0.5, i * 100.0, 0.1, 0.2) for i in range(4)]
     assert [tuple(r)[1:] for r in triangles.orderBy("idx").collect()] == [(0, 0, 1, 2, 1), (1, 1, 2, 3, 4)]
+
+
+def test_repeated_keys_and_last_lines(spark, tmp_path):
+    (tmp_path / "a.osm").write_text('<osm><node id="1" lat="1" lon="2"><tag k="a" v="x"/><tag k="b" v="y"/><tag k="a" v="z"/></node>\n<way id="3"><nd ref="1"/></way></osm>')
+    assert osm.nodes(spark, f"{tmp_path}/a.osm").first()["tags"] == {"a": "z", "b": "y"}
+    assert osm.truncated(spark, f"{tmp_path}/a.osm").count() == 0
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.cfg").write_text("k=1\nk=2\n")
+    (tmp_path / "one.cfg").write_text("k=3\n")
+    found = texts.catalog(spark, f"{tmp_path}/*/*.cfg").union(texts.catalog(spark, f"{tmp_path}/*.cfg"))
+    assert sorted((r["name"], r["entries"]["k"]) for r in found.collect()) == [("one", "2"), ("one", "3")]
+    none = spark.createDataFrame([], "name string, entries map<string,string>")
+    assert {r["k"] for r in texts.typed(found, {"k": ("int", 0)}, none).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        texts.typed(found, {"k": ("int", 0)}, found)
+    (tmp_path / "f.flt").write_text("# colours\nbrightness-contrast 5 -10\nsaturation 20\n")
+    assert [(f["name"], f["args"]) for f in texts.filter_lists(spark, f"{tmp_path}/f.flt").first()["filters"]] == [("brightness-contrast", [5.0, -10.0]), ("saturation", [20.0])]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(5000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = {r["line"]: r["value"] for r in texts.numbered_lines(spark, f"{tmp_path}/long.txt").collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(lines))
+
+
+def test_large_meshes_are_written_in_parts(spark, tmp_path):
+    v = spark.range(3000).selectExpr("CAST(id AS INT) idx", "id * 0.25D lon", "id * 0.5D lat", "id * 100D z", "0.1D nx", "0.2D ny")
+    t = spark.range(2000).selectExpr("CAST(id AS INT) idx", "CAST(id AS INT) n1", "CAST(id + 1 AS INT) n2", "CAST(id + 2 AS INT) n3", "1 kind")
+    texts.write_mesh(v, t, f"{tmp_path}/mesh")
+    vertices, triangles = texts.read_mesh(spark, f"{tmp_path}/mesh", together=True)
+    assert [tuple(r)[1:] for r in vertices.orderBy("idx").collect()] == [(i, i * 0.25, i * 0.5, pytest.approx(i * 100.0), 0.1, 0.2) for i in range(3000)]
+    assert [tuple(r)[1:] for r in triangles.orderBy("idx").collect()] == [(i, i, i + 1, i + 2, 1) for i in range(2000)]
+
+
+def test_caches_objects_and_folders(spark, tmp_path):
+    from tilewright.sources import layers
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3).toDF("id")
+    assert [layers.cached(spark, f"{tmp_path}/t", make).count() for _ in range(2)] == [3, 3] and made == [1]
+    (tmp_path / "o.obj").write_text("I ANCHOR 10.0 50.0 90\nVT 1 2 3 0 1 0 0 0\nVT 4 5 6 0 1 0 0 0\nVT 7 8 9 0 1 0 0 0\nIDX 2\nIDX 1\nIDX 0\nTRIS 0 3\n")
+    o = texts.read_objects(spark, f"{tmp_path}/o.obj").withColumn("p", texts.placed_vertices(F.lit(100.0))).first()
+    assert o["triangles"] == [[2, 1, 0]] and o["alt"] is None and o["heading"] == 90.0 and o["p"][0]["z"] == 102.0
+    assert layers.folders(spark, str(tmp_path)).where("path LIKE '%o.obj'").count() == 1

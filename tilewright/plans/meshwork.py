@@ -108,8 +108,8 @@ _SHIFTED = _LINE_SQL["way_shift"].partition("\nSELECT way, round(sum(x")[0].part
   CAST(least(greatest(round_even(sx*63, 0), 0), 63) AS BIGINT) AS sc, CAST(least(greatest(round_even(sy*400, 0), 0), 400) AS BIGINT) AS sr FROM side)
 , z AS (SELECT spot.way, max(abs(p.value - q.value)) AS bank FROM spot JOIN raster p ON p.row = r AND p.col = c JOIN raster q ON q.row = sr AND q.col = sc GROUP BY spot.way)
 , apt AS (SELECT DISTINCT (s_suppkey*37%100) + dx AS ax, (s_suppkey*131%100) + dy AS ay FROM anchors, range(-1, 2) AS t(dx), range(-1, 2) AS v(dy))
-, e AS (SELECT way, bool_or(apt.ax IS NOT NULL) AS near FROM spot LEFT JOIN apt ON ax = CAST(round_even(x*100, 0) AS BIGINT) AND ay = CAST(round_even(y*100, 0) AS BIGINT) WHERE pos = 1 OR pos = n GROUP BY way)
-SELECT way, near, bank, near OR bank >= 300 AS banked FROM e JOIN z USING (way)""",
+, ends AS (SELECT way, bool_or(apt.ax IS NOT NULL) AS near FROM spot LEFT JOIN apt ON ax = CAST(round_even(x*100, 0) AS BIGINT) AND ay = CAST(round_even(y*100, 0) AS BIGINT) WHERE pos = 1 OR pos = n GROUP BY way)
+SELECT way, near, bank, near OR bank >= 300 AS banked FROM ends JOIN z USING (way)""",
     "way_nodes", "raster", "anchors",
 )
 def banked_roads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,12 @@ def _read(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
 
 def _tags() -> Column:
     pairs = F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"]))
-    return F.map_from_entries(F.array_distinct(pairs)).alias("tags")
+    return F.map_from_entries(F.filter(pairs, lambda t, i: ~_again(pairs, t, i))).alias("tags")
+
+
+def _again(pairs: Column, t: Column, i: Column) -> Column:
+    """Whether a key comes again later: its last value counts."""
+    return F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda u: u["_k"] == t["_k"])
 
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -45,14 +50,19 @@ def merged_nodes(found: DataFrame) -> DataFrame:
 
 def truncated(spark: SparkSession, path: str) -> DataFrame:
     """path of the files that don't end with the closing tag."""
-    last = spark.read.text(path).select(F.input_file_name().alias("path"), (F.trim("value") == "</osm>").alias("end"))
+    last = spark.read.text(path).select(F.input_file_name().alias("path"), F.endswith(F.rtrim("value"), F.lit("</osm>")).alias("end"))
     return last.groupBy("path").agg(F.max("end").alias("whole")).where("NOT whole").select("path")
 
 
 def write(nodes_: DataFrame, ways_: DataFrame, path: str) -> None:
-    """Nodes and ways as XML files in two folders below ``path``."""
+    """Nodes and ways as XML files in two folders below ``path``, in the order of ids; those marked ``direct`` first, if that is a column."""
     tag = F.transform(F.map_entries("tags"), lambda e: F.struct(e["key"].alias("_k"), e["value"].alias("_v"))).alias("tag")
-    n = nodes_.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tag)
-    w = ways_.select(F.col("id").alias("_id"), F.transform("nodes", lambda i: F.struct(i.alias("_ref"))).alias("nd"), tag)
+    n = _in_order(nodes_).select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tag)
+    w = _in_order(ways_).select(F.col("id").alias("_id"), F.transform("nodes", lambda i: F.struct(i.alias("_ref"))).alias("nd"), tag)
     for df, row in ((n, "node"), (w, "way")):
         df.write.format("xml").option("rootTag", "osm").option("rowTag", row).save(f"{path}/{row}")
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    order = [F.col("direct").desc()] * ("direct" in df.columns) + [F.col("id")]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def numbered_lines(spark: SparkSession, path: str, together: bool = False) -> DataFrame:
+    """path, line (from 0), value: the lines of text files with their numbers, read in splits.
+
+    A split's lines are numbered where they are read; what comes before a split is a sum over a small
+    table of splits. With ``together`` the files of a folder count as one, in the order of their names.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    blocks = rows.groupBy("path", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    # one row for each split, so few even for large folders
+    before = Window.partitionBy(*([] if together else ["path"])).orderBy("path", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    return rows.join(blocks.select("path", "_b", "_at"), ["path", "_b"]).select("path", (F.col("_at") + F.col("_m")).alias("line"), "value")
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """name (of the file), entries: the key=value lines of each file; comments and blank lines are left out."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("name"), F.trim("value").alias("line"))
-    pairs = lines.where("line LIKE '%=%' AND line NOT LIKE '#%'").select("name", F.trim(F.regexp_extract("line", r"^([^=]+)=", 1)).alias("k"), F.trim(F.regexp_extract("line", r"^[^=]+=(.*)$", 1)).alias("v"))
-    last = pairs.groupBy("name", "k").agg(F.last("v").alias("v"))  # a key has one line
-    return last.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("entries"))
+    """path, name (of the file), entries: the key=value lines of each file; comments and blank lines are left out, the last line of a key counts."""
+    lines = numbered_lines(spark, path).select("path", "line", F.trim("value").alias("v")).where("v LIKE '%=%' AND v NOT LIKE '#%'")
+    pairs = lines.select("path", "line", F.trim(F.regexp_extract("v", r"^([^=]+)=", 1)).alias("k"), F.trim(F.regexp_extract("v", r"^[^=]+=(.*)$", 1)).alias("v"))
+    last = pairs.groupBy("path", "k").agg(F.max_by("v", "line").alias("v"))
+    entries = last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("entries"))
+    return entries.select("path", F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("name"), "entries")
+
+
+def filter_lists(spark: SparkSession, path: str) -> DataFrame:
+    """name (of the file), filters: array of (name, args) from lines such as ``brightness-contrast 5 10``, in their order."""
+    lines = numbered_lines(spark, path).where("trim(value) <> '' AND trim(value) NOT LIKE '#%'")
+    parts = F.split(F.trim("value"), r"\s+")
+    step = F.struct(F.col("line"), F.get(parts, F.lit(0)).alias("name"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda a: a.cast("double")).alias("args"))
+    listed = lines.groupBy("path").agg(F.sort_array(F.collect_list(step)).alias("f"))
+    return listed.select(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("name"), F.transform("f", lambda f: F.struct(f["name"].alias("name"), f["args"].alias("args"))).alias("filters"))
 
 
 def typed(settings: DataFrame, schema: dict[str, tuple[str, object]], common: DataFrame | None = None) -> DataFrame:
-    """Settings as typed columns: a value of its own, else the common one, else the default. Nothing is evaluated."""
+    """Settings as typed columns: a value of its own, else the common one, else the default. Nothing is evaluated.
+
+    ``common`` has one row at most; an empty one leaves the defaults.
+    """
     base = settings
     if common is not None:
-        base = settings.crossJoin(common.select(F.col("entries").alias("_common")).limit(1))  # one row of settings
+        if common.limit(2).count() > 1:
+            raise ValueError("common settings are one row")
+        base = settings.join(common.select(F.col("entries").alias("_common")), F.lit(True), "left")
     out = []
     for key, (kind, default) in schema.items():
         own = F.col("entries")[key]
@@ -30,10 +59,9 @@ def typed(settings: DataFrame, schema: dict[str, tuple[str, object]], common: Da
 
 def ordered_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of white-space separated columns with the line's number in its file (``line``)."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    parts = F.split(F.trim("text"), r"\s+")
-    named = whole.where("trim(text) <> '' AND trim(text) NOT LIKE '#%'")
-    return named.select("path", "line", *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    parts = F.split(F.trim("value"), r"\s+")
+    named = numbered_lines(spark, path).where("trim(value) <> '' AND trim(value) NOT LIKE '#%'").orderBy("path", "line")
+    return named.select("path", F.col("line").cast("int").alias("line"), *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def write_nodes(nodes: DataFrame, path: str) -> None:
@@ -54,22 +82,43 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(parts, F.lit(0)).cast("bigint").alias("id"), *[F.get(parts, F.lit(i)).cast("double").alias(c) for i, c in ((1, "x"), (2, "y"), (3, "z"))])
 
 
-def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """vertices (path, idx, lon, lat, z, nx, ny) and triangles (path, idx, n1, n2, n3, kind) of mesh files.
+def read_mesh(spark: SparkSession, path: str, together: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices (path, idx, lon, lat, z, nx, ny) and triangles (path, idx, n1, n2, n3, kind) of mesh files, read by lines.
 
     A file has a header of four lines, then the vertices, normals and triangles, each after its
-    count. Elevations are stored as hundred-thousandths; numbers of vertices start at 1.
+    count. Elevations are stored as hundred-thousandths; numbers of vertices start at 1. With
+    ``together`` the files of a folder are the parts of one mesh, as ``write_mesh`` leaves them.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\r?\n").alias("l"))
-    n = F.get("l", F.lit(4)).cast("int")
-    sized = lines.withColumn("n", n).withColumn("m", F.get("l", F.col("n") * 2 + 10).cast("int"))
-    part = lambda first, size: F.posexplode(F.slice("l", first, size)).alias("idx", "text")
-    num = lambda i: F.get(F.split(F.trim("text"), r"\s+"), F.lit(i))
-    at = sized.select("path", part(F.lit(6), F.col("n"))).select("path", "idx", *[num(i).cast("double").alias(c) for i, c in enumerate(("lon", "lat", "z"))])
-    normal = sized.select("path", part(F.col("n") + 9, F.col("n"))).select("path", "idx", *[num(i).cast("double").alias(c) for i, c in enumerate(("nx", "ny"))])
+    lines = numbered_lines(spark, path, together).withColumn("path", F.lit(path) if together else F.col("path"))
+    count = lambda name: F.trim("value").try_cast("bigint").alias(name)
+    sized = lines.where("line = 4").select("path", count("n"))
+    sized = sized.join(lines.select("path", F.col("line").alias("_l"), count("m")), "path").where("_l = n * 2 + 10").select("path", "n", "m")
+    every = lines.join(sized, "path")  # a row for each mesh
+    num = lambda i: F.get(F.split(F.trim("value"), r"\s+"), F.lit(i))
+
+    def part(first: Column, size: str, kinds: dict[str, str]) -> DataFrame:
+        own = every.where((F.col("line") >= first) & (F.col("line") < first + F.col(size)))
+        return own.select("path", (F.col("line") - first).cast("int").alias("idx"), *[num(i).cast(k).alias(c) for i, (c, k) in enumerate(kinds.items())])
+
+    at = part(F.lit(5), "n", dict.fromkeys(("lon", "lat", "z"), "double"))
+    normal = part(F.col("n") + 8, "n", dict.fromkeys(("nx", "ny"), "double"))
+    tri = part(F.col("n") * 2 + 11, "m", dict.fromkeys(("n1", "n2", "n3", "kind"), "int"))
     vertices = at.join(normal, ["path", "idx"]).withColumn("z", F.col("z") * 100_000)
-    tri = sized.select("path", part(F.col("n") * 2 + 12, F.col("m")))
-    return vertices, tri.select("path", "idx", *[(num(i).cast("int") - 1).alias(f"n{i + 1}") for i in range(3)], num(3).cast("int").alias("kind"))
+    return vertices, tri.select("path", "idx", *[(F.col(c) - 1).alias(c) for c in ("n1", "n2", "n3")], "kind")
+
+
+def write_mesh(vertices: DataFrame, triangles: DataFrame, path: str, version: str = "1.3") -> None:
+    """A mesh of any size as the lines of a mesh file, in parts whose names follow the order of lines."""
+    n, m = vertices.count(), triangles.count()
+    spark = vertices.sparkSession
+    head = {0: f"MeshVersionFormatted {version}", 1: "Dimension 3", 2: "", 3: "Vertices", 4: str(n), n + 5: "", n + 6: "Normals", n + 7: "", 2 * n + 8: "", 2 * n + 9: "Triangles", 2 * n + 10: str(m)}
+    lines = spark.createDataFrame(list(head.items()), "line bigint, value string")
+    at = lambda df, first, text: df.select((F.col("idx") + F.lit(first)).cast("bigint").alias("line"), text.alias("value"))
+    lines = lines.unionByName(at(vertices, 5, F.format_string("%.9f %.9f %.9f 0", "lon", "lat", F.col("z") / 100_000)))
+    lines = lines.unionByName(at(vertices, n + 8, F.format_string("%.6f %.6f 0", "nx", "ny")))
+    corner = lambda c: F.col(c) + 1
+    lines = lines.unionByName(at(triangles, 2 * n + 11, F.format_string("%d %d %d %d", corner("n1"), corner("n2"), corner("n3"), "kind")))
+    lines.repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(path)
 
 
 def mesh_text(vertices: DataFrame, triangles: DataFrame, version: str = "1.3") -> DataFrame:
