@@ -47,8 +47,8 @@ def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
     return a.join(b, meet).select(c(f"a.{key}").alias("a"), c(f"b.{key}").alias("b"))
 
 
-def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str, radius_m: float, size: float = 1.0) -> DataFrame:
-    """places with the nearest anchor strictly within the radius (least id on ties), null if none.
+def all_within(places: DataFrame, anchors: DataFrame, radius_m: float, size: float = 1.0) -> DataFrame:
+    """Rows of places (lon, lat) with rows of anchors (lon, lat) strictly within the radius, and ``metres`` between them.
 
     Anchors are dealt to all cells within reach; the reach in degrees of longitude is taken at the
     anchor's latitude plus the radius, and wraps around the date line.
@@ -56,14 +56,19 @@ def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str,
     dy = radius_m / METRES_PER_DEGREE
     edge = F.least(F.abs(F.col("a_lat")) + dy, F.lit(89.9))
     dx = F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(dy))) / F.cos(F.radians(edge))))) + 1e-9)
-    a = anchors.select(F.col(anchor), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"))
     n = int(round(360 / size))
-    a = a.withColumn("_cx", F.explode(F.sequence(F.floor((F.col("a_lon") - dx + 180) / size), F.floor((F.col("a_lon") + dx + 180) / size))))
+    a = anchors.withColumnsRenamed({"lon": "a_lon", "lat": "a_lat"})
+    cells = F.sequence(F.floor((F.col("a_lon") - dx + 180) / size), F.floor((F.col("a_lon") + dx + 180) / size))
+    a = a.withColumn("_cx", F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.lit(n))))))
     a = a.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("a_lat") - dy) / size), F.floor((F.col("a_lat") + dy) / size))))
-    a = a.withColumn("_cx", F.pmod("_cx", F.lit(n))).dropDuplicates([anchor, "_cx", "_cy"])
-    p = places.select(key, "lon", "lat", F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(n)).alias("_cx"), F.floor(F.col("lat") / size).alias("_cy"))
-    far = haversine("lon", "lat", "a_lon", "a_lat")
-    near = p.join(a, ["_cx", "_cy"]).withColumn("metres", far).where(F.col("metres") < radius_m)
+    p = places.withColumn("_cx", F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(n))).withColumn("_cy", F.floor(F.col("lat") / size))
+    near = p.join(a, ["_cx", "_cy"]).withColumn("metres", haversine("lon", "lat", "a_lon", "a_lat"))
+    return near.where(F.col("metres") < radius_m).drop("_cx", "_cy")
+
+
+def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str, radius_m: float, size: float = 1.0) -> DataFrame:
+    """places with the nearest anchor strictly within the radius (least id on ties), null if none."""
+    near = all_within(places.select(key, "lon", "lat"), anchors.select(anchor, "lon", "lat"), radius_m, size)
     best = near.groupBy(key).agg(F.min(F.struct("metres", anchor)).alias("best"))
     return places.join(best.select(key, F.col(f"best.{anchor}").alias(anchor), F.col("best.metres").alias("metres")), key, "left")
 
@@ -71,3 +76,17 @@ def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str,
 def points_outside_boxes(points: DataFrame, key: str, boxes: DataFrame, size: float) -> DataFrame:
     """Rows of points (lon, lat) that no box holds, bounds included."""
     return points.join(points_in_boxes(points, boxes, size, "left_semi").select(key), key, "left_anti")
+
+
+def with_boxes(points: DataFrame, boxes: DataFrame, size: float, *more: str) -> DataFrame:
+    """points (lon, lat) with ``_boxes``: an array of the boxes (x0, y0, x1, y1 and the columns in ``more``) that hold them.
+
+    The boxes of a grid cell are one row, so each point is joined once; where boxes are few, Spark
+    sends them to the points and shuffles none.
+    """
+    cells = with_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
+    gathered = cells.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", *more)).alias("_boxes"))
+    dealt = points.withColumn("_cx", F.floor(F.col("lon") / size)).withColumn("_cy", F.floor(F.col("lat") / size))
+    lon, lat = F.col("lon"), F.col("lat")
+    held = F.filter("_boxes", lambda b: lon.between(b["x0"], b["x1"]) & lat.between(b["y0"], b["y1"]))
+    return dealt.join(gathered, ["_cx", "_cy"], "left").withColumn("_boxes", F.when(F.col("_boxes").isNotNull(), held)).drop("_cx", "_cy")

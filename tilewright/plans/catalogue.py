@@ -98,17 +98,17 @@ def terrain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "kernel_altitudes",
     """
 , d AS (SELECT c_custkey, s_acctbal, 2*6378137*atan2(sqrt(h), sqrt(1-h)) AS m FROM (SELECT c_custkey, s_acctbal, pow(sin(radians(s.lat-a.lat)/2),2)+cos(radians(s.lat))*cos(radians(a.lat))*pow(sin(radians(s.lon-a.lon)/2),2) AS h
-  FROM sites s JOIN anchors a ON a.lon BETWEEN s.lon - 20 AND s.lon + 20 AND a.lat BETWEEN s.lat - 20 AND s.lat + 20))
-, w AS (SELECT c_custkey, sum(exp(-m/500000)*s_acctbal) AS v, sum(exp(-m/500000)) AS w FROM d GROUP BY c_custkey)
+  FROM sites s, anchors a))
+, w AS (SELECT c_custkey, sum(exp(-m/500000)*s_acctbal) AS v, sum(exp(-m/500000)) AS w FROM d WHERE m < 2000000 GROUP BY c_custkey)
 SELECT s.c_custkey, round(CASE WHEN coalesce(w.w, 0) < 1e-6 THEN s.c_acctbal ELSE w.v/w.w END, 4) AS altitude FROM sites s LEFT JOIN w USING (c_custkey)""",
     "sites", "anchors",
 )
 def kernel_altitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of the anchors around a site under an exponential kernel; the site's own value where there are none."""
+    """Means of the anchors within 2,000 km of a site under an exponential kernel; the site's own value where there are none."""
     s, a = sites(spark, sf_dir), anchors(spark, sf_dir)
-    boxes = a.select("s_acctbal", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), *[(F.col(c) + d).alias(n) for c, d, n in (("lon", -20, "x0"), ("lat", -20, "y0"), ("lon", 20, "x1"), ("lat", 20, "y1"))])
-    k = F.exp(-haversine("lon", "lat", "a_lon", "a_lat") / 500_000)
-    near = spatial.points_in_boxes(s.select("c_custkey", "lon", "lat"), boxes, 20.0).groupBy("c_custkey").agg(F.sum(k * F.col("s_acctbal")).alias("v"), F.sum(k).alias("w"))
+    k = F.exp(-F.col("metres") / 500_000)
+    near = spatial.all_within(s.select("c_custkey", "lon", "lat"), a.select("s_suppkey", "s_acctbal", "lon", "lat"), 2_000_000.0, 10.0)
+    near = near.groupBy("c_custkey").agg(F.sum(k * F.col("s_acctbal")).alias("v"), F.sum(k).alias("w"))
     value = F.when(F.coalesce("w", F.lit(0.0)) < 1e-6, F.col("c_acctbal")).otherwise(F.col("v") / F.col("w"))
     return s.join(near, "c_custkey", "left").select("c_custkey", F.round(value, 4).alias("altitude"))
 

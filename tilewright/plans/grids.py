@@ -113,10 +113,10 @@ def raster_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "raster_tiles",
     """
-, t AS (SELECT r.row, r.col, value, tr, tc FROM raster r, range(-1, 40) AS a(tr), range(-1, 3) AS b(tc) WHERE tr BETWEEN floor((r.row-4)/32) AND floor((r.row+4)/32) AND tc BETWEEN floor((r.col-4)/32) AND floor((r.col+4)/32))
+, t AS (SELECT r.row, r.col, value, tr, tc FROM raster r, unnest(range(CAST(floor((r.row-4)/32) AS BIGINT), CAST(floor((r.row+4)/32) AS BIGINT) + 1)) AS a(tr), unnest(range(CAST(floor((r.col-4)/32) AS BIGINT), CAST(floor((r.col+4)/32) AS BIGINT) + 1)) AS b(tc))
 SELECT tr, tc, count(*) AS cells, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, count(*) FILTER (WHERE value >= 100) AS above,
   CAST(CASE WHEN ceil(max(value))-floor(min(value)) < 770 THEN 771 WHEN ceil(max(value))-floor(min(value)) < 1284 THEN 1285 WHEN ceil(max(value))-floor(min(value)) < 4368 THEN 4369 ELSE 13107 END AS INT) AS span
-FROM t WHERE tr <= 31 GROUP BY tr, tc""",
+FROM t GROUP BY tr, tc""",
     "raster",
 )
 def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pixel_colours",
     """
-, p AS (SELECT row, col // 3 AS px, min(CASE WHEN col%3=0 THEN value END) AS a, min(CASE WHEN col%3=1 THEN value END) AS b, min(CASE WHEN col%3=2 THEN value END) AS c FROM raster WHERE col < 63 GROUP BY row, col // 3)
+, p AS (SELECT row, col // 3 AS px, min(CASE WHEN col%3=0 THEN value END) AS a, min(CASE WHEN col%3=1 THEN value END) AS b, min(CASE WHEN col%3=2 THEN value END) AS c FROM raster GROUP BY row, col // 3 HAVING count(*) = 3)
 , q AS (SELECT row, px, CAST(abs(a)%256 AS INT) AS r, CAST(abs(b)%256 AS INT) AS g, CAST(abs(c)%256 AS INT) AS b FROM p)
 , s AS (SELECT row, px, CAST(least(greatest(round_even((r+10-127.5)*1.2+127.5, 0),0),255) AS INT) AS r, CAST(least(greatest(round_even((g+10-127.5)*1.2+127.5, 0),0),255) AS INT) AS g, CAST(least(greatest(round_even((b+10-127.5)*1.2+127.5, 0),0),255) AS INT) AS b FROM q)
 , y AS (SELECT *, 0.299e0*r+0.587e0*g+0.114e0*b AS grey FROM s)
@@ -142,8 +142,8 @@ SELECT row, px, r, g, b, CAST(round_even((r*100+g*155)/255.0e0, 0) AS INT) AS bl
 def pixel_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brightness, contrast, saturation and blending of pixels made of three cells each."""
     byte = lambda k: F.min(F.when(F.col("col") % 3 == k, (F.abs("value") % 256).cast("int")))
-    cells = raster(spark, sf_dir).where("col < 63").groupBy("row", F.floor(F.col("col") / 3).alias("px"))
-    px = cells.agg(*[byte(k).alias(c) for k, c in enumerate("rgb")])
+    cells = raster(spark, sf_dir).groupBy("row", F.floor(F.col("col") / 3).alias("px"))  # a pixel of fewer cells is none
+    px = cells.agg(*[byte(k).alias(c) for k, c in enumerate("rgb")], F.count("*").alias("n")).where("n = 3")
     px = px.select("row", "px", *[P.brightness_contrast(c, 10.0, 20.0).alias(c) for c in "rgb"])
     px = px.select("row", "px", *[v.alias(c) for v, c in zip(P.saturation("r", "g", "b", -30.0), "rgb")])
     return px.withColumn("blended", P.blend("g", "r", F.lit(100)))

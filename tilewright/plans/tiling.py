@@ -34,21 +34,23 @@ def _cell(z, lon="lon", lat="lat", x="til_x", y="til_y"):
     return _CELL.format(z=z, lon=lon, lat=lat, x=x, y=y)
 
 
-def assign_zones(pts: DataFrame, zone_table: DataFrame, key: str, default_zl: int, default_provider: str) -> DataFrame:
-    """Each point with zoom and provider of the zone of the highest priority that holds it, else the default."""
-    held = spatial.points_in_boxes(pts.select(key, "lon", "lat"), zone_table, 10.0)
-    win = held.groupBy(key).agg(F.max_by(F.struct("zl", "provider"), "priority").alias("win"))
-    return pts.join(win, key, "left").select(
-        *pts.columns, F.coalesce("win.zl", F.lit(default_zl)).alias("zl"), F.coalesce("win.provider", F.lit(default_provider)).alias("provider")
+def assign_zones(pts: DataFrame, zone_table: DataFrame, default_zl: int, default_provider: str) -> DataFrame:
+    """Each point with zoom and provider of the zone of the highest priority that holds it, else the default.
+
+    The zones of a grid cell come as one array, so points are joined once and the winner is taken in the row.
+    """
+    met = spatial.with_boxes(pts, zone_table, 10.0, "priority", "zl", "provider")
+    win = F.array_max(F.transform("_boxes", lambda z: F.struct(z["priority"], z["zl"].alias("zl"), z["provider"].alias("provider"))))
+    return met.withColumn("_win", win).select(
+        *pts.columns, F.coalesce("_win.zl", F.lit(default_zl)).alias("zl"), F.coalesce("_win.provider", F.lit(default_provider)).alias("provider")
     )
 
 
-def upgrade_near(pts: DataFrame, places: DataFrame, key: str, reach_deg: float, zoom: int) -> DataFrame:
+def upgrade_near(pts: DataFrame, places: DataFrame, reach_deg: float, zoom: int) -> DataFrame:
     """Raises the zoom of points within a box around any of the places."""
     boxes = places.select(*[(F.col(c) + s * reach_deg).alias(n) for c, s, n in (("lon", -1, "x0"), ("lat", -1, "y0"), ("lon", 1, "x1"), ("lat", 1, "y1"))])
-    near = spatial.points_in_boxes(pts.select(key, "lon", "lat"), boxes, 1.0, "left_semi").select(key).withColumn("_near", F.lit(True))
-    out = pts.join(near, key, "left").withColumn("zl", F.when(F.col("_near"), F.greatest("zl", F.lit(zoom))).otherwise(F.col("zl")))
-    return out.drop("_near")
+    near = spatial.with_boxes(pts, boxes, 1.0)
+    return near.withColumn("zl", F.when(F.size("_boxes") > 0, F.greatest("zl", F.lit(zoom))).otherwise(F.col("zl"))).drop("_boxes")
 
 
 @query(
@@ -67,8 +69,8 @@ SELECT til_x, til_y, zl, provider, count(*) AS n, round(avg(value), 4) AS avg_va
 )
 def texture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texture cells of points: zone of the highest priority, finer near airports, counts and means."""
-    pts = assign_zones(points(spark, sf_dir), zones(spark, sf_dir), "event_id", 11, "BASE")
-    pts = upgrade_near(pts, anchors(spark, sf_dir), "event_id", 0.5, 15)
+    pts = assign_zones(points(spark, sf_dir), zones(spark, sf_dir), 11, "BASE")
+    pts = upgrade_near(pts, anchors(spark, sf_dir), 0.5, 15)
     x, y = G.texture_cell("lat", "lon", "zl")
     return pts.groupBy(x.alias("til_x"), y.alias("til_y"), "zl", "provider").agg(
         F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value")
@@ -226,20 +228,24 @@ def outside_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "merged_zones",
     """
-, pair AS (SELECT a.zone AS a, b.zone AS b FROM zones a JOIN zones b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.zone % 4 = b.zone % 4)
-, reach AS (SELECT zone AS a, zone AS b FROM zones UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a)
-, root AS (SELECT a AS zone, min(b) AS root FROM reach GROUP BY a)
-SELECT r.root, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM root r JOIN zones z USING (zone) GROUP BY r.root""",
-    "zones",
+, box AS (SELECT c_custkey AS id, c_nationkey % 5 AS class, lon AS x0, lat AS y0, lon + 3 AS x1, lat + 2 AS y1 FROM sites)
+, pair AS (SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.class = b.class AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)
+, reach AS (SELECT id AS a, id AS b FROM box UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a)
+, root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a)
+SELECT r.root, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM root r JOIN box USING (id) GROUP BY r.root""",
+    "sites",
 )
 def merged_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping zones of one class (zone modulo 4) merged transitively to their common bounds."""
-    z = zones(spark, sf_dir).withColumn("zone", F.col("zone").cast("bigint"))
-    pairs = spatial.overlapping_boxes(z, "zone", 20.0).where("a % 4 = b % 4")
+    """Overlapping boxes around sites of one class merged transitively to their common bounds."""
+    c = F.col
+    z = sites(spark, sf_dir).select(c("c_custkey").alias("id"), (c("c_nationkey") % 5).alias("class"), c("lon").alias("x0"), c("lat").alias("y0"), (c("lon") + 3).alias("x1"), (c("lat") + 2).alias("y1"))
+    of = z.select("id", "class")
+    pairs = spatial.overlapping_boxes(z, "id", 5.0)
+    pairs = pairs.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
     roots = components(pairs)
     least = roots.groupBy("root").agg(F.min("node").alias("first"))
-    named = z.join(roots.join(least, "root").select(F.col("node").alias("zone"), "first"), "zone", "left")
-    return named.groupBy(F.coalesce("first", "zone").cast("int").alias("root")).agg(
+    named = z.join(roots.join(least, "root").select(c("node").alias("id"), "first"), "id", "left")
+    return named.groupBy(F.coalesce("first", "id").alias("root")).agg(
         F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
 
