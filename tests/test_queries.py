@@ -112,3 +112,44 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'texture_cells' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_profiles_against_numpy(spark):
+    import numpy as np
+
+    from tilewright.plans.fixtures import way_nodes
+
+    by = {}
+    for r in way_nodes(spark, SF).collect():
+        by.setdefault(r["way"], {})[r["pos"]] = r["z"]
+    got = {r["way"]: r["middle"] for r in registry.QUERIES["way_profiles"](spark, SF).collect()}
+    assert set(got) == set(by)
+    for way, z in by.items():
+        n = len(z)
+        t = np.array([i / (n - 1) if n > 1 else 0.0 for i in range(n)])
+        terms = np.vander(t, min(7, n - 1) + 1)
+        fit = np.linalg.lstsq(terms, np.array([z[i + 1] for i in range(n)]), rcond=None)[0]
+        assert got[way] == pytest.approx(np.vander([0.5], len(fit)) @ fit, abs=1e-3)
+
+
+def test_rasters_fill_twenty_passes_over_blocks_and_refuse(spark, monkeypatch):
+    import numpy as np
+
+    from tilewright.operators import rasters
+
+    rng = np.random.default_rng(1)
+    z = np.where(rng.random((70, 50)) < 0.02, rng.integers(0, 99, (70, 50)), np.nan)
+    df = spark.createDataFrame([(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(70) for c in range(50)], "row int, col int, value double")
+    want = z.copy()
+    for _ in range(20):
+        p = np.pad(want, 1, constant_values=np.nan)
+        near = np.fmax(np.fmax(p[:-2, 1:-1], p[2:, 1:-1]), np.fmax(p[1:-1, :-2], p[1:-1, 2:]))
+        want = np.where(np.isnan(want), near, want)
+    for size in (16, 256):
+        monkeypatch.setattr(rasters.in_blocks, "__defaults__", (size,))
+        got = np.full((70, 50), np.nan)
+        for r in rasters.fill(df, 20).collect():
+            got[r["row"], r["col"]] = np.nan if r["value"] is None else r["value"]
+        assert np.array_equal(got, want, equal_nan=True)
+    with pytest.raises(ValueError):
+        rasters.fill(df, 20, most=1000)

@@ -59,7 +59,7 @@ def evaluate(coefficients, x):
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "angle", "length", "width")]))
 def smallest_rectangle(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    """The smallest rotated rectangle around points: one of its sides lies along the hull."""
+    """The smallest rotated rectangle around points: one of its sides lies along the hull; of equal areas (to nine digits) the longest."""
     out = []
     for a, b in zip(x, y):
         p = np.unique(np.column_stack([a, b]), axis=0)
@@ -73,7 +73,7 @@ def smallest_rectangle(x: pd.Series, y: pd.Series) -> pd.DataFrame:
                 turned = hull @ np.array([[c, -s], [s, c]])
                 size = turned.max(0) - turned.min(0)
                 found.append((size[0] * size[1], angle, max(size), min(size)))
-            best = min(found)
+            best = min(found, key=lambda r: (round(r[0], 9), round(-r[2], 9), r[1]))
         out.append(best)
     return pd.DataFrame(out, columns=["area", "angle", "length", "width"])
 

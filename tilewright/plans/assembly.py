@@ -53,7 +53,17 @@ def way_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("way", F.round(rings.evaluate("k", F.lit(0.5)), 6).alias("middle"))
 
 
-@query("smallest_rectangles")
+@query(
+    "smallest_rectangles",
+    """
+, p AS (SELECT DISTINCT way, x, y FROM way_nodes)
+, e AS (SELECT a.way, a.x, a.y, b.x - a.x AS ux, b.y - a.y AS uy FROM p a JOIN p b ON a.way = b.way AND (a.x <> b.x OR a.y <> b.y))
+, d AS (SELECT e.way, e.x, e.y, ux, uy, sqrt(ux*ux+uy*uy) AS n, (p.x-e.x)*ux+(p.y-e.y)*uy AS along, (p.y-e.y)*ux-(p.x-e.x)*uy AS off FROM e JOIN p ON p.way = e.way)
+, r AS (SELECT way, (max(along)-min(along))/n AS l, (max(off)-min(off))/n AS w FROM d GROUP BY way, x, y, ux, uy, n HAVING min(off) >= -1e-12)
+, b AS (SELECT way, arg_min(struct_pack(l := greatest(l, w), w := least(l, w)), struct_pack(a := round(l*w, 9), b := round(-greatest(l, w), 9))) AS s FROM r GROUP BY way)
+SELECT way, round(coalesce(s.l*s.w, 0), 9) + 0.0 AS area, round(coalesce(s.l, 0), 9) AS length, round(coalesce(s.w, 0), 9) + 0.0 AS width FROM (SELECT DISTINCT way FROM way_nodes) LEFT JOIN b USING (way)""",
+    "way_nodes",
+)
 def smallest_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest rotated rectangle around each way."""
     each = way_nodes(spark, sf_dir).groupBy("way").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))

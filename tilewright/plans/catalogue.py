@@ -129,7 +129,16 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("vectors OR mesh OR masks").withColumn("stages", stages)
 
 
-@query("shore_masks")
+@query(
+    "shore_masks",
+    """
+, k AS (SELECT d, (5 - abs(d)) / 25.0e0 AS w FROM range(-4, 5) AS t(d))
+, m AS (SELECT row + a.d AS row, col + b.d AS col, sum(CASE WHEN value < 0 THEN 255 * a.w * b.w ELSE 0 END) AS soft, max(CASE WHEN a.d = 0 AND b.d = 0 AND value < 0 THEN 255 ELSE 0 END) AS mask FROM raster, k a, k b GROUP BY row + a.d, col + b.d)
+, t AS (SELECT CAST(floor(row/16) AS BIGINT) AS tr, CAST(floor(col/16) AS BIGINT) AS tc, least(greatest(round_even(greatest(soft, mask), 0), 0), 255) AS v FROM m)
+, s AS (SELECT tr, tc, sum(v)/256 AS mean, CASE WHEN count(*) < 256 THEN 0 ELSE min(v) END AS low, max(v) AS high FROM t GROUP BY tr, tc)
+SELECT tr, tc, mean, CAST(low AS INT) AS low, CAST(high AS INT) AS high FROM s WHERE high > 30 AND low < 255""",
+    "raster",
+)
 def shore_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft-edged masks of square tiles of the raster with a halo, kept where they are mixed: tile, mean, least and most."""
     from tilewright.operators import rasters

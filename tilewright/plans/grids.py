@@ -29,6 +29,11 @@ def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).withColumn("value", F.when(F.col("value") >= -150, F.col("value")))
 
 
+def _extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the last row and column of the raster, which the globe is spread over."""
+    return raster(spark, sf_dir).agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+
+
 _HOLED = ", h AS (SELECT row, col, CASE WHEN value >= -150 THEN value END AS value FROM raster)\n"
 
 
@@ -82,7 +87,8 @@ def raster_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "raster_sample",
     """
-, place AS (SELECT event_id, (lon+180)/360*63 AS px, (90-lat)/180*400 AS py FROM points)
+, last AS (SELECT max(row) AS r, max(col) AS c FROM raster)
+, place AS (SELECT event_id, (lon+180)/360*last.c AS px, (90-lat)/180*last.r AS py FROM points, last)
 , c AS (SELECT *, floor(px) AS c, floor(py) AS r, px-floor(px) AS u, py-floor(py) AS v FROM place)
 , k AS (SELECT event_id, r AS row, c AS col, 1-greatest(u,v) AS w FROM c UNION ALL SELECT event_id, r+1, c+1, least(u,v) FROM c UNION ALL SELECT event_id, CASE WHEN u >= v THEN r ELSE r+1 END, CASE WHEN u >= v THEN c+1 ELSE c END, abs(u-v) FROM c)
 , j AS (SELECT k.event_id, sum(value*w) AS v, count(*) = count(value) AS whole FROM k LEFT JOIN raster USING (row, col) WHERE w > 0 GROUP BY k.event_id)
@@ -92,8 +98,9 @@ SELECT event_id, CASE WHEN whole THEN round(v, 6) END AS altitude FROM j""",
 def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevation at points, interpolated in the triangles of raster cells."""
     out = rasters.sample(
-        points(spark, sf_dir).select("event_id", "lon", "lat"), raster(spark, sf_dir), "event_id", (F.col("lon") + 180) / 360 * 63, (90 - F.col("lat")) / 180 * 400
-    )
+        points(spark, sf_dir).select("event_id", "lon", "lat").crossJoin(_extent(spark, sf_dir)), raster(spark, sf_dir), "event_id",
+        (F.col("lon") + 180) / 360 * F.col("last_col"), (90 - F.col("lat")) / 180 * F.col("last_row"),
+    )
     return out.select("event_id", F.round("value", 6).alias("altitude"))
 
 
@@ -242,14 +249,16 @@ def mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "depth_ratios",
     """
-, s2 AS (SELECT c_custkey, c_custkey % 5 = 0 AS coast, CAST(floor((lon+180)/360*63) AS BIGINT) AS col, CAST(floor((90-lat)/180*400) AS BIGINT) AS row FROM sites)
+, last AS (SELECT max(row) AS r, max(col) AS c FROM raster)
+, s2 AS (SELECT c_custkey, c_custkey % 5 = 0 AS coast, CAST(floor((lon+180)/360*last.c) AS BIGINT) AS col, CAST(floor((90-lat)/180*last.r) AS BIGINT) AS row FROM sites, last)
 SELECT c_custkey, round(CASE WHEN coast THEN 0 ELSE greatest(least(10*coalesce(abs(value)%256, 255)/255, 1), 0.1) END, 9) AS ratio FROM s2 LEFT JOIN raster USING (row, col)""",
     "sites", "raster",
 )
 def depth_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of places from the mask pixel under them; 255 where there is no mask."""
-    at = sites(spark, sf_dir).select(
-        "c_custkey", (F.col("c_custkey") % 5 == 0).alias("coast"), F.floor((F.col("lon") + 180) / 360 * 63).alias("col"), F.floor((90 - F.col("lat")) / 180 * 400).alias("row")
-    )
+    at = sites(spark, sf_dir).crossJoin(_extent(spark, sf_dir)).select(
+        "c_custkey", (F.col("c_custkey") % 5 == 0).alias("coast"),
+        F.floor((F.col("lon") + 180) / 360 * F.col("last_col")).alias("col"), F.floor((90 - F.col("lat")) / 180 * F.col("last_row")).alias("row"),
+    )
     mask = at.join(raster(spark, sf_dir), ["row", "col"], "left").withColumn("mask", F.coalesce(F.abs("value") % 256, F.lit(255.0)))
     return mask.select("c_custkey", F.round(P.depth_ratio("coast", "mask"), 9).alias("ratio"))
