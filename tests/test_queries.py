@@ -153,3 +153,32 @@ def test_rasters_fill_twenty_passes_over_blocks_and_refuse(spark, monkeypatch):
         assert np.array_equal(got, want, equal_nan=True)
     with pytest.raises(ValueError):
         rasters.fill(df, 20, most=1000)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from tilewright import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return "set"
+
+    class Session:
+        conf = Conf()
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    assert session.scratch_dir(Session("local[4]")) == "/tmp/checkpoints"
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            session.scratch_dir(Session(master))

@@ -68,3 +68,35 @@ def levels(v: C, low: float, high: float) -> Column:
 def blend(below: C, above: C, alpha: C) -> Column:
     """A byte over another by an alpha of 0 to 255."""
     return clamp_byte((col(above) * col(alpha) + col(below) * (255 - col(alpha))) / 255.0)
+
+
+def patch_altitude(tags: C, own: C, ground: C, mean: C) -> Column:
+    """A node's elevation in a patch: its own tag, else by its way's tags, else the ground.
+
+    The way's tags in order of precedence: cst_alt_abs (metres), cst_alt_rel (metres above the mean
+    ground of the way), var_alt_rel (above the ground at the node), altitude (metres; the mean ground
+    if it is no number).
+    """
+    t, mean_ = col(tags), col(mean)
+    number = lambda k: t[k].try_cast("double")
+    flat = F.when(F.map_contains_key(t, "altitude"), F.coalesce(number("altitude"), mean_))
+    return F.coalesce(col(own).try_cast("double"), number("cst_alt_abs"), mean_ + number("cst_alt_rel"), col(ground) + number("var_alt_rel"), flat, col(ground))
+
+
+def blended(layers: Column) -> Column:
+    """struct(shade, below) of layers (shade, mask, priority), 0 to 255, from the bottom up; ``below`` is the weight of the masks.
+
+    A soft mask leaves out pixels that are nearly black or white. Low layers share with what lies
+    below and add no weight; medium ones share and add; high ones and masks add.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        extreme = ((x["shade"] * 3 >= 735) | (x["shade"] * 3 <= 35)) & x["mask"].between(1, 253)
+        m = F.when(extreme, 0).otherwise(x["mask"])
+        share = F.floor(255 * m / F.nullif(acc["below"] + m, F.lit(0))).cast("int")
+        a = F.when(x["priority"].isin("low", "medium"), F.coalesce(share, m)).otherwise(m)
+        a = F.least(a, F.lit(255))
+        shade = F.rint((x["shade"] * a + acc["shade"] * (255 - a)) / 255).cast("int")
+        return F.struct(shade.alias("shade"), F.when(x["priority"] == "low", acc["below"]).otherwise(acc["below"] + m).cast("int").alias("below"))
+
+    return F.aggregate(layers, F.struct(F.lit(0).alias("shade"), F.lit(0).alias("below")), step)

@@ -20,8 +20,12 @@ def stitch(chains: list[np.ndarray]) -> list[np.ndarray]:
     """Closed rings from chains of points in the unit square.
 
     Closed chains are rings already. An open chain runs from side to side; from its end the ring
-    follows the sides clockwise to the next chain's start, and so on until it is closed.
+    follows the sides clockwise to the next chain's start, and so on until it is closed. Where an open
+    chain begins or ends inside the square, its data are broken, and there are no rings at all.
     """
+    ends = [p for c in chains if not (c[0] == c[-1]).all() for p in (c[0], c[-1])]
+    if any(min(abs(v - round(v)) for v in p) > 1e-5 for p in ends):
+        return []
     rings = [c for c in chains if (c[0] == c[-1]).all()]
     rest = [c for c in chains if not (c[0] == c[-1]).all()]
     starts = [(perimeter_place(*c[0]), i) for i, c in enumerate(rest)]
@@ -54,7 +58,7 @@ def coast_polygons(chains: DataFrame, tile: str) -> DataFrame:
         rows = rows.sort_values("chain")
         found = stitch([np.array([(p["x"], p["y"]) for p in c]) for c in rows["points"]])
         points = [[{"x": float(x), "y": float(y)} for x, y in r] for r in found]
-        return pd.DataFrame({tile: [rows[tile].iloc[0]] * len(points), "ring": range(len(points)), "points": points})
+        return pd.DataFrame({tile: [rows[tile].iloc[0]] * len(points), "ring": range(len(points)), "points": pd.Series(points, dtype=object)})
 
     kind = chains.schema[tile].dataType.simpleString()
     return chains.select(tile, "chain", "points").groupBy(tile).applyInPandas(run, f"{tile} {kind}, ring int, points array<struct<x:double,y:double>>")

@@ -126,3 +126,16 @@ def with_halo(raster: DataFrame, size: int, halo: int) -> DataFrame:
     """Cells dealt to square tiles (tr, tc) and to the neighbours within ``halo`` cells of them."""
     near = lambda c: F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size))
     return raster.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
+
+
+def mosaic(tiles: DataFrame, n: int, halo: int) -> DataFrame:
+    """Squares (lat, lon) of n by n cells (row, col, value), each with a rim from the eight squares around it.
+
+    Rows and columns of the rim are below 0 or from n on. Only cells near a side are sent to the
+    squares there; squares that aren't there get nothing.
+    """
+    near = F.sequence(F.lit(-1), F.lit(1))
+    sent = tiles.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
+    sent = sent.select((F.col("lat") + F.col("_dy")).alias("lat"), (F.col("lon") + F.col("_dx")).alias("lon"), (F.col("row") - n * F.col("_dy")).alias("row"), (F.col("col") - n * F.col("_dx")).alias("col"), "value")
+    sent = sent.where(F.col("row").between(-halo, n + halo - 1) & F.col("col").between(-halo, n + halo - 1))
+    return sent.join(tiles.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import areas, assembly, catalogue, grids, lines, meshwork, selections, streams, tiling
+from tilewright.plans import areas, assembly, catalogue, composites, grids, lines, meshwork, selections, streams, tiling
 
 FLAGSHIP = "texture_cells"
-_PLANS = (tiling, lines, grids, assembly, catalogue, streams, selections, areas, meshwork)
+_PLANS = (tiling, lines, grids, assembly, catalogue, streams, selections, areas, meshwork, composites)
 QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL: dict = {name: text for plan in _PLANS for name, text in plan.SQL.items()}

@@ -189,3 +189,17 @@ def placed_vertices(ground: Column | None = None) -> Column:
         )
 
     return F.transform("vertices", place)
+
+
+def overlay_polygon(ring: str, kind: Column, parameter: Column) -> Column:
+    """A polygon as the text of an overlay: one winding of points."""
+    listed = F.transform(ring, lambda p: F.format_string("POLYGON_POINT %.7f %.7f", p["x"], p["y"]))
+    return F.concat(F.format_string("BEGIN_POLYGON %d %d 2\nBEGIN_WINDING\n", kind, parameter), F.array_join(listed, "\n"), F.lit("\nEND_WINDING\nEND_POLYGON"))
+
+
+def matrix_sets(spark: SparkSession, path: str) -> DataFrame:
+    """id, levels (array of id, scale, width) of the tile matrix sets in capabilities XML."""
+    level = "array<struct<`ows:Identifier`:string,ScaleDenominator:double,TileWidth:int>>"
+    rows = spark.read.format("xml").option("rowTag", "TileMatrixSet").schema(f"`ows:Identifier` string, TileMatrix {level}").load(path)
+    levels = F.transform("TileMatrix", lambda m: F.struct(m["ows:Identifier"].alias("id"), m["ScaleDenominator"].alias("scale"), m["TileWidth"].alias("width")))
+    return rows.where("TileMatrix IS NOT NULL").select(F.col("`ows:Identifier`").alias("id"), levels.alias("levels"))
