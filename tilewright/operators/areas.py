@@ -63,3 +63,10 @@ def buffered(cells: DataFrame, width: int, gap: int, *group: str) -> DataFrame:
 def painted(cells: DataFrame, rank: Column, value: Column, *group: str) -> DataFrame:
     """group, row, col, value: what is painted over a cell last, which is what has the highest rank."""
     return cells.groupBy(*group, "row", "col").agg(F.max_by(value, rank).alias("value"))
+
+
+def inner_cell(cells: DataFrame, *group: str) -> DataFrame:
+    """The middle cell (row, col) of the widest row of each set: a cell that is in it. The least row wins, and the left one of two middles."""
+    rows = cells.groupBy(*group, "row").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("col")).alias("cols"))  # a row of a grid is of a set size
+    best = rows.groupBy(*group).agg(F.min_by(F.struct("row", "cols"), F.struct(-F.col("n"), "row")).alias("b"))
+    return best.select(*group, "b.row", F.element_at("b.cols", F.floor((F.size("b.cols") + 1) / 2).cast("int")).alias("col"))

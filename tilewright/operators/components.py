@@ -14,10 +14,14 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node moves to its neighbour of the least hash, if that is less than its own,
     and the edges are drawn between the places moved to. The hashed order makes the number of rounds
     grow with the logarithm of the nodes, on long chains too. Only counts reach the driver.
+
+    Edges with a null end, edges from a node to itself and repeated edges add nothing; nodes without
+    another edge aren't in the result, and no edges give an empty one. Other columns are ignored. A
+    node with very many edges is one row of a partial minimum before it is shuffled.
     """
     order = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tidy = lambda e: cut_lineage(order(e.where("a <> b")).distinct())
-    edges = tidy(edges.select("a", "b"))
+    edges = tidy(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
     moved = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import shapes
 from tilewright.functions.geodesy import texture_cell
+from tilewright.operators.spatial import with_cells
 from tilewright.session import cut_lineage
 
 SIDES = ((1, 2), (2, 3), (3, 1))
@@ -118,3 +120,14 @@ def numbered_by_appearance(rows: DataFrame, keys: list[str], order: str, group:
     first = rows.groupBy(group, *keys).agg(F.min(order).alias("_first"))
     number = F.row_number().over(Window.partitionBy(group).orderBy("_first")).cast("bigint")
     return first.select(group, *keys, number.alias(name))
+
+
+def cut_along_grid(mesh: DataFrame, size: float) -> DataFrame:
+    """The triangles' parts in each grid cell they touch: the mesh's columns, cx, cy and ``ring`` (closed, empty if nothing is left).
+
+    The ring is cut in units of cells, so that a cell's sides are whole numbers.
+    """
+    xs, ys = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]
+    dealt = with_cells(mesh, F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys), size).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
+    ring = F.array(*[shapes.point(xs[i] - F.col("cx") * size, ys[i] - F.col("cy") * size) for i in (0, 1, 2, 0)])
+    return dealt.withColumn("ring", shapes.clip(ring, 0.0, 0.0, size, size))

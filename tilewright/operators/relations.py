@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ROLES = ("outer", "inner")
@@ -30,3 +30,13 @@ def left_out(kind: Column, wish: Column) -> Column:
     """Whether a list of kinds such as ``2, 5`` leaves a kind out; ``*`` leaves out all, an empty one none."""
     listed = F.transform(F.split(wish, ","), lambda k: F.trim(k))
     return (F.trim(wish) == "*") | F.array_contains(listed, kind.cast("string"))
+
+
+def forest_class(excluded: Column, altitude: Column) -> Column:
+    """The class of a wood by its elevation, unless it is excluded."""
+    return F.when(excluded, "excluded").when(altitude > 30, "conifer").when(altitude > 20, "mixed").otherwise("broadleaf")
+
+
+def by(group: str, order: str) -> WindowSpec:
+    """Rows of a group in an order."""
+    return Window.partitionBy(group).orderBy(order)

@@ -71,3 +71,9 @@ def tiles_of(names: DataFrame, name: str | Column) -> DataFrame:
     part = lambda i: F.regexp_extract(column, r"([+-]\d{2})([+-]\d{3})", i)
     found = names.select(part(1).try_cast("int").alias("lat"), part(2).try_cast("int").alias("lon"), column.alias("dir"))
     return found.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min("dir").alias("dir"))
+
+
+def replace_parts(rows: DataFrame, path: str, part: str) -> None:
+    """Writes rows in folders by ``part``; of what is there already, only the folders of these rows are replaced, when the write is done."""
+    # a folder of very many rows is dealt over several tasks
+    rows.repartition(part, F.spark_partition_id() % 8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
