@@ -1,4 +1,7 @@
-"""Connected components: over a cluster (shared with the rest of the library) and within a task."""
+"""Connected components: over a cluster (shared with the rest of the library) and within a task.
+
+Edges to oneself and repeated edges change nothing; no edges leave every node its own root.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Vectors of a table as bytes, in numpy."""
+"""Vectors of a table as bytes, in numpy.
+
+Vectors that can't be compared become null: null, empty, zero, or with a null or non-finite
+component; so do those of null ids. Repeated rows stay rows of their own, other columns are
+ignored, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
