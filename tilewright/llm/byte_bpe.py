@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.chat_format import let
-from tilewright.llm.tokens import KEPT
+from tilewright.llm.tokens import KEPT, pieces_of
 from tilewright.session import table
 
-BLOCK = 8_000_000
+BLOCK = 1_000_000
 #: Bytes from which a word is cut where no token can stand across, and folded in wide steps.
 LONG = 64
 #: Words that are folded ahead, and the characters of the sample that they are counted in.
@@ -212,8 +212,7 @@ class Places:
 
     def __init__(self, path: str):
         tokens = vocabulary(path)
-        self.tokens = frozenset(tokens)
-        self.prefixes = frozenset(t[:k] for t in tokens for k in range(1, len(t) + 1))
+        self.all = tokens
         joined = np.zeros(1 << 16, bool)  # two bytes that stand side by side in a token
         for t in tokens:
             b = np.frombuffer(t, np.uint8).astype(np.int64)
@@ -230,6 +229,14 @@ class Places:
             out += [word[a:b]] if b - a <= LONG else self._swept(word[a:b])
         return out
 
+    @functools.cached_property
+    def tokens(self) -> frozenset[bytes]:
+        return frozenset(self.all)
+
+    @functools.cached_property
+    def prefixes(self) -> frozenset[bytes]:
+        return frozenset(t[:k] for t in self.all for k in range(1, len(t) + 1))
+
     def _swept(self, word: bytes) -> list[bytes]:
         reach, last, out = 0, 0, []
         for i in range(len(word)):
@@ -273,7 +280,7 @@ def common_words(docs: DataFrame, path: str, pattern: str, most: int = COMMON, s
         cut, parts, found, held = regex.compile(pattern).findall, places(path).parts, collections.Counter(), 0
         chunks = re.compile(KEPT).findall
         met: collections.Counter = collections.Counter()
-        for batch in batches:
+        for batch in (b for whole in batches for b in pieces_of(whole, 200)):
             for text in batch.column(0).to_pylist():
                 met.update(chunks((text or "")[: each - held]))
                 held += len(text or "")
@@ -330,16 +337,17 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[b
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays([whole(_word_list(new)), whole(_id_list(given)), whole(rows)], ["words", "known", "docs"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                ids.append(doc_id)
-                numbers.append(b"".join(map(known.__getitem__, chunks(text))))
-                held += len(text) + 64
-                if held >= block:
-                    yield row()
-                    words.clear(), known.clear(), ids.clear(), numbers.clear()
-                    held = 0
+        for whole in batches:
+            for batch in pieces_of(whole, 200):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    text = text or ""
+                    ids.append(doc_id)
+                    numbers.append(b"".join(map(known.__getitem__, chunks(text))))
+                    held += len(text) + 64
+                    if held >= block:
+                        yield row()
+                        words.clear(), known.clear(), ids.clear(), numbers.clear()
+                        held = 0
         if ids:
             yield row()
 
