@@ -220,3 +220,20 @@ def convolve_around(values: C, kernel: list[float]) -> Column:
     taps = F.sequence(F.lit(-half), F.lit(half))
     near = lambda i: F.transform(taps, lambda d: F.get(v, F.pmod(i + d, F.size(v))) * F.get(weights, d + half))
     return F.transform(v, lambda _, i: total(near(i)))
+
+
+def segment_cells(x: C, y: C, x2: C, y2: C, size: float) -> Column:
+    """array<struct<cx, cy>>: the grid cells that a segment passes, about as many as its length in cells."""
+    x, y, x2, y2 = col(x), col(y), col(x2), col(y2)
+    ahead = x <= x2
+    ax, ay, bx, by = (F.when(ahead, u).otherwise(v) for u, v in ((x, x2), (y, y2), (x2, x), (y2, y)))
+    slack = 1e-9  # a cell too many does no harm
+
+    def rows(c: Column) -> Column:
+        at = lambda v: F.coalesce(ay + (v - ax) / F.nullif(bx - ax, F.lit(0.0)) * (by - ay), ay)
+        far = F.coalesce(ay + (F.least(bx, (c + 1) * size) - ax) / F.nullif(bx - ax, F.lit(0.0)) * (by - ay), by)
+        near = at(F.greatest(ax, c * size))
+        return F.sequence(F.floor(F.least(near, far) / size - slack), F.floor(F.greatest(near, far) / size + slack))
+
+    cols = F.sequence(F.floor(ax / size), F.floor(bx / size))
+    return F.flatten(F.transform(cols, lambda c: F.transform(rows(c), lambda r: F.struct(c.alias("cx"), r.alias("cy")))))

@@ -93,19 +93,26 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p)[:-1] + half(p[::-1])[:-1])
 
 
+def in_cells(segments: DataFrame, size: float) -> DataFrame:
+    """A row for each grid cell (cx, cy) that the segment (x, y, x2, y2) of a row passes."""
+    from tilewright.functions.shapes import segment_cells
+
+    out = segments.withColumn("_c", F.explode(segment_cells("x", "y", "x2", "y2", size)))
+    return out.withColumns({"cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
+
+
 def arrangement(segments: DataFrame, tile: str, size: float, eps: float = 1e-8) -> DataFrame:
     """Pieces of a tile's segments between their crossings: tile, id, piece, x, y, x2, y2, flags.
 
-    ``segments`` has tile, id, x, y, x2, y2, flags. Segments meet in grid cells of ``size``; a crossing
-    counts in the cell that holds it. Segments that overlap along a line are not split.
+    ``segments`` has tile, id, x, y, x2, y2, flags. Segments meet in the grid cells of ``size`` that
+    they pass, so a pair is looked at only where both pass near each other; ``size`` should be about the
+    length of a segment. Segments that overlap along a line are not split.
     """
     from tilewright.functions.shapes import crossing, point
-    from tilewright.operators.spatial import with_cells
 
     c = F.col
-    boxes = with_cells(segments, F.least("x", "x2"), F.least("y", "y2"), F.greatest("x", "x2"), F.greatest("y", "y2"), size)
-    one, two = boxes.alias("p"), boxes.alias("q")
-    met = one.join(two, (c(f"p.{tile}") == c(f"q.{tile}")) & (c("p._cx") == c("q._cx")) & (c("p._cy") == c("q._cy")) & (c("p.id") < c("q.id")))
+    one, two = (in_cells(segments, size).alias(a) for a in "pq")
+    met = one.join(two, (c(f"p.{tile}") == c(f"q.{tile}")) & (c("p.cx") == c("q.cx")) & (c("p.cy") == c("q.cy")) & (c("p.id") < c("q.id")))
     ends = lambda t: (point(c(f"{t}.x"), c(f"{t}.y")), point(c(f"{t}.x2"), c(f"{t}.y2")))
     met = met.withColumn("k", crossing(*ends("p"), *ends("q"), eps)).where("k IS NOT NULL")
     cuts = met.select(

@@ -86,7 +86,7 @@ SELECT s.way, count(*) + coalesce(max(m.n), 0) AS pieces, round(sum(sqrt(pow(x2-
 def planar_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each way's segments cut where they cross each other: number of pieces and their whole length."""
     seg = ways.segments(way_nodes(spark, sf_dir), "way", "pos", "kind").select("way", F.col("pos").alias("id"), "x", "y", "x2", "y2", F.col("kind").alias("flags"))
-    pieces = rings.arrangement(seg, "way", 0.5)
+    pieces = rings.arrangement(seg, "way", 0.25)
     size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
     return pieces.groupBy("way").agg(F.count("*").alias("pieces"), F.round(F.sum(size), 6).alias("length"))
 

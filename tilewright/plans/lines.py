@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import shapes as S
 from tilewright.functions.geodesy import METRES_PER_DEGREE
-from tilewright.operators import ways
+from tilewright.operators import rings, ways
 from tilewright.plans.fixtures import sql, way_nodes
 
 QUERIES, SQL = {}, {}
@@ -124,13 +124,13 @@ SELECT way, p, q, round(x+a*ux, 7) AS x, round(y+a*uy, 7) AS y FROM c WHERE a BE
     "way_nodes",
 )
 def way_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where segments of one way cross each other."""
-    seg = ways.segments(way_nodes(spark, sf_dir))
-    one = seg.select("way", F.col("pos").alias("p"), S.point(F.col("x"), F.col("y")).alias("a"), S.point(F.col("x2"), F.col("y2")).alias("b"))
-    two = seg.select("way", F.col("pos").alias("q"), S.point(F.col("x"), F.col("y")).alias("c"), S.point(F.col("x2"), F.col("y2")).alias("d"))
-    met = one.join(two, "way").where("p < q").withColumn("k", S.crossing(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).where("k IS NOT NULL")
+    """Where segments of one way cross each other: pairs meet in the grid cells that both pass."""
+    seg = rings.in_cells(ways.segments(way_nodes(spark, sf_dir)), 0.25)
+    one = seg.select("way", "cx", "cy", F.col("pos").alias("p"), S.point(F.col("x"), F.col("y")).alias("a"), S.point(F.col("x2"), F.col("y2")).alias("b"))
+    two = seg.select("way", "cx", "cy", F.col("pos").alias("q"), S.point(F.col("x"), F.col("y")).alias("c"), S.point(F.col("x2"), F.col("y2")).alias("d"))
+    met = one.join(two, ["way", "cx", "cy"]).where("p < q").withColumn("k", S.crossing(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).where("k IS NOT NULL")
     at = lambda c: F.round(F.col(f"a.{c}") + F.col("k.alpha") * (F.col(f"b.{c}") - F.col(f"a.{c}")), 7).alias(c)
-    return met.select("way", "p", "q", at("x"), at("y"))
+    return met.select("way", "p", "q", at("x"), at("y")).distinct()
 
 
 @query(
