@@ -38,6 +38,8 @@ PASSED = 9
 LEAST = 4
 MISSED = 2e-4
 BLOCK = 1024
+#: Vectors of a filter up to which many filters are compared at once.
+FEW = 48
 SEED = 5
 
 
@@ -241,6 +243,43 @@ def _compare(x: np.ndarray, copies: np.ndarray, lists: list[bytes], block: np.nd
     return links.astype(np.int64), local_roots(len(x), i, j)
 
 
+def _near_in_groups(vectors: list[bytes], group: np.ndarray, block: np.ndarray, kind: str, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group at the cosine; rows of a group follow each other, and many small groups are compared at once.
+
+    In a group of two blocks only pairs between them count: those within one are another task's.
+    """
+    size, found = np.array([len(v) for v in vectors]), []
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+    mixed = np.repeat(np.maximum.reduceat(block, starts) != np.minimum.reduceat(block, starts), np.diff([*starts, len(group)]))
+    for s in np.unique(size):
+        rows = np.flatnonzero(size == s)
+        x, g, lag = unit(matrix([vectors[r] for r in rows], kind)), group[rows], 1
+        at = np.arange(len(rows))
+        while len(at := at[at + lag < len(rows)]) and len(at := at[g[at] == g[at + lag]]):
+            for k in range(0, len(at), 100_000):
+                i = at[k : k + 100_000]
+                near = np.einsum("ij,ij->i", x[i], x[i + lag]) >= cosine
+                i, j = rows[i[near]], rows[i[near] + lag]
+                good = ~mixed[i] | (block[i] != block[j])
+                found.append((i[good], j[good]))
+            lag += 1
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _first_of_pairs(lists: dict[int, bytes], i: np.ndarray, j: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Which of the pairs (i, j) have no common filter in their lists."""
+    out = []
+    for at in range(0, len(i), step):
+        ends = [np.frombuffer(lists[r], np.int64) for r in np.concatenate([i[at : at + step], j[at : at + step]]).tolist()]
+        n = len(ends) // 2
+        pair, own = np.repeat(np.arange(len(ends)) % n, [len(e) for e in ends]), np.concatenate(ends)
+        order = np.lexsort((own, pair))
+        pair, own = pair[order], own[order]
+        again = (pair[1:] == pair[:-1]) & (own[1:] == own[:-1])
+        out.append(~np.isin(np.arange(n), pair[1:][again]))
+    return np.concatenate(out)
+
+
 def _verified(rows: DataFrame, kind: str, cosine: float) -> DataFrame:
     """id, links, root from rows sorted by (filter, part)."""
     names = ["filter", "part", "block", "id", "copies", "vec", "filters"]
@@ -254,9 +293,22 @@ def _verified(rows: DataFrame, kind: str, cosine: float) -> DataFrame:
         bounds = np.concatenate([[0], cuts, [len(f)]])
         vec, lists = t["vec"], t["filters"]
         out = []
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a < 2:
-                continue
+        size = np.diff(bounds)
+        few = np.flatnonzero((size > 1) & (size <= FEW))
+        if len(few):
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(bounds[few], bounds[few + 1])])
+            group = np.repeat(few, size[few])
+            i, j = _near_in_groups(vec.take(pa.array(rows)).to_pylist(), group, block[rows], kind, cosine)
+            if len(i):
+                some = np.unique(np.concatenate([i, j]))
+                own = dict(zip(some.tolist(), lists.take(pa.array(rows[some])).to_pylist()))
+                first = _first_of_pairs(own, i, j)
+                i, j = i[first], j[first]
+                links = np.bincount(i, copies[rows[j]], len(rows)) + np.bincount(j, copies[rows[i]], len(rows))
+                root, some = local_roots(len(rows), i, j), np.flatnonzero(links)
+                out.append((ids[rows[some]], links[some].astype(np.int64), ids[rows[root[some]]]))
+        for g in np.flatnonzero(size > FEW):
+            a, b = bounds[g], bounds[g + 1]
             x = unit(matrix(vec.slice(a, b - a).to_pylist(), kind))
             near = _compare(x, copies[a:b], lists.slice(a, b - a).to_pylist(), block[a:b], cosine)
             if near is not None:
