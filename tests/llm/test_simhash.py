@@ -88,3 +88,23 @@ def test_components_of_a_chain(spark):
 def test_local_roots(n):
     i = np.arange(n - 1)
     assert (local_roots(n, i[::-1] + 1, i[::-1]) == 0).all()
+
+
+def test_hot_keys_are_dealt_to_blocks(spark):
+    rng = np.random.default_rng(11)
+    hot = int(rng.integers(0, 1 << 62))
+    # many fingerprints that differ in few bits, so that they share most of their keys
+    fps = sorted({hot ^ sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 9), replace=False)) for _ in range(900)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    assert m.hot_keys(df, 100).count() > 40
+    roots = []
+    for block in (100, 1 << 20):
+        root = {r["node"]: r["root"] for r in components(m.links(df, block=block)).collect()}
+        by = {}
+        for x in fps:
+            by.setdefault(root.get(x, x), set()).add(x)
+        roots.append(sorted(map(sorted, by.values())))
+    want = {}
+    for x, w in zip(fps, slow_components(fps, list(range(len(fps))))):
+        want.setdefault(w, set()).add(x)
+    assert roots[0] == roots[1] == sorted(map(sorted, want.values()))

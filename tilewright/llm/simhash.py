@@ -9,7 +9,8 @@ bits), keys are shuffled, and pairs under one key are verified on all 64 bits. N
 
 Exact copies and texts of one fingerprint are one row before the shuffle. The rows of a key, all
 within one bit of it on 43 bits, are compared in numpy; what leaves the task is a star for each
-connected set of them, not all pairs.
+connected set of them, not all pairs. Keys under which very many fingerprints meet are found by
+counting what fingerprints share without a part, and are dealt to blocks.
 
 Null text counts as empty; fingerprints of texts without words are zero and linked like others.
 Null or repeated doc_ids, ties and extra columns do no harm: rows are kept one by one, and a
@@ -32,6 +33,8 @@ from tilewright.session import table, written
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+#: Fingerprints that may share all bits but a part before what meets there is dealt to several tasks.
+BLOCK = 4096
 #: Bits of the three parts: from, to.
 PARTS = ((0, 21), (21, 42), (42, 64))
 
@@ -74,58 +77,98 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _part_keys(part: tuple[int, int]) -> list[Column]:
+    """The keys of ``fp`` without a part of the bits: as it is, and with one of the other bits flipped."""
+    a, b = part
+    kept = F.lit(_signed(((1 << 64) - 1) ^ (((1 << b) - 1) ^ ((1 << a) - 1))))
+    base = F.col("fp").bitwiseAND(kept)
+    return [base] + [base.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64) if not a <= i < b]
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """key, fp: for each part dropped, the fingerprint and its variants of one flipped bit."""
-    keys = []
-    for a, b in PARTS:
-        kept = F.lit(_signed(((1 << 64) - 1) ^ (((1 << b) - 1) ^ ((1 << a) - 1))))
-        base = F.col("fp").bitwiseAND(kept)
-        keys += [base] + [base.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64) if not a <= i < b]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return fps.select(F.explode(F.array(*[k for part in PARTS for k in _part_keys(part)])).alias("key"), "fp")
+
+
+def hot_keys(fps: DataFrame, block: int) -> DataFrame:
+    """key, blocks of the keys under which more than about ``block`` fingerprints may meet.
+
+    Those are the keys within one bit of what more than ``block`` fingerprints share without a part.
+    """
+    out = None
+    for part in PARTS:
+        base, *_ = _part_keys(part)
+        many = fps.groupBy(base.alias("fp")).agg(F.count("*").alias("n")).where(F.col("n") > block)
+        near = many.select(F.explode(F.array(*_part_keys(part))).alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        out = near if out is None else out.unionByName(near)
+    return out.groupBy("key").agg(F.sum("blocks").cast("int").alias("blocks"))
+
 
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius."""
+    The fingerprints of a key are compared in one task, unless the key is hot: then they are dealt to
+    blocks, and each two blocks are a task. What leaves a task is a star for what is connected in it.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("the radius is at most 3")
 
-    def verified(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        twin = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
+    def verified(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        twin = np.zeros(len(group), bool)
+        same = group[1:] == group[:-1]
         twin[1:] |= same
         twin[:-1] |= same
-        key, fp = key[twin], fp[twin]
-        root, lag, at = np.arange(len(key)), 1, np.arange(len(key))
+        group, fp = group[twin], fp[twin]
+        n = len(group)
+        root, lag, at = np.arange(n), 1, np.arange(n)
         some_i, some_j, held = [], [], 0
-        while len(at := at[at + lag < len(key)]) and len(at := at[key[at] == key[at + lag]]):
+        while len(at := at[at + lag < n]) and len(at := at[group[at] == group[at + lag]]):
             near = at[np.bitwise_count((fp[at] ^ fp[at + lag]).view(np.uint64)) <= radius]
             some_i.append(near)
             some_j.append(near + lag)
             held += len(near)
             if held > 1 << 20:  # keep a star for what is connected so far
-                root = local_roots(len(key), np.concatenate([*some_i, np.arange(len(key))]), np.concatenate([*some_j, root]))
+                root = local_roots(n, np.concatenate([*some_i, np.arange(n)]), np.concatenate([*some_j, root]))
                 some_i, some_j, held = [], [], 0
             lag += 1
-        root = local_roots(len(key), np.concatenate([*some_i, np.arange(len(key))]), np.concatenate([*some_j, root]))
+        root = local_roots(n, np.concatenate([*some_i, np.arange(n)]), np.concatenate([*some_j, root]))
         moved = fp != fp[root]
         edges = np.unique(np.stack([fp[moved], fp[root[moved]]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     def run(batches):
-        key = fp = np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # rows of the last group, which may go on
+
+        def whole():
+            key, two, fp = (np.concatenate(c) for c in zip(*held))
+            new = (key[1:] != key[:-1]) | (two[1:] != two[:-1])
+            return verified(np.cumsum(np.concatenate([[0], new]))[: len(key)], fp)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy()])
-            whole = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
-            yield verified(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-        yield verified(key, fp)
+            key, two, fp = (batch.column(c).to_numpy() for c in range(3))
+            last = int(np.flatnonzero((key == key[-1]) & (two == two[-1]))[0])
+            goes_on = held and held[0][0][-1] == key[0] and held[0][1][-1] == two[0]
+            if last or not goes_on:
+                held.append((key[:last], two[:last], fp[:last]))
+                yield whole()
+                held = [(key[last:], two[last:], fp[last:])]
+            else:
+                held.append((key, two, fp))
+        if held:
+            yield whole()
 
     # fingerprints are small, but each becomes 131 keys: spread them before that
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    dealt = variants(spread).repartition("key").sortWithinPartitions("key")
+    keyed = variants(spread).withColumn("two", F.lit(0))
+    hot = written(hot_keys(fps, block), "hot-keys")
+    if not hot.isEmpty():
+        keyed = keyed.drop("two").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        keyed = keyed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keyed = keyed.select("key", "fp", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("two"))
+    dealt = keyed.select("key", "two", "fp").repartition("key", "two").sortWithinPartitions("key", "two")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
