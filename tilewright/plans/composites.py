@@ -239,3 +239,22 @@ def zone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     z.groupBy("list").agg(F.array_join(F.transform(F.sort_array(F.collect_list("z")), lambda r: r["t"]), "\n").alias("value")).write.partitionBy("list").text(path)
     found = texts.ordered_lines(spark, f"{path}/list=*/*.txt", ["zone", "provider", "colour", "zl"])
     return found.select(F.col("zone").cast("int").alias("zone"), F.col("line").cast("bigint").alias("line"), "provider", "zl")
+
+
+@query(
+    "merged_runways",
+    """
+SELECT s_suppkey AS airport, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS BIGINT) AS runways, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 4 ELSE 5 END AS BIGINT) AS points, 0.06e0 AS length FROM anchors""",
+    "anchors",
+)
+def merged_runways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runways put together from parts that share an end and go on in nearly the same direction, however they are turned."""
+    turn = F.radians(F.col("s_suppkey") * 37 % 180)
+    ahead = lambda p, angle: S.point(p["x"] + 0.02 * F.cos(angle), p["y"] + 0.02 * F.sin(angle))
+    a = anchors(spark, sf_dir).select(F.col("s_suppkey").alias("airport"), turn.alias("t"), S.point(F.lit(0.5), F.lit(0.5)).alias("p0"))
+    a = a.withColumn("p1", ahead(F.col("p0"), F.col("t"))).withColumn("p2", ahead(F.col("p1"), F.col("t") + 0.1))
+    a = a.withColumn("p3", ahead(F.col("p2"), F.when(F.col("airport") % 4 == 0, F.col("t")).otherwise(F.col("t") + 1.5)))
+    parts = a.select("airport", F.posexplode(F.array(F.array("p1", "p0"), F.array("p2", "p3"), F.array("p1", "p2"))).alias("part", "points"))
+    found = coast.runways(parts, "airport")
+    length = S.length_m("points") / G.METRES_PER_DEGREE
+    return found.groupBy("airport").agg(F.count("*").alias("runways"), F.sum(F.size("points")).alias("points"), F.round(F.sum(length), 9).alias("length"))

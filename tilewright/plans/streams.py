@@ -30,8 +30,23 @@ def distinct_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count("*").alias("kinds"))
 
 
-QUERIES = {"event_windows": event_windows, "retry_outcomes": retry_outcomes, "distinct_requests": distinct_requests}
+def staged_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that are built, fetched and converted in a chain of streams: done and pending items of each stage."""
+    events = queues.table_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
+    done = queues.chained(events, [
+        ("built", lambda df: df.where(F.col("event_type").isin("click", "view"))),
+        ("fetched", lambda df: df.where("value >= 10")),
+        ("converted", lambda df: df.where("value < 90")),
+    ])
+    return queues.progress(spark.read.parquet(f"{sf_dir}/events.parquet"), done)
+
+
+QUERIES = {"staged_queues": staged_queues, "event_windows": event_windows, "retry_outcomes": retry_outcomes, "distinct_requests": distinct_requests}
 SQL = {
+    "staged_queues": """
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (event_type IN ('click', 'view')) AS b, count(*) FILTER (event_type IN ('click', 'view') AND value >= 10) AS c,
+  count(*) FILTER (event_type IN ('click', 'view') AND value >= 10 AND value < 90) AS d FROM events)
+SELECT 0 AS stage, 'built' AS name, b AS done, a - b AS pending FROM n UNION ALL SELECT 1, 'fetched', c, b - c FROM n UNION ALL SELECT 2, 'converted', d, c - d FROM n""",
     "event_windows": """
 WITH w AS (SELECT time_bucket(INTERVAL 6 hours, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type, n FROM w

@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tilewright.session import scratch_path, written
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now into Parquet in the shared folder, and reads that."""
-    out, state = scratch_path(stream.sparkSession, name), scratch_path(stream.sparkSession, f"{name}-state")
+def drain(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now into Parquet in the shared folder (at ``out``, if it is given), and reads that."""
+    state = scratch_path(stream.sparkSession, f"{name}-state")
+    out = out or scratch_path(stream.sparkSession, name)
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
@@ -78,3 +79,27 @@ def with_second_run(requests: DataFrame, work) -> DataFrame:
     second = work(first.where("NOT complete").drop("complete"), 2)
     out = first.where("complete").withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.when(F.col("complete"), F.lit(2))))
     return out.select("request", "run", F.when(F.col("complete"), "done").otherwise("incomplete").alias("state"))
+
+
+def chained(stream: DataFrame, stages: list[tuple[str, object]]) -> dict[str, DataFrame]:
+    """What each stage of a chain gave: a stage is a function of the stream that the one before it wrote.
+
+    A stage ends when the one before has ended and all of its output is taken. Each has a checkpoint
+    of its own, so a stage that is started again goes on where it stopped.
+    """
+    out, spark = {}, stream.sparkSession
+    for name, stage in stages:
+        path = scratch_path(spark, name)
+        out[name] = drain(stage(stream), name, out=path)
+        stream = spark.readStream.schema(out[name].schema).parquet(path)
+    return out
+
+
+def progress(asked: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
+    """stage, done, pending: how many items each stage of a chain has given, and how many of the one before it has not."""
+    rows, before = None, asked.agg(F.count("*").alias("before"))
+    for i, (name, df) in enumerate(done.items()):
+        n = df.agg(F.count("*").alias("done"))
+        row = n.crossJoin(before).select(F.lit(i).alias("stage"), F.lit(name).alias("name"), "done", (F.col("before") - F.col("done")).alias("pending"))
+        rows, before = row if rows is None else rows.unionByName(row), n.select(F.col("done").alias("before"))
+    return rows
