@@ -70,3 +70,8 @@ def inner_cell(cells: DataFrame, *group: str) -> DataFrame:
     rows = cells.groupBy(*group, "row").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("col")).alias("cols"))  # a row of a grid is of a set size
     best = rows.groupBy(*group).agg(F.min_by(F.struct("row", "cols"), F.struct(-F.col("n"), "row")).alias("b"))
     return best.select(*group, "b.row", F.element_at("b.cols", F.floor((F.size("b.cols") + 1) / 2).cast("int")).alias("col"))
+
+
+def less(cells: DataFrame, others: DataFrame, *group: str) -> DataFrame:
+    """The cells of each polygon that no polygon of ``others`` in its group has."""
+    return cells.join(others.select(*group, "row", "col"), [*group, "row", "col"], "left_anti")

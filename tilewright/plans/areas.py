@@ -192,3 +192,33 @@ def tile_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = rings.arrangement(seg, "tile", 0.1)
     size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
     return pieces.groupBy("tile").agg(F.count("*").alias("pieces"), F.round(F.sum(size), 6).alias("length"))
+
+
+@query(
+    "surfaces_left",
+    _WAY_CELLS + """
+, odd AS (SELECT DISTINCT way // 100 AS area, r, c FROM cell WHERE way % 10 = 7)
+SELECT way, count(*) AS cells FROM cell WHERE way % 2 = 0 AND NOT EXISTS (SELECT 1 FROM odd WHERE odd.area = cell.way // 100 AND odd.r = cell.r AND odd.c = cell.c) GROUP BY way""",
+    "way_nodes",
+)
+def surfaces_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each even way's surface less all surfaces of its area whose number ends in seven."""
+    cells = areas.cells_of(_rings(spark, sf_dir), "ring", CELLS, "way").withColumn("area", F.floor(F.col("way") / 100))
+    left = areas.less(cells.where("way % 2 = 0"), cells.where("way % 10 = 7"), "area")
+    return left.groupBy("way").agg(F.count("*").alias("cells"))
+
+
+@query(
+    "airport_boundaries",
+    _WAY_CELLS + """
+, m AS (SELECT o_custkey AS airport, o_orderstatus AS kind, r, c FROM orders JOIN cell ON way = o_orderkey)
+SELECT airport, count(DISTINCT (r, c)) AS cells, count(DISTINCT CASE WHEN kind = 'O' THEN (r, c) END) AS given, min(r) AS south, max(r) AS north, min(c) AS west, max(c) AS east FROM m GROUP BY airport""",
+    "way_nodes",
+)
+def airport_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of airports: the union of the one that is given and of all their surfaces, with its bounds."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_custkey").alias("airport"), (F.col("o_orderstatus") == "O").alias("given"))
+    cells = areas.cells_of(_rings(spark, sf_dir).join(own, "way"), "ring", CELLS, "airport", "given")
+    m = areas.combined(cells, F.col("given"), "airport")
+    return m.groupBy("airport").agg(
+        F.count("*").alias("cells"), F.count(F.when(F.col("in_b"), 1)).alias("given"), F.min("row").alias("south"), F.max("row").alias("north"), F.min("col").alias("west"), F.max("col").alias("east"))
