@@ -50,12 +50,11 @@ def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
 def all_within(places: DataFrame, anchors: DataFrame, radius_m: float, size: float = 1.0) -> DataFrame:
     """Rows of places (lon, lat) with rows of anchors (lon, lat) strictly within the radius, and ``metres`` between them.
 
-    Anchors are dealt to all cells within reach; the reach in degrees of longitude is taken at the
-    anchor's latitude plus the radius, and wraps around the date line.
+    Anchors are dealt to all cells within reach, around the date line and over the poles.
     """
     dy = radius_m / METRES_PER_DEGREE
-    edge = F.least(F.abs(F.col("a_lat")) + dy, F.lit(89.9))
-    dx = F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(dy))) / F.cos(F.radians(edge))))) + 1e-9)
+    far = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(dy))) / F.cos(F.radians("a_lat"))))) + 1e-9
+    dx = F.when(F.abs("a_lat") + dy >= 90, 180.0).otherwise(far)  # all around where the pole is in reach
     n = int(round(360 / size))
     a = anchors.withColumnsRenamed({"lon": "a_lon", "lat": "a_lat"})
     cells = F.sequence(F.floor((F.col("a_lon") - dx + 180) / size), F.floor((F.col("a_lon") + dx + 180) / size))

@@ -92,7 +92,7 @@ def raster_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 , c AS (SELECT *, floor(px) AS c, floor(py) AS r, px-floor(px) AS u, py-floor(py) AS v FROM place)
 , k AS (SELECT event_id, r AS row, c AS col, 1-greatest(u,v) AS w FROM c UNION ALL SELECT event_id, r+1, c+1, least(u,v) FROM c UNION ALL SELECT event_id, CASE WHEN u >= v THEN r ELSE r+1 END, CASE WHEN u >= v THEN c+1 ELSE c END, abs(u-v) FROM c)
 , j AS (SELECT k.event_id, sum(value*w) AS v, count(*) = count(value) AS whole FROM k LEFT JOIN raster USING (row, col) WHERE w > 0 GROUP BY k.event_id)
-SELECT event_id, CASE WHEN whole THEN round(v, 6) END AS altitude FROM j""",
+SELECT event_id, CASE WHEN whole THEN round(v + 1e-9, 6) END AS altitude FROM j""",
     "points", "raster",
 )
 def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def raster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         points(spark, sf_dir).select("event_id", "lon", "lat").crossJoin(_extent(spark, sf_dir)), raster(spark, sf_dir), "event_id",
         (F.col("lon") + 180) / 360 * F.col("last_col"), (90 - F.col("lat")) / 180 * F.col("last_row"),
     )
-    return out.select("event_id", F.round("value", 6).alias("altitude"))
+    return out.select("event_id", F.round(F.col("value") + 1e-9, 6).alias("altitude"))  # halves of the last digit go one way
 
 
 @query(
