@@ -49,7 +49,7 @@ def test_hard_texts_and_extra_columns(spark, tmp_path, tik):
 def test_small_blocks_round_trip(spark, tik, block):
     texts = [t or "" for t in HARD for _ in range(3)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=block, common=block % 7)  # with no words folded ahead, and some
+    tokens = m.encode(df, PATH, public_tokenizers.PATTERN, block=block, common=block % 7, most=1 + block // 10)  # with no words folded ahead, and some; numbered anew often and seldom
     assert {r["doc_id"]: r["ids"] for r in tokens.collect()} == {i: tik.encode_ordinary(t) for i, t in enumerate(texts)}
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in m.decode(tokens, PATH).collect()} == dict(enumerate(texts))
 

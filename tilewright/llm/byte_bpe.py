@@ -2,13 +2,13 @@
 
 Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each block:
 
-1. A block's texts are cut by the pattern into words, in an Arrow batch. The row holds the distinct
-   words of the block as byte arrays, and its documents as lists of word numbers. Nothing is kept
-   from one block to the next. Words of more than ``LONG`` bytes are cut further where no token of
-   the vocabulary can stand across the place, so no merge could cross it either. The most common
-   words, at most ``COMMON`` of a sample of ``SAMPLE_CHARS`` characters over all partitions, are
-   folded once for all tasks; they come with their ids. That only saves work: any other word is
-   folded in its block.
+1. A block's texts are cut by the pattern into words, in an Arrow batch. The row holds the words that
+   the task hasn't met before as byte arrays, and the block's documents as lists of word numbers.
+   Numbers start anew when there are ``WORDS`` of them. Words of more than ``LONG`` bytes are cut
+   further where no token of the vocabulary can stand across the place, so no merge could cross it
+   either. The most common words, at most ``COMMON`` of a sample of ``SAMPLE_CHARS`` characters over
+   all partitions, are folded once for all tasks; they come with their ids. That only saves work: any
+   other word is folded in its task.
 2. Spark's higher-order functions fold the ranked merges over each word's byte array. The state holds
    tokens and the ranks of adjacent pairs in turn; each step merges the leftmost pair of the least
    rank and looks up the two pairs that arise. The ranks are a literal: a perfect hash table from a
@@ -16,8 +16,8 @@ Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each
    that can't be cut take all pairs of the least rank in one step, where that gives the same.
 3. The ids of the words replace the words' numbers in the documents, in numpy, and one row for each goes on.
 
-Rows stay in their partition, so no text is shuffled, a block bounds the memory, and a lost task is
-run again by itself. Decoding concatenates the binary pieces of the ids.
+Rows stay in their partition and in order, so no text is shuffled, a block and the words bound the
+memory, and a lost task is run again by itself. Decoding concatenates the binary pieces of the ids.
 
 Null text counts as empty, with no ids. Null or repeated ids, repeated rows and extra columns do no
 harm: rows are encoded one by one. A very long text is a block of its own. An empty table gives an
@@ -30,6 +30,7 @@ import base64
 import collections
 import functools
 import hashlib
+import itertools
 import json
 import re
 
@@ -43,6 +44,8 @@ from tilewright.llm.tokens import KEPT, pieces_of
 from tilewright.session import table
 
 BLOCK = 1_000_000
+#: Words that a task keeps by number before it starts anew.
+WORDS = 300_000
 #: Bytes from which a word is cut where no token can stand across, and folded in wide steps.
 LONG = 64
 #: Words that are folded ahead, and the characters of the sample that they are counted in.
@@ -310,8 +313,11 @@ def common_words(docs: DataFrame, path: str, pattern: str, most: int = COMMON, s
     return out
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[bytes, bytes]) -> DataFrame:
-    """words: the distinct words of a block as byte values, null for those whose ids come in known; docs: its documents as numbers of words."""
+def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[bytes, bytes], most: int) -> DataFrame:
+    """words: the new words of a block as byte values, null for those whose ids come in known; docs: its documents as numbers of words.
+
+    Words are numbered in the order in which the task's rows bring them, from 0 again where ``anew`` is true.
+    """
 
     def cut_blocks(batches):
         import regex
@@ -328,14 +334,16 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[b
                 out = self[chunk] = np.array(found, np.int32).tobytes()
                 return out
 
-        known, ids, numbers, held = Numbers(), [], [], 0
+        known, ids, numbers, held, sent = Numbers(), [], [], 0, 0
 
         def row():
-            given = [common.get(w) for w in words]
-            new = [w if g is None else None for w, g in zip(words, given)]
+            some = list(itertools.islice(words, sent, None))
+            given = [common.get(w) for w in some]
+            new = [w if g is None else None for w, g in zip(some, given)]
             rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), _id_list(numbers)], ["doc_id", "numbers"])
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([whole(_word_list(new)), whole(_id_list(given)), whole(rows)], ["words", "known", "docs"])
+            columns = [whole(_word_list(new)), whole(_id_list(given)), whole(rows), pa.array([sent == 0])]
+            return pa.RecordBatch.from_arrays(columns, ["words", "known", "docs", "anew"])
 
         for whole in batches:
             for batch in pieces_of(whole, 200):
@@ -346,16 +354,19 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[b
                     held += len(text) + 64
                     if held >= block:
                         yield row()
-                        words.clear(), known.clear(), ids.clear(), numbers.clear()
-                        held = 0
+                        ids.clear(), numbers.clear()
+                        held, sent = 0, len(words)
+                        if sent >= most:
+                            words.clear(), known.clear()
+                            sent = 0
         if ids:
             yield row()
 
-    schema = "words array<array<smallint>>, known array<array<int>>, docs array<struct<doc_id: bigint, numbers: array<int>>>"
+    schema = "words array<array<smallint>>, known array<array<int>>, docs array<struct<doc_id: bigint, numbers: array<int>>>, anew boolean"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut_blocks, schema)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int, finish, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int, most: int, finish, schema: str) -> DataFrame:
     """What ``finish`` makes of (doc_ids, ends, ids) of a block: the ids of its documents, one after the other."""
     ranks = rank_literal(path)
     ahead = common_words(docs, path, pattern, common) if common else {}
@@ -366,10 +377,13 @@ def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int,
         return F.zip_with("words", "known", lambda w, k: F.coalesce(k, one(w)))
 
     def put_together(batches):
+        values, size = np.empty(0, np.int32), np.empty(0, np.int64)  # of all words so far
         for batch in batches:
             for r in range(batch.num_rows):
                 words, rows = batch.column(0).slice(r, 1).flatten(), batch.column(1).slice(r, 1).flatten()
-                values, size = words.flatten().to_numpy(), words.value_lengths().to_numpy().astype(np.int64)
+                kept = not batch.column(2)[r].as_py()
+                values = np.concatenate([values[: len(values) * kept], words.flatten().to_numpy()])
+                size = np.concatenate([size[: len(size) * kept], words.value_lengths().to_numpy().astype(np.int64)])
                 lists = rows.field("numbers")
                 number = lists.flatten().to_numpy()
                 ends = np.concatenate([[0], np.cumsum(size[number])])
@@ -378,18 +392,18 @@ def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int,
                 upto = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])]
                 yield finish(rows.field("doc_id"), upto, values[at])
 
-    folded = _blocks(docs, path, pattern, block, ahead).select(let(ranks.map, ids_of).alias("ids"), "docs")
+    folded = _blocks(docs, path, pattern, block, ahead, most).select(let(ranks.map, ids_of).alias("ids"), "docs", "anew")
     return folded.mapInArrow(put_together, schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common: int = COMMON) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block: int = BLOCK, common: int = COMMON, most: int = WORDS) -> DataFrame:
     """doc_id, ids: the token ids of each row's whole text, without special tokens."""
 
     def finish(doc_ids: pa.Array, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
 
-    return _encoded(docs, path, pattern, block, common, finish, "doc_id bigint, ids array<int>")
+    return _encoded(docs, path, pattern, block, common, most, finish, "doc_id bigint, ids array<int>")
 
 
 def joined(ids: list[int], pieces: tuple[bytes, ...]) -> bytes:
@@ -429,4 +443,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([doc_ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, COMMON, digests, schema)
+    return _encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, BLOCK, COMMON, WORDS, digests, schema)
