@@ -6,6 +6,7 @@ from tilewright.llm import (
     byte_bpe,
     cap_filters,
     chat_format,
+    decontamination,
     language,
     license_scan,
     onebit_ann,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_best_fit_packing": packing.query,
     "op10_language": language.query,
+    "op11_decontamination": decontamination.query,
 }
 SQL = {
     "op4_cap_filters": cap_filters.SQL,
