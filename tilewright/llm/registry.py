@@ -11,6 +11,7 @@ from tilewright.llm import (
     license_scan,
     onebit_ann,
     packing,
+    prefix_trie,
     quality,
     simhash,
     token_files,
@@ -28,8 +29,10 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_language": language.query,
     "op11_decontamination": decontamination.query,
+    "op12_prefix_trie": prefix_trie.query,
 }
 SQL = {
     "op4_cap_filters": cap_filters.SQL,
     "op6_chat_format": chat_format.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
