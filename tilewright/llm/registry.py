@@ -7,6 +7,7 @@ from tilewright.llm import (
     cap_filters,
     chat_format,
     decontamination,
+    hard_negatives,
     language,
     license_scan,
     onebit_ann,
@@ -30,9 +31,11 @@ QUERIES = {
     "op10_language": language.query,
     "op11_decontamination": decontamination.query,
     "op12_prefix_trie": prefix_trie.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 SQL = {
     "op4_cap_filters": cap_filters.SQL,
     "op6_chat_format": chat_format.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
