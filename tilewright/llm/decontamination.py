@@ -165,6 +165,14 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, wanted), len(values) - 1)] == wanted
 
 
+def _around(values: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
+    """Those of the sorted ``values`` within ``reach`` of one of the sorted ``places``, of which there are few."""
+    first, last = np.searchsorted(values, places - reach), np.searchsorted(values, places + reach, side="right")
+    first = np.maximum(first, np.concatenate([[0], last[:-1]]))  # none twice
+    count = np.maximum(last - first, 0)
+    return values[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
 def _close(values: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
     """Which of ``wanted`` have one of the sorted ``values`` within ``reach``."""
     return np.searchsorted(values, wanted - reach) < np.searchsorted(values, wanted + reach, side="right")
@@ -177,7 +185,7 @@ def smallest_stretches(lists: dict[str, np.ndarray], phrase: list[str], around:
     are looked at.
     """
     need = Counter(phrase)
-    near = {w: lists[w][_close(around, lists[w], within)] for w in need}
+    near = {w: _around(lists[w], around, within) for w in need}
     if not all(len(x) for x in near.values()):
         return np.empty(0, np.int64)
     place = np.concatenate(list(near.values()))
@@ -255,7 +263,8 @@ def search(index: Index, phrases: DataFrame, within: int | None = None, lead: in
     blocks = max(1, -(-plan.count() // block))
     plan = plan.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int"))
     unknown = F.lit(None).cast("binary")
-    rows = index.postings.select("shard", "term").join(plan.drop("terms"), "term")
+    first = written(plan.select("term").distinct(), "rarest-terms")  # small, so that few postings are shuffled
+    rows = index.postings.select("shard", "term").join(first, "term", "left_semi").join(plan.drop("terms"), "term")
     rows = rows.select("shard", "block", "phrase", "ranks", unknown.alias("starts"), unknown.alias("near"))
     rare = written(plan.select("block", F.explode(F.slice("terms", 1, lead)).alias("term")).distinct(), "rare-terms")
     left = written(_narrowed(index.postings.join(rare, "term"), rows, 0, lead, within), "starts")
