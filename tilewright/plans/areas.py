@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import shapes as S
-from tilewright.operators import areas, rings, ways
+from tilewright.operators import areas, planar, ways
 from tilewright.plans.fixtures import sql, triangles, way_nodes
 from tilewright.plans.lines import _M, _S, _SEG, SCALE
 from tilewright.plans.lines import SQL as _LINE_SQL
@@ -14,6 +14,8 @@ from tilewright.session import table
 
 QUERIES, SQL = {}, {}
 CELLS = 32
+#: The lattice of the ways' nodes: steps to a unit.
+STEPS = 1000
 
 
 def query(name: str, body: str | None = None, *projections: str):
@@ -174,24 +176,29 @@ def water_pre_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tile_pieces",
-    _SEG.replace("FROM way_nodes", "FROM (SELECT * FROM way_nodes WHERE way % 10 = 0)") + """
-, g AS (SELECT way // 300 AS tile, way, pos, x, y, x2, y2 FROM seg WHERE x2 IS NOT NULL)
-, p AS (SELECT a.tile, a.way AS wa, a.pos AS pa, b.way AS wb, b.pos AS pb, a.x2-a.x AS ux, a.y2-a.y AS uy, b.x-b.x2 AS vx, b.y-b.y2 AS vy, b.x-a.x AS wx, b.y-a.y AS wy FROM g a JOIN g b ON a.tile = b.tile AND (a.way, a.pos) < (b.way, b.pos))
-, k AS (SELECT *, ux*vy-uy*vx AS det, sqrt((ux*ux+uy*uy)*(vx*vx+vy*vy)) AS size FROM p)
-, c AS (SELECT *, (wx*vy-wy*vx)/det AS a, (ux*wy-uy*wx)/det AS b FROM k WHERE abs(det) > 1e-8*size AND det <> 0)
-, d AS (SELECT * FROM c WHERE a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1)
-, e AS (SELECT DISTINCT tile, wa AS way, pa AS pos, round(a, 9) AS a FROM d WHERE a > 1e-8 AND a < 1-1e-8 UNION SELECT tile, wb, pb, round(b, 9) FROM d WHERE b > 1e-8 AND b < 1-1e-8)
-, m AS (SELECT tile, count(*) AS n FROM e GROUP BY tile)
-SELECT g.tile, count(*) + coalesce(max(m.n), 0) AS pieces, round(sum(sqrt(pow(x2-x,2)+pow(y2-y,2))), 6) AS length FROM g LEFT JOIN m USING (tile) GROUP BY g.tile""",
+    _SEG + """
+, i AS (SELECT way // 30 AS tile, way, pos, CAST(round(x*1000) AS BIGINT) AS x, CAST(round(y*1000) AS BIGINT) AS y, CAST(round(x2*1000) AS BIGINT) AS x2, CAST(round(y2*1000) AS BIGINT) AS y2, kind FROM seg WHERE x2 IS NOT NULL)
+, g AS (SELECT * FROM i WHERE x <> x2 OR y <> y2)
+, p AS (SELECT a.tile, a.way, a.pos, a.x, a.y, b.x AS qx, b.y AS qy, a.x2-a.x AS ux, a.y2-a.y AS uy, b.x2-b.x AS vx, b.y2-b.y AS vy, b.x-a.x AS wx, b.y-a.y AS wy FROM g a JOIN g b ON a.tile = b.tile AND (a.way, a.pos) <> (b.way, b.pos))
+, k AS (SELECT *, ux*vy-uy*vx AS det, wx*vy-wy*vx AS s, wx*uy-wy*ux AS t, ux*ux+uy*uy AS long FROM p)
+, m AS (SELECT *, s*sign(det) AS s1, t*sign(det) AS t1, abs(det) AS d FROM k)
+, c AS (SELECT tile, way, pos, s1/d AS a, x*d+s1*ux AS xn, y*d+s1*uy AS yn, d FROM m WHERE d > 0 AND s1 BETWEEN 0 AND d AND t1 BETWEEN 0 AND d
+  UNION ALL SELECT tile, way, pos, (wx*ux+wy*uy)/long, qx, qy, 1 FROM m WHERE d = 0 AND t = 0
+  UNION ALL SELECT tile, way, pos, ((wx+vx)*ux+(wy+vy)*uy)/long, qx+vx, qy+vy, 1 FROM m WHERE d = 0 AND t = 0
+  UNION ALL SELECT tile, way, pos, 0, x, y, 1 FROM g UNION ALL SELECT tile, way, pos, 1, x2, y2, 1 FROM g)
+, stop AS (SELECT tile, way, pos, a, xn/d AS x, yn/d AS y, (xn // gcd(xn, d), d // gcd(xn, d), yn // gcd(yn, d), d // gcd(yn, d)) AS place FROM c WHERE a BETWEEN 0 AND 1)
+, part AS (SELECT *, lead(place) OVER w AS place2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM stop WINDOW w AS (PARTITION BY tile, way, pos ORDER BY a))
+, once AS (SELECT tile, least(place, place2) AS e, greatest(place, place2) AS f, bit_or(kind) AS flags, any_value(sqrt(pow(part.x2-part.x,2)+pow(part.y2-part.y,2))) AS size FROM part JOIN (SELECT tile, way, pos, kind FROM g) USING (tile, way, pos) WHERE place2 IS NOT NULL AND place <> place2 GROUP BY 1, 2, 3)
+SELECT tile, count(*) AS pieces, CAST(sum(flags) AS BIGINT) AS flags, round(sum(size)/1000, 4) AS length FROM once GROUP BY tile""",
     "way_nodes",
 )
 def tile_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments of all ways of a tile (every tenth way is a main line) cut where they cross each other, in one arrangement for each tile."""
-    n = way_nodes(spark, sf_dir).where("way % 10 = 0")
-    seg = ways.segments(n, "way", "pos", "kind").select(F.floor(F.col("way") / 300).alias("tile"), (F.col("way") * 1000 + F.col("pos")).alias("id"), "x", "y", "x2", "y2", F.col("kind").alias("flags"))
-    pieces = rings.arrangement(seg, "tile", 0.1)
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
-    return pieces.groupBy("tile").agg(F.count("*").alias("pieces"), F.round(F.sum(size), 6).alias("length"))
+    """The segments of all ways of a tile in one arrangement: cut where they meet, and where they overlap along a line one piece with the flags of all."""
+    seg = ways.segments(way_nodes(spark, sf_dir), "way", "pos", "kind").withColumn("tile", F.floor(F.col("way") / 30))
+    found = planar.stretches(planar.on_lattice(seg, STEPS), "tile", flags="kind", bits=3)
+    cut = planar.pieces(found, "tile", size=STEPS // 4)
+    size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2)) / STEPS
+    return cut.groupBy("tile").agg(F.count("*").alias("pieces"), F.sum("flags").alias("flags"), F.round(F.sum(size), 4).alias("length"))
 
 
 @query(
