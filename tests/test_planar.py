@@ -106,3 +106,27 @@ def test_polygon_rings_add_up(spark, sf_dir):
     rings = {(r["kind"], r["id"]): r for r in QUERIES["polygon_rings"](spark, sf_dir).collect()}
     assert set(rings) == {k for k, v in area.items() if v > 0}
     assert all(abs(r["area"] - area[k]) < 1e-7 and r["parts"] > 0 and r["largest"] <= r["length"] ** 2 / 12 for k, r in rings.items())
+
+
+def test_cells_keep_a_callers_columns(spark):
+    from tilewright.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.5, 0.5, 7, 8), (2, None, 0.5, 7, 8)], "id int, lon double, lat double, _cx int, _cy_ int")
+    boxes = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, 9)], "x0 double, y0 double, x1 double, y1 double, _CY int")
+    (row,) = spatial.points_in_boxes(points, boxes, 0.3).collect()
+    assert (row["id"], row["_cx"], row["_cy_"], row["_CY"]) == (1, 7, 8, 9)
+    assert {r["id"]: (r["_cx"], len(r["_boxes"] or [])) for r in spatial.with_boxes(points, boxes, 0.3).collect()} == {1: (7, 1), 2: (7, 0)}
+    near = spatial.all_within(points, points.selectExpr("id near", "lon", "lat").where("lon IS NOT NULL"), 1000.0).collect()
+    assert [(r["id"], r["near"], r["_cx"]) for r in near] == [(1, 1, 7)]
+
+
+def test_nulls_in_rings_and_profiles(spark):
+    from tilewright.operators import rings
+
+    rows = [(1, 1, [1, 2]), (1, 2, [2, 1]), (2, 1, [1, None]), (2, 2, [None, 1]), (3, 1, []), (3, 2, [4, 5, 4]), (None, 1, [1, 2, 1]), (4, 1, None)]
+    got = rings.assemble(spark.createDataFrame(rows, "k int, fragment int, nodes array<long>"), "k").collect()
+    assert [(r["k"], r["nodes"]) for r in got] == [(1, [1, 2, 1])]
+    lines = [([0.0, 1.0, 2.0, 3.0], [1.0, None, 5.0, 9.0], [1.0, 1.0, 1.0, 0.0]), ([], [], []), (None, [1.0], [1.0])]
+    df = spark.createDataFrame(lines, "x array<double>, z array<double>, w array<double>")
+    fit = [r["k"] for r in df.select(rings.fit_profile("x", "z", "w").alias("k")).collect()]
+    assert np.allclose(fit[0], [2.0, 1.0]) and fit[1:] == [[], []]

@@ -13,10 +13,12 @@ def assemble(fragments: DataFrame, key: str) -> DataFrame:
     """key, ring number, nodes: closed rings of the fragments (key, fragment, nodes) that meet end to end.
 
     Every end must belong to exactly two fragments (a closed fragment is a ring by itself); otherwise
-    the whole key is left out. Fragments are turned round as needed.
+    the whole key is left out, as it is where an end is null or a fragment has no nodes. Fragments are
+    turned round as needed; rows of a null key are left out, other columns ignored.
     """
-    ends = fragments.select(key, F.explode(F.array(F.element_at("nodes", 1), F.element_at("nodes", -1))).alias("end"))
-    odd = ends.groupBy(key, "end").agg(F.count("*").alias("n")).where("n <> 2").select(key).distinct()
+    fragments = fragments.where(F.col(key).isNotNull())
+    ends = fragments.select(key, F.explode(F.array(F.get("nodes", F.lit(0)), F.get("nodes", F.size("nodes") - 1))).alias("end"))
+    odd = ends.groupBy(key, "end").agg(F.count("*").alias("n")).where("n <> 2 OR end IS NULL").select(key).distinct()
 
     whole = fragments.join(odd, key, "left_anti").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("fragment", "nodes"))).alias("f"))
     found = whole.select(key, _joined(F.transform("f", lambda f: f["nodes"])).alias("rings"))
@@ -47,9 +49,22 @@ def _joined(fragments: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def fit_profile(x: pd.Series, z: pd.Series) -> pd.Series:
-    """Coefficients, the highest first, of the least-squares polynomial of degree 7 at most through (x, z)."""
-    return pd.Series([np.polyfit(a, b, min(7, len(np.unique(a)) - 1)) if len(a) else np.empty(0) for a, b in zip(x, z)])
+def fit_profile(x: pd.Series, z: pd.Series, weight: pd.Series) -> pd.Series:
+    """Coefficients, the highest first, of the least-squares polynomial of degree 7 at most through (x, z) with weights.
+
+    Points of which x, z or the weight is null, or the weight not above zero, are left out; without points there are no coefficients.
+    """
+
+    def fit(*lists) -> np.ndarray:
+        if any(v is None for v in lists):
+            return np.empty(0)
+        a, b, w = (np.array([np.nan if u is None else u for u in v], float) for v in lists)
+        good = np.isfinite(a) & np.isfinite(b) & (w > 0)
+        if not good.any():
+            return np.empty(0)
+        return np.polyfit(a[good], b[good], min(7, len(np.unique(a[good])) - 1), w=np.sqrt(w[good]))
+
+    return pd.Series([fit(*row) for row in zip(x, z, weight)])
 
 
 def evaluate(coefficients, x):
@@ -101,18 +116,20 @@ def in_cells(segments: DataFrame, size: float) -> DataFrame:
     return out.withColumns({"cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
 
 
-def arrangement(segments: DataFrame, tile: str, size: float, eps: float = 1e-8) -> DataFrame:
+def arrangement(segments: DataFrame, tile: str, size: float | None, eps: float = 1e-8) -> DataFrame:
     """Pieces of a tile's segments between their crossings: tile, id, piece, x, y, x2, y2, flags.
 
     ``segments`` has tile, id, x, y, x2, y2, flags. Segments meet in the grid cells of ``size`` that
     they pass, so a pair is looked at only where both pass near each other; ``size`` should be about the
-    length of a segment. Segments that overlap along a line are not split.
+    length of a segment. Without a size all segments of a tile meet, which is best where they are few.
+    Segments that overlap along a line are not split (``planar.pieces`` splits them, on a lattice).
     """
     from tilewright.functions.shapes import crossing, point
 
     c = F.col
-    one, two = (in_cells(segments, size).alias(a) for a in "pq")
-    met = one.join(two, (c(f"p.{tile}") == c(f"q.{tile}")) & (c("p.cx") == c("q.cx")) & (c("p.cy") == c("q.cy")) & (c("p.id") < c("q.id")))
+    one, two = ((in_cells(segments, size) if size else segments).alias(a) for a in "pq")
+    on = (c(f"p.{tile}") == c(f"q.{tile}")) & (c("p.id") < c("q.id"))
+    met = one.join(two, on & (c("p.cx") == c("q.cx")) & (c("p.cy") == c("q.cy")) if size else on)
     ends = lambda t: (point(c(f"{t}.x"), c(f"{t}.y")), point(c(f"{t}.x2"), c(f"{t}.y2")))
     met = met.withColumn("k", crossing(*ends("p"), *ends("q"), eps)).where("k IS NOT NULL")
     cuts = met.select(

@@ -1,6 +1,10 @@
 """Spatial joins over grid cells: boxes are dealt to the cells they touch and joined by equality.
 
 Nothing is broadcast by decree and no pairs are formed beyond a cell's; Spark picks the join.
+
+Places with a null coordinate are near and inside nothing, boxes with a null bound hold nothing; rows that
+repeat are rows of their own. Columns of the inputs keep their names, whatever they are; names that both
+sides have come twice, as in any join. Empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -11,23 +15,31 @@ from pyspark.sql import functions as F
 from tilewright.functions.geodesy import METRES_PER_DEGREE, haversine
 
 
-def with_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    """A row for each grid cell (_cx, _cy) that the box of a row touches."""
+def cell_names(*tables: DataFrame) -> tuple[str, str]:
+    """Names for the columns of grid cells that none of the tables has."""
+    taken, tail = {c.lower() for t in tables for c in t.columns}, ""
+    while {f"_cx{tail}", f"_cy{tail}"} & taken:
+        tail += "_"
+    return f"_cx{tail}", f"_cy{tail}"
+
+
+def with_cells(boxes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float, names: tuple[str, str] = ("_cx", "_cy")) -> DataFrame:
+    """A row for each grid cell (columns of these names) that the box of a row touches."""
     span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
-    out = boxes.withColumn("_cx", F.explode(span(x0, x1)))
-    return out.withColumn("_cy", F.explode(span(y0, y1)))
+    return boxes.withColumn(names[0], F.explode(span(x0, x1))).withColumn(names[1], F.explode(span(y0, y1)))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, how: str = "inner") -> DataFrame:
     """Rows of points (lon, lat) with rows of boxes (x0, y0, x1, y1) that hold them, bounds included."""
-    cells = with_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
-    dealt = points.withColumn("_cx", F.floor(F.col("lon") / size)).withColumn("_cy", F.floor(F.col("lat") / size))
+    cx, cy = names = cell_names(points, boxes)
+    cells = with_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, names)
+    dealt = points.withColumn(cx, F.floor(F.col("lon") / size)).withColumn(cy, F.floor(F.col("lat") / size))
     inside = (
-        (dealt["_cx"] == cells["_cx"]) & (dealt["_cy"] == cells["_cy"])
+        (dealt[cx] == cells[cx]) & (dealt[cy] == cells[cy])
         & dealt["lon"].between(cells["x0"], cells["x1"]) & dealt["lat"].between(cells["y0"], cells["y1"])
     )
     out = dealt.join(cells, inside, how)
-    drop = [dealt["_cx"], dealt["_cy"]] + ([] if how in ("left_semi", "left_anti") else [cells["_cx"], cells["_cy"]])
+    drop = [dealt[cx], dealt[cy]] + ([] if how in ("left_semi", "left_anti") else [cells[cx], cells[cy]])
     return out.drop(*drop)
 
 
@@ -36,7 +48,7 @@ def overlapping_boxes(boxes: DataFrame, key: str, size: float) -> DataFrame:
 
     A pair is taken in the one cell that holds the lower left corner of its common part.
     """
-    cells = with_cells(boxes.select(key, "x0", "y0", "x1", "y1"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
+    cells = with_cells(boxes.select(key, "x0", "y0", "x1", "y1"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, ("_cx", "_cy"))
     a, b = cells.alias("a"), cells.alias("b")
     c = F.col
     meet = (
@@ -57,12 +69,13 @@ def all_within(places: DataFrame, anchors: DataFrame, radius_m: float, size: flo
     dx = F.when(F.abs("a_lat") + dy >= 90, 180.0).otherwise(far)  # all around where the pole is in reach
     n = int(round(360 / size))
     a = anchors.withColumnsRenamed({"lon": "a_lon", "lat": "a_lat"})
+    cx, cy = cell_names(places, a)
     cells = F.sequence(F.floor((F.col("a_lon") - dx + 180) / size), F.floor((F.col("a_lon") + dx + 180) / size))
-    a = a.withColumn("_cx", F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.lit(n))))))
-    a = a.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("a_lat") - dy) / size), F.floor((F.col("a_lat") + dy) / size))))
-    p = places.withColumn("_cx", F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(n))).withColumn("_cy", F.floor(F.col("lat") / size))
-    near = p.join(a, ["_cx", "_cy"]).withColumn("metres", haversine("lon", "lat", "a_lon", "a_lat"))
-    return near.where(F.col("metres") < radius_m).drop("_cx", "_cy")
+    a = a.withColumn(cx, F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.lit(n))))))
+    a = a.withColumn(cy, F.explode(F.sequence(F.floor((F.col("a_lat") - dy) / size), F.floor((F.col("a_lat") + dy) / size))))
+    p = places.withColumn(cx, F.pmod(F.floor((F.col("lon") + 180) / size), F.lit(n))).withColumn(cy, F.floor(F.col("lat") / size))
+    near = p.join(a, [cx, cy]).withColumn("metres", haversine("lon", "lat", "a_lon", "a_lat"))
+    return near.where(F.col("metres") < radius_m).drop(cx, cy)
 
 
 def nearest_within(places: DataFrame, anchors: DataFrame, key: str, anchor: str, radius_m: float, size: float = 1.0) -> DataFrame:
@@ -83,9 +96,10 @@ def with_boxes(points: DataFrame, boxes: DataFrame, size: float, *more: str) ->
     The boxes of a grid cell are one row, so each point is joined once; where boxes are few, Spark
     sends them to the points and shuffles none.
     """
-    cells = with_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)
-    gathered = cells.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", *more)).alias("_boxes"))
-    dealt = points.withColumn("_cx", F.floor(F.col("lon") / size)).withColumn("_cy", F.floor(F.col("lat") / size))
+    cx, cy = names = cell_names(points, boxes)
+    cells = with_cells(boxes, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size, names)
+    gathered = cells.groupBy(cx, cy).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", *more)).alias("_boxes"))
+    dealt = points.withColumn(cx, F.floor(F.col("lon") / size)).withColumn(cy, F.floor(F.col("lat") / size))
     lon, lat = F.col("lon"), F.col("lat")
     held = F.filter("_boxes", lambda b: lon.between(b["x0"], b["x1"]) & lat.between(b["y0"], b["y1"]))
-    return dealt.join(gathered, ["_cx", "_cy"], "left").withColumn("_boxes", F.when(F.col("_boxes").isNotNull(), held)).drop("_cx", "_cy")
+    return dealt.join(gathered, [cx, cy], "left").withColumn("_boxes", F.when(F.col("_boxes").isNotNull(), held)).drop(cx, cy)

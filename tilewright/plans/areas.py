@@ -113,7 +113,7 @@ def area_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "buffered_areas",
     _WAY_CELLS + """
-, a AS (SELECT DISTINCT way // 1000 AS area, r, c FROM cell WHERE way % 25 = 0)
+, a AS (SELECT DISTINCT way // 40 AS area, r, c FROM cell)
 , g AS (SELECT DISTINCT area, r + dr AS r, c + dc AS c FROM a, range(-3, 4) AS t(dr), range(-3, 4) AS u(dc))
 , s AS (SELECT area, r + dr AS r, c + dc AS c FROM g, range(-1, 2) AS t(dr), range(-1, 2) AS u(dc) GROUP BY ALL HAVING count(*) = 9)
 SELECT area, count(*) AS cells, min(r) AS top, max(c) AS east FROM s GROUP BY area""",
@@ -121,7 +121,7 @@ SELECT area, count(*) AS cells, min(r) AS top, max(c) AS east FROM s GROUP BY ar
 )
 def buffered_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas grown by two cells, with gaps of two cells closed."""
-    some = _rings(spark, sf_dir).where("way % 25 = 0").withColumn("area", F.floor(F.col("way") / 1000))
+    some = _rings(spark, sf_dir).withColumn("area", F.floor(F.col("way") / 40))
     out = areas.buffered(areas.cells_of(some, "ring", CELLS, "area"), 2, 1, "area")
     return out.groupBy("area").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.max("col").alias("east"))
 

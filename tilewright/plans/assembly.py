@@ -49,7 +49,7 @@ def way_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.expr("count(*) OVER (PARTITION BY way)")
     rows = way_nodes(spark, sf_dir).withColumn("t", F.when(n == 1, F.lit(0.0)).otherwise((F.col("pos") - 1) / (n - 1)))
     each = rows.groupBy("way").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "z"))).alias("p"))
-    fit = each.select("way", rings.fit_profile(F.transform("p", lambda q: q["t"]), F.transform("p", lambda q: q["z"])).alias("k"))
+    fit = each.select("way", rings.fit_profile(F.transform("p", lambda q: q["t"]), F.transform("p", lambda q: q["z"]), F.transform("p", lambda q: F.lit(1.0))).alias("k"))
     return fit.select("way", F.round(rings.evaluate("k", F.lit(0.5)), 6).alias("middle"))
 
 
@@ -86,7 +86,7 @@ SELECT s.way, count(*) + coalesce(max(m.n), 0) AS pieces, round(sum(sqrt(pow(x2-
 def planar_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each way's segments cut where they cross each other: number of pieces and their whole length."""
     seg = ways.segments(way_nodes(spark, sf_dir), "way", "pos", "kind").select("way", F.col("pos").alias("id"), "x", "y", "x2", "y2", F.col("kind").alias("flags"))
-    pieces = rings.arrangement(seg, "way", 0.25)
+    pieces = rings.arrangement(seg, "way", None)  # a way has few segments
     size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
     return pieces.groupBy("way").agg(F.count("*").alias("pieces"), F.round(F.sum(size), 6).alias("length"))
 

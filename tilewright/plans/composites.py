@@ -166,14 +166,13 @@ def coast_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "feature_files",
     """
-, w AS (SELECT * FROM way_nodes WHERE way % 10 = 0)
-SELECT way, count(*) AS nodes, count(DISTINCT (x, y)) AS places, round(sum(x), 6) AS sum_x FROM w GROUP BY way""",
+SELECT way, count(*) AS nodes, count(DISTINCT (x, y)) AS places, round(sum(x), 6) AS sum_x FROM way_nodes GROUP BY way""",
     "way_nodes",
 )
 def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth way with its nodes written as XML, read back, nodes of one place merged, and put together again."""
+    """All ways with their nodes written as XML, read back, nodes of one place merged, and put together again."""
     path = scratch_path(spark, "features")
-    n = way_nodes(spark, sf_dir).where("way % 10 = 0").withColumn("id", F.col("way") * 100 + F.col("pos"))
+    n = way_nodes(spark, sf_dir).withColumn("id", F.col("way") * 100 + F.col("pos"))
     tags = F.create_map(F.lit("highway"), F.col("way").cast("string")).alias("tags")
     listed = n.groupBy("way").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("p"))
     osm.write(

@@ -10,6 +10,7 @@ from tilewright.functions import shapes as S
 from tilewright.operators import areas, meshes, rasters, relations, ways
 from tilewright.plans.areas import _WAY_CELLS, CELLS, _clip_sql
 from tilewright.plans.fixtures import anchors, points, raster, sites, sql, triangles, way_nodes, zones
+from tilewright.plans.grids import _extent
 from tilewright.plans.lines import _M, _S, _SEG, SCALE
 from tilewright.session import scratch_path, table, written
 from tilewright.sources import layers
@@ -44,7 +45,7 @@ def airport_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "land_cover",
     """
-, c AS (SELECT c_custkey, CAST(abs(value) AS INT) % 45 AS code FROM (SELECT c_custkey, c_custkey % 63 AS col, c_custkey % 400 AS row FROM sites) s JOIN raster USING (row, col))
+, c AS (SELECT c_custkey, CAST(abs(value) AS INT) % 45 AS code FROM (SELECT c_custkey, c_custkey % (lc + 1) AS col, c_custkey % (lr + 1) AS row FROM sites, (SELECT max(row) AS lr, max(col) AS lc FROM raster)) s JOIN raster USING (row, col))
 SELECT c_custkey, code, CASE WHEN code < 12 THEN 'urban' WHEN code < 23 THEN 'fields' WHEN code < 35 THEN 'forest' ELSE 'water' END AS cover FROM c""",
     "sites", "raster",
 )
@@ -52,7 +53,7 @@ def land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of cover under places: the code of a raster's cell, looked up in a table of codes."""
     bounds = [(0, 12, "urban"), (12, 23, "fields"), (23, 35, "forest"), (35, 45, "water")]
     codes = spark.createDataFrame([(c, name) for a, b, name in bounds for c in range(a, b)], "code int, cover string")
-    at = sites(spark, sf_dir).select("c_custkey", (F.col("c_custkey") % 63).alias("col"), (F.col("c_custkey") % 400).alias("row"))
+    at = sites(spark, sf_dir).crossJoin(_extent(spark, sf_dir)).select("c_custkey", (F.col("c_custkey") % (F.col("last_col") + 1)).alias("col"), (F.col("c_custkey") % (F.col("last_row") + 1)).alias("row"))
     met = at.join(raster(spark, sf_dir), ["row", "col"]).select("c_custkey", (F.abs("value").cast("int") % 45).alias("code"))
     return met.join(codes, "code").select("c_custkey", "code", "cover")
 
@@ -145,7 +146,7 @@ def classified_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 , k AS (SELECT d, 3 - abs(d) AS k FROM range(-2, 3) AS r(d))
 , a AS (SELECT row, col + d AS col, sum(value*k) AS v, sum(k) AS w FROM raster, k GROUP BY row, col + d)
 , b AS (SELECT row + d AS row, col, sum(v*k) AS v, sum(w*k) AS w FROM a, k GROUP BY row + d, col)
-, apt AS (SELECT DISTINCT (s_suppkey*31)%400 + i AS row, (s_suppkey*17)%60 + j AS col FROM anchors, range(0, 8) AS t(i), range(0, 4) AS u(j))
+, apt AS (SELECT DISTINCT (s_suppkey*31)%greatest(lr-7, 1) + i AS row, (s_suppkey*17)%greatest(lc-3, 1) + j AS col FROM anchors, (SELECT max(row) AS lr, max(col) AS lc FROM raster), range(0, 8) AS t(i), range(0, 4) AS u(j))
 SELECT r.row, r.col, round(CASE WHEN apt.row IS NULL THEN r.value ELSE b.v/b.w END, 6) AS value FROM raster r JOIN b USING (row, col) LEFT JOIN apt USING (row, col)""",
     "raster", "anchors",
 )
@@ -153,8 +154,9 @@ def smoothed_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ground smoothed around airports, and as it was elsewhere."""
     ground = raster(spark, sf_dir)
     s = F.col("s_suppkey")
-    at = anchors(spark, sf_dir).select(s, F.explode(F.sequence(s * 31 % 400, s * 31 % 400 + 7)).alias("row"))
-    near = at.select("row", F.explode(F.sequence(s * 17 % 60, s * 17 % 60 + 3)).alias("col")).distinct()
+    row, col = (s * k % F.greatest(F.col(last) - reach, F.lit(1)) for k, last, reach in ((31, "last_row", 7), (17, "last_col", 3)))
+    at = anchors(spark, sf_dir).crossJoin(_extent(spark, sf_dir)).select(F.explode(F.sequence(row, row + 7)).alias("row"), col.alias("c"))
+    near = at.select("row", F.explode(F.sequence("c", F.col("c") + 3)).alias("col")).distinct()
     soft = rasters.smooth(ground, 2).join(near, ["row", "col"], "left_semi")
     out = rasters.overlay(ground, soft)
     return out.select("row", "col", F.round("value", 6).alias("value"))
@@ -164,7 +166,7 @@ def smoothed_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cut_meshes",
     """
 , r0 AS (SELECT (way * 100 + tri) * 16 + cell AS way, pos, CASE pos WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 ELSE x1 END AS x, CASE pos WHEN 1 THEN y1 WHEN 2 THEN y2 WHEN 3 THEN y3 ELSE y1 END AS y
-  FROM (SELECT * FROM triangles WHERE way % 5 = 0), range(0, 16) AS t(cell), range(1, 5) AS u(pos))
+  FROM triangles, range(0, 16) AS t(cell), range(1, 5) AS u(pos))
 """ + _clip_sql("((way%16)%4*0.25e0)", "((way%16)//4*0.25e0)", "((way%16)%4*0.25e0+0.25e0)", "((way%16)//4*0.25e0+0.25e0)") + """
 , t AS (SELECT way, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM r4 WINDOW w AS (PARTITION BY way ORDER BY pos))
 , a AS (SELECT way, abs(sum(x*y2-x2*y))/2 AS area FROM t GROUP BY way)
@@ -172,9 +174,8 @@ SELECT way % 16 AS cell, count(*) AS pieces, round(sum(area), 6) AS area FROM a
     "triangles",
 )
 def cut_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles of every fifth way cut along a grid of four by four cells: pieces and area of each cell."""
-    t = triangles(spark, sf_dir).where("way % 5 = 0")
-    pieces = meshes.cut_along_grid(t, 0.25)
+    """Triangles of all ways cut along a grid of four by four cells: pieces and area of each cell."""
+    pieces = meshes.cut_along_grid(triangles(spark, sf_dir), 0.25)
     area = F.abs(S.signed_area("ring"))
     inside = pieces.where(F.col("cx").between(0, 3) & F.col("cy").between(0, 3)).where(area > 1e-9)
     return inside.groupBy((F.col("cy") * 4 + F.col("cx")).alias("cell")).agg(F.count("*").alias("pieces"), F.round(F.sum(area), 6).alias("area"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import shapes as S
 from tilewright.operators import meshes, ways
 from tilewright.plans.fixtures import anchors, raster, sql, triangles, way_nodes
+from tilewright.plans.grids import _extent
 from tilewright.plans.lines import _SEG, SCALE
 from tilewright.plans.lines import SQL as _LINE_SQL
 from tilewright.session import scratch_path, table
@@ -104,8 +105,8 @@ _SHIFTED = _LINE_SQL["way_shift"].partition("\nSELECT way, round(sum(x")[0].part
     "banked_roads",
     ", seg AS" + _SHIFTED + """
 , side AS (SELECT way, pos, n, x, y, x + 900.0/111319.49079327358 * (-1/0.7009092642998509*ty/s) AS sx, y + 900.0/111319.49079327358 * (tx/s) AS sy FROM u)
-, spot AS (SELECT way, pos, n, x, y, CAST(least(greatest(round_even(x*63, 0), 0), 63) AS BIGINT) AS c, CAST(least(greatest(round_even(y*400, 0), 0), 400) AS BIGINT) AS r,
-  CAST(least(greatest(round_even(sx*63, 0), 0), 63) AS BIGINT) AS sc, CAST(least(greatest(round_even(sy*400, 0), 0), 400) AS BIGINT) AS sr FROM side)
+, spot AS (SELECT way, pos, n, x, y, CAST(least(greatest(round_even(x*lc, 0), 0), lc) AS BIGINT) AS c, CAST(least(greatest(round_even(y*lr, 0), 0), lr) AS BIGINT) AS r,
+  CAST(least(greatest(round_even(sx*lc, 0), 0), lc) AS BIGINT) AS sc, CAST(least(greatest(round_even(sy*lr, 0), 0), lr) AS BIGINT) AS sr FROM side, (SELECT max(row) AS lr, max(col) AS lc FROM raster))
 , z AS (SELECT spot.way, max(abs(p.value - q.value)) AS bank FROM spot JOIN raster p ON p.row = r AND p.col = c JOIN raster q ON q.row = sr AND q.col = sc GROUP BY spot.way)
 , apt AS (SELECT DISTINCT (s_suppkey*37%100) + dx AS ax, (s_suppkey*131%100) + dy AS ay FROM anchors, range(-1, 2) AS t(dx), range(-1, 2) AS v(dy))
 , ends AS (SELECT way, bool_or(apt.ax IS NOT NULL) AS near FROM spot LEFT JOIN apt ON ax = CAST(round_even(x*100, 0) AS BIGINT) AND ay = CAST(round_even(y*100, 0) AS BIGINT) WHERE pos = 1 OR pos = n GROUP BY way)
@@ -116,8 +117,8 @@ def banked_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads that are levelled: an end lies at an airport, or the ground falls off by much beside some node."""
     lines = ways.lines(way_nodes(spark, sf_dir)).where(F.size("line") > 1)
     both = lines.select("way", F.size("line").alias("n"), F.posexplode(F.arrays_zip(F.col("line").alias("p"), S.shift("line", F.lit(900.0), SCALE).alias("q"))).alias("i", "s"))
-    cell = lambda v, most: F.least(F.greatest(F.rint(v * most), F.lit(0.0)), F.lit(float(most))).cast("bigint")
-    at = both.select("way", "n", "i", F.col("s.p").alias("p"), *[cell(F.col(f"s.{t}.{a}"), most).alias(t + n) for t in "pq" for a, most, n in (("x", 63, "c"), ("y", 400, "r"))])
+    cell = lambda v, most: F.least(F.greatest(F.rint(v * most), F.lit(0.0)), most.cast("double")).cast("bigint")
+    at = both.crossJoin(_extent(spark, sf_dir)).select("way", "n", "i", F.col("s.p").alias("p"), *[cell(F.col(f"s.{t}.{a}"), F.col(most)).alias(t + n) for t in "pq" for a, most, n in (("x", "last_col", "c"), ("y", "last_row", "r"))])
     ground = raster(spark, sf_dir)
     here = ground.select(F.col("row").alias("pr"), F.col("col").alias("pc"), F.col("value").alias("zp"))
     beside = ground.select(F.col("row").alias("qr"), F.col("col").alias("qc"), F.col("value").alias("zq"))
