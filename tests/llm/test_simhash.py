@@ -108,3 +108,27 @@ def test_hot_keys_are_dealt_to_blocks(spark):
     for x, w in zip(fps, slow_components(fps, list(range(len(fps))))):
         want.setdefault(w, set()).add(x)
     assert roots[0] == roots[1] == sorted(map(sorted, want.values()))
+
+
+def test_keys_are_hot_by_all_that_meet_there(spark):
+    """Under one key lie few fingerprints each of its 43 neighbours, but many together."""
+    rng = np.random.default_rng(2)
+    a, b = m.PARTS[0]
+    fps = set()
+    for i in [None, *range(b, 64)]:
+        base = 0 if i is None else 1 << i
+        fps |= {base | int(x) for x in rng.choice(1 << (b - a), 90, replace=False)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    hot = {r["key"]: r["blocks"] for r in m.hot_keys(df, 200).collect()}
+    assert hot[0] == -(-len(fps) // 200)
+    keyed = m.variants(df).groupBy("key").count().collect()
+    assert {r["key"] for r in keyed if r["count"] > 200} == set(hot)
+    assert all(hot.get(r["key"], 1) * 200 >= r["count"] for r in keyed)
+    roots = []
+    for block in (200, 1 << 20):
+        root = {r["node"]: r["root"] for r in components(m.links(df, block=block)).collect()}
+        by = {}
+        for x in fps:
+            by.setdefault(root.get(x - (1 << 64) if x >> 63 else x, x), set()).add(x)
+        roots.append(sorted(map(sorted, by.values())))
+    assert roots[0] == roots[1]

@@ -10,7 +10,7 @@ bits), keys are shuffled, and pairs under one key are verified on all 64 bits. N
 Exact copies and texts of one fingerprint are one row before the shuffle. The rows of a key, all
 within one bit of it on 43 bits, are compared in numpy; what leaves the task is a star for each
 connected set of them, not all pairs. Keys under which very many fingerprints meet are found by
-counting what fingerprints share without a part, and are dealt to blocks.
+summing the counts of what fingerprints share without a part, and are dealt to blocks.
 
 Null text counts as empty; fingerprints of texts without words are zero and linked like others.
 Null or repeated doc_ids, ties and extra columns do no harm: rows are kept one by one, and a
@@ -33,7 +33,7 @@ from tilewright.session import table, written
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that may share all bits but a part before what meets there is dealt to several tasks.
+#: Fingerprints that may meet under a key before they are dealt to several tasks.
 BLOCK = 4096
 #: Bits of the three parts: from, to.
 PARTS = ((0, 21), (21, 42), (42, 64))
@@ -91,17 +91,26 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def hot_keys(fps: DataFrame, block: int) -> DataFrame:
-    """key, blocks of the keys under which more than about ``block`` fingerprints may meet.
+    """key, blocks of the keys under which more than ``block`` fingerprints meet.
 
-    Those are the keys within one bit of what more than ``block`` fingerprints share without a part.
+    Under a key meet all that share, without a part, the key itself or one of its neighbours of one bit, so
+    the counts of these are summed. A sum can only be that large if one of the counts is over a small part
+    of it; keys without such a count near them are left out before anything is summed.
     """
-    out = None
-    for part in PARTS:
-        base, *_ = _part_keys(part)
-        many = fps.groupBy(base.alias("fp")).agg(F.count("*").alias("n")).where(F.col("n") > block)
-        near = many.select(F.explode(F.array(*_part_keys(part))).alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        out = near if out is None else out.unionByName(near)
-    return out.groupBy("key").agg(F.sum("blocks").cast("int").alias("blocks"))
+    dense = None
+    counts = [fps.groupBy(_part_keys(part)[0].alias("fp")).agg(F.count("*").alias("n")) for part in PARTS]
+    for i, (part, count) in enumerate(zip(PARTS, counts)):
+        few = block // (len(PARTS) * len(_part_keys(part)))
+        near = count.where(F.col("n") > few).select(F.explode(F.array(*_part_keys(part))).alias("key"), F.lit(i).alias("part"))
+        dense = near if dense is None else dense.unionByName(near)
+    dense = written(dense.distinct(), "dense-keys")
+    out = dense.select("key", F.lit(0).alias("n")).limit(0)
+    if not dense.isEmpty():
+        for i, (part, count) in enumerate(zip(PARTS, counts)):
+            around = dense.where(F.col("part") == i).select("key", F.col("key").alias("fp"))
+            around = around.select("key", F.explode(F.array(*_part_keys(part))).alias("fp"))
+            out = out.unionByName(around.join(count, "fp").select("key", "n"))
+    return out.groupBy("key").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("blocks > 1")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
