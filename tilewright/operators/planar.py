@@ -89,6 +89,7 @@ def pieces(found: DataFrame, *group: str, size: int | None = None) -> DataFrame:
 
     A pair of stretches that meets in several cells gives the same cut each time, and counts once.
     """
+    found = written(found, "stretches")  # it is read three times
     own = found.withColumn("_c", F.explode(segment_cells(*_ENDS, size)) if size else F.lit(None))
     cells = [F.col(f"_c.{c}").alias(c) for c in ("cx", "cy")] if size else []
     own = own.select(*group, *_ENDS, *cells)

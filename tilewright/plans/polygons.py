@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators import planar
+from tilewright.operators import outlines, planar, ways
 from tilewright.plans.areas import _CLOSED, STEPS, _rings
-from tilewright.plans.fixtures import sql
-from tilewright.session import table
+from tilewright.plans.fixtures import sql, way_nodes
+from tilewright.session import table, written
 
 QUERIES, SQL = {}, {}
 
@@ -54,7 +54,7 @@ def _of_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sided(rings: DataFrame, *group: str) -> DataFrame:
     """The pieces of rings (group, way, inner, ring) with what lies on their sides."""
-    edges = planar.on_lattice(planar.ring_edges(rings, "ring", *group, "way", "inner"), STEPS)
+    edges = written(planar.on_lattice(planar.ring_edges(rings, "ring", *group, "way", "inner"), STEPS), "edges")
     found = planar.pieces(planar.stretches(edges, *group), *group)
     return planar.sides(found, edges, "inner", "way", *group)
 
@@ -108,3 +108,57 @@ def polygon_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("kind", "id").agg(
         F.count(F.when(F.col("area") > 0, 1)).alias("parts"), F.count(F.when(F.col("area") < 0, 1)).alias("holes"),
         F.round(F.sum("area"), 8).alias("area"), F.round(F.max("area"), 8).alias("largest"), F.round(F.sum("length"), 6).alias("length"))
+
+
+#: Steps to a unit for outlines whose ends lie between the nodes' places; width and longest mitre.
+FINE, WIDTH, LIMIT = 100_000, 0.01, 5.0
+
+
+@query(
+    "offset_polygons",
+    _CLOSED + f"""
+, c AS (SELECT way, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS i, x, y FROM (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py FROM r0 WINDOW v AS (PARTITION BY way ORDER BY pos)) WHERE px IS NULL OR px <> x OR py <> y)
+, s AS (SELECT * FROM (SELECT way, i, x, y, lead(x) OVER v AS x2, lead(y) OVER v AS y2, count(*) OVER (PARTITION BY way) - 1 AS n FROM c WINDOW v AS (PARTITION BY way ORDER BY i)) WHERE x2 IS NOT NULL AND n > 2)
+, v AS (SELECT *, -(y2-y)/sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)) AS vx, (x2-x)/sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)) AS vy FROM s)
+, t AS (SELECT a.*, b.vx AS wx, b.vy AS wy, CASE WHEN a.vx*b.vy-a.vy*b.vx > 0 THEN -{WIDTH} ELSE {WIDTH} END AS k, 1+a.vx*b.vx+a.vy*b.vy AS cos FROM v a JOIN v b ON a.way = b.way AND b.i = (a.i + 1) % a.n)
+, f AS (SELECT *, k / CASE WHEN 2 > {LIMIT * LIMIT} * cos THEN 2.0 ELSE cos END AS far FROM t)
+, q AS (
+  SELECT way, 0 AS part, i::INTEGER AS j, x, y FROM s UNION ALL SELECT way, 0, n::INTEGER, x2, y2 FROM s WHERE i = n - 1
+  UNION ALL SELECT way, i*2+1, unnest([0, 1, 2, 3, 4]), unnest([x+{WIDTH}*vx, x2+{WIDTH}*vx, x2-{WIDTH}*vx, x-{WIDTH}*vx, x+{WIDTH}*vx]), unnest([y+{WIDTH}*vy, y2+{WIDTH}*vy, y2-{WIDTH}*vy, y-{WIDTH}*vy, y+{WIDTH}*vy]) FROM f
+  UNION ALL SELECT way, i*2+2, unnest([0, 1, 2, 3, 4]), unnest([x2, x2+k*vx, x2+far*(vx+wx), x2+k*wx, x2]), unnest([y2, y2+k*vy, y2+far*(vy+wy), y2+k*wy, y2]) FROM f)
+, shape AS (SELECT way AS id, way * 100 + part AS way, part > 0 AS hole, j AS pos, round_even(x*{FINE}, 0)/{FINE} AS x, round_even(y*{FINE}, 0)/{FINE} AS y FROM q)
+""" + _slab_sql("SELECT DISTINCT id, way, hole FROM shape").replace(", s AS (SELECT way, pos, x, y,", ", s2 AS (SELECT way, pos, x, y,").replace("FROM r0 WINDOW", "FROM shape WINDOW").replace("member JOIN s USING", "member JOIN s2 USING").replace("> 1e-9", "> 1e-13") + """
+SELECT id AS way, round(coalesce(sum(size) FILTER (outer_ OR inner_), 0), 7) AS grown, round(coalesce(sum(size) FILTER (outer_ AND NOT inner_), 0), 7) AS shrunk FROM gap GROUP BY id""",
+    "way_nodes",
+)
+def offset_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of each closed way's polygon grown and shrunk by a width, with mitred corners."""
+    sided = outlines.offset(_rings(spark, sf_dir), "ring", WIDTH, FINE, "way", limit=LIMIT, size=FINE // 8)
+    size = lambda inside, name: (F.round(planar.area_of(inside) / (FINE * FINE), 7) + 0.0).alias(name)
+    return sided.groupBy("way").agg(size(planar.UNION, "grown"), size(planar.LESS, "shrunk"))
+
+
+@query(
+    "simplified_ways",
+    """
+, n AS (SELECT way, count(*) AS n FROM way_nodes GROUP BY way)
+, r AS (WITH RECURSIVE span(way, i, j) AS (
+    SELECT way, 1::BIGINT, n FROM n
+    UNION ALL
+    SELECT way, unnest([i, k]), unnest([k, j]) FROM (
+      SELECT way, i, j, -max((d, -pos))[2] AS k, max(d) AS d FROM (
+        SELECT s.way, i, j, p.pos, round(sqrt(pow(p.x-a.x-l*(b.x-a.x),2)+pow(p.y-a.y-l*(b.y-a.y),2)), 12) AS d
+        FROM span s JOIN way_nodes a ON a.way = s.way AND a.pos = i JOIN way_nodes b ON b.way = s.way AND b.pos = j JOIN way_nodes p ON p.way = s.way AND p.pos > i AND p.pos < j,
+        LATERAL (SELECT CASE WHEN a.x = b.x AND a.y = b.y THEN 0 ELSE least(greatest(((p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y))/(pow(b.x-a.x,2)+pow(b.y-a.y,2)), 0), 1) END AS l)
+      ) GROUP BY way, i, j) WHERE d > 0.2
+  ) SELECT * FROM span)
+, k AS (SELECT way, i AS pos FROM r UNION SELECT way, j FROM r)
+SELECT way, count(*) AS nodes, CAST(sum(pos) AS BIGINT) AS places FROM k GROUP BY way""",
+    "way_nodes",
+)
+def simplified_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nodes of each way stay where it may be a fifth of the tile off: how many, and the sum of their places."""
+    line = ways.lines(way_nodes(spark, sf_dir))
+    axis = lambda a: F.transform("line", lambda p: p[a])
+    kept = line.select("way", outlines.simplified(axis("x"), axis("y"), F.lit(0.2)).alias("k"))
+    return kept.select("way", F.size("k").cast("bigint").alias("nodes"), F.aggregate("k", F.lit(0).cast("bigint"), lambda a, i: a + i + 1).alias("places"))
