@@ -46,6 +46,55 @@ def _moved(v: np.ndarray, dr: int, dc: int) -> np.ndarray:
     return out
 
 
+def upsampled(raster: DataFrame, times: int) -> DataFrame:
+    """The raster on a grid ``times`` finer, between whose old cells values go linearly (row and col are multiplied).
+
+    Cells that need a value of a neighbour without data have none. Only rows with a value come out.
+    """
+    z = in_blocks(raster, 1, lambda v, here: [v, _moved(v, 0, 1), _moved(v, 1, 0), _moved(v, 1, 1)], "z00 double, z01 double, z10 double, z11 double")
+    steps = F.sequence(F.lit(0), F.lit(times - 1))
+    each = z.select("*", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    i, j, c = F.col("i") / times, F.col("j") / times, F.col
+    mixed = lambda share, n, a, b: F.when(c(n) == 0, a).otherwise((1 - share) * a + share * b)
+    value = mixed(i, "i", mixed(j, "j", c("z00"), c("z01")), mixed(j, "j", c("z10"), c("z11")))
+    out = each.select((c("row") * times + c("i")).alias("row"), (c("col") * times + c("j")).alias("col"), value.alias("value"))
+    return out.where("value IS NOT NULL")
+
+
+def composed(*layers: DataFrame) -> DataFrame:
+    """row, col, value: in each cell the value of the first layer that has one. A cell that comes twice in a layer gets its least value."""
+    out = None
+    for i, layer in enumerate(layers):
+        ranked = layer.where("value IS NOT NULL").select("row", "col", F.struct(F.lit(i).alias("rank"), F.col("value").cast("double").alias("value")).alias("v"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.groupBy("row", "col").agg(F.min("v").alias("v")).select("row", "col", "v.value")
+
+
+def distances(raster: DataFrame, source: Column, band: int) -> DataFrame:
+    """row, col, distance: how far each cell is from the nearest cell where ``source`` holds, in cells, ``band`` at most.
+
+    Exact: along rows first, then across them; both need no more than the band around a block. Where
+    ``source`` is null it doesn't hold; a cell that comes twice is a source if one of its rows is.
+    """
+
+    def made(v: np.ndarray, here: np.ndarray):
+        far = float(band)
+        along = np.where(v > 0, 0.0, np.inf)  # NaN is no source
+        for d in (1, -1):  # the nearest one to either side in the row
+            last = np.full(len(v), np.inf)
+            for c in range(v.shape[1])[::d]:
+                last = np.where(v[:, c] > 0, 0.0, last + 1)
+                along[:, c] = np.minimum(along[:, c], last)
+        square, least = along**2, along**2
+        for dr in range(1, band):
+            least[dr:] = np.minimum(least[dr:], square[:-dr] + dr * dr)
+            least[:-dr] = np.minimum(least[:-dr], square[dr:] + dr * dr)
+        return [np.minimum(np.sqrt(least), far)]
+
+    held = raster.groupBy("row", "col").agg(F.max(F.coalesce(source, F.lit(False)).cast("double")).alias("value"))
+    return in_blocks(held, band, made, "distance double")
+
+
 def fill(raster: DataFrame, passes: int, rest: float | None = None, most: int | None = None) -> DataFrame:
     """Cells without data take their four neighbours' largest value, in passes; what is left then becomes ``rest``.
 

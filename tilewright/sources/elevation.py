@@ -10,11 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.functions.names import parse_hemisphere
+
 NO_DATA = -32768
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """lat, lon (of the file's name, such as N47W123), n, row, col, value; no data is null."""
+def decoded(files: DataFrame, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """lat, lon (of the file's name, such as N47W123), n, row, col, value of files (path, content); no data is null.
+
+    ``box`` (west, south, east, north, in degrees) skips files of other squares by their names, before a
+    sample is looked at. A file without a square in its name has null lat and lon, and is in no box.
+    """
+    if box:
+        lat, lon = parse_hemisphere(F.element_at(F.split("path", "/"), -1))
+        files = files.where(lat.between(box[1], box[3]) & lon.between(box[0], box[2]))
 
     def cells(batches):
         for batch in batches:
@@ -37,8 +46,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         ["lat", "lon", "n", "row", "col", "value"],
                     )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(cells, "lat int, lon int, n int, row int, col int, value float")
+    return files.select("path", "content").mapInArrow(cells, "lat int, lon int, n int, row int, col int, value float")
+
+
+def read(spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The samples of ``.hgt`` and ``.raw`` files of a folder (see ``decoded``); with a box only its squares' files are opened."""
+    files = spark.read.format("binaryFile")
+    if box:
+        squares = [f"{'NS'[a < 0]}{abs(a):02d}{'EW'[b < 0]}{abs(b):03d}" for a in range(box[1], box[3] + 1) for b in range(box[0], box[2] + 1)]
+        files = files.option("pathGlobFilter", "*{" + ",".join(squares) + "}*")
+    return decoded(files.load(path), box)
+
+
+def packed(squares: DataFrame, n: int) -> DataFrame:
+    """path, content: squares (lat, lon, row, col, value) of n by n samples as ``.hgt`` files, north first; no data where there is no value."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        z, v = np.full((n, n), NO_DATA, ">i2"), rows["value"].to_numpy(np.float64, na_value=np.nan)
+        known = ~np.isnan(v)
+        z[rows["row"].to_numpy()[known], rows["col"].to_numpy()[known]] = np.rint(v[known])
+        a, b = int(rows["lat"].iloc[0]), int(rows["lon"].iloc[0])
+        return pd.DataFrame({"path": [f"{'NS'[a < 0]}{abs(a):02d}{'EW'[b < 0]}{abs(b):03d}.hgt"], "content": [z.tobytes()]})
+
+    return squares.select("lat", "lon", "row", "col", F.col("value").cast("double").alias("value")).groupBy("lat", "lon").applyInPandas(pack, "path string, content binary")
 
 
 def info(spark: SparkSession, path: str) -> DataFrame:
