@@ -259,3 +259,35 @@ def test_unlearned_language_in_latin_script_is_rejected(spark):
     model = language.train(rows["text"].tolist(), rows["lang"].tolist())
     mash = "zxqj wvkq xzzk qqwv jxkz kkqx vvzq xjqw " * 10
     assert language.classify(model, [mash])[2].tolist() == [True]
+
+
+UNLEARNED = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, ja heille on annettu järki ja omatunto.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti, sono dotati di ragione e di coscienza.",
+    "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa, wote wamejaliwa akili na dhamiri.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+}
+LEARNED = {
+    "en": "All human beings are born free and equal in dignity and rights, they are endowed with reason and conscience.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren, sie sind mit Vernunft und Gewissen begabt.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits, ils sont doués de raison et de conscience.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos, dotados como están de razón y conciencia.",
+}
+
+
+def test_unlearned_languages_in_latin_letters_are_rejected(spark):
+    from tilewright.llm import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs)
+    langs, _, rejected = language.classify(model, list(LEARNED.values()))
+    assert langs == list(LEARNED) and not rejected.any()
+    _, _, rejected = language.classify(model, [" ".join([t] * k) for t in UNLEARNED.values() for k in (1, 8)])
+    assert rejected.all()
+    # documents stay, short ones too, but for a few of junk
+    found = language.identify(docs, model).where("lang_pred <> 'und'")
+    assert found.where("rejected").count() <= 0.001 * found.count()
+    words = docs.where("length(text) > 500").selectExpr("split(text, ' ')[3] w").where("w RLIKE '^[a-z]+$'")
+    words = [r["w"] for r in words.limit(200).collect()]  # single words
+    assert language.classify(model, words)[2].mean() < 0.02

@@ -4,7 +4,8 @@ A text is the TF-IDF vector of the hashed character 1-, 2- and 3-grams of its lo
 (letters only), normalised to length one. Each language has several centroids, found by spherical
 k-means over its training texts, since its texts differ by kind. Training texts nearer to another
 language's mean than to that of their own are set aside first: their labels are doubtful. The language of the centroid of the largest cosine is
-predicted; a text whose distance to it is beyond what training texts show is marked as rejected.
+predicted; a text whose distance to it is beyond what training texts show is marked as rejected. Short
+texts have few n-grams and lie far from all centroids, so they are judged less strictly than long ones.
 
 Training takes up to about ``per_language`` documents of each language by a hash of their ids, at
 most ``sample`` of all languages and ``sample_chars`` characters (the documented bounds, held before
@@ -42,6 +43,9 @@ SAMPLE = 20_000
 SAMPLE_CHARS = 100_000_000
 #: A text is rejected below this part of the lowest cosine among nearly all training texts.
 MARGIN = 0.4
+#: From so many letters on it has to reach this part of the lowest cosine among nearly all training texts of that length.
+LONG = 64
+LONG_MARGIN = 0.6
 STEP = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -81,6 +85,10 @@ def letters_of(text: str) -> str:
     return _OTHER.sub(" ", f" {text.lower()} ")
 
 
+def n_letters(letters: str) -> int:
+    return len(letters) - letters.count(" ")
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -91,12 +99,17 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     least: np.ndarray  # cosine below which a text is rejected, for each centroid
+    long_least: float = 0.0  # the same for texts of LONG letters or more, whatever the centroid
 
 
 def vectors(texts: list[str], idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    found = counts([letters_of(t) for t in texts])
+    return _weighed([letters_of(t) for t in texts], idf)
+
+
+def _weighed(letters: list[str], idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    found = counts(letters)
     if idf is None:
-        idf = (np.log((1 + len(texts)) / (1 + (found > 0).sum(0))) + 1).astype(np.float32)
+        idf = (np.log((1 + len(letters)) / (1 + (found > 0).sum(0))) + 1).astype(np.float32)
     found = np.log1p(found) * idf
     norm = np.sqrt((found * found).sum(1, keepdims=True))
     return found / np.where(norm > 0, norm, 1), idf
@@ -118,6 +131,7 @@ def train(texts: list[str], langs: list[str], centroids: int = CENTROIDS, seed:
         return None
     rng = np.random.default_rng(seed)
     x, idf = vectors(texts)
+    sizes = np.array([n_letters(letters_of(t)) for t in texts])
     langs = np.asarray(langs)
     every = np.unique(langs)
     own = np.searchsorted(every, langs)
@@ -142,7 +156,9 @@ def train(texts: list[str], langs: list[str], centroids: int = CENTROIDS, seed:
     near = best.argmax(1)
     floor = np.quantile(best.max(1), 0.002)
     least = np.array([min(floor, best[near == c, c].min()) if (near == c).any() else floor for c in range(len(centre))])
-    return Model(names, idf, centre.astype(np.float32), MARGIN * least)
+    long = best.max(1)[sizes[sure] >= LONG]
+    long_least = LONG_MARGIN * float(np.quantile(long, 0.002)) if len(long) else 0.0
+    return Model(names, idf, centre.astype(np.float32), MARGIN * least, long_least)
 
 
 def fit(
@@ -177,12 +193,14 @@ def classify(model: Model | None, texts: list[str | None]) -> tuple[list[str], n
     some = np.flatnonzero(letters)
     for at in range(0, len(some), 128):
         these = some[at : at + 128]
-        x, _ = vectors([texts[i] for i in these], model.idf)
+        letters = [letters_of(texts[i]) for i in these]
+        x, _ = _weighed(letters, model.idf)
         cosine = x @ model.centroids.T
         near = cosine.argmax(1)
         best = cosine[np.arange(len(these)), near]
         score[these] = np.clip(best, 0, 1)
-        rejected[these] = best < model.least[near]
+        long = np.array([n_letters(s) for s in letters]) >= LONG
+        rejected[these] = (best < model.least[near]) | (long & (best < model.long_least))
         for i, c in zip(these, near):
             langs[i] = model.langs[c]
     return langs, score, rejected
