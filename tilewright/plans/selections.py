@@ -332,15 +332,15 @@ def known_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "existing_tiles",
     """
-, d AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'zOrtho_broken' ELSE 'zOrtho_' || printf('%+03d%+04d', CAST(floor(lat) AS INT), CAST(floor(lon) AS INT)) || '/x' || event_id % 3 END AS dir FROM points)
+, d AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'scene_broken' ELSE 'scene_' || printf('%+03d%+04d', CAST(floor(lat) AS INT), CAST(floor(lon) AS INT)) || '/x' || event_id % 3 END AS dir FROM points)
 , k AS (SELECT event_id, regexp_extract(dir, '([+-]\\d{2})([+-]\\d{3})', 1) AS a, regexp_extract(dir, '([+-]\\d{2})([+-]\\d{3})', 2) AS b, dir FROM d)
 SELECT CAST(a AS INT) AS lat, CAST(b AS INT) AS lon, min(dir) AS dir FROM k WHERE a <> '' GROUP BY 1, 2""",
     "points",
 )
 def existing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles read from names of folders; malformed names are skipped, of several folders the first by name counts."""
-    good = F.concat(F.lit("zOrtho_"), N.signed_name("lat", "lon"), F.lit("/x"), (F.col("event_id") % 3).cast("string"))
-    dirs = points(spark, sf_dir).select(F.when(F.col("event_id") % 11 == 0, "zOrtho_broken").otherwise(good).alias("dir"))
+    good = F.concat(F.lit("scene_"), N.signed_name("lat", "lon"), F.lit("/x"), (F.col("event_id") % 3).cast("string"))
+    dirs = points(spark, sf_dir).select(F.when(F.col("event_id") % 11 == 0, "scene_broken").otherwise(good).alias("dir"))
     return layers.tiles_of(dirs, "dir")
 
 

@@ -66,7 +66,7 @@ def folders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiles_of(names: DataFrame, name: str | Column) -> DataFrame:
-    """lat, lon, and the first name, of the tiles that names such as ``zOrtho_+47-123`` have in them; others are skipped."""
+    """lat, lon, and the first name, of the tiles that names such as ``scene_+47-123`` have in them; others are skipped."""
     column = F.col(name) if isinstance(name, str) else name
     part = lambda i: F.regexp_extract(column, r"([+-]\d{2})([+-]\d{3})", i)
     found = names.select(part(1).try_cast("int").alias("lat"), part(2).try_cast("int").alias("lon"), column.alias("dir"))
