@@ -119,3 +119,40 @@ def test_clustered_vectors_read_few_lists_and_keep_recall(spark, n):
         score[q] = -np.inf
         hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-score)[:20].tolist()))
     assert hits >= 0.98 * 20 * (n // 100) and len(got) == 20 * (n // 100)
+
+
+def reranked(x, step, k=20):
+    """(share of the candidates that are reranked, share of the true neighbours among them) of every step-th vector, by the operator's own parts."""
+    n, d = x.shape
+    rng, ids = np.random.default_rng(4), np.arange(n)
+    some = rng.choice(n, min(n, m.SAMPLE_A_ROOT * int(n**0.5) + 256), replace=False)
+    centre = m.learn_centres(x[some], int(n**0.5) // m.LIST_A_ROOT)
+    own, q_ids = m.nearest(x, centre), ids[::step]
+    q = x[q_ids]
+    radius = np.array([np.linalg.norm(x[own == c] - centre[c], axis=1).max(initial=-np.inf) for c in range(len(centre))])
+    floor, reads = m.reading(q, q_ids, (some, x[some], own[some]), n, centre, radius, k, m.EPSILON)
+    chosen = np.zeros((len(q), n), bool)
+    for c in np.unique(own):
+        at = np.flatnonzero(own == c)
+        bits, norm, _, agree = m.encode(x[at], centre[c])
+        row = {"ids": at.tobytes(), "codes": bits.tobytes(), "residual": norm.tobytes(), "agreement": agree.tobytes()}
+        upper = m.upper_bounds(q, row, centre[c], m.RERANK)(slice(None))
+        chosen[:, at] = m.choose(upper, floor, q_ids[:, None] == at, k) & reads[:, [c]]
+    score = q @ x.T
+    score[np.arange(len(q)), q_ids] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :k]
+    return chosen.mean(), np.take_along_axis(chosen, best, 1).mean()
+
+
+def test_the_codes_choose_what_is_reranked():
+    """Of vectors that point everywhere under a third is reranked, of clustered ones under a twentieth, and the neighbours are among it."""
+    rng = np.random.default_rng(5)
+    share, recall = reranked(rng.standard_normal((8000, 64)), 20)
+    assert share < 0.3 and recall >= 0.99
+    centre = rng.standard_normal((40, 24)) * 3
+    share, recall = reranked(centre[rng.integers(0, 40, 12_000)] + 0.3 * rng.standard_normal((12_000, 24)), 100)
+    assert share < 0.05 and recall >= 0.99
+
+
+def test_the_sample_is_bounded_in_bytes():
+    assert m.sample_within(64) == 131_072 and m.sample_within(100_000) * 100_000 * 8 <= m.SAMPLE_BYTES and m.sample_within(0) > 0

@@ -6,19 +6,22 @@ r, and the cosine g between the rotated residual and its signs. For a query q th
 <q,c> + r <q,u> for the residual's direction u, and <q,u> is estimated by <q',s> / g, with the
 rotated query q' and the signs s scaled to length one. <q',s> is taken from the packed bits: q' is
 written in ``PLANES`` bits a component, and each plane of them is counted against the signs. The
-error is at most ``epsilon`` |q| r sqrt((1 - g^2) / (g^2 (d - 1))) with high probability, and what the
-planes leave out, so bounds follow.
+error is at most ``width`` times |q| r sqrt((1 - g^2) / (g^2 (d - 1))), and of what the planes leave
+out that share over the root of d, with a probability that ``width`` sets, so bounds follow.
 
 A sample of the vectors gives each query a score that its k-th best reaches with high probability:
 the r-th best of the sample, for the least r that few of the k best can fill. Lists whose bound, from
 their centre and their largest residual, stays below it are not read, but for the nearest ones; in
-the others every vector whose upper bound reaches it is reranked in double precision. The more the
-vectors cluster, the fewer lists are read; where they don't, a query reads most lists.
+the others every vector whose upper bound reaches it is reranked in double precision, as are the k
+of the highest bounds of each chunk, so that no query gets fewer than k. A list is left out by a wide
+bound (``EPSILON``), as that loses all of its vectors; one vector by a bound of ``RERANK`` expected
+errors, which a neighbour at the very floor misses three times in a hundred. The more the vectors
+cluster, the fewer lists are read; where they don't, a query reads most lists.
 
 Lists are packed into chunks of bounded size and queries into blocks. A block meets the chunks of the
 lists that its queries read, each in a task of its own, and a task returns each query's k best, which
 are ranked once more. Every row is indexed. Centres are learned on the sample, which is at most
-``SAMPLE`` vectors (the documented bound), by numpy on the driver.
+``SAMPLE`` vectors and ``SAMPLE_BYTES`` as doubles (the documented bounds), by numpy on the driver.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 of null vec_id; vectors of other sizes are no candidates. Rows with the query's own vec_id are no
@@ -44,11 +47,13 @@ from tilewright.session import table, written
 K = 20
 QUERY_STEP = 20
 EPSILON = 4.0
+RERANK = 1.9
 CHUNK = 4096
 QUERIES = 512
 PLANES = 6
-#: Vectors of the sample at most, and for each root of the number of vectors; vectors a list for each root, lists at most.
+#: Vectors of the sample at most, their bytes as doubles at most, vectors for each root of their number; vectors a list for each root, lists at most.
 SAMPLE = 65_536
+SAMPLE_BYTES = 1 << 26
 SAMPLE_A_ROOT = 16
 LIST_A_ROOT = 8
 LISTS = 8192
@@ -102,11 +107,16 @@ def encode(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.packbits(turned > 0, axis=1), norm.astype(np.float32), residual, np.where(norm > 0, agree, 1).astype(np.float32)
 
 
+def sample_within(d: int) -> int:
+    """How many vectors of d components the sample's bytes hold; centres are no more than a quarter of them."""
+    return max(1, SAMPLE_BYTES // (8 * max(d, 1)))
+
+
 def build_index(known: DataFrame, kind: str, chunk: int = CHUNK, sample: int = SAMPLE) -> Index:
     """An index of rows (vec_id, vec)."""
     itemsize = int(kind[2:])
     count = {r["size"]: r["n"] for r in known.groupBy(F.length("vec").alias("size")).agg(F.count("*").alias("n")).collect()}
-    take = min(sample, SAMPLE_A_ROOT * math.isqrt(sum(count.values())) + 256)
+    take = min(sample, SAMPLE_A_ROOT * math.isqrt(sum(count.values())) + 256, sample_within(max(count, default=0) // itemsize))
     # spread over all vectors by a hash; only so many reach the driver
     drawn = known.select("vec_id", "vec").orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(take).toPandas()
     sizes = drawn["vec"].map(len).to_numpy() if len(drawn) else np.empty(0, np.int64)
@@ -142,7 +152,7 @@ def build_index(known: DataFrame, kind: str, chunk: int = CHUNK, sample: int = S
     return Index(written(rows.groupBy("size", "list", "chunk").applyInPandas(pack, INDEX), "index"), centres, samples, count)
 
 
-def least_rank(k: int, share: float, doubt: float = 1e-3) -> int:
+def least_rank(k: int, share: float, doubt: float = 1e-2) -> int:
     """The least r such that r of the k best fall into a sample of that share with at most that probability."""
     share, tail = min(share, 1.0), 1.0
     for r in range(k + 1):
@@ -208,22 +218,36 @@ def sign_sums(bits: np.ndarray, query: tuple[np.ndarray, ...], some: slice) -> n
     return 2 * (low[some, None] * ones + step[some, None] * held) - total[some, None]
 
 
-def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, row, centre: np.ndarray, kind: str, k: int, epsilon: float):
-    """(query's place, vec_id, score) of the k best of each query in one row of INDEX."""
-    ids, d = np.frombuffer(row["ids"], np.int64), q.shape[1]
-    n = len(ids)
-    x = np.frombuffer(row["vectors"], kind).reshape(n, d)
+def choose(upper: np.ndarray, floor: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Which vectors each query reranks: those whose upper bound reaches its floor, and the k of the highest bounds; never its own."""
+    upper = np.where(own, -np.inf, upper)
+    least = np.partition(upper, upper.shape[1] - k, axis=1)[:, upper.shape[1] - k] if upper.shape[1] > k else np.full(len(upper), -np.inf)
+    return (upper >= np.minimum(floor, least)[:, None]) & ~own
+
+
+def upper_bounds(q: np.ndarray, row, centre: np.ndarray, width: float):
+    """A function of a slice of the queries: upper bounds of their inner products with all vectors of one row of INDEX."""
+    n, d = len(row["ids"]) // 8, q.shape[1]
     bits = words(np.frombuffer(row["codes"], np.uint8).reshape(n, -1))
     norm, agree = np.frombuffer(row["residual"], np.float32), np.frombuffer(row["agreement"], np.float32)
     length, base = np.sqrt((q * q).sum(1)), q @ centre
     scale = (norm / agree).astype(np.float64)
-    width = epsilon * norm * np.sqrt(np.maximum(1 - agree**2, 0) / (agree**2 * max(d - 1, 1))) + 1e-5 * norm
-    query, exact = planes(q @ _turn(d).astype(np.float64)), x.astype(np.float64)
-    most, out = np.sqrt((exact * exact).sum(1).max()), []
+    off = width * norm * np.sqrt(np.maximum(1 - agree**2, 0) / (agree**2 * max(d - 1, 1))) + 1e-5 * norm
+    query = planes(q @ _turn(d).astype(np.float64))
+    lost = query[4] * min(1.0, width / math.sqrt(d))
+    return lambda some: base[some, None] + sign_sums(bits, query, some) * (scale / np.sqrt(d)) + length[some, None] * off + lost[some, None] * scale
+
+
+def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, row, centre: np.ndarray, kind: str, k: int, width: float):
+    """(query's place, vec_id, score) of the k best of each query in one row of INDEX."""
+    ids, d = np.frombuffer(row["ids"], np.int64), q.shape[1]
+    n = len(ids)
+    exact = np.frombuffer(row["vectors"], kind).reshape(n, d).astype(np.float64)
+    length, most, out = np.sqrt((q * q).sum(1)), np.sqrt((exact * exact).sum(1).max()), []
+    upper = upper_bounds(q, row, centre, width)
     for at in range(0, len(q), 64):
         some = slice(at, at + 64)
-        high = base[some, None] + sign_sums(bits, query, some) * (scale / np.sqrt(d)) + length[some, None] * width + query[4][some, None] * scale
-        chosen = (high >= floor[some, None]) & (q_ids[some, None] != ids)
+        chosen = choose(upper(some), floor[some], q_ids[some, None] == ids, k)
         if chosen.mean() > 1 / 8:  # one product for all is faster than the chosen pairs one by one
             product = np.where(chosen, q[some] @ exact.T, -np.inf)
             least = np.partition(product, n - k, axis=1)[:, n - k] if n > k else np.full(len(product), -np.inf)
@@ -237,7 +261,7 @@ def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, row, cent
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def search(index: Index, queries: DataFrame, kind: str, k: int = K, epsilon: float = EPSILON, block: int = QUERIES) -> DataFrame:
+def search(index: Index, queries: DataFrame, kind: str, k: int = K, epsilon: float = EPSILON, width: float = RERANK, block: int = QUERIES) -> DataFrame:
     """query, query_id, rank, vec_id, score: the k nearest rows of the index of each row (vec_id, vec)."""
     queries = written(queries.select("vec_id", "vec", F.monotonically_increasing_id().alias("query")), "queries")
     blocks = max(1, -(-queries.count() // block))
@@ -272,7 +296,7 @@ def search(index: Index, queries: DataFrame, kind: str, k: int = K, epsilon: flo
                 x = matrix([q["vec"] for q in row["qs"]], kind)
                 numbers, q_ids = (np.array([q[c] for q in row["qs"]], np.int64) for c in ("query", "vec_id"))
                 floor = np.array([q["floor"] for q in row["qs"]])
-                at, ids, score = best_of_chunk(x, q_ids, floor, row, centres[row["size"]][row["list"]], kind, k, epsilon)
+                at, ids, score = best_of_chunk(x, q_ids, floor, row, centres[row["size"]][row["list"]], kind, k, width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers[at]), pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query", "query_id", "vec_id", "score"]
                 )
