@@ -157,13 +157,18 @@ def crossing(a: Column, b: Column, c: Column, d: Column, eps: float = 1e-8) -> C
 def clip(ring: C, x0: float, y0: float, x1: float, y1: float) -> Column:
     """A closed ring cut to a rectangle, one side after the other; empty if nothing is left."""
     out = col(ring)
-    for axis, other, at, sign in (("x", "y", x0, 1), ("x", "y", x1, -1), ("y", "x", y0, 1), ("y", "x", y1, -1)):
-        out = let(out, _cut(axis, other, at, sign))
-        out = let(out, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
+    for axis, at, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
+        out = half(out, axis, at, sign)
     return out
 
 
-def _cut(axis: str, other: str, at: float, sign: int):
+def half(ring: C, axis: str, at, sign: int) -> Column:
+    """The part of a closed ring on one side of a line across ``axis`` at ``at``, a number or a column: beyond it for sign 1, before it for -1."""
+    out = let(col(ring), _cut(axis, "y" if axis == "x" else "x", at, sign))
+    return let(out, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
+
+
+def _cut(axis: str, other: str, at, sign: int):
     inside = lambda p: (p[axis] - at) * sign >= 0
 
     def through(a: Column, b: Column) -> Column:

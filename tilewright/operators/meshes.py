@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import shapes
 from tilewright.functions.geodesy import texture_cell
 from tilewright.operators.spatial import with_cells
+from tilewright.operators.ways import numbered
 from tilewright.session import cut_lineage
 
 SIDES = ((1, 2), (2, 3), (3, 1))
@@ -131,3 +132,26 @@ def cut_along_grid(mesh: DataFrame, size: float) -> DataFrame:
     dealt = with_cells(mesh, F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys), size).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
     ring = F.array(*[shapes.point(xs[i] - F.col("cx") * size, ys[i] - F.col("cy") * size) for i in (0, 1, 2, 0)])
     return dealt.withColumn("ring", shapes.clip(ring, 0.0, 0.0, size, size))
+
+
+def locality_key(x: Column, y: Column, bits: int = 16) -> Column:
+    """A number in which places near each other are mostly near: the bits of x and y, both in [0, 1), take turns (16 each at most)."""
+
+    def spread(v: Column) -> Column:
+        out = F.least(F.greatest(F.floor(v * (1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("bigint")
+        for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            out = out.bitwiseOR(F.shiftleft(out, step)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return out
+
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def by_locality(mesh: DataFrame, key: list[str], name: str = "place") -> DataFrame:
+    """The mesh with a new number of each triangle, from 1: triangles near each other get numbers near each other.
+
+    They go by the ``locality_key`` of their barycentre, then by ``key``, which tells them apart. A
+    triangle with a null corner comes first.
+    """
+    x, y = barycentre()
+    keyed = mesh.withColumn("_key", locality_key(x, y))
+    return numbered(keyed, [F.col("_key"), *map(F.col, key)], name).select(*mesh.columns, name)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.functions import shapes as S
 from tilewright.functions.shapes import let, point
 from tilewright.operators import planar
 from tilewright.session import written
@@ -108,3 +109,37 @@ def simplified(x: pd.Series, y: pd.Series, tolerance: pd.Series) -> pd.Series:
         return sorted(stay)
 
     return pd.Series([kept(*row) for row in zip(x, y, tolerance)])
+
+
+def halved(rings: DataFrame, ring: str, size: float, *key: str) -> DataFrame:
+    """key, ring: the pieces of closed rings, none wider or higher than ``size``.
+
+    A piece that is over the size is cut across its longer side (its width if both are alike), halfway
+    to six digits, and so are its halves. All pieces are cut in as many rounds as the largest one needs,
+    which is known before; rounds are expressions in one plan, without a shuffle. The halves of a concave
+    ring may hang together by edges along the cut, which hold no area. Rings that are null, empty or hold
+    null or non-finite coordinates are left out, as are other columns; equal rings are cut alike.
+    """
+    if size < 1e-5:
+        raise ValueError("pieces can't be smaller than what places are rounded to")
+    whole = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = rings.where((F.size(ring) > 0) & F.forall(ring, lambda p: whole(p["x"]) & whole(p["y"])))
+    box = S.bounds("ring")
+    piece = good.select(*key, F.col(ring).alias("ring"))
+    wide, high = piece.select((box["x1"] - box["x0"]).alias("w"), (box["y1"] - box["y0"]).alias("h")).agg(F.max("w"), F.max("h")).first()
+
+    def rounds(v: float | None) -> int:
+        n = 0
+        while v is not None and v > size:
+            v, n = v / 2 + 1e-6, n + 1
+        return n
+
+    def cut(b: Column) -> Column:
+        w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
+        middle = F.floor(F.when(w >= h, b["x0"] + b["x1"]).otherwise(b["y0"] + b["y1"]) / 2 * 1e6 + 0.5) / 1e6
+        both = lambda axis: let(middle, lambda m: F.array(S.half("ring", axis, m, 1), S.half("ring", axis, m, -1)))
+        return F.when(F.greatest(w, h) <= size, F.array("ring")).when(w >= h, both("x")).otherwise(both("y"))
+
+    for _ in range(rounds(wide) + rounds(high)):
+        piece = piece.select(*key, F.explode(let(box, cut)).alias("ring")).where(F.size("ring") > 0)
+    return piece

@@ -188,3 +188,44 @@ def mosaic(tiles: DataFrame, n: int, halo: int) -> DataFrame:
     sent = sent.select((F.col("lat") + F.col("_dy")).alias("lat"), (F.col("lon") + F.col("_dx")).alias("lon"), (F.col("row") - n * F.col("_dy")).alias("row"), (F.col("col") - n * F.col("_dx")).alias("col"), "value")
     sent = sent.where(F.col("row").between(-halo, n + halo - 1) & F.col("col").between(-halo, n + halo - 1))
     return sent.join(tiles.select("lat", "lon").distinct(), ["lat", "lon"], "left_semi")
+
+
+def _cubic(t: Column) -> Column:
+    """The weight of a sample at a distance of t cells in cubic convolution (a = -1/2)."""
+    t = F.abs(t)
+    return F.when(t <= 1, (1.5 * t - 2.5) * t * t + 1).when(t < 2, ((2.5 - 0.5 * t) * t - 4) * t + 2).otherwise(0.0)
+
+
+#: Corners of a patch's source, in its order around: top left, bottom left, bottom right, top right.
+CORNERS = ("nw", "sw", "se", "ne")
+
+
+def warped(patches: DataFrame, raster: DataFrame) -> DataFrame:
+    """row, col, value of a raster made of rectangular patches, each taken from a quadrangle of ``raster``.
+
+    ``patches`` has the rectangle's r0, c0 (inside) and r1, c1 (outside), and where its corners lie in the
+    source, in cells from the top left: structs (row, col) named ``nw``, ``sw``, ``se`` and ``ne``. Places
+    between the corners go bilinearly, and values by cubic convolution. A cell whose source has no
+    data is left out; other samples without data count as the source cell's own. Patches without cells
+    or with a null corner give nothing; patches that overlap give a cell twice. Each source cell carries
+    its sixteen samples to one join, so a target cell meets one row.
+    """
+    c = F.col
+    from_to = lambda lo, hi: F.explode(F.sequence(c(lo), c(hi) - 1))
+    each = patches.where((c("r1") > c("r0")) & (c("c1") > c("c0"))).withColumn("row", from_to("r0", "r1")).withColumn("col", from_to("c0", "c1"))
+    u, v = (c("col") - c("c0") + 0.5), (c("row") - c("r0") + 0.5)
+    w, h = c("c1") - c("c0"), c("r1") - c("r0")
+
+    def place(axis: str) -> Column:
+        nw, sw, se, ne = (c(f"{k}.{axis}") for k in CORNERS)
+        return nw + (ne - nw) / w * u + (sw - nw) / h * v + (se - sw - ne + nw) / w / h * u * v - 0.5
+
+    at = each.select("row", "col", place("row").alias("_y"), place("col").alias("_x"))
+    at = at.withColumns({"_r": F.floor("_y"), "_c": F.floor("_x")})
+    taps = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
+    samples = in_blocks(raster, 2, lambda z, here: [_moved(z, i, j) for i, j in taps], ", ".join(f"s{k} double" for k in range(16)))
+    samples = samples.select(c("row").alias("_r"), c("col").alias("_c"), F.array(*[f"s{k}" for k in range(16)]).alias("_s")).where(c("_s")[taps.index((0, 0))].isNotNull())
+    met = at.join(samples, ["_r", "_c"])
+    own = c("_s")[taps.index((0, 0))]
+    weigh = lambda k, i, j: F.coalesce(c("_s")[k], own) * _cubic(c("_y") - c("_r") - i) * _cubic(c("_x") - c("_c") - j)
+    return met.select("row", "col", sum((weigh(k, i, j) for k, (i, j) in enumerate(taps)), F.lit(0.0)).alias("value"))

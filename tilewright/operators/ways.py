@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.session import written
+
 
 def lines(nodes: DataFrame, way: str = "way", pos: str = "pos") -> DataFrame:
     """way, line: the way's (x, y) in order, as array<struct<x, y>>."""
@@ -57,3 +59,21 @@ def running_total(df: DataFrame, order: str, value: Column, name: str, block: in
     base = sums.join(chunks, "_c").select("_b", (F.col("_sb") + F.col("_tb")).alias("_base"))
     inner = F.coalesce(F.sum("_v").over(before(Window.partitionBy("_b").orderBy(order))), F.lit(0))
     return level.withColumn("_in", inner).join(base, "_b").withColumn(name, F.col("_in") + F.col("_base")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, *within: str) -> DataFrame:
+    """Adds each row's number from 1 in the given order, for each group of ``within`` if there is one.
+
+    Rows are dealt to ranges of the order, and a range's numbers begin after those of the ranges before
+    it, so no task has all rows, however few the groups are. Rows alike in the whole order are numbered
+    in any way; nulls come first, and null groups are one group.
+    """
+    dealt = written(df.repartitionByRange(*map(F.col, within), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range", *within).agg(F.count("*").alias("_n"))  # a row for each range and group in it
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(within)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    at = F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(within):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return dealt.withColumn("_at", at).join(base, same).select(*df.columns, (F.col("_at") + F.col("_base")).cast("bigint").alias(name))

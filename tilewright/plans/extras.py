@@ -9,7 +9,7 @@ from tilewright.functions import names as N
 from tilewright.functions import shapes as S
 from tilewright.operators import areas, meshes, rasters, relations, ways
 from tilewright.plans.areas import _WAY_CELLS, CELLS, _clip_sql
-from tilewright.plans.fixtures import anchors, points, raster, sites, sql, triangles, way_nodes, zones
+from tilewright.plans.fixtures import anchors, points, raster, sites, site_zones, sql, triangles, way_nodes
 from tilewright.plans.grids import _extent
 from tilewright.plans.lines import _M, _S, _SEG, SCALE
 from tilewright.session import scratch_path, table, written
@@ -200,12 +200,12 @@ def line_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "zone_textures",
     """
-, z AS (SELECT zone, zl, CAST(floor(x0) AS INT) AS a, CAST(floor(y0) AS INT) AS b FROM zones)
+, z AS (SELECT zone, zl, CAST(floor(x0) AS INT) AS a, CAST(floor(y0) AS INT) AS b FROM site_zones)
 SELECT zl, count(*) AS zones, array_to_string(list_sort(list(DISTINCT printf('%+03d%+04d', b, a))), ' ') AS tiles FROM z GROUP BY zl""",
-    "zones",
+    "site_zones",
 )
 def zone_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The set of tiles that the zones of each zoom begin in."""
-    z = written(zones(spark, sf_dir).select("zl", N.signed_name("y0", "x0").alias("tile")), "zones")
+    z = written(site_zones(spark, sf_dir).select("zl", N.signed_name("y0", "x0").alias("tile")), "zones")
     met = z.groupBy("zl").agg(F.count("*").alias("zones"), F.sort_array(F.collect_set("tile")).alias("t"))
     return met.select("zl", "zones", F.array_join("t", " ").alias("tiles"))

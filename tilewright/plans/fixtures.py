@@ -25,6 +25,7 @@ _WAY_Y = "CAST((l_suppkey*131+l_partkey*17)%1000 AS DOUBLE)/1000.0e0"
 _WAY_ORDER = (
     "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 )
+_SITE_BOX = [("x0", _SITE[0], "-2"), ("y0", _SITE[1], "-1"), ("x1", _SITE[0], "+4"), ("y1", _SITE[1], "+2")]
 _ZONE_X = "CAST((n_nationkey*53)%25 AS DOUBLE)*14.0e0-180.0e0"
 _ZONE_Y = "CAST((n_nationkey*29)%25 AS DOUBLE)*5.0e0-80.0e0"
 
@@ -66,6 +67,14 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def site_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of tenths of a degree around the sites, with a zoom and a provider: as many as there are customers."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS BIGINT) AS zone", "CAST(c_custkey AS BIGINT) AS priority", "CAST(12 + c_custkey % 5 AS INT) AS zl", "c_mktsegment AS provider",
+        *[f"CAST(floor(({v})*10.0e0){more} AS DOUBLE)/10.0e0 AS {n}" for n, v, more in _SITE_BOX],
+    )
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as a raster: a row for each vector, a column for each component; -1000 to 1000 metres."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "v"))
@@ -90,6 +99,8 @@ CTE = {
     f"{_WAY_X} AS x, {_WAY_Y} AS y, l_linenumber AS kind, l_quantity AS z, l_returnflag AS tag FROM lineitem",
     "zones": "SELECT n_nationkey AS zone, CAST(n_nationkey AS BIGINT) AS priority, 12 + n_nationkey % 5 AS zl, n_name AS provider, "
     f"{_ZONE_X} AS x0, {_ZONE_Y} AS y0, {_ZONE_X}+40.0e0 AS x1, {_ZONE_Y}+25.0e0 AS y1 FROM nation",
+    "site_zones": "SELECT CAST(c_custkey AS BIGINT) AS zone, CAST(c_custkey AS BIGINT) AS priority, CAST(12 + c_custkey % 5 AS INT) AS zl, c_mktsegment AS provider, "
+    + ", ".join(f"CAST(floor(({v})*10.0e0){more} AS DOUBLE)/10.0e0 AS {n}" for n, v, more in _SITE_BOX) + " FROM customer",
     "raster": "SELECT vec_id AS row, CAST(i - 1 AS INT) AS col, round_even(CAST(embedding[i] AS DOUBLE) * 1000, 0) AS value "
     "FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)",
     "tri_nodes": "SELECT *, (pos - 1) // 3 AS tri, (pos - 1) % 3 + 1 AS corner FROM way_nodes",

@@ -13,7 +13,7 @@ from tilewright.functions.geodesy import METRES_PER_DEGREE
 from tilewright.operators import relations, ways
 from tilewright.operators.quadtree import buckets
 from tilewright.operators.spatial import points_in_boxes
-from tilewright.plans.fixtures import anchors, points, sites, sql, way_nodes, zones
+from tilewright.plans.fixtures import anchors, points, site_zones, sites, sql, way_nodes, zones
 from tilewright.plans.lines import _SEG
 from tilewright.session import scratch_path, table
 from tilewright.sources import layers
@@ -163,13 +163,13 @@ def overlay_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 SELECT CAST(floor(y0) AS INT) AS lat, CAST(floor(x0) AS INT) AS lon, count(*) AS zones,
   string_agg('[' || printf('%.1f,%.1f,%.1f,%.1f', y0, x0, y1, x1) || '] ' || zl || ' ' || provider, ';' ORDER BY zl DESC, zone) AS zone_list
-FROM zones GROUP BY 1, 2""",
-    "zones",
+FROM site_zones GROUP BY 1, 2""",
+    "site_zones",
 )
-def tile_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_site_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each tile the zones that begin in it, as the line of its settings, by falling zoom."""
     box = F.format_string("[%.1f,%.1f,%.1f,%.1f] %d %s", "y0", "x0", "y1", "x1", "zl", "provider")
-    z = zones(spark, sf_dir).select(F.floor("y0").cast("int").alias("lat"), F.floor("x0").cast("int").alias("lon"), F.struct(-F.col("zl"), "zone", box.alias("t")).alias("z"))
+    z = site_zones(spark, sf_dir).select(F.floor("y0").cast("int").alias("lat"), F.floor("x0").cast("int").alias("lon"), F.struct(-F.col("zl"), "zone", box.alias("t")).alias("z"))
     lists = z.groupBy("lat", "lon").agg(F.sort_array(F.collect_list("z")).alias("z"))
     return lists.select("lat", "lon", F.size("z").cast("bigint").alias("zones"), F.array_join(F.transform("z", lambda r: r["t"]), ";").alias("zone_list"))
 
@@ -213,7 +213,7 @@ def polygon_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons of a layer by the size of their bounds, the largest first."""
     b = _areas(spark, sf_dir).select((F.col("way") % 100).alias("layer"), "way", S.bounds("ring").alias("b"))
     size = F.round((F.col("b.x1") - F.col("b.x0")) * (F.col("b.y1") - F.col("b.y0")), 9)
-    return b.select("layer", "way", _rank([size.desc(), F.col("way")], "layer"))
+    return ways.numbered(b.select("layer", "way", size.alias("size")), [F.col("size").desc(), F.col("way")], "place", "layer").drop("size")
 
 
 @query(
@@ -228,7 +228,8 @@ def airport_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in ("icao", "iata", "local_ref", "name", "place")])
     a = anchors(spark, sf_dir).withColumn("key_type", F.get(kinds, (F.col("s_suppkey") % 5).cast("int")))
     order = F.array_position(kinds, F.col("key_type"))
-    return a.select(F.col("s_nationkey").alias("nation"), "s_suppkey", _rank([order, F.col("s_name"), F.col("s_suppkey")], "s_nationkey"))
+    listed = a.select(F.col("s_nationkey").alias("nation"), "s_suppkey", order.alias("kind"), "s_name")
+    return ways.numbered(listed, [F.col("kind"), F.col("s_name"), F.col("s_suppkey")], "place", "nation").select("nation", "s_suppkey", "place")
 
 
 @query(
@@ -247,15 +248,16 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "zone_rings",
     """
-SELECT zone, row_number() OVER (PARTITION BY zone % 2 ORDER BY zl DESC, priority) AS place, 5 AS points, printf('%.1f %.1f', y0, x0) AS closes FROM zones""",
-    "zones",
+SELECT zone, row_number() OVER (PARTITION BY zone % 2 ORDER BY zl DESC, priority) AS place, 5 AS points, printf('%.1f %.1f', y0, x0) AS closes FROM site_zones""",
+    "site_zones",
 )
 def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zones by falling zoom, their rings closed by repeating the first point of the flat list of coordinates."""
     flat = F.array("y0", "x0", "y0", "x1", "y1", "x1", "y1", "x0")
-    z = zones(spark, sf_dir).withColumn("half", F.col("zone") % 2).withColumn("ring", S.closed_flat(flat))
+    z = site_zones(spark, sf_dir).withColumn("half", F.col("zone") % 2).withColumn("ring", S.closed_flat(flat))
     at = lambda i: F.element_at("ring", i)
-    return z.select("zone", _rank([F.col("zl").desc(), F.col("priority")], "half"), (F.size("ring") / 2).cast("int").alias("points"), F.format_string("%.1f %.1f", at(-2), at(-1)).alias("closes"))
+    z = ways.numbered(z, [F.col("zl").desc(), F.col("priority")], "place", "half")
+    return z.select("zone", "place", (F.size("ring") / 2).cast("int").alias("points"), F.format_string("%.1f %.1f", at(-2), at(-1)).alias("closes"))
 
 
 @query(
