@@ -243,7 +243,16 @@ def zone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "merged_runways",
     """
-SELECT s_suppkey AS airport, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS BIGINT) AS runways, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 4 ELSE 5 END AS BIGINT) AS points, 0.06e0 AS length FROM anchors""",
+, b AS (SELECT s_suppkey AS airport, radians(s_suppkey*37%180) AS t, (s_suppkey*13%40)/100.0e0+0.005 AS u, (s_suppkey*29%40)/100.0e0+0.005 AS v FROM anchors)
+, p1 AS (SELECT *, 0.5+0.02*cos(t) AS x1, 0.5+0.02*sin(t) AS y1 FROM b)
+, p2 AS (SELECT *, x1+0.02*cos(t+u) AS x2, y1+0.02*sin(t+u) AS y2 FROM p1)
+, p3 AS (SELECT *, x2+0.02*cos(t+u+v) AS x3, y2+0.02*sin(t+u+v) AS y3 FROM p2)
+, part AS (SELECT airport, 0 AS part, x1 AS xa, y1 AS ya, 0.5 AS xb, 0.5 AS yb FROM p3 UNION ALL SELECT airport, 1, x2, y2, x3, y3 FROM p3 UNION ALL SELECT airport, 2, x1, y1, x2, y2 FROM p3)
+, e AS (SELECT airport, part, xa AS x, ya AS y, xa-xb AS dx, ya-yb AS dy FROM part UNION ALL SELECT airport, part, xb, yb, xb-xa, yb-ya FROM part)
+, j AS (SELECT a.airport, count(*) AS joins FROM e a JOIN e b ON a.airport = b.airport AND a.part < b.part AND a.x = b.x AND a.y = b.y
+  WHERE abs(atan2(a.dx*-b.dy+a.dy*b.dx, -a.dx*b.dx-a.dy*b.dy)) < 0.2 GROUP BY a.airport)
+, n AS (SELECT airport, count(*) AS parts, sum(sqrt((xa-xb)*(xa-xb)+(ya-yb)*(ya-yb))) AS length FROM part GROUP BY airport)
+SELECT airport, parts - coalesce(joins, 0) AS runways, 2*parts - coalesce(joins, 0) AS points, round(length, 9) AS length FROM n LEFT JOIN j USING (airport)""",
     "anchors",
 )
 def merged_runways(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +260,9 @@ def merged_runways(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.radians(F.col("s_suppkey") * 37 % 180)
     ahead = lambda p, angle: S.point(p["x"] + 0.02 * F.cos(angle), p["y"] + 0.02 * F.sin(angle))
     a = anchors(spark, sf_dir).select(F.col("s_suppkey").alias("airport"), turn.alias("t"), S.point(F.lit(0.5), F.lit(0.5)).alias("p0"))
-    a = a.withColumn("p1", ahead(F.col("p0"), F.col("t"))).withColumn("p2", ahead(F.col("p1"), F.col("t") + 0.1))
-    a = a.withColumn("p3", ahead(F.col("p2"), F.when(F.col("airport") % 4 == 0, F.col("t")).otherwise(F.col("t") + 1.5)))
+    bend = lambda k: F.col("airport") * k % 40 / 100 + 0.005
+    a = a.withColumn("p1", ahead(F.col("p0"), F.col("t"))).withColumn("p2", ahead(F.col("p1"), F.col("t") + bend(13)))
+    a = a.withColumn("p3", ahead(F.col("p2"), F.col("t") + bend(13) + bend(29)))
     parts = a.select("airport", F.posexplode(F.array(F.array("p1", "p0"), F.array("p2", "p3"), F.array("p1", "p2"))).alias("part", "points"))
     found = coast.runways(parts, "airport")
     length = S.length_m("points") / G.METRES_PER_DEGREE
