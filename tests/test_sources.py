@@ -116,3 +116,15 @@ def test_caches_objects_and_folders(spark, tmp_path):
     o = texts.read_objects(spark, f"{tmp_path}/o.obj").withColumn("p", texts.placed_vertices(F.lit(100.0))).first()
     assert o["triangles"] == [[2, 1, 0]] and o["alt"] is None and o["heading"] == 90.0 and o["p"][0]["z"] == 102.0
     assert layers.folders(spark, str(tmp_path)).where("path LIKE '%o.obj'").count() == 1
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    import os
+
+    from tilewright import session
+
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(tmp_path))  # so that other tests' tables stay
+    os.makedirs(f"{tmp_path}/tilewright/another")
+    assert session.written(spark.range(5), "numbers").count() == 5 and len(os.listdir(f"{tmp_path}/tilewright")) == 2
+    assert session.clear(spark) and os.listdir(f"{tmp_path}/tilewright") == ["another"]
+    assert not session.clear(spark) and session.written(spark.range(3), "numbers").count() == 3

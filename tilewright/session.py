@@ -30,9 +30,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all tables that this application writes for itself."""
+    return f"{scratch_dir(spark).rstrip('/')}/tilewright/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a written table."""
-    return f"{scratch_dir(spark).rstrip('/')}/tilewright/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Removes the tables that this application has written for itself; whether there were any.
+
+    Results of the library's functions read such tables when they are used, so call it when all
+    results have been taken or written elsewhere. Other applications' tables and checkpoints stay.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
