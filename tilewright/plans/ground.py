@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators import rasters
-from tilewright.plans.fixtures import raster, sql
+from tilewright.operators import airports, rasters
+from tilewright.plans.fixtures import anchors, raster, sql
+from tilewright.plans.grids import _extent
 from tilewright.session import written
 from tilewright.sources import elevation
 
@@ -87,3 +88,41 @@ def distance_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks that fade with the distance from water: how far each cell of the ground is from it, and its grey."""
     found = rasters.distances(raster(spark, sf_dir), F.col("value") < -900, BAND)
     return found.select("row", "col", F.round("distance", 6).alias("distance"), (255 - F.floor(255 * F.col("distance") / BAND)).cast("int").alias("mask"))
+
+
+#: Places of a cell that are looked at along each side, and where in its cell an airport has its middle.
+PARTS, MIDDLE = 4, (0.53, 0.46)
+
+
+@query(
+    "ordered_airports",
+    f"""
+, x AS (SELECT max(row) AS lr, max(col) AS lc FROM raster)
+, apt AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, s_suppkey*31%(lr+1) AS r, s_suppkey*17%(lc+1) AS c, 3+s_suppkey%4 AS a, 2+s_suppkey%5 AS b, 1+s_suppkey%3 AS pix FROM anchors, x)
+, area AS (SELECT k, pix, r+i AS row, c+j AS col, count(*)/{PARTS * PARTS}.0e0 AS w FROM apt, range(-8, 9) AS t(i), range(-8, 9) AS u(j), range({PARTS}) AS v(p), range({PARTS}) AS y(q)
+  WHERE abs(i+(p+0.5e0)/{PARTS}-{MIDDLE[0]}e0)*b + abs(j+(q+0.5e0)/{PARTS}-{MIDDLE[1]}e0)*a < a*b GROUP BY ALL)
+, m AS (SELECT k, pix, row, col, w, value FROM area JOIN raster USING (row, col))
+, pr AS (SELECT o.k, o.row, o.col, o.w, i.row AS irow, i.col AS icol, i.w*(o.pix+1-abs(o.row-i.row))*(o.pix+1-abs(o.col-i.col)) AS f
+  FROM m o JOIN m i ON i.k = o.k AND abs(o.row-i.row) <= o.pix AND abs(o.col-i.col) <= o.pix)
+, states AS (WITH RECURSIVE st AS (SELECT 0 AS k, row, col, value FROM (SELECT DISTINCT row, col, value FROM m)
+  UNION ALL SELECT st.k+1, st.row, st.col, coalesce(n.w*n.s + (1-n.w)*st.value, st.value) FROM st
+  LEFT JOIN (SELECT pr.row, pr.col, pr.w, sum(pr.f*z.value)/sum(pr.f) AS s FROM pr JOIN st z ON z.k+1 = pr.k AND z.row = pr.irow AND z.col = pr.icol GROUP BY ALL) n ON n.row = st.row AND n.col = st.col
+  WHERE st.k < (SELECT max(k) FROM apt)) SELECT * FROM st)
+, soft AS (SELECT row, col, value FROM states WHERE k = (SELECT max(k) FROM apt))
+SELECT r.row, r.col, round(r.value + coalesce(s.value - r.value, 0)*least(1, r.row/p)*least(1, (lr-r.row)/p)*least(1, r.col/p)*least(1, (lc-r.col)/p), 6) AS value
+FROM raster r LEFT JOIN soft s USING (row, col), x, (SELECT max(pix)*1.0e0 AS p FROM apt)""",
+    "raster", "anchors",
+)
+def ordered_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground smoothed over airports, one after the other, each by a width of its own, and blended at the raster's sides."""
+    ground, s, c = raster(spark, sf_dir), F.col("s_suppkey"), F.col
+    at = anchors(spark, sf_dir).crossJoin(_extent(spark, sf_dir)).select(
+        "s_suppkey", (1 + s % 3).alias("pix"), (s * 31 % (c("last_row") + 1) + MIDDLE[0]).alias("r"), (s * 17 % (c("last_col") + 1) + MIDDLE[1]).alias("c"), (3 + s % 4).alias("a"), (2 + s % 5).alias("b"))
+    node = lambda r, k: F.struct(r.alias("row"), k.alias("col"))
+    ring = F.array(node(c("r") - c("a"), c("c")), node(c("r"), c("c") + c("b")), node(c("r") + c("a"), c("c")), node(c("r"), c("c") - c("b")))
+    at = written(at.select("s_suppkey", "pix", ring.alias("ring")), "airports")
+    areas = airports.coverage(at, "s_suppkey", PARTS).join(at.select(s.alias("id"), "pix"), "id")
+    soft = airports.smoothed_in_order(ground, areas)
+    sides = ground.crossJoin(_extent(spark, sf_dir)).crossJoin(at.agg(F.max("pix").alias("width")))
+    out = airports.blended_at_sides(sides, soft, F.lit(0), F.lit(0), c("last_row"), c("last_col"), c("width"))
+    return out.select("row", "col", F.round("value", 6).alias("value"))
