@@ -120,13 +120,9 @@ def test_cells_keep_a_callers_columns(spark):
     assert [(r["id"], r["near"], r["_cx"]) for r in near] == [(1, 1, 7)]
 
 
-def test_nulls_in_rings_and_profiles(spark):
+def test_nulls_in_rings(spark):
     from tilewright.operators import rings
 
     rows = [(1, 1, [1, 2]), (1, 2, [2, 1]), (2, 1, [1, None]), (2, 2, [None, 1]), (3, 1, []), (3, 2, [4, 5, 4]), (None, 1, [1, 2, 1]), (4, 1, None)]
     got = rings.assemble(spark.createDataFrame(rows, "k int, fragment int, nodes array<long>"), "k").collect()
     assert [(r["k"], r["nodes"]) for r in got] == [(1, [1, 2, 1])]
-    lines = [([0.0, 1.0, 2.0, 3.0], [1.0, None, 5.0, 9.0], [1.0, 1.0, 1.0, 0.0]), ([], [], []), (None, [1.0], [1.0])]
-    df = spark.createDataFrame(lines, "x array<double>, z array<double>, w array<double>")
-    fit = [r["k"] for r in df.select(rings.fit_profile("x", "z", "w").alias("k")).collect()]
-    assert np.allclose(fit[0], [2.0, 1.0]) and fit[1:] == [[], []]

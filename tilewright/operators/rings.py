@@ -48,30 +48,6 @@ def _joined(fragments: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def fit_profile(x: pd.Series, z: pd.Series, weight: pd.Series) -> pd.Series:
-    """Coefficients, the highest first, of the least-squares polynomial of degree 7 at most through (x, z) with weights.
-
-    Points of which x, z or the weight is null, or the weight not above zero, are left out; without points there are no coefficients.
-    """
-
-    def fit(*lists) -> np.ndarray:
-        if any(v is None for v in lists):
-            return np.empty(0)
-        a, b, w = (np.array([np.nan if u is None else u for u in v], float) for v in lists)
-        good = np.isfinite(a) & np.isfinite(b) & (w > 0)
-        if not good.any():
-            return np.empty(0)
-        return np.polyfit(a[good], b[good], min(7, len(np.unique(a[good])) - 1), w=np.sqrt(w[good]))
-
-    return pd.Series([fit(*row) for row in zip(x, z, weight)])
-
-
-def evaluate(coefficients, x):
-    """A polynomial of coefficients (the highest first) at x, by Horner's rule."""
-    return F.aggregate(coefficients, F.lit(0.0), lambda acc, c: acc * x + c)
-
-
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "angle", "length", "width")]))
 def smallest_rectangle(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     """The smallest rotated rectangle around points: one of its sides lies along the hull; of equal areas (to nine digits) the longest."""

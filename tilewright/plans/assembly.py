@@ -43,16 +43,6 @@ def ring_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("way", F.size("line").alias("nodes"), F.round(F.abs(S.signed_area("line")), 6).alias("area"))
 
 
-@query("way_profiles")
-def way_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A polynomial fitted to each way's elevations, and its value in the middle."""
-    n = F.expr("count(*) OVER (PARTITION BY way)")
-    rows = way_nodes(spark, sf_dir).withColumn("t", F.when(n == 1, F.lit(0.0)).otherwise((F.col("pos") - 1) / (n - 1)))
-    each = rows.groupBy("way").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "z"))).alias("p"))
-    fit = each.select("way", rings.fit_profile(F.transform("p", lambda q: q["t"]), F.transform("p", lambda q: q["z"]), F.transform("p", lambda q: F.lit(1.0))).alias("k"))
-    return fit.select("way", F.round(rings.evaluate("k", F.lit(0.5)), 6).alias("middle"))
-
-
 @query(
     "smallest_rectangles",
     """

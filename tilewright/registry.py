@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilewright.plans import areas, assembly, catalogue, composites, extras, grids, ground, lines, meshwork, polygons, selections, shaping, streams, tiling
+from tilewright.plans import areas, assembly, catalogue, composites, extras, grids, ground, lines, meshwork, polygons, runways, selections, shaping, streams, tiling
 
 FLAGSHIP = "texture_cells"
-_PLANS = (tiling, lines, grids, assembly, catalogue, streams, selections, areas, meshwork, composites, extras, polygons, ground, shaping)
+_PLANS = (tiling, lines, grids, assembly, catalogue, streams, selections, areas, meshwork, composites, extras, polygons, ground, shaping, runways)
 QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL: dict = {name: text for plan in _PLANS for name, text in plan.SQL.items()}
