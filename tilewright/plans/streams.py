@@ -18,8 +18,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work items of each user that got done or were given up after three failures."""
     events = queues.table_stream(spark, f"{sf_dir}/events.parquet")
-    attempts = events.select("user_id", "event_id", (F.col("value") < 30).alias("ok"))
-    out = queues.drain(queues.bounded_retries(attempts, "user_id", "event_id", "ok"), "retries")
+    attempts = events.select("user_id", "event_id", "ts", (F.col("value") < 30).alias("ok"))
+    out = queues.drain(queues.bounded_retries(attempts, "user_id", "event_id", "ok", ts="ts", remember="90 days"), "retries")
     return out.groupBy("outcome", "attempts").agg(F.count("*").alias("n"))
 
 
@@ -31,14 +31,14 @@ def distinct_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that are built, fetched and converted in a chain of streams: done and pending items of each stage."""
+    """Requests that are built, fetched and converted in a chain of streams that run at once: done and pending items of each stage."""
     events = queues.table_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "event_type", "value")
-    done = queues.chained(events, [
+    _, seen = queues.chained(events, [
         ("built", lambda df: df.where(F.col("event_type").isin("click", "view"))),
         ("fetched", lambda df: df.where("value >= 10")),
         ("converted", lambda df: df.where("value < 90")),
     ])
-    return queues.progress(spark.read.parquet(f"{sf_dir}/events.parquet"), done)
+    return queues.progress(spark, seen)
 
 
 QUERIES = {"staged_queues": staged_queues, "event_windows": event_windows, "retry_outcomes": retry_outcomes, "distinct_requests": distinct_requests}
