@@ -68,7 +68,7 @@ def rectangle_misfit(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     """The area of a ring, and the Hausdorff distance between it and the smallest rotated rectangle around it.
 
     The ring is open (its last node isn't its first); the distance is that of either one's corners from
-    the other's sides. Of rectangles of equal area (to nine digits) the longest counts. Without three different nodes both are null.
+    the other's sides. Of rectangles of equal area (to nine digits) the longest count, of those the nearest. Without three different nodes both are null.
     """
     out = [_misfit(np.asarray(a, float), np.asarray(b, float)) if a is not None and b is not None else None for a, b in zip(x, y)]
     return pd.DataFrame([r or (None, None) for r in out], columns=["area", "misfit"], dtype="float64")
@@ -80,19 +80,23 @@ def _misfit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
     if np.isnan(p).any() or len(hull) < 3:
         return None
     edges = np.roll(hull, -1, axis=0) - hull
-    best = None
+    found = []
     for ux, uy in edges / np.hypot(*edges.T)[:, None]:
         turned = hull @ np.array([[ux, -uy], [uy, ux]])
         low, high = turned.min(0), turned.max(0)
-        rank = (round(float(np.prod(high - low)), 9), round(-float(max(high - low)), 9))
-        if best is None or rank < best[0]:
-            best = (rank, (ux, uy), low, high)
-    _, (ux, uy), low, high = best
-    ring = p @ np.array([[ux, -uy], [uy, ux]])  # as the rectangle lies
+        found.append(((round(float(np.prod(high - low)), 9), round(-float(max(high - low)), 9)), ux, uy, low, high))
+    least = min(f[0] for f in found)
+    off = min(_apart(p @ np.array([[ux, -uy], [uy, ux]]), low, high) for rank, ux, uy, low, high in found if rank == least)
+    area = float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
+    return area, off
+
+
+def _apart(ring: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """The Hausdorff distance of a ring from the sides of the upright rectangle around it."""
     corners = np.array([low, [high[0], low[1]], high, [low[0], high[1]]])
     off = np.minimum(ring - low, high - ring).min(1).max()  # a node's distance from the nearest side
     side = np.roll(ring, -1, axis=0) - ring
     size = np.maximum((side**2).sum(1), 1e-300)
     along = np.clip(((corners[:, None] - ring) * side).sum(2) / size, 0, 1)
     far = np.sqrt(((ring + along[:, :, None] * side - corners[:, None]) ** 2).sum(2)).min(1).max()
-    return float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2), float(max(off, far, 0.0))
+    return float(max(off, far, 0.0))

@@ -73,22 +73,23 @@ LEAST, MOST = 0.02, 0.25
 , e AS (SELECT a.way, a.x, a.y, (b.x-a.x)/sqrt(pow(b.x-a.x, 2)+pow(b.y-a.y, 2)) AS ux, (b.y-a.y)/sqrt(pow(b.x-a.x, 2)+pow(b.y-a.y, 2)) AS uy FROM p a JOIN p b ON a.way = b.way AND (a.x <> b.x OR a.y <> b.y))
 , d AS (SELECT e.way, ux, uy, e.x AS ox, e.y AS oy, (p.x-e.x)*ux+(p.y-e.y)*uy AS s, (p.y-e.y)*ux-(p.x-e.x)*uy AS o FROM e JOIN p ON p.way = e.way)
 , r AS (SELECT way, ux, uy, ox, oy, min(s) AS s0, max(s) AS s1, max(o) AS w FROM d GROUP BY ALL HAVING min(o) >= -1e-12 AND max(o) > 1e-12)
-, b AS (SELECT way, arg_min(struct_pack(ux := ux, uy := uy, ox := ox, oy := oy, s0 := s0, s1 := s1, w := w), struct_pack(a := round((s1-s0)*w, 9), b := round(-greatest(s1-s0, w), 9), c := ux, d := uy, e := ox, f := oy)) AS r FROM r GROUP BY way)
-, f AS (SELECT n.way, pos, (x-r.ox)*r.ux+(y-r.oy)*r.uy AS s, (y-r.oy)*r.ux-(x-r.ox)*r.uy AS o, r FROM way_nodes n JOIN b ON b.way = n.way)
-, g AS (SELECT *, coalesce(lead(s) OVER w, first_value(s) OVER w) AS s2, coalesce(lead(o) OVER w, first_value(o) OVER w) AS o2 FROM f WINDOW w AS (PARTITION BY way ORDER BY pos))
-, k AS (SELECT way, s, o, s2, o2, CASE WHEN i % 2 = 0 THEN r.s0 ELSE r.s1 END AS cs, CASE WHEN i < 2 THEN 0 ELSE r.w END AS co, i FROM g, range(4) AS t(i))
+, b AS (SELECT way, row_number() OVER (PARTITION BY way) AS c, struct_pack(ux := ux, uy := uy, ox := ox, oy := oy, s0 := s0, s1 := s1, w := w) AS r FROM r QUALIFY rank() OVER (PARTITION BY way ORDER BY round((s1-s0)*w, 9), round(-greatest(s1-s0, w), 9)) = 1)
+, f AS (SELECT n.way, c, pos, (x-r.ox)*r.ux+(y-r.oy)*r.uy AS s, (y-r.oy)*r.ux-(x-r.ox)*r.uy AS o, r FROM way_nodes n JOIN b ON b.way = n.way)
+, g AS (SELECT *, coalesce(lead(s) OVER w, first_value(s) OVER w) AS s2, coalesce(lead(o) OVER w, first_value(o) OVER w) AS o2 FROM f WINDOW w AS (PARTITION BY way, c ORDER BY pos))
+, k AS (SELECT way, c, s, o, s2, o2, CASE WHEN i % 2 = 0 THEN r.s0 ELSE r.s1 END AS cs, CASE WHEN i < 2 THEN 0 ELSE r.w END AS co, i FROM g, range(4) AS t(i))
 , l AS (SELECT *, coalesce(least(1, greatest(0, ((cs-s)*(s2-s)+(co-o)*(o2-o))/nullif(pow(s2-s, 2)+pow(o2-o, 2), 0))), 0) AS a FROM k)
-, h AS (SELECT way, max(m) AS m FROM (SELECT way, i, min(sqrt(pow(s+a*(s2-s)-cs, 2)+pow(o+a*(o2-o)-co, 2))) AS m FROM l GROUP BY way, i) GROUP BY way)
-, q AS (SELECT way, abs(sum(s*o2-s2*o))/2 AS area, max(least(s-r.s0, r.s1-s, o, r.w-o)) AS m FROM g GROUP BY way)
+, h AS (SELECT way, c, max(m) AS m FROM (SELECT way, c, i, min(sqrt(pow(s+a*(s2-s)-cs, 2)+pow(o+a*(o2-o)-co, 2))) AS m FROM l GROUP BY way, c, i) GROUP BY way, c)
+, q AS (SELECT way, c, abs(sum(s*o2-s2*o))/2 AS area, max(least(s-r.s0, r.s1-s, o, r.w-o)) AS m FROM g GROUP BY way, c)
+, v AS (SELECT way, round(min(area), 9) AS area, round(min(greatest(q.m, h.m, 0)), 9) AS misfit FROM q JOIN h USING (way, c) GROUP BY way)
 , t AS (SELECT way, max(tag) = 'R' AS custom FROM way_nodes GROUP BY way)
-SELECT way, round(area, 9) AS area, round(greatest(q.m, h.m, 0), 9) AS misfit, CASE WHEN area < {LEAST} THEN 'small' WHEN custom THEN 'custom' WHEN greatest(q.m, h.m) > {MOST} THEN 'bad' ELSE 'sane' END AS verdict
-FROM q JOIN h USING (way) JOIN t USING (way)""",
+SELECT way, area, misfit, CASE WHEN area < {LEAST} THEN 'small' WHEN custom THEN 'custom' WHEN misfit > {MOST} THEN 'bad' ELSE 'sane' END AS verdict FROM v JOIN t USING (way)""",
     "way_nodes",
 )
 def runway_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways as outlines of runways: their area, how far they are from a rectangle, and whether they are kept."""
     nodes = F.sort_array(F.collect_list(F.struct("pos", "x", "y")))
     each = way_nodes(spark, sf_dir).groupBy("way").agg(nodes.alias("p"), (F.max("tag") == "R").alias("custom"))
-    r = each.select("way", "custom", runways.rectangle_misfit("p.x", "p.y").alias("r")).where("r.misfit IS NOT NULL").select("way", "custom", "r.*")
+    r = each.select("way", "custom", runways.rectangle_misfit("p.x", "p.y").alias("r")).where("r.misfit IS NOT NULL")
+    r = r.select("way", "custom", F.round("r.area", 9).alias("area"), F.round("r.misfit", 9).alias("misfit"))
     verdict = F.when(F.col("area") < LEAST, "small").when(F.col("custom"), "custom").when(F.col("misfit") > MOST, "bad").otherwise("sane")
-    return r.select("way", F.round("area", 9).alias("area"), F.round("misfit", 9).alias("misfit"), verdict.alias("verdict"))
+    return r.select("way", "area", "misfit", verdict.alias("verdict"))
