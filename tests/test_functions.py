@@ -161,3 +161,10 @@ def test_running_total(spark):
     got = [r["t"] for r in ways.running_total(df, "id", F.col("v"), "t", block=16).orderBy("id").collect()]
     v = [x for _, x in sorted((i * 7 % 1000, float(i % 5)) for i in range(1000))]
     assert got == [sum(v[:i]) for i in range(1000)]
+
+
+def test_sizes_over_the_last_unit(spark):
+    row = spark.range(1).select(
+        N.readable_size(F.lit(1050 * 2**30), "KMG").alias("a"), N.readable_size(F.lit(1024 * 2**30)).alias("b"), N.readable_size(F.lit(5000), "").alias("c")
+    ).first()
+    assert tuple(row) == ("1050.0G", "1.0T", "5000.0")

@@ -66,12 +66,13 @@ def url(template: C, zoom: C, x: C, y: C, key: C, switch: C | None = None) -> Co
     return F.regexp_replace(out, F.lit(r"\{switch:[^}]*\}"), chosen)
 
 
-def readable_size(n: C) -> Column:
-    """Bytes in units of 1024."""
+def readable_size(n: C, units: str = "KMGT") -> Column:
+    """Bytes in units of 1024; what is over the last of the units is given in it."""
     n = col(n).cast("double")
-    out = F.format_string("%.1fT", n / 1024**4)
-    for power, unit in ((3, "G"), (2, "M"), (1, "K"), (0, "")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", n / 1024**power)).otherwise(out)
+    shown = [F.format_string(f"%.1f{unit}", n / 1024**power) for power, unit in enumerate(["", *units])]
+    out = shown.pop()
+    for power in reversed(range(len(shown))):
+        out = F.when(n < 1024 ** (power + 1), shown[power]).otherwise(out)
     return out
 
 
