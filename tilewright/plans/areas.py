@@ -104,10 +104,10 @@ SELECT area, count(*) AS both, count(*) FILTER (a AND b) AS common, count(*) FIL
 )
 def area_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection, difference and symmetric difference of the even and the odd ways of an area, in cells."""
-    cells = areas.cells_of(_rings(spark, sf_dir), "ring", CELLS, "way").withColumn("area", F.floor(F.col("way") / 100))
-    m = areas.combined(cells, F.col("way") % 2 == 1, "area")
-    n = lambda test, name: F.count(F.when(F.expr(test), 1)).alias(name)
-    return m.groupBy("area").agg(F.count("*").alias("both"), n("in_a AND in_b", "common"), n("in_a AND NOT in_b", "less"), n("in_a <> in_b", "either"))
+    rows = areas.rows_of(_rings(spark, sf_dir), "ring", CELLS, "way").withColumn("area", F.floor(F.col("way") / 100))
+    m = areas.combined(rows, F.col("way") % 2 == 1, "area")
+    n = lambda bits, name: areas.count_of(F.expr(bits)).alias(name)
+    return m.groupBy("area").agg(n("a | b", "both"), n("a & b", "common"), n("a & ~b", "less"), n("a ^ b", "either"))
 
 
 @query(
@@ -122,8 +122,8 @@ SELECT area, count(*) AS cells, min(r) AS top, max(c) AS east FROM s GROUP BY ar
 def buffered_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas grown by two cells, with gaps of two cells closed."""
     some = _rings(spark, sf_dir).withColumn("area", F.floor(F.col("way") / 40))
-    out = areas.buffered(areas.cells_of(some, "ring", CELLS, "area"), 2, 1, "area")
-    return out.groupBy("area").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.max("col").alias("east"))
+    out = areas.buffered(areas.rows_of(some, "ring", CELLS, "area"), 2, 1, "area")
+    return out.groupBy("area").agg(areas.count_of("bits").alias("cells"), F.min("row").alias("top"), F.max(areas.last_col()).alias("east"))
 
 
 @query(
@@ -146,8 +146,8 @@ def multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(in_relation, "relation").otherwise("way").alias("kind"), F.when(in_relation, F.col("relation")).otherwise(F.col("way")).alias("id"),
         (F.col("o_orderstatus") == "F").alias("inner"), "ring")
     n = own.groupBy("kind", "id").agg(F.count(F.when(~F.col("inner"), 1)).alias("outers"), F.count(F.when(F.col("inner"), 1)).alias("holes")).where("outers > 0")
-    m = areas.combined(areas.cells_of(own, "ring", CELLS, "kind", "id", "inner"), F.col("inner"), "kind", "id").where("in_a AND NOT in_b")
-    out = n.join(m.groupBy("kind", "id").agg(F.count("*").alias("cells")), ["kind", "id"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+    m = areas.combined(areas.rows_of(own, "ring", CELLS, "kind", "id", "inner"), F.col("inner"), "kind", "id")
+    out = n.join(m.groupBy("kind", "id").agg(areas.count_of(F.expr("a & ~b")).alias("cells")), ["kind", "id"], "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
     return out.select("kind", "id", "outers", "holes", "cells", (F.col("cells") >= 100).alias("accepted"))
 
 
@@ -167,9 +167,8 @@ def water_pre_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
     corners = F.array(*[S.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3, 1)])
     t = triangles(spark, sf_dir).select(F.floor(F.col("way") / 20).alias("tile"), F.when(kind == 1, 1).when(kind.isin(2, 3), 2).otherwise(0).alias("paint"), corners.alias("ring"))
-    mask = areas.painted(areas.cells_of(t, "ring", CELLS, "tile", "paint"), F.col("paint"), F.col("paint"), "tile")
-    n = lambda v: F.count(F.when(F.col("value") == v, 1))
-    out = mask.groupBy("tile").agg(n(0).alias("land"), n(1).alias("inland"))
+    mask = areas.painted(areas.rows_of(t, "ring", CELLS, "tile", "paint"), F.col("paint"), [0, 1, 2], "tile")
+    out = mask.groupBy("tile").agg(areas.count_of("v0").alias("land"), areas.count_of("v1").alias("inland"))
     whole = CELLS * CELLS
     return out.where(f"land < {whole} AND land + inland > 0").select("tile", "land", "inland", (whole - F.col("land") - F.col("inland")).alias("black"))
 
@@ -210,9 +209,9 @@ SELECT way, count(*) AS cells FROM cell WHERE way % 2 = 0 AND NOT EXISTS (SELECT
 )
 def surfaces_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each even way's surface less all surfaces of its area whose number ends in seven."""
-    cells = areas.cells_of(_rings(spark, sf_dir), "ring", CELLS, "way").withColumn("area", F.floor(F.col("way") / 100))
-    left = areas.less(cells.where("way % 2 = 0"), cells.where("way % 10 = 7"), "area")
-    return left.groupBy("way").agg(F.count("*").alias("cells"))
+    rows = areas.rows_of(_rings(spark, sf_dir), "ring", CELLS, "way").withColumn("area", F.floor(F.col("way") / 100))
+    left = areas.less(rows.where("way % 2 = 0"), rows.where("way % 10 = 7"), "area")
+    return left.groupBy("way").agg(areas.count_of("bits").alias("cells"))
 
 
 @query(
@@ -225,7 +224,7 @@ SELECT airport, count(DISTINCT (r, c)) AS cells, count(DISTINCT CASE WHEN kind =
 def airport_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of airports: the union of the one that is given and of all their surfaces, with its bounds."""
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_custkey").alias("airport"), (F.col("o_orderstatus") == "O").alias("given"))
-    cells = areas.cells_of(_rings(spark, sf_dir).join(own, "way"), "ring", CELLS, "airport", "given")
-    m = areas.combined(cells, F.col("given"), "airport")
+    rows = areas.rows_of(_rings(spark, sf_dir).join(own, "way"), "ring", CELLS, "airport", "given")
+    m = areas.combined(rows, F.col("given"), "airport").withColumn("bits", F.expr("a | b"))
     return m.groupBy("airport").agg(
-        F.count("*").alias("cells"), F.count(F.when(F.col("in_b"), 1)).alias("given"), F.min("row").alias("south"), F.max("row").alias("north"), F.min("col").alias("west"), F.max("col").alias("east"))
+        areas.count_of("bits").alias("cells"), areas.count_of("b").alias("given"), F.min("row").alias("south"), F.max("row").alias("north"), F.min(areas.first_col()).alias("west"), F.max(areas.last_col()).alias("east"))
