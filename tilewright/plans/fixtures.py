@@ -53,8 +53,9 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as ordered nodes of ways, in tile-local degrees."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS way", f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_WAY_ORDER}) AS BIGINT) AS pos",
+    # partitioned by the name that it keeps, so that what is grouped by way needs no other shuffle
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "way").selectExpr(
+        "way", f"CAST(row_number() OVER (PARTITION BY way ORDER BY {_WAY_ORDER}) AS BIGINT) AS pos",
         f"{_WAY_X} AS x", f"{_WAY_Y} AS y", "l_linenumber AS kind", "l_quantity AS z", "l_returnflag AS tag",
     )
 
