@@ -106,9 +106,7 @@ SELECT s.c_custkey, round(CASE WHEN coalesce(w.w, 0) < 1e-6 THEN s.c_acctbal ELS
 def kernel_altitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the anchors within 2,000 km of a site under an exponential kernel; the site's own value where there are none."""
     s, a = sites(spark, sf_dir), anchors(spark, sf_dir)
-    k = F.exp(-F.col("metres") / 500_000)
-    near = spatial.all_within(s.select("c_custkey", "lon", "lat"), a.select("s_suppkey", "s_acctbal", "lon", "lat"), 2_000_000.0, 10.0)
-    near = near.groupBy("c_custkey").agg(F.sum(k * F.col("s_acctbal")).alias("v"), F.sum(k).alias("w"))
+    near = spatial.kernel_sums(s, a, "c_custkey", "s_acctbal", 2_000_000.0, 500_000.0)
     value = F.when(F.coalesce("w", F.lit(0.0)) < 1e-6, F.col("c_acctbal")).otherwise(F.col("v") / F.col("w"))
     return s.join(near, "c_custkey", "left").select("c_custkey", F.round(value, 4).alias("altitude"))
 
