@@ -239,10 +239,7 @@ def merged_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping boxes around sites of one class merged transitively to their common bounds."""
     c = F.col
     z = sites(spark, sf_dir).select(c("c_custkey").alias("id"), (c("c_nationkey") % 5).alias("class"), c("lon").alias("x0"), c("lat").alias("y0"), (c("lon") + 3).alias("x1"), (c("lat") + 2).alias("y1"))
-    of = z.select("id", "class")
-    pairs = spatial.overlapping_boxes(z, "id", 5.0)
-    pairs = pairs.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
-    roots = components(pairs)
+    roots = components(spatial.linking_boxes(z, "id", 1.0, "class"))
     least = roots.groupBy("root").agg(F.min("node").alias("first"))
     named = z.join(roots.join(least, "root").select(c("node").alias("id"), "first"), "id", "left")
     return named.groupBy(F.coalesce("first", "id").alias("root")).agg(
