@@ -29,6 +29,29 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("path", F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("name"), "entries")
 
 
+def sectioned(spark: SparkSession, path: str) -> DataFrame:
+    """name (of the section), entries: key=value lines below headers such as ``[name]``, of many sections to a file; otherwise like ``catalog``.
+
+    A section is in one file, whole; its lines are together in it.
+    """
+    lines = numbered_lines(spark, path).withColumn("v", F.trim("value"))
+    head = F.regexp_extract("v", r"^\[(.*)\]$", 1)
+    # lines of a file are in ranges by their number; a range begins with the last header before it
+    block = F.floor(F.col("line") / 65_536)
+    lines = lines.select("path", "line", "v", block.alias("_b"), F.when(F.col("v").rlike(r"^\[.*\]$"), head).alias("_head"))
+    ends = lines.where("_head IS NOT NULL").groupBy("path", "_b").agg(F.max_by("_head", "line").alias("_last"))
+    blocks = lines.select("path", "_b").distinct().join(ends, ["path", "_b"], "left")
+    before = Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    blocks = blocks.select("path", "_b", F.last("_last", True).over(before).alias("_last"))
+    so_far = Window.partitionBy("path", "_b").orderBy("line")
+    named = lines.join(blocks, ["path", "_b"]).select("line", "v", "_head", F.coalesce(F.last("_head", True).over(so_far), "_last").alias("name")).where("name IS NOT NULL")
+    pair = F.when(F.col("_head").isNull() & F.expr("v LIKE '%=%' AND v NOT LIKE '#%'"), F.regexp_extract("v", r"^([^=]+)=", 1))
+    pairs = named.select("name", "line", F.trim(pair).alias("k"), F.trim(F.regexp_extract("v", r"^[^=]+=(.*)$", 1)).alias("v"))
+    last = pairs.groupBy("name", "k").agg(F.max_by("v", "line").alias("v"))
+    entries = F.filter(F.collect_list(F.struct("k", "v")), lambda e: e["k"].isNotNull())
+    return last.groupBy("name").agg(F.map_from_entries(entries).alias("entries"))
+
+
 def filter_lists(spark: SparkSession, path: str) -> DataFrame:
     """name (of the file), filters: array of (name, args) from lines such as ``brightness-contrast 5 10``, in their order."""
     lines = numbered_lines(spark, path).where("trim(value) <> '' AND trim(value) NOT LIKE '#%'")
