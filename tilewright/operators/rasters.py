@@ -212,7 +212,8 @@ def warped(patches: DataFrame, raster: DataFrame) -> DataFrame:
     """
     c = F.col
     from_to = lambda lo, hi: F.explode(F.sequence(c(lo), c(hi) - 1))
-    each = patches.where((c("r1") > c("r0")) & (c("c1") > c("c0"))).withColumn("row", from_to("r0", "r1")).withColumn("col", from_to("c0", "c1"))
+    rows = patches.where((c("r1") > c("r0")) & (c("c1") > c("c0"))).withColumn("row", from_to("r0", "r1"))
+    each = rows.repartition("row").withColumn("col", from_to("c0", "c1"))  # patches may be few and large
     u, v = (c("col") - c("c0") + 0.5), (c("row") - c("r0") + 0.5)
     w, h = c("c1") - c("c0"), c("r1") - c("r0")
 
@@ -225,7 +226,8 @@ def warped(patches: DataFrame, raster: DataFrame) -> DataFrame:
     taps = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
     samples = in_blocks(raster, 2, lambda z, here: [_moved(z, i, j) for i, j in taps], ", ".join(f"s{k} double" for k in range(16)))
     samples = samples.select(c("row").alias("_r"), c("col").alias("_c"), F.array(*[f"s{k}" for k in range(16)]).alias("_s")).where(c("_s")[taps.index((0, 0))].isNotNull())
-    met = at.join(samples, ["_r", "_c"])
+    # Spark takes what few patches make for small and would send it to the driver, but it is as large as the raster
+    met = at.hint("merge").join(samples.hint("merge"), ["_r", "_c"])
     own = c("_s")[taps.index((0, 0))]
     weigh = lambda k, i, j: F.coalesce(c("_s")[k], own) * _cubic(c("_y") - c("_r") - i) * _cubic(c("_x") - c("_c") - j)
     return met.select("row", "col", sum((weigh(k, i, j) for k, (i, j) in enumerate(taps)), F.lit(0.0)).alias("value"))
