@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import shapes
 from tilewright.functions.geodesy import texture_cell
+from tilewright.operators import rings
 from tilewright.operators.spatial import with_cells
 from tilewright.operators.ways import numbered
 from tilewright.session import cut_lineage
@@ -131,7 +132,7 @@ def cut_along_grid(mesh: DataFrame, size: float) -> DataFrame:
     xs, ys = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]
     dealt = with_cells(mesh, F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys), size).withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
     ring = F.array(*[shapes.point(xs[i] - F.col("cx") * size, ys[i] - F.col("cy") * size) for i in (0, 1, 2, 0)])
-    return dealt.withColumn("ring", shapes.clip(ring, 0.0, 0.0, size, size))
+    return dealt.withColumn("ring", rings.clipped(ring, 0.0, 0.0, size, size))
 
 
 def locality_key(x: Column, y: Column, bits: int = 16) -> Column:
