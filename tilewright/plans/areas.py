@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import shapes as S
-from tilewright.operators import areas, planar, ways
+from tilewright.operators import areas, planar, rings, ways
 from tilewright.plans.fixtures import sql, triangles, way_nodes
 from tilewright.plans.lines import _M, _S, _SEG, SCALE
 from tilewright.plans.lines import SQL as _LINE_SQL
@@ -73,7 +73,7 @@ SELECT way, CAST(n AS BIGINT) AS nodes, round(area, 9) AS area, true AS ccw, z A
 )
 def encoded_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons made ready for a mesh: clipped to the tile, small ones dropped, turned counter-clockwise, refined, with an altitude."""
-    cut = _rings(spark, sf_dir).select("way", S.clip("ring", 0.1, 0.2, 0.9, 0.8).alias("ring")).where(F.abs(S.signed_area("ring")) >= 0.0001)
+    cut = _rings(spark, sf_dir).select("way", rings.clipped("ring", 0.1, 0.2, 0.9, 0.8).alias("ring")).where(F.abs(S.signed_area("ring")) >= 0.0001)
     fine = cut.select("way", S.refine(S.counter_clockwise("ring"), 10_000.0, SCALE).alias("ring"))
     z = way_nodes(spark, sf_dir).groupBy("way").agg(F.max("z").alias("altitude"))
     b = S.bounds("ring")
