@@ -60,3 +60,9 @@ def test_outlines_and_their_rectangles(spark):
     assert got[0]["area"] == pytest.approx(9) and got[0]["misfit"] == pytest.approx(0, abs=1e-9)
     for i, r in enumerate(rings):
         assert got[i]["misfit"] == pytest.approx(misfit(r), abs=2e-3)
+
+
+def test_nodes_on_a_line_are_no_outline(spark):
+    rows = [(i, [(a + k * d) / 1000 for k in (0, 1, 3, 7)], [(b + k * e) / 1000 for k in (0, 1, 3, 7)]) for i, (a, b, d, e) in enumerate(np.random.default_rng(12).integers(1, 120, (300, 4)).tolist())]
+    df = spark.createDataFrame(rows, "k int, x array<double>, y array<double>")
+    assert df.select(runways.rectangle_misfit("x", "y").alias("r")).where("r.misfit IS NOT NULL OR r.area IS NOT NULL").isEmpty()

@@ -12,6 +12,8 @@ from tilewright.operators.rings import _hull
 
 #: Below this share of its first value a pivot is rounding only: the points don't determine its term.
 SINGULAR = 1e-11
+#: An outline that isn't wider than this is a line.
+FLAT = 1e-12
 
 
 def _term(k: int, t: Column) -> Column:
@@ -84,7 +86,11 @@ def _misfit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
     for ux, uy in edges / np.hypot(*edges.T)[:, None]:
         turned = hull @ np.array([[ux, -uy], [uy, ux]])
         low, high = turned.min(0), turned.max(0)
+        if high[1] - low[1] <= FLAT:
+            continue
         found.append(((round(float(np.prod(high - low)), 9), round(-float(max(high - low)), 9)), ux, uy, low, high))
+    if not found:  # all nodes lie on a line but for rounding
+        return None
     least = min(f[0] for f in found)
     off = min(_apart(p @ np.array([[ux, -uy], [uy, ux]]), low, high) for rank, ux, uy, low, high in found if rank == least)
     area = float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
