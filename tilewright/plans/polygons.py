@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators import outlines, planar, ways
+from tilewright.operators import arranged, outlines, ways
 from tilewright.plans.areas import _CLOSED, STEPS, _rings
 from tilewright.plans.fixtures import sql, way_nodes
-from tilewright.session import table, written
+from tilewright.session import table
 
 QUERIES, SQL = {}, {}
 
@@ -52,14 +52,6 @@ def _of_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderstatus") == "F").alias("inner"), "way", "ring")
 
 
-def _sided(rings: DataFrame, *group: str) -> DataFrame:
-    """The pieces of rings (group, way, inner, ring) with what lies on their sides."""
-    edges = written(planar.on_lattice(planar.ring_edges(rings, "ring", *group, "way", "inner"), STEPS), "edges")
-    found = planar.pieces(planar.stretches(edges, *group), *group)
-    return planar.sides(found, edges, "inner", "way", *group)
-
-
-_UNIT = STEPS * STEPS
 _RELATIONS = """
 SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey - 1 ELSE o_custkey END AS id, o_orderkey AS way, o_orderstatus = 'F' AS hole FROM orders JOIN big ON o_orderkey = way
 """
@@ -75,11 +67,9 @@ SELECT CASE WHEN id < 0 THEN 'way' ELSE 'relation' END AS kind, CASE WHEN id < 0
 )
 def exact_multipolygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of relations' polygons (the union of their outer rings less that of their inner ones) and of closed ways, and whether a filter by area takes them."""
-    own = _of_relations(spark, sf_dir)
-    n = own.groupBy("kind", "id").agg(F.count(F.when(~F.col("inner"), 1)).alias("outers"), F.count(F.when(F.col("inner"), 1)).alias("holes")).where("outers > 0")
-    area = _sided(own, "kind", "id").groupBy("kind", "id").agg((planar.area_of(planar.LESS) / _UNIT).alias("area"))
-    out = n.join(area, ["kind", "id"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
-    return out.select("kind", "id", "outers", "holes", F.round("area", 8).alias("area"), (F.col("area") >= 0.1).alias("accepted"))
+    found = arranged.areas(_of_relations(spark, sf_dir), "ring", F.col("inner"), STEPS, "kind", "id").where("n_a > 0")
+    area = F.coalesce("less", F.lit(0.0))
+    return found.select("kind", "id", F.col("n_a").alias("outers"), F.col("n_b").alias("holes"), F.round(area, 8).alias("area"), (area >= 0.1).alias("accepted"))
 
 
 @query(
@@ -91,20 +81,15 @@ SELECT id AS area, round(coalesce(sum(size) FILTER (outer_ OR inner_), 0), 8) AS
 )
 def exact_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas of union, intersection, difference and symmetric difference of the even and the odd ways of each ten."""
-    own = _rings(spark, sf_dir).select(F.floor(F.col("way") / 10).alias("area"), "way", (F.col("way") % 2 == 1).alias("inner"), "ring")
-    size = lambda inside, name: (F.round(planar.area_of(inside) / _UNIT, 8) + 0.0).alias(name)
-    return _sided(own, "area").groupBy("area").agg(
-        size(planar.UNION, "both"), size(planar.COMMON, "common"), size(planar.LESS, "less"), size(planar.EITHER, "either"))
+    own = _rings(spark, sf_dir).select(F.floor(F.col("way") / 10).alias("area"), (F.col("way") % 2 == 1).alias("inner"), "ring")
+    found = arranged.areas(own, "ring", F.col("inner"), STEPS, "area").where("both IS NOT NULL")
+    return found.select("area", *((F.round(c, 8) + 0.0).alias(c) for c in arranged.SETS))
 
 
 @query("polygon_rings")
 def polygon_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rings of relations' polygons: how many parts and holes, the area, the largest part's, and the length of the boundary."""
-    sided = _sided(_of_relations(spark, sf_dir), "kind", "id")
-    rings = planar.traced(planar.boundary(sided, planar.LESS, "kind", "id"), "kind", "id")
-    cross = F.col("x") * F.col("y2") - F.col("x2") * F.col("y")
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
-    each = rings.groupBy("kind", "id", "ring").agg((F.sum(cross) / 2 / _UNIT).alias("area"), (F.sum(size) / STEPS).alias("length"))
+    each = arranged.parts(_of_relations(spark, sf_dir), "ring", F.col("inner"), STEPS, "less", "kind", "id")
     return each.groupBy("kind", "id").agg(
         F.count(F.when(F.col("area") > 0, 1)).alias("parts"), F.count(F.when(F.col("area") < 0, 1)).alias("holes"),
         F.round(F.sum("area"), 8).alias("area"), F.round(F.max("area"), 8).alias("largest"), F.round(F.sum("length"), 6).alias("length"))
@@ -133,9 +118,8 @@ SELECT id AS way, round(coalesce(sum(size) FILTER (outer_ OR inner_), 0), 7) AS
 )
 def offset_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas of each closed way's polygon grown and shrunk by a width, with mitred corners."""
-    sided = outlines.offset(_rings(spark, sf_dir), "ring", WIDTH, FINE, "way", limit=LIMIT, size=FINE // 8)
-    size = lambda inside, name: (F.round(planar.area_of(inside) / (FINE * FINE), 7) + 0.0).alias(name)
-    return sided.groupBy("way").agg(size(planar.UNION, "grown"), size(planar.LESS, "shrunk"))
+    found = arranged.offset_areas(_rings(spark, sf_dir), "ring", WIDTH, FINE, "way", limit=LIMIT)
+    return found.select("way", *((F.round(c, 7) + 0.0).alias(c) for c in ("grown", "shrunk")))
 
 
 @query(
