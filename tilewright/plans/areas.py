@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import shapes as S
-from tilewright.operators import areas, planar, rings, ways
+from tilewright.operators import areas, arranged, planar, rings, ways
 from tilewright.plans.fixtures import sql, triangles, way_nodes
 from tilewright.plans.lines import _M, _S, _SEG, SCALE
 from tilewright.plans.lines import SQL as _LINE_SQL
@@ -194,10 +194,8 @@ SELECT tile, count(*) AS pieces, CAST(sum(flags) AS BIGINT) AS flags, round(sum(
 def tile_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of all ways of a tile in one arrangement: cut where they meet, and where they overlap along a line one piece with the flags of all."""
     seg = ways.segments(way_nodes(spark, sf_dir), "way", "pos", "kind").withColumn("tile", F.floor(F.col("way") / 30))
-    found = planar.stretches(planar.on_lattice(seg, STEPS), "tile", flags="kind", bits=3)
-    cut = planar.pieces(found, "tile", size=STEPS // 4)
-    size = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2)) / STEPS
-    return cut.groupBy("tile").agg(F.count("*").alias("pieces"), F.sum("flags").alias("flags"), F.round(F.sum(size), 4).alias("length"))
+    found = arranged.measured(planar.on_lattice(seg, STEPS), "tile", flags="kind", bits=3)
+    return found.select("tile", "pieces", "flags", F.round(F.col("length") / STEPS, 4).alias("length"))
 
 
 @query(
