@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions import shapes as S
 from tilewright.functions.shapes import let, point
 from tilewright.operators import planar
 from tilewright.session import written
@@ -111,35 +111,73 @@ def simplified(x: pd.Series, y: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([kept(*row) for row in zip(x, y, tolerance)])
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("ring", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y")]))), T.StructField("area", T.DoubleType())])))
+def _halved(xs: pa.Array, ys: pa.Array, sizes: pa.Array) -> pa.Array:
+    count, done = len(xs), []
+    n = xs.value_lengths().to_numpy(zero_copy_only=False)
+    x, y = (v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for v in (xs, ys))
+    own, most = np.repeat(np.arange(count), n), sizes.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    good = np.bincount(own, ~np.isfinite(x + y), minlength=count) == 0
+    keep = good[own]
+    x, y, own = x[keep], y[keep], own[keep]
+    ring = own  # which piece a point is of; pieces lie one after the other
+    while len(x):
+        first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+        at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+        x0, x1, y0, y1 = (f.reduceat(v, first) for v in (x, y) for f in (np.minimum, np.maximum))
+        w, h = x1 - x0, y1 - y0
+        whole = np.maximum(w, h) <= most[own[first]]
+        done.append((own[whole[at]], at[whole[at]], x[whole[at]], y[whole[at]]))
+        middle = np.floor(np.where(w >= h, x0 + x1, y0 + y1) / 2 * 1e6 + 0.5) / 1e6
+        k = np.flatnonzero((at[1:] == at[:-1]) & ~whole[at[1:]])
+        wide, m = (w >= h)[at[k]], middle[at[k]]
+        a, b = np.where(wide, x[k], y[k]), np.where(wide, x[k + 1], y[k + 1])
+        c, d = np.where(wide, y[k], x[k]), np.where(wide, y[k + 1], x[k + 1])
+        made = []
+        for side, sign in enumerate((1, -1)):
+            from_in, to_in = (a - m) * sign >= 0, (b - m) * sign >= 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                other = c + (m - a) / (b - a) * (d - c)
+            keep = np.stack([from_in != to_in, to_in], 1).ravel()  # of each segment first where it crosses, then its end
+            along, across = np.stack([m, b], 1).ravel()[keep], np.stack([other, d], 1).ravel()[keep]
+            by_x = np.repeat(wide, 2)[keep]
+            made.append((np.repeat(own[k], 2)[keep], np.repeat(at[k] * 2 + side, 2)[keep], np.where(by_x, along, across), np.where(by_x, across, along)))
+        own, ring, x, y = (np.concatenate(v) for v in zip(*made))
+        if len(x):  # closed again by their first points
+            first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+            order = np.argsort(np.r_[ring, ring[first]], kind="stable")
+            own, ring, x, y = (np.r_[v, v[first]][order] for v in (own, ring, x, y))
+    # pieces in the order of their rings
+    base, parts = 0, []
+    for o, r, px, py in done:
+        new = np.cumsum(np.r_[0, r[1:] != r[:-1]]) + base if len(r) else r
+        parts.append((o, new, px, py))
+        base = new[-1] + 1 if len(new) else base
+    own, ring, x, y = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+    order = np.argsort(own, kind="stable")
+    own, ring, x, y = own[order], ring[order], x[order], y[order]
+    first = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]]) if len(ring) else np.zeros(0, int)
+    cross = np.r_[np.where(ring[1:] == ring[:-1], x[:-1] * y[1:] - x[1:] * y[:-1], 0.0), 0.0] if len(ring) else np.zeros(0)
+    area = np.bincount(np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)])), cross) / 2  # one after the other, as in SQL
+    points = pa.ListArray.from_arrays(pa.array(np.r_[first, len(x)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    offsets = np.searchsorted(own[first], np.arange(count + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([points, pa.array(area)], ["ring", "area"]))
+
+
+_halved = _halved.asNondeterministic()  # else what explodes it is planned with a filter that cuts once more
+
+
 def halved(rings: DataFrame, ring: str, size: float, *key: str) -> DataFrame:
-    """key, ring: the pieces of closed rings, none wider or higher than ``size``.
+    """key, ring, area: the pieces of closed rings, none wider or higher than ``size``, and their signed areas.
 
     A piece that is over the size is cut across its longer side (its width if both are alike), halfway
-    to six digits, and so are its halves. All pieces are cut in as many rounds as the largest one needs,
-    which is known before; rounds are expressions in one plan, without a shuffle. The halves of a concave
+    to six digits, and so are its halves, many rings at once in numpy and without a shuffle. The halves of a concave
     ring may hang together by edges along the cut, which hold no area. Rings that are null, empty or hold
     null or non-finite coordinates are left out, as are other columns; equal rings are cut alike.
     """
     if size < 1e-5:
         raise ValueError("pieces can't be smaller than what places are rounded to")
-    whole = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = rings.where((F.size(ring) > 0) & F.forall(ring, lambda p: whole(p["x"]) & whole(p["y"])))
-    box = S.bounds("ring")
-    piece = good.select(*key, F.col(ring).alias("ring"))
-    wide, high = piece.select((box["x1"] - box["x0"]).alias("w"), (box["y1"] - box["y0"]).alias("h")).agg(F.max("w"), F.max("h")).first()
-
-    def rounds(v: float | None) -> int:
-        n = 0
-        while v is not None and v > size:
-            v, n = v / 2 + 1e-6, n + 1
-        return n
-
-    def cut(b: Column) -> Column:
-        w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
-        middle = F.floor(F.when(w >= h, b["x0"] + b["x1"]).otherwise(b["y0"] + b["y1"]) / 2 * 1e6 + 0.5) / 1e6
-        both = lambda axis: let(middle, lambda m: F.array(S.half("ring", axis, m, 1), S.half("ring", axis, m, -1)))
-        return F.when(F.greatest(w, h) <= size, F.array("ring")).when(w >= h, both("x")).otherwise(both("y"))
-
-    for _ in range(rounds(wide) + rounds(high)):
-        piece = piece.select(*key, F.explode(let(box, cut)).alias("ring")).where(F.size("ring") > 0)
-    return piece
+    axis = lambda a: F.transform(ring, lambda p: p[a])
+    good = rings.where((F.size(ring) > 0) & ~F.exists(ring, lambda p: (p["x"] + p["y"]).isNull()))
+    each = good.select(*key, F.explode(_halved(axis("x"), axis("y"), F.lit(float(size)))).alias("_p"))
+    return each.select(*key, "_p.ring", "_p.area")

@@ -55,7 +55,7 @@ SELECT way, count(*) AS pieces, round(abs(sum(area)), 9) AS area, round(max(abs(
 )
 def halved_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons cut in halves until no piece is over a size: how many pieces, their area, and the largest one's."""
-    pieces = outlines.halved(_rings(spark, sf_dir), "ring", PIECE, "way").select("way", S.signed_area("ring").alias("a"))
+    pieces = outlines.halved(_rings(spark, sf_dir), "ring", PIECE, "way").select("way", F.col("area").alias("a"))
     return pieces.groupBy("way").agg(F.count("*").alias("pieces"), F.round(F.abs(F.sum("a")), 9).alias("area"), F.round(F.max(F.abs("a")), 9).alias("largest"))
 
 
