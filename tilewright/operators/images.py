@@ -12,15 +12,17 @@ def triangular(width: int) -> np.ndarray:
 
 
 def blur(mask: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """A separable kernel along rows and columns; what lies outside counts as zero."""
+    """A separable kernel along rows and columns, the last two axes; what lies outside counts as zero."""
     w = len(kernel) // 2
-    for axis in (1, 0):
-        mask = np.apply_along_axis(lambda a: np.convolve(a, kernel)[w : len(a) + w], axis, mask)
+    for axis in (-1, -2):
+        wide = np.pad(mask, [(w, w) if a == mask.ndim + axis else (0, 0) for a in range(mask.ndim)])
+        size = mask.shape[axis]
+        mask = sum(k * np.take(wide, range(d, d + size), axis) for d, k in enumerate(kernel[::-1]))
     return mask
 
 
 def shore(mask: np.ndarray, width: int, mode: str = "sand") -> np.ndarray:
-    """A water mask (0 to 255) with a soft edge: ``sand`` blurs, ``rocks`` blurs and steepens, ``steps`` has three levels."""
+    """Water masks (0 to 255; the last two axes are a mask's) with a soft edge: ``sand`` blurs, ``rocks`` blurs and steepens, ``steps`` has three levels."""
     soft = blur(mask.astype(np.float64), triangular(width))
     if mode == "rocks":
         soft = 127.5 + 127.5 * np.tan((soft / 127.5 - 1) * np.pi / 4)

@@ -144,20 +144,22 @@ def shore_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     size, halo = 16, 4
     cells = rasters.with_halo(raster(spark, sf_dir), size, halo).select("tr", "tc", "row", "col", (F.col("value") < 0).alias("water"))
-    packed = cells.groupBy("tr", "tc").agg(F.collect_list(F.struct("row", "col", "water")).alias("cells"))  # a tile is of a set size
+    side = size + 2 * halo
+    place = ((F.col("row") - F.col("tr") * size + halo) * side + F.col("col") - F.col("tc") * size + halo).cast("int")
+    packed = cells.where("water").groupBy("tr", "tc").agg(F.collect_list(place).alias("cells"))  # a tile is of a set size
 
     def blur(batches):
-        for batch in batches:
-            out = []
-            for tr, tc, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                mask = np.zeros((size + 2 * halo, size + 2 * halo))
-                for c in found:
-                    mask[c["row"] - tr * size + halo, c["col"] - tc * size + halo] = 255 * c["water"]
-                soft = shore(mask, halo)[halo:-halo, halo:-halo]
-                if soft.max() > 30 and soft.min() < 255:
-                    out.append((tr, tc, float(soft.mean()), int(soft.min()), int(soft.max())))
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(("tr", "tc", "mean", "low", "high"), r)) for r in out], schema=pa.schema(
-                    [("tr", pa.int64()), ("tc", pa.int64()), ("mean", pa.float64()), ("low", pa.int32()), ("high", pa.int32())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # so many masks are held at once
+                batch = whole.slice(at, 512)
+                found = batch.column(2)
+                mask = np.zeros((batch.num_rows, side * side))
+                mask[np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False)), found.flatten().to_numpy()] = 255
+                soft = shore(mask.reshape(-1, side, side), halo)[:, halo:-halo, halo:-halo].reshape(-1, size * size)
+                low, high = soft.min(1), soft.max(1)
+                kept = np.flatnonzero((high > 30) & (low < 255))
+                if len(kept):
+                    values = [pa.array(soft.mean(1)[kept]), pa.array(low[kept].astype(np.int32)), pa.array(high[kept].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)).cast(pa.int64()) for c in (0, 1)), *values], ["tr", "tc", "mean", "low", "high"])
 
     return packed.mapInArrow(blur, "tr bigint, tc bigint, mean double, low int, high int")
