@@ -11,7 +11,7 @@ from tilewright.plans.fixtures import anchors, raster, sql, triangles, way_nodes
 from tilewright.plans.grids import _extent
 from tilewright.plans.lines import _SEG, SCALE
 from tilewright.plans.lines import SQL as _LINE_SQL
-from tilewright.session import scratch_path, table
+from tilewright.session import scratch_path, table, written
 from tilewright.sources import elevation, texts
 
 QUERIES, SQL = {}, {}
@@ -54,7 +54,7 @@ SELECT x, y, round(CASE WHEN sea.s THEN 0 ELSE coalesce(w2.z, v1.z) END, 6) + 0.
 )
 def levelled_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elevations of nodes after two passes of smoothing over inland water, and with the sea at zero."""
-    k = _corners(spark, sf_dir)
+    k = written(_corners(spark, sf_dir), "corners")  # they are read six times
     nodes = k.select("x", "y").distinct().withColumn("z", F.round(F.col("x") * 100 + F.col("y") * 50, 6))
     level = meshes.smooth_levels(nodes, k.where("kind % 3 = 0"), ["way", "tri"], passes=2)
     sea = k.where("kind % 3 = 1").select("x", "y").distinct().withColumn("sea", F.lit(True))
