@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.session import written
+from tilewright.session import spread, written
 
 
 def lines(nodes: DataFrame, way: str = "way", pos: str = "pos") -> DataFrame:
@@ -32,7 +32,7 @@ def merged_edges(edges: DataFrame, flags: Column) -> DataFrame:
     """Undirected edges between (x, y) and (x2, y2), ends in order, with the flags of all of them."""
     a, b = F.struct("x", "y"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     keyed = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), flags.alias("_flags")).where("a <> b")
-    out = keyed.groupBy("a", "b").agg(F.bit_or("_flags").alias("flags"))
+    out = spread(keyed, "a", "b").groupBy("a", "b").agg(F.bit_or("_flags").alias("flags"))
     return out.select("a.x", "a.y", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"), "flags")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.session import table
+from tilewright.session import spread, table
 
 
 def _place(key: str, a: int, b: int, more_a: str = "", more_b: str = "") -> tuple[str, str]:
@@ -54,7 +54,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as ordered nodes of ways, in tile-local degrees."""
     # partitioned by the name that it keeps, so that what is grouped by way needs no other shuffle
-    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "way").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "way"), "way").selectExpr(
         "way", f"CAST(row_number() OVER (PARTITION BY way ORDER BY {_WAY_ORDER}) AS BIGINT) AS pos",
         f"{_WAY_X} AS x", f"{_WAY_Y} AS y", "l_linenumber AS kind", "l_quantity AS z", "l_returnflag AS tag",
     )

@@ -12,6 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table, as it is stored, that a task should take.
+SHARE = 1 << 24
+
+
+def tasks(df: DataFrame) -> int | None:
+    """How many tasks the tables that ``df`` reads ask for, if that is more than the session's number for a shuffle."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = min(-(-sum(s for s in sizes if s < 1 << 60) // SHARE), 1 << 14)  # where Spark doesn't know the size it says all there is
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its tables ask for, if the session's number for a shuffle is too small.
+
+    What is grouped, ordered or joined by the keys stays where it is, so a task's memory doesn't grow with the table.
+    """
+    n = tasks(df)
+    return df.repartition(n, *keys) if n else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

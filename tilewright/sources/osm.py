@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.session import spread, tasks
+
 _TAG = "tag array<struct<_k:string,_v:string>>"
 NODE = f"_id bigint, _lat double, _lon double, {_TAG}"
 WAY = f"_id bigint, nd array<struct<_ref:bigint>>, {_TAG}"
@@ -44,8 +46,9 @@ def relations(spark: SparkSession, path: str) -> DataFrame:
 
 def merged_nodes(found: DataFrame) -> DataFrame:
     """id, kept: nodes of one place share the least id."""
+    found = spread(found.select("id", "lon", "lat"), "lon", "lat")
     least = found.groupBy("lon", "lat").agg(F.min("id").alias("kept"))
-    return found.select("id", "lon", "lat").join(least, ["lon", "lat"]).select("id", "kept")
+    return found.join(least, ["lon", "lat"]).select("id", "kept")
 
 
 def truncated(spark: SparkSession, path: str) -> DataFrame:
@@ -65,4 +68,5 @@ def write(nodes_: DataFrame, ways_: DataFrame, path: str) -> None:
 
 def _in_order(df: DataFrame) -> DataFrame:
     order = [F.col("direct").desc()] * ("direct" in df.columns) + [F.col("id")]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    n = tasks(df)
+    return (df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)).sortWithinPartitions(*order)
