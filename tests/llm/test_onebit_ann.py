@@ -156,3 +156,47 @@ def test_the_codes_choose_what_is_reranked():
 
 def test_the_sample_is_bounded_in_bytes():
     assert m.sample_within(64) == 131_072 and m.sample_within(100_000) * 100_000 * 8 <= m.SAMPLE_BYTES and m.sample_within(0) > 0
+
+
+def ranked_rows(spark, first):
+    """Rows that reached the ranking, out of the chunks, in the executions from number ``first`` on; and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    executions, total = store.executionsList(), 0
+    for e in (executions.apply(i) for i in range(first, executions.size())):
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "MapInArrow" and "score" in node.desc() and "floor" not in node.desc().split("[")[-1]:
+                metrics = (node.metrics().apply(i) for i in range(node.metrics().size()))
+                total += sum(int(values.apply(x.accumulatorId()).replace(",", "")) for x in metrics if x.name() == "number of output rows")
+    return total, executions.size()
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_rows_to_rank_grow_with_the_queries_only(spark, ties):
+    """Each query reads some 50 and some 150 chunks, of which each holds 20 candidates and more."""
+    rng, each = np.random.default_rng(12), []
+    for n in (3000, 9000):
+        x = np.repeat(rng.standard_normal((n // 50, 16)), 50, axis=0) if ties else rng.standard_normal((n, 16))
+        x = rng.permutation(x).astype("f4")
+        df = spark.createDataFrame([(i, x[i].tobytes()) for i in range(n)], "vec_id long, vec binary").repartition(4)
+        index, queries = m.build_index(df, "<f4", chunk=60), df.where("vec_id % 100 = 0")
+        first = ranked_rows(spark, 0)[1]
+        got = m.search(index, queries, "<f4", block=10).collect()
+        assert len(got) == 20 * (n // 100) and index.rows.count() >= n // 60
+        each.append(ranked_rows(spark, first)[0] / (n // 100))
+        compare(got, brute([(i, x[i].tolist()) for i in range(n)], step=100), 0.97)
+    assert 20 <= each[0] and each[1] < 300 and each[1] < 2 * each[0]
+
+
+def test_places_of_chunks_and_rounds():
+    assert m.rounds(0) == m.rounds(4) == [(0, 4)] and m.rounds(17) == [(0, 4), (4, 16), (16, 64)]
+    rng = np.random.default_rng(3)
+    q, centre, chunks = rng.standard_normal((9, 8)), rng.standard_normal((6, 8)), np.array([1, 3, 2, 0, 5, 1])
+    radius, reads = np.where(chunks > 0, 1.0, -np.inf), (rng.random((9, 6)) < 0.7) & (chunks > 0)
+    before = m.first_places(q, reads, centre, radius, chunks, 4.0)
+    for i in range(9):
+        read = np.flatnonzero(reads[i])
+        taken = sorted(p for j in read for p in range(before[i, j], before[i, j] + chunks[j]))
+        assert taken == list(range(chunks[read].sum()))
+        assert sorted(read, key=lambda j: before[i, j]) == sorted(read, key=lambda j: -(q[i] @ centre[j]))

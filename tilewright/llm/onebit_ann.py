@@ -19,8 +19,13 @@ errors, which a neighbour at the very floor misses three times in a hundred. The
 cluster, the fewer lists are read; where they don't, a query reads most lists.
 
 Lists are packed into chunks of bounded size and queries into blocks. A block meets the chunks of the
-lists that its queries read, each in a task of its own, and a task returns each query's k best, which
-are ranked once more. Every row is indexed. Centres are learned on the sample, which is at most
+lists that its queries read, each in a task of its own. A query reads its chunks in rounds: those of
+its lists of the highest bounds first, then ``GROWTH`` times as many in all, and so on. A chunk gives
+at most each query's k best of it, and only those that come before the k-th best of the rounds
+before, as no other can be among the k best. So what goes to the ranking of a round is about
+``GROWTH - 1`` times k rows a query, and in all it grows with the queries times the rounds, whose
+number is a logarithm of the chunks; only rounds in which what is read gets better and better make
+more. Which vectors are reranked doesn't depend on the rounds. Every row is indexed. Centres are learned on the sample, which is at most
 ``SAMPLE`` vectors and ``SAMPLE_BYTES`` as doubles (the documented bounds), by numpy on the driver.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
@@ -57,11 +62,13 @@ SAMPLE_BYTES = 1 << 26
 SAMPLE_A_ROOT = 16
 LIST_A_ROOT = 8
 LISTS = 8192
-#: Lists that a query reads in any case.
+#: Lists that a query reads in any case, and chunks of its first round; how many times as many it has read after each further one.
 NEAREST = 4
+GROWTH = 4
 SEED = 3
 
 INDEX = "size int, list int, chunk int, ids binary, codes binary, residual binary, agreement binary, radius double, vectors binary"
+ASKED = ("query", "vec_id", "floor", "before", "least", "last", "vec")
 
 
 @functools.lru_cache(maxsize=8)
@@ -261,49 +268,94 @@ def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, row, cent
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def rounds(units: int) -> list[tuple[int, int]]:
+    """Ranges of a query's chunks by their place among those that it reads: a few, then ``GROWTH`` times as many in all, until there are ``units``."""
+    edges = [0, NEAREST]
+    while edges[-1] < units:
+        edges.append(edges[-1] * GROWTH)
+    return list(zip(edges, edges[1:]))
+
+
+def first_places(q: np.ndarray, reads: np.ndarray, centre: np.ndarray, radius: np.ndarray, chunks: np.ndarray, epsilon: float) -> np.ndarray:
+    """How many chunks each query reads before those of each list: lists of the highest bounds come first, those that it doesn't read last."""
+    bound = q @ centre.T + epsilon * np.sqrt((q * q).sum(1))[:, None] * radius / np.sqrt(q.shape[1])
+    order = np.argsort(np.where(reads, -bound, np.inf), axis=1, kind="stable")
+    size = np.take_along_axis(np.where(reads, chunks, 0), order, 1)
+    before = np.empty_like(size)
+    np.put_along_axis(before, order, np.cumsum(size, axis=1) - size, 1)
+    return before
+
+
 def search(index: Index, queries: DataFrame, kind: str, k: int = K, epsilon: float = EPSILON, width: float = RERANK, block: int = QUERIES) -> DataFrame:
     """query, query_id, rank, vec_id, score: the k nearest rows of the index of each row (vec_id, vec)."""
     queries = written(queries.select("vec_id", "vec", F.monotonically_increasing_id().alias("query")), "queries")
     blocks = max(1, -(-queries.count() // block))
-    # a number for each list reaches the driver, and there is a bounded number of lists
-    found = index.rows.groupBy("size", "list").agg(F.max("radius").alias("radius")).collect()
+    # two numbers for each list reach the driver, and there is a bounded number of lists
+    found = index.rows.groupBy("size", "list").agg(F.max("radius").alias("radius"), (F.max("chunk") + 1).alias("chunks")).collect()
     radius = {s: np.full(len(c), -np.inf) for s, c in index.centres.items()}
+    chunks_of = {s: np.zeros(len(c), np.int64) for s, c in index.centres.items()}
     for r in found:
-        radius[r["size"]][r["list"]] = r["radius"]
+        radius[r["size"]][r["list"]], chunks_of[r["size"]][r["list"]] = r["radius"], r["chunks"]
     centres, sample, count = index.centres, index.sample, index.count
 
-    def route(batches):
-        for batch in batches:
-            ids, vec, numbers = (batch.column(c).to_pylist() for c in (0, 1, 2))
-            for s in {len(v) for v in vec} & set(centres):
-                at = np.array([i for i, v in enumerate(vec) if len(v) == s])
-                q, q_ids = matrix([vec[i] for i in at], kind), np.array([ids[i] for i in at], np.int64)
-                floor, reads = reading(q, q_ids, sample[s], count[s], centres[s], radius[s], k, epsilon)
-                i, lists = np.nonzero(reads)
-                columns = [pa.array(np.full(len(i), s, np.int32)), pa.array(lists.astype(np.int32)), pa.array([numbers[j] for j in at[i]], pa.int64())]
-                columns += [pa.array(q_ids[i]), pa.array(floor[i]), pa.array([vec[j] for j in at[i]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["size", "list", "query", "vec_id", "floor", "vec"])
-
-    routed = queries.mapInArrow(route, "size int, list int, query bigint, vec_id bigint, floor double, vec binary")
-    place = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    packed = routed.groupBy("size", "list", place).agg(F.collect_list(F.struct("query", "vec_id", "floor", "vec")).alias("qs"))  # a block is of bounded size
-    chunks = index.rows.select("size", "list", "chunk")
-    pairs = packed.join(chunks, ["size", "list"]).join(index.rows, ["size", "list", "chunk"])
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = matrix([q["vec"] for q in row["qs"]], kind)
-                numbers, q_ids = (np.array([q[c] for q in row["qs"]], np.int64) for c in ("query", "vec_id"))
-                floor = np.array([q["floor"] for q in row["qs"]])
-                at, ids, score = best_of_chunk(x, q_ids, floor, row, centres[row["size"]][row["list"]], kind, k, width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[at]), pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query", "query_id", "vec_id", "score"]
-                )
-
-    found = pairs.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def read_in(low: int, high: int, best: DataFrame | None) -> DataFrame:
+        """What is found in the chunks whose places among a query's are in the range, if it comes before the k-th in ``best``."""
+
+        def route(batches):
+            for batch in batches:
+                ids, vec, numbers, score, last = (batch.column(c).to_pylist() for c in range(5))
+                for s in {len(v) for v in vec} & set(centres):
+                    own = np.array([i for i, v in enumerate(vec) if len(v) == s])
+                    for at in (own[i : i + QUERIES] for i in range(0, len(own), QUERIES)):
+                        q, q_ids = matrix([vec[i] for i in at], kind), np.array([ids[i] for i in at], np.int64)
+                        floor, reads = reading(q, q_ids, sample[s], count[s], centres[s], radius[s], k, epsilon)
+                        before = first_places(q, reads, centres[s], radius[s], chunks_of[s], epsilon)
+                        i, lists = np.nonzero(reads & (before < high) & (before + chunks_of[s] > low))
+                        columns = [pa.array(np.full(len(i), s, np.int32)), pa.array(lists.astype(np.int32)), pa.array([numbers[j] for j in at[i]], pa.int64())]
+                        columns += [pa.array(q_ids[i]), pa.array(floor[i]), pa.array(before[i, lists]), pa.array([score[j] for j in at[i]], pa.float64())]
+                        columns += [pa.array([last[j] for j in at[i]], pa.int64()), pa.array([vec[j] for j in at[i]], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["size", "list", *ASKED])
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    qs = [q for q in row["qs"] if low <= q["before"] + row["chunk"] < high]
+                    if not qs:
+                        continue
+                    x = matrix([q["vec"] for q in qs], kind)
+                    numbers, q_ids, last = (np.array([q[c] for q in qs], np.int64) for c in ("query", "vec_id", "last"))
+                    floor, least = (np.array([q[c] for q in qs], np.float64) for c in ("floor", "least"))
+                    at, ids, score = best_of_chunk(x, q_ids, floor, row, centres[row["size"]][row["list"]], kind, k, width)
+                    kept = (score > least[at]) | (score == least[at]) & (ids < last[at])
+                    at, ids, score = at[kept], ids[kept], score[kept]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(numbers[at]), pa.array(q_ids[at]), pa.array(ids), pa.array(score)], ["query", "query_id", "vec_id", "score"]
+                    )
+
+        if best is None:
+            asked = queries.select("*", F.lit(-np.inf).alias("least"), F.lit(0).cast("bigint").alias("last"))
+        else:
+            kth = best.where(F.col("rank") == k).select("query", F.col("score").alias("least"), F.col("vec_id").alias("last"))
+            asked = queries.join(kth, "query", "left").select(
+                "vec_id", "vec", "query", F.coalesce("least", F.lit(-np.inf)).alias("least"), F.coalesce("last", F.lit(0)).alias("last")
+            )
+        routed = asked.mapInArrow(
+            route, "size int, list int, query bigint, vec_id bigint, floor double, before bigint, least double, last bigint, vec binary"
+        )
+        place = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
+        packed = routed.groupBy("size", "list", place).agg(F.collect_list(F.struct(*ASKED)).alias("qs"))  # a block is of bounded size
+        chunks = index.rows.select("size", "list", "chunk")
+        pairs = packed.join(chunks, ["size", "list"]).join(index.rows, ["size", "list", "chunk"])
+        return pairs.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score double")
+
+    order, best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"), None
+    for low, high in rounds(max((int(c.sum()) for c in chunks_of.values()), default=0)):
+        if best is not None:
+            best = written(best, "best")
+        found = read_in(low, high, best)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
