@@ -94,3 +94,33 @@ def test_words_of_one_token_fold_to_it(spark):
     df = spark.createDataFrame(tokens, "i long, w array<smallint>").repartition(8)
     ids = m.fold(F.col("w"), m.rank_literal(PATH)).alias("ids")
     assert df.select("i", ids).where("size(ids) <> 1 OR ids[0] <> i").count() == 0
+
+
+def test_rare_words_are_put_together_from_folded_pieces(tik):
+    """Of words made of syllables many are known from pieces of common ones, and none has other ids than its own fold."""
+    rng = random.Random(11)
+    syllables = ["the", "and", "ing", "on", "re", "sh", "ble", "en", "ção", "ü", "st", "qu", "ci", "ón", "aa", "ab"]
+    word = lambda n: (rng.choice(["", " "]) + "".join(rng.choices(syllables, k=n))).encode()
+    one = lambda w: b"".join(i.to_bytes(4, "little") for i in tik._encode_single_piece(w))
+    ids = {w: one(w) for w in (word(rng.randint(1, 4)) for _ in range(6000))}
+    folded = m.Folded(ids, m.vocabulary(PATH))
+    rare = [w for w in (word(rng.randint(4, 6)) for _ in range(6000)) if w not in ids and len(w) <= m.LONG]
+    got = {w: folded.get(w) for w in rare + list(ids)}
+    assert all(g is None or g == one(w) for w, g in got.items()) and all(got[w] == ids[w] for w in ids)
+    assert sum(got[w] is not None for w in rare) > 0.4 * len(rare)
+    assert m.Folded({}, m.vocabulary(PATH)).get(b"word") is None and folded.get(b"") is None and folded.get(b"the" * 100) is None
+
+
+def test_pieces_leave_fewer_folds(spark, tik):
+    """Words that a task folds itself, of documents of which the sample of common words holds one half."""
+    rng = random.Random(12)
+    syllables = ["the", "and", "ing", "on", "re", "sh", "ble", "en", "st", "qu", "ci", "aa"]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(4000)) for _ in range(8)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    ids = m.common_words(df, PATH, public_tokenizers.PATTERN, sample_chars=sum(map(len, texts)) // 2)
+    blocks = m._blocks(df, PATH, public_tokenizers.PATTERN, m.BLOCK, m.Folded(ids, m.vocabulary(PATH)), m.WORDS)
+    counts = blocks.selectExpr("size(filter(words, w -> w IS NOT NULL)) AS own", "size(words) AS n").groupBy().sum("own", "n").collect()[0]
+    distinct = len({w for t in texts for w in t.split(" ")})
+    assert counts[1] >= distinct > 1.5 * len(ids) and counts[0] < 0.7 * (counts[1] - len(ids))
+    got = {r["doc_id"]: r["ids"] for r in m.encode(df, PATH, public_tokenizers.PATTERN).collect()}
+    assert got == {i: tik.encode_ordinary(t) for i, t in enumerate(texts)}

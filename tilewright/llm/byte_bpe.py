@@ -7,8 +7,9 @@ Each task takes its rows in blocks of about ``BLOCK`` characters, a row for each
    Numbers start anew when there are ``WORDS`` of them. Words of more than ``LONG`` bytes are cut
    further where no token of the vocabulary can stand across the place, so no merge could cross it
    either. The most common words, at most ``COMMON`` of a sample of ``SAMPLE_CHARS`` characters over
-   all partitions, are folded once for all tasks; they come with their ids. That only saves work: any
-   other word is folded in its task.
+   all partitions, are folded once for all tasks; they come with their ids. A word that
+   isn't among them but is made of their pieces takes the ids of the pieces, if no merge can cross where
+   they meet (``Folded``). That only saves work: any other word is folded in its task.
 2. Spark's higher-order functions fold the ranked merges over each word's byte array. The state holds
    tokens and the ranks of adjacent pairs in turn; each step merges the leftmost pair of the least
    rank and looks up the two pairs that arise. The ranks are a literal: a perfect hash table from a
@@ -260,6 +261,50 @@ def places(path: str) -> Places:
     return Places(path)
 
 
+class Folded:
+    """Ids of words that were folded ahead, and of words that are put together from their pieces.
+
+    Where two tokens stand side by side in a folded word, no merge crosses the place between them in
+    any word that they stand side by side in: up to the first merge across it, the merges within the
+    two come in the same order whatever else the word holds, and in the fold that was done there was
+    none. So tokens of which all neighbours have been met side by side are the ids of the word that
+    they spell. A word is sought as a folded word and one or two ends of folded words.
+    """
+
+    def __init__(self, ids: dict[bytes, bytes], tokens: tuple[bytes, ...]):
+        """``ids``: of each folded word, as 32-bit integers."""
+        self.ids, self.ends, self.met = ids, {}, set()
+        for word, own in ids.items():
+            at = 0
+            for i, token in enumerate(np.frombuffer(own, np.int32)[:-1].tolist(), 1):
+                at += len(tokens[token])
+                self.ends[word[at:]] = own[4 * i :]
+                self.met.add(own[4 * i - 4 : 4 * i + 4])
+
+    def get(self, word: bytes) -> bytes | None:
+        found = self.ids.get(word)
+        return self._joined(word) if found is None and len(word) <= LONG else found
+
+    def _joined(self, word: bytes) -> bytes | None:
+        heads, ends, met = self.ids.get, self.ends.get, self.met
+        for k in range(len(word) - 1, 0, -1):
+            head = heads(word[:k])
+            if head is None:
+                continue
+            last, end = head[-4:], ends(word[k:])
+            if end is not None:
+                if last + end[:4] in met:
+                    return head + end
+                continue  # whatever the rest is made of, it begins with that token
+            for j in range(len(word) - 1, k, -1):
+                middle = ends(word[k:j])
+                if middle is not None and last + middle[:4] in met:
+                    end = ends(word[j:])
+                    if end is not None and middle[-4:] + end[:4] in met:
+                        return head + middle + end
+        return None
+
+
 def _word_list(words: list[bytes | None]) -> pa.Array:
     """array<array<smallint>>'s values: the byte values of each word, null for None."""
     ends = np.cumsum([0, *(len(w or b"") for w in words)]).astype(np.int32)
@@ -313,7 +358,7 @@ def common_words(docs: DataFrame, path: str, pattern: str, most: int = COMMON, s
     return out
 
 
-def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[bytes, bytes], most: int) -> DataFrame:
+def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: Folded, most: int) -> DataFrame:
     """words: the new words of a block as byte values, null for those whose ids come in known; docs: its documents as numbers of words.
 
     Words are numbered in the order in which the task's rows bring them, from 0 again where ``anew`` is true.
@@ -369,7 +414,7 @@ def _blocks(docs: DataFrame, path: str, pattern: str, block: int, common: dict[b
 def _encoded(docs: DataFrame, path: str, pattern: str, block: int, common: int, most: int, finish, schema: str) -> DataFrame:
     """What ``finish`` makes of (doc_ids, ends, ids) of a block: the ids of its documents, one after the other."""
     ranks = rank_literal(path)
-    ahead = common_words(docs, path, pattern, common) if common else {}
+    ahead = Folded(common_words(docs, path, pattern, common) if common else {}, vocabulary(path))
 
     def ids_of(m: Column) -> Column:
         r = ranks.within(m)
