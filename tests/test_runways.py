@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,23 @@ def test_nodes_on_a_line_are_no_outline(spark):
     rows = [(i, [(a + k * d) / 1000 for k in (0, 1, 3, 7)], [(b + k * e) / 1000 for k in (0, 1, 3, 7)]) for i, (a, b, d, e) in enumerate(np.random.default_rng(12).integers(1, 120, (300, 4)).tolist())]
     df = spark.createDataFrame(rows, "k int, x array<double>, y array<double>")
     assert df.select(runways.rectangle_misfit("x", "y").alias("r")).where("r.misfit IS NOT NULL OR r.area IS NOT NULL").isEmpty()
+
+
+def test_lines_of_few_nodes_are_measured_many_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = [rng.integers(0, 6 if k % 3 else 1000, (2, int(n))) / 1000 for k, n in enumerate(rng.integers(1, 17, 600))]
+    lines += [np.array([[0.0, 9, 9, 0], [0, 0, 1, 1]]), np.array([[0.0, np.nan, 1, 2], [0, 1, 4, 2]]), rng.uniform(0, 1, (2, 40))]
+    want = [runways._misfit(*line) or (None, None) for line in lines]
+    x, y = (pa.array([None, *(line[a].tolist() for line in lines)], pa.list_(pa.float64())) for a in (0, 1))
+    slow = runways._misfit
+
+    def seldom(x, y):
+        assert len(x) > 16
+        return slow(x, y)
+
+    monkeypatch.setattr(runways, "_misfit", seldom)
+    monkeypatch.setattr(runways, "AT_ONCE", 500)
+    got = [(r["area"], r["misfit"]) for r in runways.rectangle_misfit.func(x, y).slice(1).to_pylist()]
+    assert [a is None for a, _ in got] == [a is None for a, _ in want] and sum(a is None for a, _ in got) > 30
+    known = [k for k, (a, _) in enumerate(want) if a is not None]
+    assert np.allclose([got[k] for k in known], [want[k] for k in known], atol=1e-12)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.operators.rings import _hull
+from tilewright.operators.rings import FEW, _hull
 
 #: Below this share of its first value a pivot is rounding only: the points don't determine its term.
 SINGULAR = 1e-11
@@ -65,15 +65,83 @@ def profile_weight(i: Column, steps: Column) -> Column:
     return F.pow(F.greatest(i, steps - i) + F.floor(steps / 2), F.lit(4))
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "misfit")]))
-def rectangle_misfit(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+#: Numbers that are held at once of each kind, of lines of as many points.
+AT_ONCE = 1 << 15
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "misfit")]))
+def rectangle_misfit(x: pa.Array, y: pa.Array) -> pa.Array:
     """The area of a ring, and the Hausdorff distance between it and the smallest rotated rectangle around it.
 
     The ring is open (its last node isn't its first); the distance is that of either one's corners from
-    the other's sides. Of rectangles of equal area (to nine digits) the longest count, of those the nearest. Without three different nodes both are null.
+    the other's sides. Of rectangles of equal area (to nine digits) the longest count, of those the nearest. Without three different
+    nodes, or with one that is null or not finite, both are null.
     """
-    out = [_misfit(np.asarray(a, float), np.asarray(b, float)) if a is not None and b is not None else None for a, b in zip(x, y)]
-    return pd.DataFrame([r or (None, None) for r in out], columns=["area", "misfit"], dtype="float64")
+    n, ends = [], []
+    for v in (x, y):
+        n.append(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends.append(np.cumsum(n[-1]))
+    known = x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False)
+    if (n[0] != n[1])[known].any():
+        raise ValueError("a line has as many x as y")
+    px, py = (v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for v in (x, y))
+    out, sizes = np.full((2, len(x)), np.nan), np.where(known, n[0], 0)
+    for size in np.unique(sizes[sizes > 2]):
+        at = np.flatnonzero(sizes == size)
+        step = max(1, 2 * AT_ONCE // int(size * (size - 1)))
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            own = np.arange(size)[:, None]
+            a, b = px[ends[0][some] - size + own], py[ends[1][some] - size + own]
+            good = np.isfinite(a + b).all(0)
+            out[:, some[good]] = _misfits(a[:, good], b[:, good]) if size <= FEW else np.array([_misfit(*line) or (np.nan, np.nan) for line in zip(a[:, good].T, b[:, good].T)]).reshape(-1, 2).T
+    return pa.StructArray.from_arrays([pa.array(v, mask=np.isnan(v)) for v in out], ["area", "misfit"])
+
+
+rectangle_misfit = rectangle_misfit.asNondeterministic()  # else a filter on what comes out computes it once more
+
+
+def _misfits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``_misfit`` for many lines (columns) of as many points, NaN where that has none: a side lies along two points that have all others on one side."""
+    n, m = x.shape
+    i, j = np.triu_indices(n, 1)
+    ux, uy = x[j] - x[i], y[j] - y[i]
+    long = np.sqrt(ux * ux + uy * uy)
+    apart = long > 0
+    long[~apart] = 1
+    ux, uy = ux / long, uy / long
+    s0, s1, o0, o1 = (np.zeros_like(long) for _ in range(4))
+    for k in range(n):
+        dx, dy = x[k] - x[i], y[k] - y[i]
+        s, o = dx * ux + dy * uy, dy * ux - dx * uy
+        for out, least, v in ((s0, np.minimum, s), (s1, np.maximum, s), (o0, np.minimum, o), (o1, np.maximum, o)):
+            least(out, v, out=out)
+    wide = np.maximum(o1, -o0)
+    side = apart & (np.minimum(o1, -o0) <= FLAT) & (wide > FLAT)
+    size = np.where(side, np.round((s1 - s0) * wide, 9), np.inf)
+    length = np.where(side & (size == size.min(0)), np.round(-np.maximum(s1 - s0, wide), 9), np.inf)
+    line, pair = np.nonzero((side & (length == length.min(0))).T)  # those that count, in the order of their lines
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+    out = np.full((2, m), np.nan)
+    if not len(line):
+        return out
+    ux, uy, ox, oy, sign = ux[pair, line], uy[pair, line], x[i[pair], line], y[i[pair], line], np.where(o1[pair, line] > FLAT, 1.0, -1.0)
+    dx, dy = x[:, line] - ox, y[:, line] - oy
+    s, o = dx * ux + dy * uy, (dy * ux - dx * uy) * sign
+    low, high, top = s.min(0), s.max(0), o.max(0)
+    off = np.minimum(np.minimum(s - low, high - s), np.minimum(o, top - o)).max(0)  # a node's distance from the nearest side
+    ds, do = np.roll(s, -1, axis=0) - s, np.roll(o, -1, axis=0) - o
+    square = np.maximum(ds * ds + do * do, 1e-300)
+    far = np.zeros(len(line))
+    for cs, co in ((low, 0.0), (high, 0.0), (high, top), (low, top)):
+        ws, wo = cs - s, co - o
+        along = np.minimum(np.maximum((ws * ds + wo * do) / square, 0), 1)
+        es, eo = along * ds - ws, along * do - wo
+        far = np.maximum(far, np.sqrt((es * es + eo * eo).min(0)))
+    found = line[first]
+    out[0, found] = np.abs((x * np.roll(y, -1, axis=0) - np.roll(x, -1, axis=0) * y).sum(0))[found] / 2
+    out[1, found] = np.minimum.reduceat(np.maximum(np.maximum(off, far), 0), first)
+    return out
 
 
 def _misfit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
